@@ -125,11 +125,12 @@ def distance(formula) -> str:
     )
 
 
-def letters(column: str) -> str:
-    counts = ", ".join(
-        f"(length({column}) - length(replace({column}, '{c}', '')))::double" for c in fx.LETTERS
-    )
-    return f"[{counts}]"
+def letter_distance(a: str, b: str) -> str:
+    def count(column: str, letter: str) -> str:
+        return f"(length({column}) - length(replace({column}, '{letter}', '')))"
+
+    squares = [f"pow({count(a, c)} - {count(b, c)} + 1e-6::double, 2)" for c in fx.LETTERS]
+    return f"sqrt({' + '.join(squares)})"
 
 
 def head() -> str:
@@ -161,7 +162,7 @@ SCORED = (
     CANDIDATES
     + f""",
 scored as (select *, sha256(abstract) as passage_key,
-    round({euclidean(letters('query_text'), letters('abstract'))}, 6) as score from cand)"""
+    round({letter_distance('query_text', 'abstract')}, 6) as dist from cand)"""
 )
 
 ORACLE = {
@@ -242,15 +243,15 @@ from trip join a on a.vec_id = trip.query_index""",
     f" select vec_id, {shown('f')} as features from f",
     "head_projection": head(),
     "mean_pool": f"""with t as (select doc_id, unnest({words('text')}) as token from documents)
-select doc_id, round(avg(length(token)::double), 6) as m0,
-round(avg(length(replace(token, 'e', ''))::double), 6) as m1
+select doc_id, round(avg(length(token) * 0.7310585786::double), 6) as m0,
+round(avg(length(replace(token, 'e', '')) * 0.7310585786::double), 6) as m1
 from t where length(token) > 1 group by doc_id""",
     "score_candidates": f"with {SCORED} select 'letters@1' as experiment, query_id, dbpedia_entity,"
-    " passage_key, score from scored",
+    " passage_key, dist as score from scored",
     "score_skip_existing": f"with {SCORED} select 'letters@1' as experiment, query_id, dbpedia_entity,"
-    " passage_key, score from scored where qrel is null",
+    " passage_key, dist as score from scored where qrel is null",
     "scored_columns": f"with {SCORED} select query_id, dbpedia_entity, hit,"
-    " score as score_letters_false_false from scored",
+    " dist as score_letters_false_false from scored",
     "article_grades": f"with {WIKI} select * from wcand",
     "unmatched_grades": "select 'Page ' || doc_id || '+x' as title, quality as qrel from labels"
     " where doc_id not in (select page_id from pages)",

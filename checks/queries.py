@@ -319,8 +319,8 @@ def head_projection(spark, sf):
 def mean_pool(spark, sf):
     tokens = retrieval.token_counts(fx.documents(spark, sf), "doc_id", "text")
     tokens = tokens.withColumnRenamed("term", "token")
-    length = F.length("token").cast("double")
-    bare = F.length(F.replace("token", F.lit("e"), F.lit(""))).cast("double")
+    length = F.length("token") * F.lit(0.7310585786)
+    bare = F.length(F.replace("token", F.lit("e"), F.lit(""))) * F.lit(0.7310585786)
     table = land(
         retrieval.document_frequency(fx.index(spark, sf))
         .select(F.col("term").alias("token"))
