@@ -9,7 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +30,9 @@ SCORE_DIGITS = 6
 _GROUP_LIMIT = 1000
 # Query terms that are broadcast: about 100 bytes each in memory.
 _BROADCAST_ROWS = 1_000_000
-# Rows of the in-task top-k buffer.
+# Rows of the in-task top-k buffer, and term scores that are summed at a time.
 _BUFFER_ROWS = 2_000_000
+_CHUNK_ROWS = 2_000_000
 
 
 def _runs(df: DataFrame, items: Column, key) -> DataFrame:
@@ -136,51 +141,99 @@ def _term_scores(index: DataFrame, weights: DataFrame) -> DataFrame:
     return hits.join(weights, "term").select("query_index", "doc_id", part.alias("score"))
 
 
-def _sum_documents(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.groupby(["query_index", "doc_id"], sort=False, as_index=False)["score"].sum()
+def _chunks(sizes: np.ndarray, docs: np.ndarray) -> Iterator[slice]:
+    """Cut postings into runs of whole documents with about ``_CHUNK_ROWS`` scores each."""
+    if not len(sizes):
+        return
+    first = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+    part = np.add.reduceat(sizes, first).cumsum() // _CHUNK_ROWS
+    cuts = first[np.r_[True, part[1:] != part[:-1]]]
+    for a, b in zip(cuts, np.r_[cuts[1:], len(sizes)]):
+        yield slice(a, b)
 
 
-def _sum_and_trim(k: int, digits: int):
-    """Sum the term scores of each document and keep the best k per query of this task.
+def _score_documents(shared: Broadcast, k: int, digits: int):
+    """Score whole documents against all query weights and keep the best k per query of a task.
 
-    The rows of one document follow each other, so only the last document of a batch can go on in
-    the next one. Scores are rounded before they are compared, as in the final ranking, so a
-    dropped row is always behind k rows of the same task.
+    Scores are rounded before they are compared, as in the final ranking, so a dropped row is
+    always behind k rows of the same task.
     """
 
     def best(parts: list[pd.DataFrame]) -> pd.DataFrame:
         rows = pd.concat(parts, ignore_index=True)
-        rows["score"] = rows["score"].round(digits)
         rows = rows.sort_values(["query_index", "score", "doc_id"], ascending=[True, False, True])
         return rows[rows.groupby("query_index", sort=False).cumcount() < k]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batch: pa.RecordBatch) -> Iterator[pd.DataFrame]:
+        query = shared.value
+        terms = batch.column("terms")
+        doc = pc.list_parent_indices(terms).to_numpy()
+        flat = pc.list_flatten(terms)
+        found = pc.index_in(pc.struct_field(flat, "term"), value_set=query["terms"])
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        term = found.drop_null().to_numpy().astype(np.int64)
+        doc = doc[known]
+        tf = pc.struct_field(flat, "tf").to_numpy()[known]
+        length = batch.column("doc_length").to_numpy(zero_copy_only=False)[doc]
+        gain = tf / (tf + query["norm_base"] + query["norm_per_term"] * length)
+        start = query["starts"][term]
+        size = query["starts"][term + 1] - start
+        ids = batch.column("doc_id").to_pandas()
+        for c in _chunks(size, doc):
+            n = size[c]
+            total = n.sum()
+            # For each posting the weights of its term, one after another.
+            at = np.arange(total) + np.repeat(start[c] - (n.cumsum() - n), n)
+            pair = np.repeat(doc[c].astype(np.int64), n) * query["n"] + query["query"][at]
+            score = query["weight"][at] * np.repeat(gain[c], n)
+            order = np.argsort(pair, kind="stable")
+            pair = pair[order]
+            first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+            pair = pair[first]
+            yield pd.DataFrame(
+                {
+                    "query_index": query["ids"][pair % query["n"]],
+                    "doc_id": ids.to_numpy()[pair // query["n"]],
+                    "score": np.add.reduceat(score[order], first).round(digits),
+                }
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pd.DataFrame] = []
         size = 0
-        rest = None
         for batch in batches:
-            if batch.empty:
-                continue
-            if rest is not None:
-                batch = pd.concat([rest, batch], ignore_index=True)
-            last = batch["doc_id"] == batch["doc_id"].iloc[-1]
-            rest = batch[last]
-            kept.append(_sum_documents(batch[~last]))
-            size += len(kept[-1])
-            if size > _BUFFER_ROWS:
-                kept = [best(kept)]
-                size = len(kept[0])
-                if size > _BUFFER_ROWS // 2:
-                    yield kept.pop()
-                    size = 0
-        if rest is not None:
-            kept.append(_sum_documents(rest))
+            for rows in scored(batch):
+                kept.append(rows)
+                size += len(rows)
+                if size > _BUFFER_ROWS:
+                    kept = [best(kept)]
+                    size = len(kept[0])
+                    if size > _BUFFER_ROWS // 2:
+                        yield pa.RecordBatch.from_pandas(kept.pop(), preserve_index=False)
+                        size = 0
         if kept:
-            yield best(kept)
+            yield pa.RecordBatch.from_pandas(best(kept), preserve_index=False)
 
     return run
 
 
+def _packed(weights: pd.DataFrame) -> dict:
+    """Weights by term: ``starts[t]`` to ``starts[t + 1]`` are the queries that ask for term t."""
+    weights = weights.sort_values(["term", "query_index"])
+    terms, first = np.unique(weights["term"].to_numpy(dtype=object), return_index=True)
+    ids, query = np.unique(weights["query_index"].to_numpy(), return_inverse=True)
+    return {
+        "terms": pa.array(terms, pa.string()),
+        "starts": np.r_[first, len(weights)].astype(np.int64),
+        "ids": ids,
+        "n": len(ids),
+        "query": query.astype(np.int64),
+        "weight": weights["weight"].to_numpy(dtype=float),
+        "norm_base": float(weights["norm_base"].iloc[0]),
+        "norm_per_term": float(weights["norm_per_term"].iloc[0]),
+    }
+
+
 def top_k(
     scores: DataFrame, k: int, group: str = "query_index", ident: str = "doc_id"
 ) -> DataFrame:
@@ -212,16 +265,21 @@ def bm25_search(
     """The run table ``query_index, doc_id, hit, score`` with the k best documents per query.
 
     The query weights are landed and counted. Up to ``broadcast_rows`` they go to every task: a
-    task then sees whole documents, sums their scores and passes on k rows per query, so what is
-    shuffled does not grow with the number of (query, document) matches. Beyond that, postings and
-    weights meet in a shuffle join on the term, which AQE splits on a hot term.
+    document is one row of the index, so a task scores whole documents and passes on k rows per
+    query, and what is shuffled does not grow with the number of (query, document) matches. Beyond
+    that, postings and weights meet in a shuffle join on the term, which AQE splits on a hot term.
     """
     weights = land(query_weights(index, query_terms(queries, stop_words), k1, b))
-    if weights.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        doc_id = index.schema["doc_id"].dataType.simpleString()
-        scores = _term_scores(index, F.broadcast(weights)).mapInPandas(
-            _sum_and_trim(k, SCORE_DIGITS), f"query_index long, doc_id {doc_id}, score double"
-        )
+    doc_id = index.schema["doc_id"].dataType.simpleString()
+    run = f"query_index long, doc_id {doc_id}, score double"
+    n_weights = weights.limit(broadcast_rows + 1).count()
+    if n_weights == 0:
+        scores = index.sparkSession.createDataFrame([], run)
+    elif n_weights <= broadcast_rows:
+        shared = index.sparkSession.sparkContext.broadcast(_packed(weights.toPandas()))
+        task = _score_documents(shared, k, SCORE_DIGITS)
+        matching = index.select("doc_id", "doc_length", "terms").where("doc_length > 0")
+        scores = matching.mapInArrow(task, run)
     else:
         scores = _term_scores(index, weights).groupBy("query_index", "doc_id")
         scores = scores.agg(F.round(F.sum("score"), SCORE_DIGITS).alias("score"))
