@@ -101,7 +101,7 @@ def unscored(candidates: DataFrame, scores: DataFrame, experiment: str) -> DataF
     """Candidates that have no score yet in ``experiment``."""
     done = scores.where(F.col("experiment") == experiment).select(*SCORE_KEYS)
     keyed = with_passage_key(candidates)
-    return keyed.join(done, list(SCORE_KEYS), "left_anti").drop("passage_key")
+    return keyed.join(done, list(SCORE_KEYS), "left_anti").select(*candidates.columns)
 
 
 def score_candidates(
@@ -151,7 +151,7 @@ def attach_scores(
     one = scores.where(F.col("experiment") == experiment)
     one = one.select(*SCORE_KEYS, F.col("score").alias(name)).dropDuplicates(list(SCORE_KEYS))
     joined = with_passage_key(candidates).join(one, list(SCORE_KEYS), "left")
-    return joined.drop("passage_key")
+    return joined.select(*candidates.columns, name)
 
 
 def score_experiments(
