@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from rankflow.functions import text, vectors
 from rankflow.operators import candidates as cand
-from rankflow.operators import entities, folds, retrieval, scoring, triplets
+from rankflow.operators import entities, folds, pooling, retrieval, scoring, triplets
 from rankflow.operators.numbering import rank_in_group
 from rankflow.session import land
 from rankflow.sources import parse_quads
@@ -317,8 +317,6 @@ def head_projection(spark, sf):
 
 @query
 def mean_pool(spark, sf):
-    tokens = retrieval.token_counts(fx.documents(spark, sf), "doc_id", "text")
-    tokens = tokens.withColumnRenamed("term", "token")
     length = F.length("token") * F.lit(0.7310585786)
     bare = F.length(F.replace("token", F.lit("e"), F.lit(""))) * F.lit(0.7310585786)
     table = land(
@@ -327,7 +325,7 @@ def mean_pool(spark, sf):
         .where(F.length("token") > 1)
         .select("token", F.array(length, bare).alias("vector"))
     )
-    pooled = scoring.mean_pool(tokens, table, "doc_id")
+    pooled = pooling.mean_pool(fx.index(spark, sf), table)
     return pooled.select(
         "doc_id", *[F.round(F.get("mean_vector", F.lit(i)), 6).alias(f"m{i}") for i in range(2)]
     )

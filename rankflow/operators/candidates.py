@@ -1,7 +1,9 @@
 """Candidates: a run joined with texts, queries, grades, knowledge-base vectors and weights.
 
-Joins carry no broadcast hints. The small inputs are files or landed tables, whose size Catalyst
-knows, so it broadcasts them below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles beyond it.
+The large tables (corpus, pages, names, vectors) are first cut to the keys that occur. The joins
+themselves carry no broadcast hints: the small inputs are files or landed tables, whose size
+Catalyst knows, so it broadcasts them below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles
+beyond it, where AQE splits a hot key.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rankflow.functions import text, vectors
 from rankflow.operators.numbering import dense_ordinal
-from rankflow.session import land
+from rankflow.operators.reduction import keep_keys
 
 CANDIDATE_COLUMNS = (
     "query_index",
@@ -29,7 +31,8 @@ CANDIDATE_COLUMNS = (
 
 
 def attach_corpus(run: DataFrame, corpus: DataFrame) -> DataFrame:
-    return run.join(corpus, "url_dbpedia")
+    """Only the texts of hits are shuffled, if any; the corpus is scanned once."""
+    return run.join(keep_keys(corpus, run, "url_dbpedia"), "url_dbpedia")
 
 
 def judged_queries(queries: DataFrame, grades: DataFrame) -> DataFrame:
@@ -87,22 +90,16 @@ def attach_wikidata(candidates: DataFrame, title_map: DataFrame) -> DataFrame:
 
 
 def attach_entity_index(candidates: DataFrame, names: DataFrame) -> DataFrame:
-    return candidates.join(names, "entity", "left")
+    return candidates.join(keep_keys(names, candidates, "entity"), "entity", "left")
 
 
 def needed_vectors(candidates: DataFrame, entity_vectors: DataFrame) -> DataFrame:
-    """Vectors of the entities that occur among the candidates.
-
-    The distinct entities are landed, so that a set of known, small size meets the vectors and the
-    vectors themselves need not be shuffled.
-    """
-    entities = land(candidates.select("entity").where("entity is not null").distinct())
-    return entity_vectors.join(entities, "entity", "left_semi")
+    """Vectors of the entities that occur among the candidates."""
+    return keep_keys(entity_vectors, candidates, "entity")
 
 
 def attach_vectors(candidates: DataFrame, entity_vectors: DataFrame) -> DataFrame:
-    needed = needed_vectors(candidates, entity_vectors)
-    return candidates.join(needed, "entity", "left")
+    return candidates.join(needed_vectors(candidates, entity_vectors), "entity", "left")
 
 
 def fill_vectors(candidates: DataFrame, dim: int = vectors.GRAPH_DIM) -> DataFrame:
@@ -131,5 +128,6 @@ def build_wiki_candidates(
     """The encyclopedia variant: pages by numeric id, grades by (query, title)."""
     named = queries.withColumnRenamed("query_text", "query_string")
     by_id = pages.withColumn("id", F.col("id").cast("long"))
-    found = attach_queries(run.withColumn("id", F.col("id").cast("long")), named)
-    return found.join(by_id, "id").join(article_grades, ["query_id", "title"], "left")
+    hits = run.withColumn("id", F.col("id").cast("long"))
+    found = attach_queries(hits, named).join(keep_keys(by_id, hits, "id"), "id")
+    return found.join(article_grades, ["query_id", "title"], "left")

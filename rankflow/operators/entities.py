@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankflow.operators.reduction import keep_keys
+
 
 def distinct_entities(entity_lists: DataFrame) -> DataFrame:
     return entity_lists.select(F.explode("entities").alias("entity")).distinct()
@@ -13,6 +15,7 @@ def distinct_entities(entity_lists: DataFrame) -> DataFrame:
 def entity_pages(entities: DataFrame, pages: DataFrame) -> DataFrame:
     """Page text per entity, null when there is no page."""
     documents = pages.select(F.col("title").alias("entity"), F.col("text").alias("document"))
+    documents = keep_keys(documents, entities, "entity")
     return entities.join(documents, "entity", "left").select("entity", "document")
 
 

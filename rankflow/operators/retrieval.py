@@ -7,17 +7,18 @@ needs no shuffle. Document ids must be unique.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.functions.text import tokens
+from rankflow.operators.batches import known_postings, whole_documents
 from rankflow.session import land
 
 # Default parameters of the public BM25 implementation, and its run-file precision.
@@ -33,6 +34,9 @@ _BROADCAST_ROWS = 1_000_000
 # Rows of the in-task top-k buffer, and term scores that are summed at a time.
 _BUFFER_ROWS = 2_000_000
 _CHUNK_ROWS = 2_000_000
+# Scoring tasks per core, and rows of one query that one task ranks.
+_TASKS_PER_CORE = 4
+_ROWS_PER_GROUP = 10_000_000
 
 
 def _runs(df: DataFrame, items: Column, key) -> DataFrame:
@@ -141,17 +145,6 @@ def _term_scores(index: DataFrame, weights: DataFrame) -> DataFrame:
     return hits.join(weights, "term").select("query_index", "doc_id", part.alias("score"))
 
 
-def _chunks(sizes: np.ndarray, docs: np.ndarray) -> Iterator[slice]:
-    """Cut postings into runs of whole documents with about ``_CHUNK_ROWS`` scores each."""
-    if not len(sizes):
-        return
-    first = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-    part = np.add.reduceat(sizes, first).cumsum() // _CHUNK_ROWS
-    cuts = first[np.r_[True, part[1:] != part[:-1]]]
-    for a, b in zip(cuts, np.r_[cuts[1:], len(sizes)]):
-        yield slice(a, b)
-
-
 def _score_documents(shared: Broadcast, k: int, digits: int):
     """Score whole documents against all query weights and keep the best k per query of a task.
 
@@ -166,20 +159,13 @@ def _score_documents(shared: Broadcast, k: int, digits: int):
 
     def scored(batch: pa.RecordBatch) -> Iterator[pd.DataFrame]:
         query = shared.value
-        terms = batch.column("terms")
-        doc = pc.list_parent_indices(terms).to_numpy()
-        flat = pc.list_flatten(terms)
-        found = pc.index_in(pc.struct_field(flat, "term"), value_set=query["terms"])
-        known = found.is_valid().to_numpy(zero_copy_only=False)
-        term = found.drop_null().to_numpy().astype(np.int64)
-        doc = doc[known]
-        tf = pc.struct_field(flat, "tf").to_numpy()[known]
+        doc, term, tf = known_postings(batch.column("terms"), query["terms"])
         length = batch.column("doc_length").to_numpy(zero_copy_only=False)[doc]
         gain = tf / (tf + query["norm_base"] + query["norm_per_term"] * length)
         start = query["starts"][term]
         size = query["starts"][term + 1] - start
         ids = batch.column("doc_id").to_pandas()
-        for c in _chunks(size, doc):
+        for c in whole_documents(size, doc, _CHUNK_ROWS):
             n = size[c]
             total = n.sum()
             # For each posting the weights of its term, one after another.
@@ -235,17 +221,23 @@ def _packed(weights: pd.DataFrame) -> dict:
 
 
 def top_k(
-    scores: DataFrame, k: int, group: str = "query_index", ident: str = "doc_id"
+    scores: DataFrame,
+    k: int,
+    group: str = "query_index",
+    ident: str = "doc_id",
+    salts: int = 1,
 ) -> DataFrame:
     """The k best rows per group, ranked from 1 in ``hit``; ties go to the smaller id.
 
     Up to 1000, Spark itself cuts every partition to k rows per group before the shuffle. Above
-    that, a first window over salted groups does so.
+    that, or with ``salts``, a first window over salted groups does so.
     """
-    order = [F.desc("score"), F.asc(ident)]
     if k > _GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64(ident), F.lit(scores.sparkSession.sparkContext.defaultParallelism))
-        salted = scores.withColumn("_salt", salt).repartition(group, "_salt")
+        salts = max(salts, scores.sparkSession.sparkContext.defaultParallelism)
+    order = [F.desc("score"), F.asc(ident)]
+    if salts > 1:
+        salted = scores.withColumn("_salt", F.pmod(F.xxhash64(ident), F.lit(salts)))
+        salted = salted.repartition(group, "_salt")
         first = F.row_number().over(Window.partitionBy(group, "_salt").orderBy(*order))
         scores = salted.withColumn("_hit", first).where(F.col("_hit") <= k).drop("_hit", "_salt")
         scores = scores.repartition(group)
@@ -253,6 +245,13 @@ def top_k(
     return scores.withColumn("hit", hit).where(F.col("hit") <= k)
 
 
+def _few_tasks(index: DataFrame) -> tuple[DataFrame, int]:
+    """The index in no more tasks than keep the cluster busy, since each passes on k rows a query."""
+    tasks = _TASKS_PER_CORE * index.sparkSession.sparkContext.defaultParallelism
+    splits = index.rdd.getNumPartitions()
+    return (index.coalesce(tasks), tasks) if splits > tasks else (index, splits)
+
+
 def bm25_search(
     index: DataFrame,
     queries: DataFrame,
@@ -267,20 +266,23 @@ def bm25_search(
     The query weights are landed and counted. Up to ``broadcast_rows`` they go to every task: a
     document is one row of the index, so a task scores whole documents and passes on k rows per
     query, and what is shuffled does not grow with the number of (query, document) matches. Beyond
-    that, postings and weights meet in a shuffle join on the term, which AQE splits on a hot term.
+    that bound, postings and weights meet in a shuffle join on the term, which AQE splits on a hot term.
     """
     weights = land(query_weights(index, query_terms(queries, stop_words), k1, b))
     doc_id = index.schema["doc_id"].dataType.simpleString()
     run = f"query_index long, doc_id {doc_id}, score double"
     n_weights = weights.limit(broadcast_rows + 1).count()
+    salts = 1
     if n_weights == 0:
         scores = index.sparkSession.createDataFrame([], run)
     elif n_weights <= broadcast_rows:
         shared = index.sparkSession.sparkContext.broadcast(_packed(weights.toPandas()))
         task = _score_documents(shared, k, SCORE_DIGITS)
-        matching = index.select("doc_id", "doc_length", "terms").where("doc_length > 0")
-        scores = matching.mapInArrow(task, run)
+        documents = index.select("doc_id", "doc_length", "terms").where("doc_length > 0")
+        documents, tasks = _few_tasks(documents)
+        scores = documents.mapInArrow(task, run)
+        salts = math.ceil(tasks * k / _ROWS_PER_GROUP)
     else:
         scores = _term_scores(index, weights).groupBy("query_index", "doc_id")
         scores = scores.agg(F.round(F.sum("score"), SCORE_DIGITS).alias("score"))
-    return top_k(scores, k).select("query_index", "doc_id", "hit", "score")
+    return top_k(scores, k, salts=salts).select("query_index", "doc_id", "hit", "score")

@@ -7,14 +7,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankflow.functions.text import score_name
 from rankflow.functions.vectors import DISTANCES, features, finite
+from rankflow.session import land
 
 # Rows per call of the encoder.
 BATCH_SIZE = 10_000
@@ -78,21 +78,6 @@ def head_projection(
     return rows.withColumn(name, project(F.col(column).cast("array<double>")))
 
 
-def mean_pool(
-    token_rows: DataFrame, token_vectors: DataFrame, id_col: str, token_col: str = "token"
-) -> DataFrame:
-    """Mean of the vectors of a text's tokens; tokens without a vector do not count.
-
-    Equal tokens of a text are counted before the join, so a frequent token meets its vector once
-    per text, and AQE splits it when the join is shuffled.
-    """
-    counted = token_rows.groupBy(id_col, token_col).agg(F.count(F.lit(1)).alias("_tf"))
-    found = counted.join(token_vectors, token_col)
-    vector = array_to_vector(F.col("vector"))
-    mean = Summarizer.mean(vector, F.col("_tf").cast("double"))
-    return found.groupBy(id_col).agg(vector_to_array(mean).alias("mean_vector"))
-
-
 def with_passage_key(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("passage_key", text_key("abstract"))
 
@@ -118,8 +103,10 @@ def score_candidates(
 ) -> DataFrame:
     """``experiment`` and score per candidate, lower is better.
 
-    Each distinct query and passage is encoded once. The result is written to a new place or
-    appended to a score table; the candidate table stays as it is.
+    Each distinct query and passage is encoded once. The vectors, the costly part, are landed: they
+    are not computed again when an executor is lost, and their true size decides how they are
+    joined. The result is written to a new place or appended to a score table; the candidate table
+    stays as it is.
     """
     if existing is not None:
         candidates = unscored(candidates, existing, experiment)
@@ -127,8 +114,8 @@ def score_candidates(
     wanted += ["biggraph_embedding"] if graph else []
     wanted += ["deepct_weights"] if weights else []
     rows = with_passage_key(candidates).select(*wanted)
-    queries = embed_texts(rows, "query_text", load_encoder, batch_size)
-    passages = embed_texts(rows, "abstract", load_encoder, batch_size)
+    queries = land(embed_texts(rows, "query_text", load_encoder, batch_size))
+    passages = land(embed_texts(rows, "abstract", load_encoder, batch_size))
     rows = rows.withColumn("_query_key", text_key("query_text")).drop("query_text", "abstract")
     rows = attach_embedding(rows, queries, "_query_key", "_query")
     rows = attach_embedding(rows, passages, "passage_key", "_passage")

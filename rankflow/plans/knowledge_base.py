@@ -19,6 +19,7 @@ from rankflow.operators.folds import split_folds
 from rankflow.operators.scoring import score_experiments
 from rankflow.operators.triplets import build_triplets
 from rankflow.plans.inputs import KnowledgeBaseInputs
+from rankflow.session import land
 from rankflow.sinks import is_complete, materialise, write_folds
 
 
@@ -56,13 +57,14 @@ def candidates(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str) -> Da
     """Hits with text, query and grade, and their ``ordinal`` in the order (query, hit)."""
 
     def build():
-        built = cand.build_candidates(
+        joined = cand.build_candidates(
             run(spark, inputs, out),
             corpus(spark, inputs, out),
             queries(spark, inputs, out),
             sources.read_grades(spark, inputs.grades),
         )
-        return cand.number_candidates(built)
+        # A range sort reads its input twice; the corpus must not be scanned twice for it.
+        return cand.number_candidates(land(joined))
 
     return materialise(spark, f"{out}/candidates", build)
 

@@ -51,11 +51,12 @@ def land(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a scan that has fewer splits than the cluster has cores.
+# A scan of more splits than this (4 GB at the default split size) is never shuffled by ``spread``.
+SMALL_SCAN_SPLITS = 32
 
-    Such a scan is at most a few splits long, so the shuffle is small; a large scan has more
-    splits than cores and is left alone.
-    """
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a small scan that has fewer splits than the cluster has cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+    small = df.rdd.getNumPartitions() <= min(cores, SMALL_SCAN_SPLITS)
+    return df.repartition(cores) if small else df

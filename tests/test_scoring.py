@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.fixtures import letter_encoder
-from rankflow.operators import scoring
+from rankflow.operators import pooling, retrieval, scoring
 
 HEAD = [(np.arange(22).reshape(2, 11) / 10, np.array([0.5, -3.0])), (np.ones((8, 2)), np.zeros(8))]
 
@@ -103,13 +103,27 @@ def test_head_from_a_table(spark):
         scoring.load_head(stored.where("layer = 0"))
 
 
-def test_mean_pool(spark):
-    tokens = spark.createDataFrame(
-        [(1, "a"), (1, "a"), (1, "b"), (1, "unknown"), (2, "unknown")], "doc long, token string"
-    )
-    table = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [4.0, 3.0])], "token string, vector array<double>")
-    got = {r.doc: r.mean_vector for r in scoring.mean_pool(tokens, table, "doc").collect()}
-    assert got == {1: [pytest.approx(2.0), pytest.approx(1.0)]}
+@pytest.mark.parametrize("broadcast_values", [0, 100])
+def test_mean_pool(spark, monkeypatch, broadcast_values):
+    monkeypatch.setattr(pooling, "_CHUNK_VALUES", 3)
+    texts = [(1, "a a b unknown"), (2, "unknown"), (3, "b"), (4, ""), (5, "c a b a")]
+    index = retrieval.doc_vectors(spark.createDataFrame(texts, "id long, text string"), "id", "text")
+    rows = [("a", [1.0, 0.0]), ("b", [4.0, 3.0]), ("c", [-2.0, 6.0])]
+    table = spark.createDataFrame(rows, "token string, vector array<double>")
+    got = {r.doc_id: r.mean_vector for r in pooling.mean_pool(index, table, broadcast_values).collect()}
+    vectors = {t: np.array(v) for t, v in rows}
+    want = {}
+    for i, text in texts:
+        known = [vectors[t] for t in text.split() if t in vectors]
+        if known:
+            want[i] = pytest.approx(np.mean(known, axis=0).tolist())
+    assert got == want
+
+
+def test_mean_pool_without_vectors(spark):
+    index = retrieval.doc_vectors(spark.createDataFrame([(1, "a")], "id long, text string"), "id", "text")
+    table = spark.createDataFrame([], "token string, vector array<double>")
+    assert pooling.mean_pool(index, table).collect() == []
 
 
 def test_experiment_name():
