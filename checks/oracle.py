@@ -219,9 +219,10 @@ as weights from t""",
     " from trip join folds using (query_id) group by fold, split",
     "positive_counts": f"with {CANDIDATES} select query_id, count(query_text) as n_pos from cand"
     " where qrel > 0 group by query_id",
-    "skipped_queries": f"with {TRIPLETS} select query_id, n_pos, n_neg,"
-    " case when n_pos = 0 then 'no positives' else 'too few negatives' end as reason"
-    " from counts where n_pos = 0 or n_pos > n_neg",
+    "skipped_queries": f"""with {CANDIDATES}, n as (select query_id, count(*) filter (quality > 0) as n_pos,
+  count(*) filter (quality = 0) as n_neg from cand join labels using (doc_id) group by query_id)
+select query_id, n_pos, n_neg, case when n_pos = 0 then 'no positives' else 'too few negatives' end as reason
+from n where n_pos = 0 or n_pos > n_neg""",
     "negative_sample": f"with {TRIPLETS} select query_id, dbpedia_entity, hit, n_pos from neg",
     "triplet_rows": f"with {TRIPLETS} select query_id, query_text, md5(abstract_x) as abstract_x,"
     " md5(abstract_y) as abstract_y, dbpedia_entity_x, dbpedia_entity_y, qrel_x, qrel_y from trip",

@@ -212,7 +212,15 @@ def positive_counts(spark, sf):
 
 @query
 def skipped_queries(spark, sf):
-    return triplets.skipped_queries(triplets.judged_counts(fx.candidates(spark, sf)))
+    """With quality as the grade, most queries have too few negatives."""
+    quality = fx.table(spark, sf, "labels").select(
+        F.concat(F.lit("<dbpedia:Doc_"), F.col("doc_id").cast("string"), F.lit(">")).alias(
+            "dbpedia_entity"
+        ),
+        F.col("quality").alias("qrel"),
+    )
+    graded = fx.candidates(spark, sf).drop("qrel").join(quality, "dbpedia_entity", "left")
+    return triplets.skipped_queries(triplets.judged_counts(graded))
 
 
 @query

@@ -11,15 +11,21 @@ from rankflow.session import land
 BROADCAST_KEYS = 2_000_000
 
 
+def landed_keys(
+    keys: DataFrame, column: str, broadcast_keys: int = BROADCAST_KEYS
+) -> tuple[DataFrame, bool]:
+    """The distinct values of ``column``, landed, and whether they are few enough to broadcast."""
+    wanted = land(keys.select(column).where(F.col(column).isNotNull()).distinct())
+    return wanted, wanted.limit(broadcast_keys + 1).count() <= broadcast_keys
+
+
 def keep_keys(
     rows: DataFrame, keys: DataFrame, column: str, broadcast_keys: int = BROADCAST_KEYS
 ) -> DataFrame:
     """The rows whose ``column`` occurs in ``keys``.
 
-    The distinct keys are landed and counted. Up to ``broadcast_keys`` they are broadcast and
-    ``rows`` is only scanned; beyond that it is a shuffled semi join.
+    Up to ``broadcast_keys`` distinct keys are broadcast and ``rows`` is only scanned; beyond that
+    it is a shuffled semi join.
     """
-    wanted = land(keys.select(column).where(F.col(column).isNotNull()).distinct())
-    if wanted.limit(broadcast_keys + 1).count() <= broadcast_keys:
-        wanted = F.broadcast(wanted)
-    return rows.join(wanted, column, "left_semi")
+    wanted, few = landed_keys(keys, column, broadcast_keys)
+    return rows.join(F.broadcast(wanted) if few else wanted, column, "left_semi")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from rankflow.functions.text import tokens
 from rankflow.operators.batches import known_postings, whole_documents
+from rankflow.operators.reduction import BROADCAST_KEYS, landed_keys
 from rankflow.session import land
 
 # Default parameters of the public BM25 implementation, and its run-file precision.
@@ -103,11 +104,23 @@ def corpus_stats(index: DataFrame) -> DataFrame:
     )
 
 
-def document_frequency(index: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Documents per term; the partial counts leave a hot term one row per task to shuffle."""
+def document_frequency(
+    index: DataFrame, vocabulary: DataFrame | None = None, broadcast_keys: int = BROADCAST_KEYS
+) -> DataFrame:
+    """Documents per term; the partial counts leave a hot term one row per task to shuffle.
+
+    A small vocabulary is applied before counting, a large one to the counts.
+    """
     terms = index.select(F.explode("terms.term").alias("term"))
-    if vocabulary is not None:
-        terms = terms.join(vocabulary, "term", "left_semi")
+    if vocabulary is None:
+        return _count_terms(terms)
+    wanted, few = landed_keys(vocabulary, "term", broadcast_keys)
+    if few:
+        return _count_terms(terms.join(F.broadcast(wanted), "term", "left_semi"))
+    return _count_terms(terms).join(wanted, "term", "left_semi")
+
+
+def _count_terms(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -123,7 +136,7 @@ def query_weights(
     index: DataFrame, terms: DataFrame, k1: float = K1, b: float = B
 ) -> DataFrame:
     """``query_index, term, weight`` and the two numbers of the length norm, all a score needs."""
-    df = document_frequency(index, terms.select("term").distinct())
+    df = document_frequency(index, terms)
     stats = corpus_stats(index)
     n_docs = stats.select("n_docs").scalar()
     avg_length = stats.select("avg_length").scalar()
@@ -271,12 +284,12 @@ def bm25_search(
     weights = land(query_weights(index, query_terms(queries, stop_words), k1, b))
     doc_id = index.schema["doc_id"].dataType.simpleString()
     run = f"query_index long, doc_id {doc_id}, score double"
-    n_weights = weights.limit(broadcast_rows + 1).count()
+    few = weights.limit(broadcast_rows + 1).toPandas()
     salts = 1
-    if n_weights == 0:
+    if few.empty:
         scores = index.sparkSession.createDataFrame([], run)
-    elif n_weights <= broadcast_rows:
-        shared = index.sparkSession.sparkContext.broadcast(_packed(weights.toPandas()))
+    elif len(few) <= broadcast_rows:
+        shared = index.sparkSession.sparkContext.broadcast(_packed(few))
         task = _score_documents(shared, k, SCORE_DIGITS)
         documents = index.select("doc_id", "doc_length", "terms").where("doc_length > 0")
         documents, tasks = _few_tasks(documents)

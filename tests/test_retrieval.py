@@ -145,3 +145,12 @@ def test_top_k_with_a_hot_group(spark):
         ordered = sorted((-s, d) for g, d, s in rows if g == q)[:1200]
         want |= {(q, d, i + 1) for i, (_, d) in enumerate(ordered)}
     assert got == want
+
+
+@pytest.mark.parametrize("broadcast_keys", [0, 100])
+def test_document_frequency_of_a_vocabulary(spark, broadcast_keys):
+    index, _ = frames(spark, corpus(40))
+    vocabulary = spark.createDataFrame([("the",), ("sky",), ("the",), ("zzz",)], "term string")
+    got = retrieval.document_frequency(index, vocabulary, broadcast_keys).collect()
+    bags = [set(words(t)) for t in corpus(40)]
+    assert {r.term: r.df for r in got} == {w: sum(w in b for b in bags) for w in ("the", "sky")}
