@@ -141,16 +141,14 @@ def vector_attach(spark, sf):
 @query
 def position_attach(spark, sf):
     """The weights of a candidate are its query's tokens, attached by row position."""
-    numbered = land(cand.number_candidates(fx.candidates(spark, sf).select(
-        "query_index", "hit", "url_dbpedia", "query_text"
-    )))
-    weights = land(numbered.select(
+    keys = fx.candidates(spark, sf).select("query_index", "hit", "url_dbpedia", "query_text")
+    numbered = cand.number_candidates(keys)
+    tokens = text.tokens(F.col("query_text"))
+    weights = numbered.select(
         "ordinal",
-        text.tokens(F.col("query_text")).alias("deepct_tokens"),
-        F.transform(
-            text.tokens(F.col("query_text")), lambda t: F.length(t).cast("double") / 10
-        ).alias("deepct_weights"),
-    ))
+        tokens.alias("deepct_tokens"),
+        F.transform(tokens, lambda t: F.length(t).cast("double") / 10).alias("deepct_weights"),
+    )
     return cand.attach_token_weights(numbered, weights).select(
         "ordinal",
         "query_index",

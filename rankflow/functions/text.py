@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Formats of the knowledge-base dump, the grade files and the vector files.
-QUAD_PATTERN = r'(?s)^<([^>]*)> <([^>]*)> (".*"@[A-Za-z-]+ )<([^>]*)> \.\s*$'
+QUAD_PATTERN = r'(?s)^<([^>]*)> <([^>]*)> (".*"@[A-Za-z-]+ )<([^<>]*)> \.\s*$'
 QUAD_FIELDS = ("url_dbpedia", "predicate", "abstract", "url_wikipedia")
 RESOURCE_MARK = "resource/"
 ENTITY_PREFIX = "<dbpedia:"
@@ -15,6 +15,8 @@ WIKIDATA_IRI_PREFIX = "<http://www.wikidata.org/entity/"
 LITERAL_END = '"@en '
 ARTICLE_MARK = "enwiki:"
 
+_TO_END = 2147483647
+
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -25,13 +27,24 @@ def valid_utf8(value: Column) -> Column:
     )
 
 
-def quad_field(line: Column, field: str) -> Column:
-    """One field of a quad line, null when the line is not a quad.
+def is_quad(line: Column) -> Column:
+    """The pattern is anchored at both ends, so '<' or '> ' inside the literal does no harm."""
+    return line.rlike(QUAD_PATTERN)
 
-    The pattern is anchored at both ends, so '<' or '> ' inside the literal does no harm.
-    """
-    group = QUAD_FIELDS.index(field) + 1
-    return F.when(line.rlike(QUAD_PATTERN), F.regexp_extract(line, QUAD_PATTERN, group))
+
+def quad_fields(line: Column) -> list[Column]:
+    """The four fields of a line for which ``is_quad`` holds, cut from both ends of the line."""
+
+    def after(start) -> Column:
+        return F.substring(line, start, F.lit(_TO_END))
+
+    url = F.substring_index(after(F.lit(2)), ">", 1)
+    predicate = F.substring_index(after(F.length(url) + 5), ">", 1)
+    tail = F.substring_index(line, "<", -1)
+    start = F.length(url) + F.length(predicate) + 7
+    abstract = F.substring(line, start, F.length(line) - F.length(tail) - start)
+    fields = (url, predicate, abstract, F.substring_index(tail, ">", 1))
+    return [f.alias(n) for f, n in zip(fields, QUAD_FIELDS)]
 
 
 def entity_key(url: Column) -> Column:
@@ -59,7 +72,7 @@ def wikidata_iri(wikidata_id: Column) -> Column:
 
 def clean_literal(literal: Column) -> Column:
     """Text of a quoted English literal, without the opening quote and the language tag."""
-    return F.substring_index(F.substring(literal, 2, 2147483647), LITERAL_END, 1)
+    return F.substring_index(F.substring(literal, 2, _TO_END), LITERAL_END, 1)
 
 
 def article_title(article: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -53,11 +54,12 @@ def mean_pool(
     size = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
     documents = index.select("doc_id", "terms")
     if 0 < size["n"] * (size["dim"] or 0) <= broadcast_values:
-        rows = table.toPandas()
+        rows = table.toArrow().combine_chunks()
+        values = pc.list_flatten(rows["vector"].combine_chunks()).to_numpy(zero_copy_only=False)
         shared = index.sparkSession.sparkContext.broadcast(
             {
-                "tokens": pa.array(rows["token"], pa.string()),
-                "vectors": np.stack(rows["vector"].to_numpy()),
+                "tokens": rows["token"].combine_chunks(),
+                "vectors": values.reshape(-1, size["dim"]),
             }
         )
         doc_id = index.schema["doc_id"].dataType.simpleString()

@@ -43,12 +43,11 @@ def read_quad_lines(spark: SparkSession, path: str) -> DataFrame:
 def parse_quads(lines: DataFrame) -> DataFrame:
     """The corpus: one row per quad; lines that are no quad are left to ``rejected_quads``."""
     line = F.col("value")
-    fields = [text.quad_field(line, f).alias(f) for f in text.QUAD_FIELDS]
-    return lines.where(line.rlike(text.QUAD_PATTERN)).select(*fields)
+    return lines.where(text.is_quad(line)).select(*text.quad_fields(line))
 
 
 def rejected_quads(lines: DataFrame) -> DataFrame:
-    return lines.where(~F.col("value").rlike(text.QUAD_PATTERN))
+    return lines.where(~text.is_quad(F.col("value")))
 
 
 def _field(parts: Column, index: int) -> Column:
