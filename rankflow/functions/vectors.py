@@ -56,17 +56,20 @@ def features(text: Column, graph: Column | None = None, weights: Column | None =
     return F.concat(*parts)
 
 
-def _total(items: Column) -> Column:
-    return F.aggregate(items, F.lit(0.0), lambda s, x: s + x)
+def _sum(items: Column, term=lambda x: x) -> Column:
+    return F.aggregate(items, F.lit(0.0), lambda s, x: s + term(x))
+
+
+def _gap(a: Column, b: Column, eps: float) -> Column:
+    return F.zip_with(to_doubles(a), to_doubles(b), lambda x, y: x - y + eps)
 
 
 def euclidean(a: Column, b: Column, eps: float = PAIRWISE_EPS) -> Column:
-    gap = F.zip_with(to_doubles(a), to_doubles(b), lambda x, y: x - y + eps)
-    return F.sqrt(_total(F.transform(gap, lambda d: d * d)))
+    return F.sqrt(_sum(_gap(a, b, eps), lambda d: d * d))
 
 
 def manhattan(a: Column, b: Column, eps: float = PAIRWISE_EPS) -> Column:
-    return _total(F.zip_with(to_doubles(a), to_doubles(b), lambda x, y: F.abs(x - y + eps)))
+    return _sum(_gap(a, b, eps), F.abs)
 
 
 def cosine(a: Column, b: Column, eps: float = COSINE_EPS) -> Column:
@@ -74,9 +77,9 @@ def cosine(a: Column, b: Column, eps: float = COSINE_EPS) -> Column:
     a, b = to_doubles(a), to_doubles(b)
 
     def norm(v: Column) -> Column:
-        return F.greatest(F.sqrt(_total(F.transform(v, lambda x: x * x))), F.lit(eps))
+        return F.greatest(F.sqrt(_sum(v, lambda x: x * x)), F.lit(eps))
 
-    return 1 - _total(F.zip_with(a, b, lambda x, y: x * y)) / (norm(a) * norm(b))
+    return 1 - _sum(F.zip_with(a, b, lambda x, y: x * y)) / (norm(a) * norm(b))
 
 
 DISTANCES = {"euclidean": euclidean, "manhattan": manhattan, "cosine": cosine}

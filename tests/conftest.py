@@ -7,14 +7,13 @@ from rankflow.session import configure
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     builder = (
         SparkSession.builder.master("local[4]")
         .appName("rankflow-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     )
     session = configure(builder).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
