@@ -158,60 +158,93 @@ def _term_scores(index: DataFrame, weights: DataFrame) -> DataFrame:
     return hits.join(weights, "term").select("query_index", "doc_id", part.alias("score"))
 
 
-def _score_documents(shared: Broadcast, k: int, digits: int):
-    """Score whole documents against all query weights and keep the best k per query of a task.
+def _sum_by_pair(pair: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum the scores of equal pairs; by counting where pairs are dense, by sorting elsewhere."""
+    low = pair.min()
+    cells = pair.max() - low + 1
+    if cells <= 4 * len(pair):
+        total = np.bincount(pair - low, weights=score, minlength=cells)
+        found = np.flatnonzero(total)  # a term score is never zero
+        return found + low, total[found]
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+    return pair[first], np.add.reduceat(score[order], first)
+
+
+class _Best:
+    """The best k rows per query of one task, in a buffer that is cut when it is full.
 
     Scores are rounded before they are compared, as in the final ranking, so a dropped row is
     always behind k rows of the same task.
     """
 
-    def best(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = pd.concat(parts, ignore_index=True)
-        rows = rows.sort_values(["query_index", "score", "doc_id"], ascending=[True, False, True])
-        return rows[rows.groupby("query_index", sort=False).cumcount() < k]
+    def __init__(self, n_queries: int, k: int):
+        self.k = k
+        self.limit = min(_BUFFER_ROWS, max(_BUFFER_ROWS // 20, 4 * k * n_queries))
+        self.parts: list[pd.DataFrame] = []
+        self.size = 0
+        self.least = np.full(n_queries, -np.inf)
+
+    def add(self, query: np.ndarray, doc_id: np.ndarray, score: np.ndarray) -> None:
+        keep = score >= self.least[query]
+        rows = {"query": query[keep], "doc_id": doc_id[keep], "score": score[keep]}
+        self.parts.append(pd.DataFrame(rows))
+        self.size += len(self.parts[-1])
+        if self.size > self.limit:
+            self.cut()
+
+    def cut(self) -> None:
+        rows = pd.concat(self.parts, ignore_index=True)
+        rows = rows.sort_values(["query", "score", "doc_id"], ascending=[True, False, True])
+        place = rows.groupby("query", sort=False).cumcount()
+        last = rows[place == self.k - 1]
+        self.least[last["query"]] = last["score"]
+        self.parts = [rows[place < self.k]]
+        self.size = len(self.parts[0])
+
+    def take(self) -> pd.DataFrame:
+        self.cut()
+        rows, self.parts, self.size = self.parts[0], [], 0
+        return rows
+
+
+def _score_documents(shared: Broadcast, k: int, digits: int):
+    """Score whole documents against all query weights and keep the best k per query of a task."""
 
-    def scored(batch: pa.RecordBatch) -> Iterator[pd.DataFrame]:
+    def score_batch(batch: pa.RecordBatch, best: _Best) -> None:
         query = shared.value
         doc, term, tf = known_postings(batch.column("terms"), query["terms"])
         length = batch.column("doc_length").to_numpy(zero_copy_only=False)[doc]
         gain = tf / (tf + query["norm_base"] + query["norm_per_term"] * length)
         start = query["starts"][term]
         size = query["starts"][term + 1] - start
-        ids = batch.column("doc_id").to_pandas()
+        ids = batch.column("doc_id").to_pandas().to_numpy()
         for c in whole_documents(size, doc, _CHUNK_ROWS):
             n = size[c]
-            total = n.sum()
             # For each posting the weights of its term, one after another.
-            at = np.arange(total) + np.repeat(start[c] - (n.cumsum() - n), n)
+            at = np.arange(n.sum()) + np.repeat(start[c] - (n.cumsum() - n), n)
             pair = np.repeat(doc[c].astype(np.int64), n) * query["n"] + query["query"][at]
-            score = query["weight"][at] * np.repeat(gain[c], n)
-            order = np.argsort(pair, kind="stable")
-            pair = pair[order]
-            first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-            pair = pair[first]
-            yield pd.DataFrame(
-                {
-                    "query_index": query["ids"][pair % query["n"]],
-                    "doc_id": ids.to_numpy()[pair // query["n"]],
-                    "score": np.add.reduceat(score[order], first).round(digits),
-                }
-            )
+            pair, score = _sum_by_pair(pair, query["weight"][at] * np.repeat(gain[c], n))
+            best.add(pair % query["n"], ids[pair // query["n"]], score.round(digits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pd.DataFrame] = []
-        size = 0
+        query = shared.value
+        best = _Best(query["n"], k)
+
+        def taken() -> pa.RecordBatch:
+            rows = best.take()
+            rows.insert(0, "query_index", query["ids"][rows.pop("query")])
+            return pa.RecordBatch.from_pandas(rows, preserve_index=False)
+
         for batch in batches:
-            for rows in scored(batch):
-                kept.append(rows)
-                size += len(rows)
-                if size > _BUFFER_ROWS:
-                    kept = [best(kept)]
-                    size = len(kept[0])
-                    if size > _BUFFER_ROWS // 2:
-                        yield pa.RecordBatch.from_pandas(kept.pop(), preserve_index=False)
-                        size = 0
-        if kept:
-            yield pa.RecordBatch.from_pandas(best(kept), preserve_index=False)
+            score_batch(batch, best)
+            if best.size > best.limit // 2:
+                best.cut()
+            if best.size > best.limit // 2:  # so many queries that k rows of each are too many
+                yield taken()
+        if best.parts:
+            yield taken()
 
     return run
 
