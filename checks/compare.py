@@ -1,4 +1,7 @@
-"""Run the queries against their SQL: python -m checks.compare [folder] [name ...]"""
+"""Run the queries against their SQL: python -m checks.compare [--shuffled] [folder] [name ...]
+
+With --shuffled no join is broadcast for its size, and AQE takes every partition for a large one.
+"""
 
 from __future__ import annotations
 
@@ -20,6 +23,16 @@ TABLES = (
 ).split()
 
 
+SHUFFLED = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
 def _value(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 9)
@@ -39,15 +52,23 @@ def difference(spark, con, sf: str, name: str) -> str:
     at = [names.index(c) for c in columns]
     want = Counter(tuple(_value(r[i]) for i in at) for r in cursor.fetchall())
     if got != want:
-        return f"DIFFERENT only here {list((got - want).items())[:2]} only SQL {list((want - got).items())[:2]} ({sum((got-want).values())} of {sum(got.values())}, {sum((want-got).values())} of {sum(want.values())})"
+        here, there = got - want, want - got
+        return (
+            f"DIFFERENT {sum(here.values())} rows only here {list(here)[:2]},"
+            f" {sum(there.values())} only in SQL {list(there)[:2]}"
+        )
     return f"equal, {sum(got.values())} rows"
 
 
 def main() -> None:
-    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(QUERIES)
+    arguments = [a for a in sys.argv[1:] if a != "--shuffled"]
+    sf = arguments[0] if arguments else "/root/testdata/sf0.01"
+    names = arguments[1:] or list(QUERIES)
     builder = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
     builder = builder.config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
+    if "--shuffled" in sys.argv:
+        for key, value in SHUFFLED.items():
+            builder = builder.config(key, value)
     spark = configure(builder.config("spark.ui.showConsoleProgress", "false")).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()

@@ -143,3 +143,11 @@ def scores(
         "deepct_weights", finite(F.col("deepct_weights"), inputs.weight_dim)
     )
     return materialise(spark, path, lambda: score_experiments(rows, experiments, existing))
+
+
+def fold_scores(
+    spark: SparkSession, inputs: KnowledgeBaseInputs, scored: DataFrame, split: str = "test"
+) -> DataFrame:
+    """The scores of one side of every fold."""
+    members = sources.read_folds(spark, inputs.folds).where(F.col("split") == split)
+    return split_folds(scored, members)

@@ -86,6 +86,9 @@ def test_scores_go_to_their_own_table(spark, files, out):
     experiments = [{"experiment": "letters@1", "load_encoder": letter_encoder}]
     first = kb.scores(spark, files, out, experiments, f"{out}/scores/1")
     assert first.count() == 8
+    tests = kb.fold_scores(spark, files, first)
+    assert {(r.fold, r.query_id) for r in tests.collect()} == {(0, "Q_a"), (1, "Q_c")}
+    assert tests.count() == 8
     more = [*experiments, {"experiment": "letters@2", "load_encoder": letter_encoder}]
     second = kb.scores(spark, files, out, more, f"{out}/scores/2", existing=first)
     assert {r.experiment for r in second.collect()} == {"letters@2"}
