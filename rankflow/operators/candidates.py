@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rankflow.functions import text, vectors
 from rankflow.operators.numbering import dense_ordinal
 from rankflow.operators.reduction import keep_keys
+from rankflow.session import land
 
 CANDIDATE_COLUMNS = (
     "query_index",
@@ -82,6 +83,7 @@ def attach_wikidata(candidates: DataFrame, title_map: DataFrame) -> DataFrame:
         F.col("title").alias("_title"), F.col("wikidata_id").alias("title_to_id_wikidata")
     )
     titled = candidates.withColumn("_title", text.entity_title(F.col("dbpedia_entity")))
+    ids = keep_keys(ids, titled, "_title")
     return (
         titled.join(ids, "_title", "left")
         .drop("_title")
@@ -102,6 +104,19 @@ def attach_vectors(candidates: DataFrame, entity_vectors: DataFrame) -> DataFram
     return candidates.join(needed_vectors(candidates, entity_vectors), "entity", "left")
 
 
+def entity_table(
+    candidates: DataFrame, title_map: DataFrame, names: DataFrame, entity_vectors: DataFrame
+) -> DataFrame:
+    """Id, index and vector of each distinct entity, so that a frequent one is looked up once."""
+    entities = land(candidates.select("dbpedia_entity").distinct())
+    titled = land(attach_wikidata(entities, title_map))
+    return attach_vectors(attach_entity_index(titled, names), entity_vectors)
+
+
+def attach_entities(candidates: DataFrame, entities: DataFrame) -> DataFrame:
+    return candidates.join(entities, "dbpedia_entity", "left")
+
+
 def fill_vectors(candidates: DataFrame, dim: int = vectors.GRAPH_DIM) -> DataFrame:
     filled = vectors.to_doubles(vectors.zero_fill(F.col("biggraph_embedding"), dim))
     return candidates.withColumn("biggraph_embedding", filled)

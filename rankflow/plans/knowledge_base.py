@@ -81,11 +81,12 @@ def vector_candidates(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str
             f"{out}/entity_vectors",
             lambda: sources.read_entity_vectors(spark, inputs.entity_vectors, inputs.vector_dim),
         )
-        titled = cand.attach_wikidata(
-            candidates(spark, inputs, out), sources.read_title_map(spark, inputs.title_map)
+        rows = candidates(spark, inputs, out)
+        title_map = sources.read_title_map(spark, inputs.title_map)
+        entities = materialise(
+            spark, f"{out}/entities", lambda: cand.entity_table(rows, title_map, names, vectors)
         )
-        titled = materialise(spark, f"{out}/titled", lambda: titled)
-        return cand.attach_vectors(cand.attach_entity_index(titled, names), vectors)
+        return cand.attach_entities(rows, entities)
 
     return materialise(spark, f"{out}/candidates_vec", build)
 

@@ -125,11 +125,14 @@ def read_entity_vectors(
 ) -> DataFrame:
     """Entity, then ``dim`` fields; the header line has another number of fields.
 
-    Gzip is one task; land the result once and read the landed table from then on.
+    One task has to read a gzip file, but lines are dealt out before they are split. Land the
+    result once and read the landed table from then on.
     """
+    lines = spark.read.text(path)
+    if path.endswith(".gz"):
+        lines = lines.repartition(spark.sparkContext.defaultParallelism, "value")
     parts = F.split("value", "\t")
-    lines = spark.read.text(path).where(F.size(parts) == dim + 1)
-    return lines.select(
+    return lines.where(F.size(parts) == dim + 1).select(
         _field(parts, 0).alias("entity"), F.slice(parts, 2, dim).alias("biggraph_embedding")
     )
 

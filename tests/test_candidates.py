@@ -115,3 +115,17 @@ def test_table_diff_drops_rows_that_repeat_in_one_table(spark):
     left = spark.createDataFrame([(1, "a"), (2, None), (2, None), (3, "c")], "i int, s string")
     right = spark.createDataFrame([(1, "a"), (4, "d")], "i int, s string")
     assert {(r.i, r.s) for r in entities.table_diff(left, right).collect()} == {(3, "c"), (4, "d")}
+
+
+def test_entity_table_equals_joins_per_candidate(spark, tables):
+    built = cand.build_candidates(*tables)
+    title_map = spark.createDataFrame([("A", "Q10"), ("A", "Q11")], "title string, wikidata_id string")
+    iri = "<http://www.wikidata.org/entity/Q10>"
+    names = spark.createDataFrame([(iri, 5), (iri, 6)], "entity string, entity_index long")
+    stored = spark.createDataFrame([(iri, ["1"])], "entity string, biggraph_embedding array<string>")
+    one = cand.attach_entity_index(cand.attach_wikidata(built, title_map), names)
+    one = cand.attach_vectors(one, stored)
+    other = cand.attach_entities(built, cand.entity_table(built, title_map, names, stored))
+    assert set(one.columns) == set(other.columns)
+    assert sorted(one.select(*other.columns).collect(), key=str) == sorted(other.collect(), key=str)
+    assert other.count() == 2 * 3 + 1
