@@ -131,8 +131,10 @@ def read_entity_vectors(
     lines = spark.read.text(path)
     if path.endswith(".gz"):
         lines = lines.repartition(spark.sparkContext.defaultParallelism, "value")
+    # Counting tabs is cheap enough for the reading task, where Catalyst moves this filter.
+    tabs = F.length("value") - F.length(F.replace("value", F.lit("\t"), F.lit("")))
     parts = F.split("value", "\t")
-    return lines.where(F.size(parts) == dim + 1).select(
+    return lines.where(tabs == dim).select(
         _field(parts, 0).alias("entity"), F.slice(parts, 2, dim).alias("biggraph_embedding")
     )
 
