@@ -3,24 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import checks
 from checks import fixtures as fx
 from rankflow.functions import text, vectors
 from rankflow.operators import candidates as cand
 from rankflow.operators import entities, folds, pooling, retrieval, scoring, triplets
 from rankflow.operators.numbering import rank_in_group
-from rankflow.session import land
+from rankflow.session import land, ship
 from rankflow.sources import parse_quads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        ship(spark, checks)
+        return fn(spark, sf)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def shown(vector: Column) -> Column:

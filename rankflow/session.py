@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
+import rankflow
+
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -23,6 +28,24 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship(spark: SparkSession, *packages: ModuleType) -> None:
+    """Send the code of this package, and of others, to the Python workers.
+
+    Needless where the package is installed on the workers or passed with ``--py-files``.
+    """
+    for package in (rankflow, *packages):
+        key = (spark.sparkContext.applicationId, package.__name__)
+        if key not in _shipped:
+            source = Path(package.__file__).parent
+            archive = f"{tempfile.mkdtemp(prefix='ship-')}/{source.name}"
+            archive = shutil.make_archive(archive, "zip", source.parent, source.name)
+            spark.sparkContext.addPyFile(archive)
+            _shipped.add(key)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
