@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankflow.llm.decontaminate import contaminated
 from rankflow.llm.jaccard_join import jaccard_classes
+from rankflow.llm.packing import cut_documents, pack
+from rankflow.llm.token_files import read_tokens, token_digests, write_tokens
+from rankflow.llm.toxicity import toxicity_scores
+from rankflow.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,3 +32,34 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate class and number of links of every document."""
     return jaccard_classes(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold part of a benchmark item, with the item."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return contaminated(docs, table(spark, sf, "benchmark").select("item_id", "text"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """A toxicity score for every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return toxicity_scores(docs, table(spark, sf, "labels").select("doc_id", "toxic"))
+
+
+@query
+def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Every token piece of every document with its place in a sequence."""
+    pieces = cut_documents(table(spark, sf, "documents").select("doc_id", "text"))
+    return pack(pieces).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+@query
+def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of all rows, read back from the ORC files they were written to."""
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf, "documents").select("doc_id", "text"), path)
+    return token_digests(read_tokens(spark, path))
