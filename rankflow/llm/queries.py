@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankflow.llm.decontaminate import contaminated
 from rankflow.llm.jaccard_join import jaccard_classes
 from rankflow.llm.packing import cut_documents, pack
+from rankflow.llm.pii import KINDS, find_pii, span_text
 from rankflow.llm.token_files import read_tokens, token_digests, write_tokens
 from rankflow.llm.toxicity import toxicity_scores
 from rankflow.session import shared_folder
@@ -63,3 +64,20 @@ def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf, "documents").select("doc_id", "text"), path)
     return token_digests(read_tokens(spark, path))
+
+
+@query
+def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    found = find_pii(table(spark, sf, "documents").select("doc_id", "text"))
+
+    def count(i: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+
+    counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
