@@ -156,7 +156,7 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def _forest(u: np.ndarray, v: np.ndarray, n: int) -> list[tuple[int, int]]:
+def spanning_forest(u: np.ndarray, v: np.ndarray, n: int) -> list[tuple[int, int]]:
     """A spanning forest of links between n rows."""
     root = np.arange(n)
 
@@ -204,7 +204,7 @@ def compare_blocks(threshold: float):
         np.add.at(counts, u, copies[v + shift])
         if not same:
             np.add.at(counts, v + shift, copies[u])
-        links = _forest(u, v + shift, len(sets))
+        links = spanning_forest(u, v + shift, len(sets))
         hit = np.flatnonzero(counts)
         return pd.DataFrame(
             {

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankflow.llm.decontaminate import contaminated
+from rankflow.llm.embedding_links import embedding_classes
+from rankflow.llm.importance import resample
 from rankflow.llm.jaccard_join import jaccard_classes
+from rankflow.llm.licenses import scan_licenses
 from rankflow.llm.packing import cut_documents, pack
 from rankflow.llm.pii import KINDS, find_pii, span_text
 from rankflow.llm.token_files import read_tokens, token_digests, write_tokens
@@ -81,3 +84,35 @@ def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
         span_text(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op4_embedding_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate links and component of every vector."""
+    return embedding_classes(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op7_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """Importance weight of every document, and whether the sample keeps it."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return resample(docs, table(spark, sf, "labels").select("doc_id", "quality"))
+
+
+@query
+def op8_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """License phrases and passages of every document."""
+    found = scan_licenses(table(spark, sf, "documents").select("doc_id", "text"))
+    base = F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))
+    more = F.transform("found", lambda t: t["template"])
+    share = F.coalesce(F.array_max(F.transform("found", lambda t: t["share"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.get("base", F.lit(0))["start"].cast("long").alias("first_word"),
+        F.get("base", F.size("base") - 1)["start"].cast("long").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
+        F.when(F.size("base") > 0, F.lit(1.0)).otherwise(share).alias("score"),
+    )
