@@ -115,7 +115,7 @@ def top_k_threshold(values: DataFrame, column: str, k: int) -> tuple[int, int]:
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, share: float = 0.5, temperature: float = 0.1,
+    docs: DataFrame, labels: DataFrame, share: float = 0.5, temperature: float = 0.02,
     buckets: int = BUCKETS, seed: int = 7,
 ) -> DataFrame:
     """(doc_id, log_ratio, gumbel_key, kept) for every row of ``docs``; ``share`` of the rows are kept.
