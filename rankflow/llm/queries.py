@@ -15,6 +15,7 @@ from rankflow.llm.jaccard_join import jaccard_classes
 from rankflow.llm.licenses import scan_licenses
 from rankflow.llm.packing import cut_documents, pack
 from rankflow.llm.pii import KINDS, find_pii, span_text
+from rankflow.llm.style_tree import extract_pages
 from rankflow.llm.token_files import read_tokens, token_digests, write_tokens
 from rankflow.llm.toxicity import toxicity_scores
 from rankflow.session import shared_folder
@@ -116,3 +117,9 @@ def op8_licenses(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
         F.when(F.size("base") > 0, F.lit(1.0)).otherwise(share).alias("score"),
     )
+
+
+@query
+def op6_style_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_pages(table(spark, sf, "pages").select("page_id", "url", "html"))
