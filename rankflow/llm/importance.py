@@ -24,7 +24,6 @@ from rankflow.llm.text_arrays import constants, mix, slices, words
 from rankflow.session import land, ship
 
 BUCKETS = 1 << 16
-_RANGES = 4096
 
 
 def ngram_buckets(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,24 +93,24 @@ def _weigh(ratios: Broadcast, buckets: int):
 def top_k_threshold(values: DataFrame, column: str, k: int) -> tuple[int, int]:
     """(cut, extra): the k largest of a column of longs are those above cut and ``extra`` of those at it.
 
-    Every round counts the rows of each of 4,096 ranges and goes on with the one that holds the k-th.
+    Twelve bits of the values are settled per round: the rows that agree so far are counted by their
+    next bits. There must be k rows at least.
     """
-    low, width, left = -(1 << 63), 1 << 64, k
-    while width > 1:
-        step = max(1, width // _RANGES)
-        high = low + width - 1
-        inside = values.where(F.col(column).between(F.lit(low), F.lit(high)))
-        # Whole numbers throughout: ranges of up to 64 bits don't fit a long, so halves are cut apart.
-        place = F.floor((F.col(column).cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(step).cast("decimal(38,0)"))
-        counts = inside.groupBy(place.cast("long").alias("range")).agg(F.count(F.lit(1)).alias("n"))
-        for r in sorted(counts.collect(), key=lambda r: -r["range"]):
+    ordered = F.col(column).bitwiseXOR(F.lit(-(1 << 63)))  # in the order of unsigned numbers
+    prefix, left, done = 0, k, 0
+    for width in (12, 12, 12, 12, 12, 4):
+        inside = values.where(F.shiftrightunsigned(ordered, 64 - done) == F.lit(prefix)) if done else values
+        done += width
+        digit = F.shiftrightunsigned(ordered, 64 - done).bitwiseAND(F.lit((1 << width) - 1))
+        counts = inside.groupBy(digit.alias("digit")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for r in sorted(counts, key=lambda r: -r["digit"]):
             if r["n"] >= left:
-                low, width = low + r["range"] * step, step
+                prefix = (prefix << width) | r["digit"]
                 break
             left -= r["n"]
         else:
-            return low - 1 if low > -(1 << 63) else low, 0
-    return low, left
+            raise ValueError("there are fewer rows than asked for")
+    return prefix - (1 << 63), left
 
 
 def resample(
@@ -154,8 +153,7 @@ def resample(
         kept = F.lit(False)
     else:
         cut, extra = top_k_threshold(keyed, "_rank", k)
-        at_cut = keyed.where(F.col("_rank") == F.lit(cut))
-        tie_cut, _ = top_k_threshold(at_cut, "_tie", extra) if extra else (1 << 63, 0)
-        last = F.lit(False) if not extra else (F.col("_rank") == F.lit(cut)) & (F.col("_tie") >= F.lit(tie_cut))
+        tie_cut, _ = top_k_threshold(keyed.where(F.col("_rank") == F.lit(cut)), "_tie", extra)
+        last = (F.col("_rank") == F.lit(cut)) & (F.col("_tie") >= F.lit(tie_cut))
         kept = (F.col("_rank") > F.lit(cut)) | last
     return keyed.select("doc_id", "log_ratio", "gumbel_key", kept.alias("kept"))

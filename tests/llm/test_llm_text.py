@@ -1,0 +1,263 @@
+"""Decontamination, toxicity, personal data, licenses, importance."""
+
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from llm_cases import PROSE, awkward_docs, plain_words, small
+from pyspark.sql import functions as F
+
+from rankflow.llm import decontaminate, importance, licenses, pii, toxicity
+from rankflow.llm.queries import QUERIES
+
+
+def test_masks_find_two_replaced_words_in_thirteen():
+    for n in range(3):
+        for gone in itertools.combinations(range(13), n):
+            assert any(
+                all(at + j not in gone for j, x in enumerate(mask) if x == "1")
+                for mask in decontaminate.MASKS
+                for at in range(13 - len(mask) + 1)
+            )
+
+
+@pytest.mark.parametrize("block_chars", [200, 8_000_000])
+def test_items_are_found_with_replaced_words(spark, block_chars):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    items = [[word() for _ in range(n)] for n in (6, 13, 20, 40, 3, 0)]
+    table = [(i, " ".join(x)) for i, x in enumerate(items)] + [(None, "a b c d e f g"), (77, None)]
+    benchmark = spark.createDataFrame(table, "item_id long, text string")
+    around = lambda: [word() for _ in range(30)]
+    changed = [w if i % 6 != 4 else word() for i, w in enumerate(items[3])]
+    docs = {
+        1: [*around(), *items[0], *around()],
+        2: [*around(), *changed, *around()],
+        3: items[2][3:18],
+        4: around(),
+        5: [*around(), *items[2][:9]],
+        6: [*items[1], *items[3]],
+    }
+    rows = [(i, " ".join(x).upper() + ".", "z") for i, x in docs.items()]
+    frame = spark.createDataFrame([*rows, (7, None, ""), (8, "", ""), (None, " ".join(items[1]), "")], "doc_id long, text string, item_id string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, benchmark, block_chars=block_chars).collect()}
+    assert found == {(1, 0), (2, 3), (3, 2), (6, 1), (6, 3), (None, 1)}
+    kept = decontaminate.remove_contaminated(frame, benchmark, block_chars=block_chars)
+    assert kept.columns == frame.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 7, 8]
+    empty = benchmark.limit(0)
+    assert decontaminate.contaminated(frame, empty).isEmpty()
+    assert decontaminate.remove_contaminated(frame, empty).count() == frame.count()
+    assert decontaminate.contaminated(frame.limit(0), benchmark).isEmpty()
+
+
+def test_whole_items_of_the_tables_are_found(spark):
+    items = {r.item_id: plain_words(r.text) for r in small(spark, "benchmark").collect()}
+    docs = {r.doc_id: f" {' '.join(plain_words(r.text))} " for r in small(spark, "documents").collect()}
+    want = {(d, i) for d, t in docs.items() for i, w in items.items() if f" {' '.join(w)} " in t}
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op9_decontaminate"](spark, "/root/testdata/sf0.001").collect()}
+    assert want and got >= want and len(got) <= len(want) + 2
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    scored = QUERIES["op5_toxicity"](spark, sf).where("held_out")
+    rows = scored.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    score, label = np.array([r.score for r in rows]), np.array([r.toxic for r in rows])
+    order = np.argsort(score)
+    rank = np.empty(len(order))
+    rank[order] = np.arange(len(order))
+    n = label.sum()
+    auc = (rank[label == 1].sum() - n * (n - 1) / 2) / (n * (len(label) - n))
+    assert auc > 0.93
+    predicted = np.array([r.predicted for r in rows])
+    assert (predicted & label).sum() > 0.85 * n
+    assert (predicted & label).sum() > 0.85 * predicted.sum()
+    assert ((score >= 0) & (score <= 1)).all() and (predicted == (score >= 0.7)).all()
+
+
+def test_toxicity_of_awkward_rows(spark):
+    docs = awkward_docs(spark)
+    labels = spark.createDataFrame([(5, 1, 0), (6, 1, 1), (6, 1, None), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = toxicity.toxicity_scores(docs, labels).collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.toxicity_scores(docs, labels.limit(0)).where("predicted = 1").isEmpty()
+    assert toxicity.toxicity_scores(docs.limit(0), labels).isEmpty()
+    kept = toxicity.remove_toxic(docs, docs, labels.limit(0))
+    assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
+def test_label_rows_that_are_held_out_change_nothing(spark):
+    docs, labels = small(spark, "documents"), small(spark, "labels")
+    held = toxicity.held_out(F.col("doc_id"))
+    flipped = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")).cast("int"))
+    a = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, labels).collect()}
+    b = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, flipped).collect()}
+    assert a == b
+
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 * (x > 9)
+    return total % 10 == 0
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(x) > 255 for x in m.group().split(".")):
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append(f"{kind}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+def test_base_spans_equal_brute_force(spark):
+    rng = random.Random(5)
+    parts = [
+        "a", "b.", "@", "_", "+", "1", "23", "4", ".", "-", " ", "(", ")", "0", "255", "256", "é", "😀", "\n", "%",
+        "4111111111111111", "+1 (555) 123-4567", "x@y.z", "10.0.0.1", "00000000001", "  ",
+    ]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(1500)]
+    texts += ["", None, "a@b.c " * 1500, "9" * 20000, "a" * 50000 + "@", "+1" + " " * 20000, "7 " * 10000]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = pii.find_pii(table)
+    got = {r[0]: r[1:] for r in found.select("doc_id", pii.span_text("base"), pii.span_text("spans")).collect()}
+    for i, text in enumerate(texts):
+        want = plain_spans(text)
+        assert got[i][0] == want
+        assert set(filter(None, want.split(","))) <= set(got[i][1].split(","))
+
+
+def test_proposals_like_valid_spans_are_added():
+    rng = np.random.default_rng(0)
+    x = np.stack([rng.integers(0, 3, 400), rng.integers(0, 5, 400)], axis=1)
+    good = (x[:, 0] == 1) & (x[:, 1] > 2)
+    from rankflow.llm.boosted import fit_trees, logits
+
+    base, trees = fit_trees(x, good * 3.0, ~good * 2.0)
+    assert ((logits(base, trees, x) > 0) == good).all()
+
+
+def test_a_card_number_with_a_wrong_digit_is_added(spark):
+    def card(i, valid):
+        number = f"4{i:014d}"
+        last = next(d for d in range(10) if luhn(f"{number}{d}") == valid)
+        return f"{number[:4]} {number[4:8]} {number[8:12]} {number[12:]}{last}"
+
+    rows = [(i, f"order {i} paid with card {card(i * 7919, i % 40 != 0)} thanks") for i in range(800)]
+    rows += [(1000 + i, f"version {i}.{i}.{i} build 20{i:03d}") for i in range(200)]
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    counts = {r.doc_id: len(r.spans) - len(r.base) for r in found.collect()}
+    assert sum(counts[i] for i in range(0, 800, 40)) >= 18  # no base span, but added
+    assert sum(counts[i] for i in range(1000, 1200)) == 0
+
+
+def test_redaction_keeps_rows_and_columns(spark):
+    docs = awkward_docs(spark).withColumn("n_chars", F.length("text"))
+    assert sorted(map(str, pii.redact_documents(docs).collect())) == sorted(map(str, docs.collect()))
+    text = "é mail a@b.co or call +1 (555) 123-4567, ip 10.0.0.1. 😀"
+    one = spark.createDataFrame([(1, text, 3), (2, None, None), (3, "none", 9)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact_documents(one).collect()}
+    redacted = "é mail [EMAIL] or call [PHONE], ip [IP]. 😀"
+    assert got[1] == (redacted, len(redacted))
+    assert got[2] == (None, None) and got[3] == ("none", 9)
+    assert pii.redact_documents(docs.limit(0)).isEmpty()
+    assert pii.find_pii(docs).count() == docs.count()
+
+
+def plain_license(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    places = sorted(
+        (i, label)
+        for label, phrase in licenses.PHRASES.items()
+        for i in range(len(words) - len(phrase) + 1)
+        if tuple(words[i : i + len(phrase)]) == phrase
+    )
+    return len(words), [tuple(p) for p in places]
+
+
+def test_license_phrases_equal_brute_force(spark):
+    rng = random.Random(2)
+    parts = ["MIT", " License", "license", ".", " ", "Apache ", "General", "Public", "É", "\n", "-", "mit license", "0", "\x7f"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(1000)]
+    texts += ["", None, " ", "...", "mit license " * 5000]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for r in licenses.scan_licenses(table).collect():
+        assert (r.n_words, [tuple(b) for b in r.base]) == plain_license(texts[r.doc_id])
+
+
+def test_license_passages_without_their_names(spark):
+    mit, _ = licenses.TEMPLATES["mit"]
+    rows = [
+        (1, PROSE + " " + mit.title() + " " + PROSE),
+        (2, mit.replace("free of charge", "").replace("without restriction", "")),
+        (3, PROSE),
+        (4, " ".join(reversed(mit.split()))),
+        (5, None),
+    ]
+    found = {r.doc_id: [t.template for t in r.found] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: ["mit"], 2: [], 3: [], 4: [], 5: []}
+    docs = awkward_docs(spark)
+    assert licenses.scan_licenses(docs).count() == docs.count()
+    assert licenses.scan_licenses(docs.limit(0)).isEmpty()
+
+
+def test_importance_keeps_the_largest_keys(spark):
+    docs, labels = small(spark, "documents"), small(spark, "labels")
+    rows = importance.resample(docs, labels, share=0.3).collect()
+    kept = sorted((r.gumbel_key for r in rows if r.kept), reverse=True)
+    assert len(kept) == round(0.3 * len(rows))
+    assert kept == sorted((r.gumbel_key for r in rows), reverse=True)[: len(kept)]
+
+
+def test_importance_ratios_equal_brute_force(spark):
+    rows = [(1, "good good text"), (2, "bad text"), (3, "good"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    buckets = 1 << 10
+    ratios = importance.ngram_ratios(docs, labels, buckets)
+    import pyarrow as pa
+
+    good, _ = importance.ngram_buckets(pa.array(["good good text"]), buckets)
+    raw, _ = importance.ngram_buckets(pa.array([t for _, t in rows], pa.string()), buckets)
+    target, everything = np.bincount(good, minlength=buckets), np.bincount(raw, minlength=buckets)
+    want = np.log((target + 1) / (target.sum() + buckets)) - np.log((everything + 1) / (everything.sum() + buckets))
+    assert np.allclose(ratios, want)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5, 1.0])
+def test_importance_of_awkward_rows(spark, share):
+    docs = awkward_docs(spark)
+    labels = spark.createDataFrame([(5, 1), (None, None)], "doc_id long, quality int")
+    rows = importance.resample(docs, labels, share=share).collect()
+    assert len(rows) == docs.count() and sum(r.kept for r in rows) == round(share * len(rows))
+    assert importance.resample(docs.limit(0), labels).isEmpty()
+    assert importance.resample(docs, labels.limit(0)).count() == docs.count()
+
+
+@pytest.mark.parametrize("k", [1, 3, 7, 500, 997, 1000])
+def test_threshold_of_the_k_largest(spark, k):
+    rng = random.Random(k)
+    values = [rng.choice([-(1 << 63), (1 << 63) - 1, 5, 5, 5, rng.randrange(-(1 << 62), 1 << 62)]) for _ in range(1000)]
+    frame = spark.createDataFrame([(v,) for v in values], "v long").repartition(4)
+    cut, extra = importance.top_k_threshold(frame, "v", k)
+    above = [v for v in values if v > cut]
+    assert len(above) + extra == k and values.count(cut) >= extra > 0
