@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.llm.text_arrays import constants, mix, slices, words
+from rankflow.operators.reduction import BROADCAST_KEYS, landed_keys
 from rankflow.session import land, ship
 
 BUCKETS = 1 << 16
@@ -56,13 +57,18 @@ def _count(buckets: int):
     return run
 
 
-def ngram_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+def ngram_ratios(
+    docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, broadcast_keys: int = BROADCAST_KEYS
+) -> np.ndarray:
     """log(target / raw) of every bucket, with one count added to each; over all documents.
 
     The target is the documents with a quality label of 1; repeated labels count as 1 if any is 1.
+    Up to ``broadcast_keys`` target ids are broadcast; beyond that the texts are shuffled once.
     """
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    marked = docs.join(good.distinct().withColumn("target", F.lit(True)), "doc_id", "left")
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
+    good, few = landed_keys(good, "doc_id", broadcast_keys)
+    good = good.withColumn("target", F.lit(True))
+    marked = docs.join(F.broadcast(good) if few else good, "doc_id", "left")
     marked = marked.select("text", F.coalesce("target", F.lit(False)).alias("target"))
     counts = marked.mapInArrow(_count(buckets), "bucket long, raw long, target long")
     counts = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
