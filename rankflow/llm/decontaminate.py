@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankflow.llm.session import ready
 from rankflow.llm.text_arrays import Words, constants, slices, words
-from rankflow.session import ship
 
 MASKS = ("11111", "111101", "101111", "1101101")
 _FILTER_BITS = 22
@@ -180,7 +180,7 @@ def contaminated(
     five words can't be found. Repeated rows of either table are reported once each. Rows with a null
     doc_id are reported under null. Other columns are ignored.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, first_word long, n_equal long, n_item_words long"
     found = None
@@ -195,7 +195,7 @@ def remove_contaminated(
     masks: tuple[str, ...] = MASKS, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """``docs``, all columns, without the rows that ``contaminated`` reports; nothing is shuffled."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
     for index in _indexes(benchmark, window, similarity, masks, block_chars):
         docs = docs.mapInArrow(_without(index), schema)

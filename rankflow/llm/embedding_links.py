@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from rankflow.llm.components import components
 from rankflow.llm.jaccard_join import spanning_forest
+from rankflow.llm.session import ready
 from rankflow.llm.text_arrays import constants, mix
-from rankflow.session import land, ship
+from rankflow.session import land
 
 THRESHOLD = 0.95
 BLOCK = 512
@@ -115,7 +116,7 @@ def embedding_classes(
     as a link. Rows with a null vec_id are not compared: component null, no links, not kept. Other
     columns are ignored.
     """
-    ship(vectors.sparkSession)
+    ready(vectors.sparkSession)
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")
     )

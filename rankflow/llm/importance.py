@@ -20,9 +20,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankflow.llm.session import ready
 from rankflow.llm.text_arrays import constants, mix, slices, words
 from rankflow.operators.reduction import BROADCAST_KEYS, landed_keys
-from rankflow.session import land, ship
+from rankflow.session import land
 
 BUCKETS = 1 << 16
 
@@ -132,7 +133,7 @@ def resample(
     Without good labels all weights are equal.
     """
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = labels.select("doc_id", "quality")
     ratios = spark.sparkContext.broadcast(ngram_ratios(docs, labels, buckets))

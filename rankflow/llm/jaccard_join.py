@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.llm.components import components
+from rankflow.llm.session import ready
 from rankflow.llm.text_arrays import constants, mix, shingles, slices, words
 from rankflow.operators.reduction import keep_keys
-from rankflow.session import land, ship
+from rankflow.session import land
 
-#: Shingles of one block, about 8 bytes each; a single longer text makes a longer block.
+#: Shingles of one block, about 8 bytes each; a single longer text makes a longer block. A block has
+#: about a 128th as many texts at most.
 BLOCK_SHINGLES = 1 << 15
 
 
@@ -219,7 +221,8 @@ def compare_blocks(threshold: float):
 
 def _block_pairs(members: DataFrame, block_shingles: int) -> tuple[DataFrame, DataFrame]:
     """Members with their block, and the pairs of blocks that hold texts with a common prefix."""
-    volume = members.groupBy("cluster").agg(F.sum("n_shingles").alias("volume"))
+    # A short text counts as a longer one, so that a block has few texts as well as few shingles.
+    volume = members.groupBy("cluster").agg(F.sum(F.greatest("n_shingles", F.lit(128))).alias("volume"))
     n_blocks = F.ceil(F.col("volume") / block_shingles)
     block = F.pmod(F.xxhash64("rep", F.lit(9)), n_blocks)
     members = land(
@@ -260,7 +263,7 @@ def jaccard_classes(
     ignored, so their names can't clash.
     """
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prefix = match_depth(trees, depth, threshold, recall)
     features = land(

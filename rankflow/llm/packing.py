@@ -28,9 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankflow.llm.session import ready
 from rankflow.llm.text_arrays import slices
 from rankflow.llm.tokens import SLICE_BYTES, default_tokenizer, encode
-from rankflow.session import land, ship
+from rankflow.session import land
 
 SEQUENCE = 2048
 GROUPS = 24
@@ -226,7 +227,7 @@ def cut_documents(
     A null or empty text is the end id alone. Repeated rows and rows with a null doc_id are packed like
     any other. Other columns are ignored. ``part`` and ``number`` tell pieces of one length apart.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long"
     schema += ", ids array<int>" * with_ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

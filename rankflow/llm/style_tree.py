@@ -30,7 +30,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.session import land, ship
+from rankflow.llm.session import ready
+from rankflow.session import land
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -360,7 +361,7 @@ def extract_pages(
     looked up for it, by a join on the node, and pages are parsed once more for that.
     """
     spark = pages.sparkSession
-    ship(spark)
+    ready(spark)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     removed = removed_nodes(node_importance(pages), relative, min_pages)
     schema = "page_id long, url string, text string, n_chars long"

@@ -138,7 +138,7 @@ def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(value), out
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``max_bytes`` of text; a longer row stands alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = np.cumsum(sizes)

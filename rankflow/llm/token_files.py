@@ -17,9 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankflow.llm.session import ready
 from rankflow.llm.text_arrays import slices
 from rankflow.llm.tokens import SLICE_BYTES, default_tokenizer, encode
-from rankflow.session import ship
 
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -64,7 +64,7 @@ def write_tokens(
     doc_id follow each other in order of their text. Other columns are ignored. Texts are shuffled
     once, by ranges of doc_id, and encoded behind that shuffle; ``part`` is the number of the range.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     coded = ordered.mapInArrow(_encode_rows(tokenizer or default_tokenizer(), end_id), SCHEMA)

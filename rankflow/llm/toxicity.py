@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankflow.llm.session import ready
 from rankflow.llm.text_arrays import Words, constants, mix, slices, words
-from rankflow.session import ship
 
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7, 8)
@@ -64,7 +64,7 @@ def _function_words() -> list[np.ndarray]:
 def word_rows(found: Words) -> np.ndarray:
     """Rows of the embedding table for every word: the word, then its prefixes (in bytes)."""
     n = len(found.hashes)
-    out = np.empty((n, 1 + len(PREFIXES)), np.int32)
+    out = np.empty((n, 1 + len(PREFIXES)), np.uint16)
     out[:, 0] = found.hashes >> np.uint64(64 - _BITS)
     size = found.ends - found.starts
     value = np.zeros(n, np.uint64)
@@ -180,6 +180,33 @@ class _Adam:
         self.value -= self.rate * m / (np.sqrt(v) + 1e-6)
 
 
+def _parts(texts: list[str], max_chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Runs of texts of about ``max_chars``, so that work arrays stay small on the driver."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= max_chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _segmented(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Table rows of all words, first words of all segments, and the text each belongs to."""
+    rows, starts, row = [np.zeros((0, 1 + len(PREFIXES)), np.uint16)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    n_words = n_texts = 0
+    for part in _parts(texts):
+        found = words(pa.array(part, pa.string()))
+        first, text = segments(found.offsets)
+        rows.append(word_rows(found))
+        starts.append(first + n_words)
+        row.append(text + n_texts)
+        n_words, n_texts = n_words + len(found.hashes), n_texts + len(part)
+    return np.concatenate(rows), np.concatenate(starts), np.concatenate(row)
+
+
 def fit_network(
     texts: list[str], labels: np.ndarray, dim: int = 8, filters: int = 8, epochs: int = 6,
     batch_segments: int = 64, seed: int = 5,
@@ -198,9 +225,7 @@ def fit_network(
         _function_words(),
     )
     model.weights[-1] = 0
-    found = words(pa.array(texts, pa.string()))
-    rows = word_rows(found)
-    starts, row = segments(found.offsets)
+    rows, starts, row = _segmented(texts)
     if not len(starts) or len(np.unique(labels)) < 2:
         model.weights[:] = 0
         return model
@@ -284,8 +309,10 @@ def fit(texts: list[str], labels: np.ndarray, folds: np.ndarray, min_rows: int =
     if not labels[held].any() or labels[held].all() or not model.weights.any():
         model.shift[:] = -odds + 1
         return model
-    found = words(pa.array([t for t, x in zip(texts, held, strict=True) if x], pa.string()))
-    logits, y, lang = text_logits(model, found), labels[held], languages(model, found)
+    unseen = [words(pa.array(p, pa.string())) for p in _parts([t for t, x in zip(texts, held, strict=True) if x])]
+    logits = np.concatenate([text_logits(model, found) for found in unseen])
+    lang = np.concatenate([languages(model, found) for found in unseen])
+    y = labels[held]
     model.shift[:] = _best_threshold(logits, y) - odds
     for i in range(len(LANGUAGES)):
         own = lang == i
@@ -299,7 +326,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 24_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, max_chars: int = 16_000_000) -> Model:
     """Fit on labelled rows that are not held out: at most ``max_rows`` of each class, whole texts.
 
     The sample is the rows with the least hash of doc_id; rows beyond ``max_chars`` in all are left
@@ -352,7 +379,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, **sample) -> DataFrame:
     doc_id are scored like any other. Other columns are ignored.
     """
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = spark.sparkContext.broadcast(train(docs, labels, **sample))
     scored = docs.mapInArrow(_score_rows(model, ["doc_id"], None), "doc_id long, score double")
@@ -370,7 +397,7 @@ def remove_toxic(docs: DataFrame, labelled: DataFrame, labels: DataFrame, **samp
     ``labelled`` holds the texts of the labels; it may be ``docs`` itself.
     """
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     model = spark.sparkContext.broadcast(train(labelled, labels, **sample))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
     return docs.mapInArrow(_score_rows(model, [], THRESHOLD), schema)
