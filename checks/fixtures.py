@@ -90,9 +90,19 @@ def index(spark, sf) -> DataFrame:
     return once(spark, sf, "index", build)
 
 
+_prepared: dict[tuple[str, str], retrieval.Index] = {}
+
+
+def search_index(spark, sf) -> retrieval.Index:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _prepared:
+        _prepared[key] = retrieval.prepare(index(spark, sf))
+    return _prepared[key]
+
+
 def run(spark, sf) -> DataFrame:
     def build():
-        hits = retrieval.bm25_search(index(spark, sf), queries(spark, sf), K)
+        hits = retrieval.bm25_search(search_index(spark, sf), queries(spark, sf), K)
         return hits.select("query_index", url(F.col("doc_id")).alias("url_dbpedia"), "hit", "score")
 
     return once(spark, sf, "run", build)
@@ -113,6 +123,12 @@ def grades(spark, sf) -> DataFrame:
     )
 
 
+def shown(vector: Column) -> Column:
+    """A vector as text, in millionths, so that its value compares exactly."""
+    micro = F.transform(vector, lambda x: F.round(x * 1_000_000).cast("long").cast("string"))
+    return F.array_join(micro, ",")
+
+
 def candidates(spark, sf) -> DataFrame:
     def build():
         built = cand.build_candidates(
@@ -145,10 +161,25 @@ def entity_vectors(spark, sf) -> DataFrame:
     )
 
 
+def entity_table(spark, sf) -> DataFrame:
+    """Id, index and vector of each distinct entity among the candidates."""
+
+    def build():
+        rows = candidates(spark, sf)
+        return cand.entity_table(rows, title_map(spark, sf), entity_names(spark, sf), entity_vectors(spark, sf))
+
+    return once(spark, sf, "entity_table", build)
+
+
 def vector_candidates(spark, sf) -> DataFrame:
+    """With graph vectors, and token weights that depend on the hit; one-letter tokens have none."""
+
     def build():
-        titled = cand.attach_wikidata(candidates(spark, sf), title_map(spark, sf))
-        return cand.fill_vectors(cand.attach_vectors(titled, entity_vectors(spark, sf)), DIM)
+        rows = cand.fill_vectors(cand.attach_entities(candidates(spark, sf), entity_table(spark, sf)), DIM)
+        weight = lambda t: F.when(F.length(t) == 1, F.lit(float("nan"))).otherwise(
+            F.length(t).cast("double") / 10 + F.col("hit") / F.lit(1000.0)
+        )
+        return rows.withColumn("deepct_weights", F.transform(text.tokens(F.col("query_text")), weight))
 
     return once(spark, sf, "vector_candidates", build)
 
@@ -199,7 +230,7 @@ def wiki_pages(spark, sf) -> DataFrame:
 def wiki_run(spark, sf) -> DataFrame:
     def build():
         html = spread(pages(spark, sf).select("page_id", "html"))
-        built = land(retrieval.doc_vectors(html, "page_id", "html"))
+        built = retrieval.prepare(land(retrieval.doc_vectors(html, "page_id", "html")))
         return retrieval.bm25_search(built, queries(spark, sf), K)
 
     hits = once(spark, sf, "wiki_run", build)
@@ -241,6 +272,17 @@ def letter_encoder():
     return encode
 
 
+WEIGHT_DIM = 100
+
+
+def wide_head() -> list[tuple[np.ndarray, np.ndarray]]:
+    """From letters, graph vector and token weights back to letters."""
+    width = len(LETTERS) + DIM + WEIGHT_DIM
+    w1 = np.array([[((i * 3 + j * 5) % 13 - 6) / 20 for j in range(width)] for i in range(4)])
+    w2 = np.array([[((i * 2 + j * 3) % 5 - 2) / 10 for j in range(4)] for i in range(len(LETTERS))])
+    return [(w1, np.array([0.2, 0.0, -0.1, 0.3])), (w2, np.array([i / 4 for i in range(len(LETTERS))]))]
+
+
 def test_head() -> list[tuple[np.ndarray, np.ndarray]]:
     """Weights from a rule, so that they can be written out in SQL."""
     w1 = np.array([[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(DIM)] for i in range(4)])

@@ -71,7 +71,7 @@ ranked as (select *, row_number() over (partition by query_id order by draw, hit
 neg as (select * from ranked where n_pos > 0 and n_pos <= n_neg and draw_rank <= n_pos),
 trip as (select p.query_id, p.query_text, p.abstract as abstract_x, n.abstract as abstract_y,
     p.dbpedia_entity as dbpedia_entity_x, n.dbpedia_entity as dbpedia_entity_y,
-    p.qrel as qrel_x, n.qrel as qrel_y, p.vec as vec_x, n.vec as vec_y, p.query_index
+    p.qrel as qrel_x, n.qrel as qrel_y, p.vec as vec_x, n.vec as vec_y, p.query_index, p.hit as hit_x, n.hit as hit_y
   from vcand p join neg n on p.query_id = n.query_id and p.query_text = n.query_text where p.qrel > 0)"""
 )
 
@@ -90,11 +90,14 @@ wcand as (select r.query_index, r.doc_id as id, r.hit::int as hit, r.score, 'Q_'
   left join labels l on l.doc_id = r.doc_id)"""
 )
 
+ZEROS = f"list_transform(range({fx.DIM}), lambda x: 0.0::double)"
+
 PAIRS = (
     SEARCH
-    + """,
-pairs as (select r.query_index, r.doc_id, a.embedding::double[] as a, b.embedding::double[] as b
-  from d_run r join embeddings a on a.vec_id = r.query_index join embeddings b on b.vec_id = r.doc_id)"""
+    + f""",
+pairs as (select r.query_index, r.doc_id, coalesce(a.embedding::double[], {ZEROS}) as a,
+    coalesce(b.embedding::double[], {ZEROS}) as b
+  from d_run r left join embeddings a on a.vec_id = r.query_index left join embeddings b on b.vec_id = r.doc_id)"""
 )
 
 
@@ -133,7 +136,43 @@ def letter_distance(a: str, b: str) -> str:
     return f"sqrt({' + '.join(squares)})"
 
 
-def head() -> str:
+def layer(weights, bias, vector: str, rectify: bool) -> str:
+    """One layer of a head, as a list."""
+    sums = [
+        f"{total(zipped(vector, f'{w.tolist()}::double[]', 'p[1] * p[2]'))} + ({b})" for w, b in zip(weights, bias)
+    ]
+    return "[" + ", ".join(f"greatest({s}, 0)" if rectify else s for s in sums) + "]"
+
+
+WIDE1, WIDE2 = fx.wide_head()
+
+
+def letter_vector(column: str) -> str:
+    counts = [f"(length({column}) - length(replace({column}, '{c}', '')))::double" for c in fx.LETTERS]
+    return "[" + ", ".join(counts) + "]"
+
+
+WEIGHTS = (
+    f"list_resize(list_transform({words('query_text')}, lambda t: case when length(t) = 1 then 0"
+    f" else length(t)::double / 10 + hit / 1000.0::double end), {fx.WEIGHT_DIM}, 0.0::double)"
+)
+
+
+def projected(ctes: str, source: str, columns: str, sides: dict[str, tuple[str, str, str]]) -> str:
+    """Letters, graph vector and weights of each side, through both layers of the wide head."""
+    joined = ", ".join(
+        f"list_concat(list_concat({letter_vector(text)}, {vec}), {weights}) as x_{n}"
+        for n, (text, vec, weights) in sides.items()
+    )
+    hidden = ", ".join(f"{layer(*WIDE1, f'x_{n}', True)} as h_{n}" for n in sides)
+    out = ", ".join(f"{layer(*WIDE2, f'h_{n}', False)} as y_{n}" for n in sides)
+    return (
+        f"{ctes}, model_in as (select {columns}, {letter_vector('query_text')} as anchor, {joined} from {source}),"
+        f" model_hidden as (select *, {hidden} from model_in), model_out as (select *, {out} from model_hidden)"
+    )
+
+
+def head(vector: str = "embedding::double[]") -> str:
     (w1, b1), (w2, b2) = fx.test_head()
     hidden = [
         f"greatest(list_sum(list_transform(list_zip(e, {w.tolist()}::double[]), lambda p: p[1] * p[2]))"
@@ -146,7 +185,7 @@ def head() -> str:
     ]
     return (
         f"with h as (select vec_id, {', '.join(hidden)} from"
-        f" (select vec_id, embedding::double[] as e from embeddings))"
+        f" (select vec_id, {vector} as e from embeddings))"
         f" select vec_id, {', '.join(out)} from h"
     )
 
@@ -158,6 +197,8 @@ QUADS = (
     " 'http://en.wikipedia.org/wiki/Doc_' || doc_id as url_wikipedia from documents"
 )
 
+FLAT = "regexp_replace(text, '[\\r\\n\\t]', ' ', 'g')"
+
 SCORED = (
     CANDIDATES
     + f""",
@@ -185,6 +226,41 @@ select t.doc_id, len(w)::int as doc_length, coalesce(terms, '') as terms from t
     "bm25_topk": f"with {SEARCH} select query_index, doc_id, hit::int as hit, score from d_run",
     "bm25_topk_stopped": f"with {search_ctes('s_', 'documents', 'doc_id', 'text', True)}"
     " select query_index, doc_id, hit::int as hit, score from s_run",
+    "bm25_repeated_ids": f"with {search_ctes('r_', 'documents', 'n_chars', 'text')}"
+    " select query_index, doc_id, hit::int as hit, score from r_run",
+    "quad_file": f"select url_dbpedia, predicate, md5(abstract) as abstract, url_wikipedia from ({QUADS})",
+    "quad_rejects": "select '<broken ' || doc_id as value from labels",
+    "run_file": f"with {SEARCH} select query_index, '{fx.RESOURCE}' || doc_id as url_dbpedia,"
+    " hit::int as hit, score from d_run",
+    "grades_file": f"with {SEARCH} select 'Q_' || query_index as query_id, '<dbpedia:Doc_' || doc_id || '>'"
+    " as dbpedia_entity, (toxic * (1 + quality))::int as qrel from d_run join labels using (doc_id)",
+    "queries_file": f"select row_number() over (order by item_id) - 1 as query_index, 'Q_' || item_id as query_id,"
+    f" {FLAT} as query_text from benchmark",
+    "topics_file": f"select item_id as query_index, {FLAT} as query_text from benchmark",
+    "article_grades_file": "select 'Q' as query_id, 'Page ' || doc_id || '+é%x' as title, quality as qrel from labels",
+    "names_file": "select 'a, \"b\\\" ' || vec_id as entity, row_number() over (order by vec_id) - 1 as entity_index"
+    " from embeddings",
+    "vectors_file": "select '<http://www.wikidata.org/entity/K' || vec_id || '>' as entity,"
+    f" {shown('embedding::double[]')} as vector from embeddings",
+    "weights_file": f"""with t as (select item_id, {words('text')} as w from benchmark)
+select row_number() over (order by item_id) - 1 as ordinal, array_to_string(w, ' ') as tokens,
+{shown('list_transform(w, lambda t: length(t)::double / 10)')} as weights from t""",
+    "folds_file": f"with {FOLDS.strip()} select fold, split, query_id from folds",
+    "entity_lists_file": "select 'Page ' || doc_id || '+x|Page ' || n_chars || '+x' as entities from documents",
+    "pages_csv": "select row_number() over (order by entity) - 1 as row, entity, md5(html) as document from"
+    " (select distinct unnest(['Page ' || doc_id || '+x', 'Page ' || n_chars || '+x']) as entity from documents)"
+    " left join pages on entity = 'Page ' || page_id || '+x'",
+    "search_docs_file": "select page_id::varchar as id, md5(html) as contents from pages",
+    "fold_tables": f"with {CANDIDATES}, {FOLDS} select query_id, dbpedia_entity, hit, qrel, fold, split"
+    " from cand join folds using (query_id)",
+    "stage_table": f"with {SEARCH} select item_id as query_index, 'Q_' || item_id as query_id, text as query_text"
+    " from benchmark where item_id in (select query_index from d_run join labels using (doc_id))",
+    "table_file": f"select url_dbpedia, predicate, md5(text) as abstract, url_wikipedia from (select *,"
+    f" '\"' || doc_text || '\"@en ' as text from (select url_dbpedia, predicate, url_wikipedia, text as doc_text"
+    f" from ({QUADS}) c join documents d on c.url_dbpedia = '{fx.RESOURCE}' || d.doc_id))",
+    "title_map_table": "select 'Doc_' || doc_id as title, 'K' || doc_id as wikidata_id from labels",
+    "wiki_pages_table": "select page_id::varchar as id, 'Page ' || page_id || '+x' as title, md5(html) as text from pages",
+    "head_table": head("list_reverse(embedding::double[])"),
     "quad_parse": f"select url_dbpedia, predicate, md5(abstract) as abstract, url_wikipedia from ({QUADS})",
     "literal_clean": "select url_dbpedia, string_split(substr(abstract, 2), '\"@en ')[1] as abstract"
     f" from ({QUADS})",
@@ -200,17 +276,24 @@ join ({QUADS}) c on c.url_dbpedia = '{fx.RESOURCE}' || r.doc_id""",
     " kid as title_to_id_wikidata, entity from vcand",
     "entity_index": f"with {CANDIDATES} select query_index, hit, entity, vec_id as entity_index from vcand",
     "vector_attach": f"with {CANDIDATES} select query_index, hit, entity, {shown('vec')} as vector from vcand",
-    "position_attach": f"""with {CANDIDATES}
-select row_number() over (order by query_index, hit, url_dbpedia) - 1 as ordinal, query_index, hit,
-array_to_string({words('query_text')}, ' ') as tokens,
-{shown(f"list_transform({words('query_text')}, lambda t: length(t)::double / 10)")} as weights from cand""",
+    "position_attach": f"""with {CANDIDATES},
+merged as (select c.*, l.doc_id is not null as known from cand c left join labels l on l.doc_id = c.doc_id),
+twice as (select * from merged union all select * from merged where known),
+numbered as (select *, row_number() over (order by query_index, hit, url_dbpedia) - 1 as ordinal from twice),
+hits as (select query_index, hit, any_value(query_text) as query_text, min(ordinal) as first_ordinal,
+  count(*) as n_rows from numbered group by query_index, hit)
+select query_index, hit, first_ordinal, n_rows, array_to_string({words('query_text')}, ' ') as tokens,
+{shown(f"list_transform({words('query_text')}, lambda t: length(t)::double / 10 + first_ordinal)")} as weights from hits""",
     "ranked_negatives": f"with {TRIPLETS} select query_id, dbpedia_entity, draw, draw_rank from ranked",
     "weights_deinterleave": f"""with t as (select doc_id, {words('text')} as w from documents)
 select doc_id, array_to_string(w, ' ') as tokens, array_to_string(list_transform(w,
 lambda t: case when length(t) = 1 then 'nan' else (length(t)::double / 10)::varchar end), ' ') as weights from t""",
-    "nan_fill": f"""with t as (select doc_id, {words('text')} as w from documents)
-select doc_id, {shown("list_transform(w, lambda t: case when length(t) = 1 then 0 else length(t)::double / 10 end)")}
-as weights from t""",
+    "nan_fill": f"""with t as (select conv_id, turn, coalesce({words('text')}, []) as w from conversations),
+m as (select max(len(w)) as width from t),
+f as (select conv_id, turn, width, list_resize(list_transform(w, lambda t: case when length(t) in (1, 4) then 0
+  when length(t) = 2 then 1e6 when length(t) = 3 then -1e6 else length(t)::double / 10 end), width, 0.0::double) as f
+  from t, m)
+select conv_id, turn, len(f)::int as n, md5({shown('f')}) as weights from f""",
     "fold_split": f"with {CANDIDATES}, {FOLDS} select fold, split, query_id, dbpedia_entity, hit, qrel"
     " from cand join folds using (query_id)",
     "fold_counts": f"with {CANDIDATES}, {FOLDS} select fold, split, count(*) as n_rows"
@@ -230,9 +313,7 @@ from n where n_pos = 0 or n_pos > n_neg""",
     f" md5(abstract_y) as neg_sentence, {shown('vec_x')} as pos_biggraph, {shown('vec_y')} as neg_biggraph"
     " from trip",
     "scoring_rows": f"""with {CANDIDATES} select query_text as query_sentence, md5(abstract) as retrieval_sentence,
-{shown('vec')} as biggraph, {shown(
-    f"list_transform({words('query_text')}, lambda t: case when length(t) = 1 then 0 else length(t)::double / 10 end)"
-)} as deepct from vcand""",
+{shown('vec')} as biggraph, {shown(WEIGHTS)} as deepct from vcand""",
     "dist_euclidean": distance(euclidean),
     "dist_manhattan": distance(manhattan),
     "dist_cosine": distance(cosine),
@@ -246,9 +327,19 @@ from trip join a on a.vec_id = trip.query_index""",
     "mean_pool": f"""with t as (select doc_id, unnest({words('text')}) as token from documents)
 select doc_id, round(avg(length(token) * 0.7310585786::double), 6) as m0,
 round(avg(length(replace(token, 'e', '')) * 0.7310585786::double), 6) as m1
-from t where length(token) > 1 group by doc_id""",
+from t group by doc_id""",
     "score_candidates": f"with {SCORED} select 'letters@1' as experiment, query_id, dbpedia_entity,"
     " passage_key, dist as score from scored",
+    "score_graph_weights_head": f"""with {projected(
+    CANDIDATES, 'vcand', 'query_id, dbpedia_entity, sha256(abstract) as passage_key',
+    {'p': ('abstract', 'vec', WEIGHTS)})}
+select 'letters@3' as experiment, query_id, dbpedia_entity, passage_key,
+round({euclidean('anchor', 'y_p')}, 6) as score from model_out""",
+    "model_triplet_loss": f"""with {projected(TRIPLETS, 'trip', 'query_id', {
+    'x': ('abstract_x', 'vec_x', WEIGHTS.replace('+ hit', '+ hit_x')),
+    'y': ('abstract_y', 'vec_y', WEIGHTS.replace('+ hit', '+ hit_y'))})}
+select round(avg(greatest({euclidean('anchor', 'y_x')} - {euclidean('anchor', 'y_y')} + 0.5, 0)), 6) as loss
+from model_out""",
     "score_skip_existing": f"with {SCORED} select 'letters@1' as experiment, query_id, dbpedia_entity,"
     " passage_key, dist as score from scored where qrel is null",
     "scored_columns": f"with {SCORED} select query_id, dbpedia_entity, hit,"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from functools import wraps
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 import checks
 from checks import fixtures as fx
+from checks.files import FILES, stored_head
+from checks.fixtures import shown
 from rankflow.functions import text, vectors
 from rankflow.operators import candidates as cand
 from rankflow.operators import entities, folds, pooling, retrieval, scoring, triplets
@@ -30,12 +33,6 @@ def query(fn):
     return run
 
 
-def shown(vector: Column) -> Column:
-    """A vector as text, in millionths, so that its value compares exactly."""
-    micro = F.transform(vector, lambda x: F.round(x * 1_000_000).cast("long").cast("string"))
-    return F.array_join(micro, ",")
-
-
 @query
 def tokenize_counts(spark, sf):
     terms = retrieval.token_counts(fx.documents(spark, sf), "doc_id", "text")
@@ -77,14 +74,21 @@ def document_frequency(spark, sf):
 
 @query
 def bm25_topk(spark, sf):
-    return retrieval.bm25_search(fx.index(spark, sf), fx.queries(spark, sf), fx.K)
+    return retrieval.bm25_search(fx.search_index(spark, sf), fx.queries(spark, sf), fx.K)
+
+
+@query
+def bm25_repeated_ids(spark, sf):
+    """Documents named by their length: those of one length are one document."""
+    docs = fx.table(spark, sf, "documents").select("n_chars", "text")
+    index = land(retrieval.doc_vectors(docs, "n_chars", "text"))
+    return retrieval.bm25_search(index, fx.queries(spark, sf), fx.K)
 
 
 @query
 def bm25_topk_stopped(spark, sf):
-    index = fx.index(spark, sf)
-    n_docs = retrieval.corpus_stats(index).select("n_docs").scalar()
-    stop = retrieval.document_frequency(index).where(F.col("df") * 4 > n_docs).select("term")
+    index = fx.search_index(spark, sf)
+    stop = index.frequencies.where(F.col("df") * 4 > index.n_docs).select("term")
     return retrieval.bm25_search(index, fx.queries(spark, sf), fx.K, stop_words=land(stop))
 
 
@@ -123,23 +127,26 @@ def run_grades(spark, sf):
     return cand.sort_candidates(built.select(*kept))
 
 
+def _with_entities(spark, sf) -> DataFrame:
+    """Each distinct entity is looked up once and then joined to all its candidates."""
+    return cand.attach_entities(fx.candidates(spark, sf), fx.entity_table(spark, sf))
+
+
 @query
 def title_lookup(spark, sf):
-    titled = cand.attach_wikidata(fx.candidates(spark, sf), fx.title_map(spark, sf))
-    return titled.select("query_index", "hit", "dbpedia_entity", "title_to_id_wikidata", "entity")
+    return _with_entities(spark, sf).select(
+        "query_index", "hit", "dbpedia_entity", "title_to_id_wikidata", "entity"
+    )
 
 
 @query
 def entity_index(spark, sf):
-    titled = cand.attach_wikidata(fx.candidates(spark, sf), fx.title_map(spark, sf))
-    named = cand.attach_entity_index(titled, fx.entity_names(spark, sf))
-    return named.select("query_index", "hit", "entity", "entity_index")
+    return _with_entities(spark, sf).select("query_index", "hit", "entity", "entity_index")
 
 
 @query
 def vector_attach(spark, sf):
-    titled = cand.attach_wikidata(fx.candidates(spark, sf), fx.title_map(spark, sf))
-    filled = cand.fill_vectors(cand.attach_vectors(titled, fx.entity_vectors(spark, sf)), fx.DIM)
+    filled = cand.fill_vectors(_with_entities(spark, sf), fx.DIM)
     return filled.select(
         "query_index", "hit", "entity", shown(F.col("biggraph_embedding")).alias("vector")
     )
@@ -147,21 +154,26 @@ def vector_attach(spark, sf):
 
 @query
 def position_attach(spark, sf):
-    """The weights of a candidate are its query's tokens, attached by row position."""
-    keys = fx.candidates(spark, sf).select("query_index", "hit", "url_dbpedia", "query_text")
-    numbered = cand.number_candidates(keys)
+    """Weights by row position, different for every row, where titles stand twice in their map."""
+    ids = fx.title_map(spark, sf)
+    twice = ids.union(ids.select("title", F.concat("wikidata_id", F.lit("b")).alias("wikidata_id")))
+    keys = fx.candidates(spark, sf).select("query_index", "hit", "url_dbpedia", "dbpedia_entity", "query_text")
+    entities_of = land(cand.attach_wikidata(keys.select("dbpedia_entity").distinct(), twice))
+    merged = cand.number_candidates(cand.attach_entities(keys, entities_of))
     tokens = text.tokens(F.col("query_text"))
-    weights = numbered.select(
+    weights = merged.select(
         "ordinal",
         tokens.alias("deepct_tokens"),
-        F.transform(tokens, lambda t: F.length(t).cast("double") / 10).alias("deepct_weights"),
+        F.transform(tokens, lambda t: F.length(t).cast("double") / 10 + F.col("ordinal")).alias("deepct_weights"),
     )
-    return cand.attach_token_weights(numbered, weights).select(
-        "ordinal",
-        "query_index",
-        "hit",
-        F.array_join("deepct_tokens", " ").alias("tokens"),
-        shown(F.col("deepct_weights")).alias("weights"),
+    rows = cand.attach_token_weights(merged, weights)
+    # Rows of one hit differ in the id alone, and which comes first is a matter of the row's hash.
+    by_hit = rows.groupBy("query_index", "hit")
+    return by_hit.agg(
+        F.min("ordinal").alias("first_ordinal"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.array_join(F.min("deepct_tokens"), " ").alias("tokens"),
+        shown(F.min("deepct_weights")).alias("weights"),
     )
 
 
@@ -186,8 +198,22 @@ def weights_deinterleave(spark, sf):
 
 @query
 def nan_fill(spark, sf):
-    weights = vectors.to_weights(vectors.odd_items(F.col("items")))
-    return fx.weight_lines(spark, sf).select("doc_id", shown(vectors.finite(weights)).alias("weights"))
+    """One weight per word of a turn, in rows of one width; short words are not finite."""
+    words = text.tokens(F.col("text"))
+    raw = F.transform(
+        words,
+        lambda t: F.when(F.length(t) == 1, "nan")
+        .when(F.length(t) == 2, "inf")
+        .when(F.length(t) == 3, "-inf")
+        .when(F.length(t) == 4, "?")
+        .otherwise((F.length(t).cast("double") / 10).cast("string")),
+    )
+    turns = fx.table(spark, sf, "conversations")
+    width = turns.agg(F.max(F.size(words))).first()[0]
+    filled = vectors.finite(vectors.to_weights(raw), width)
+    top = F.lit(sys.float_info.max)
+    marked = F.transform(filled, lambda x: F.when(x == top, 1e6).when(x == -top, -1e6).otherwise(x))
+    return turns.select("conv_id", "turn", F.size(filled).alias("n"), F.md5(shown(marked)).alias("weights"))
 
 
 @query
@@ -256,14 +282,10 @@ def training_rows(spark, sf):
 
 @query
 def scoring_rows(spark, sf):
-    """Candidates with the weights of their own text, not a number where a token has one letter."""
-    weight = lambda t: F.when(F.length(t) == 1, F.lit(float("nan"))).otherwise(
-        F.length(t).cast("double") / 10
-    )
-    rows = fx.vector_candidates(spark, sf).withColumn(
-        "deepct_weights", F.transform(text.tokens(F.col("query_text")), weight)
+    """Candidates with their weights, not a number where a token has one letter."""
+    shaped = triplets.shape_candidates(
+        fx.vector_candidates(spark, sf), graph=True, weights=True, weight_dim=fx.WEIGHT_DIM
     )
-    shaped = triplets.shape_candidates(rows, graph=True, weights=True)
     return shaped.select(
         "query_sentence",
         F.md5("retrieval_sentence").alias("retrieval_sentence"),
@@ -273,14 +295,18 @@ def scoring_rows(spark, sf):
 
 
 def _vector_pairs(spark, sf) -> DataFrame:
-    """Query and document vectors of every hit that has both."""
-    embedded = fx.table(spark, sf, "embeddings")
-    left = embedded.select(F.col("vec_id").alias("query_index"), F.col("embedding").alias("a"))
-    right = embedded.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("b"))
+    """Query and document vectors of every hit; a missing one is zero."""
+    embedded = fx.table(spark, sf, "embeddings").withColumn(
+        "v", F.col("embedding").cast("array<double>").cast("array<string>")
+    )
+    left = embedded.select(F.col("vec_id").alias("query_index"), F.col("v").alias("a"))
+    right = embedded.select(F.col("vec_id").alias("doc_id"), F.col("v").alias("b"))
     hits = fx.run(spark, sf).select(
         "query_index", fx.doc_id_of(F.col("url_dbpedia")).alias("doc_id")
     )
-    return hits.join(left, "query_index").join(right, "doc_id")
+    joined = hits.join(left, "query_index", "left").join(right, "doc_id", "left")
+    filled = {c: vectors.to_doubles(vectors.zero_fill(F.col(c), fx.DIM)) for c in "ab"}
+    return joined.withColumns(filled)
 
 
 def _distance(name: str):
@@ -335,7 +361,6 @@ def mean_pool(spark, sf):
     table = land(
         retrieval.document_frequency(fx.index(spark, sf))
         .select(F.col("term").alias("token"))
-        .where(F.length("token") > 1)
         .select("token", F.array(length, bare).alias("vector"))
     )
     pooled = pooling.mean_pool(fx.index(spark, sf), table)
@@ -355,6 +380,29 @@ def score_candidates(spark, sf):
     return _scores(spark, sf).withColumn("score", F.round("score", 6))
 
 
+def _vector_model(spark) -> dict:
+    """Letters, graph and weight vectors, and a head that comes from a table."""
+    head = stored_head(spark, fx.wide_head())
+    return {"head": head, "graph": True, "weights": True, "weight_dim": fx.WEIGHT_DIM}
+
+
+@query
+def score_graph_weights_head(spark, sf):
+    rows = scoring.score_candidates(
+        fx.vector_candidates(spark, sf), "letters@3", fx.letter_encoder, **_vector_model(spark)
+    )
+    return rows.withColumn("score", F.round("score", 6))
+
+
+@query
+def model_triplet_loss(spark, sf):
+    """Loss of the whole model, from texts and vectors to one number."""
+    loss = scoring.model_triplet_loss(
+        fx.built_triplets(spark, sf), fx.letter_encoder, margin=0.5, **_vector_model(spark)
+    )
+    return loss.select(F.round("loss", 6).alias("loss"))
+
+
 @query
 def score_skip_existing(spark, sf):
     """Judged candidates are scored already, so only the unjudged are scored now."""
@@ -422,3 +470,7 @@ def experiment_grid(spark, sf):
     grid = folds.experiment_grid(checkpoints, range(fx.FOLDS))
     rows = folds.split_folds(fx.candidates(spark, sf), fx.folds(spark, sf))
     return folds.grid_work(grid, rows)
+
+
+for _file in FILES:
+    query(_file)

@@ -16,15 +16,24 @@ LITERAL_END = '"@en '
 ARTICLE_MARK = "enwiki:"
 
 _TO_END = 2147483647
+_ESCAPES = (("\x00", "\x00\x01"), ("\ufffd", "\x00\x02"))
 
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 
 
 def valid_utf8(value: Column) -> Column:
-    """Drop the bytes that are not UTF-8; a valid line stays as it is."""
-    return F.when(F.is_valid_utf8(value), value).otherwise(
-        F.replace(F.make_valid_utf8(value), F.lit("�"), F.lit(""))
-    )
+    """Drop the bytes that are not UTF-8; a replacement character that stands in the line stays.
+
+    The repair marks bad bytes with the same character, so genuine ones are set aside meanwhile as
+    two control characters, and the first of these as two others.
+    """
+    escaped = value
+    for character, pair in _ESCAPES:
+        escaped = F.replace(escaped, F.lit(character), F.lit(pair))
+    repaired = F.replace(F.make_valid_utf8(escaped), F.lit("�"), F.lit(""))
+    for character, pair in reversed(_ESCAPES):
+        repaired = F.replace(repaired, F.lit(pair), F.lit(character))
+    return F.when(F.is_valid_utf8(value), value).otherwise(repaired)
 
 
 def is_quad(line: Column) -> Column:

@@ -38,7 +38,10 @@ def to_weights(items: Column) -> Column:
 
 
 def finite(vector: Column, dim: int = WEIGHT_DIM) -> Column:
-    """NaN and null items become 0, infinities the largest doubles, a null array ``dim`` zeros."""
+    """``dim`` finite numbers: NaN, null and missing items are 0, infinities the largest doubles.
+
+    A longer array is an error, because cutting it would lose numbers.
+    """
     top = F.lit(sys.float_info.max)
     filled = F.transform(
         vector,
@@ -47,7 +50,10 @@ def finite(vector: Column, dim: int = WEIGHT_DIM) -> Column:
         .when(x == F.lit(float("-inf")), -top)
         .otherwise(x),
     )
-    return F.coalesce(filled, F.array_repeat(F.lit(0.0), dim))
+    filled = F.coalesce(filled, F.array().cast("array<double>"))
+    padded = F.concat(filled, F.array_repeat(F.lit(0.0), F.greatest(F.lit(dim) - F.size(filled), F.lit(0))))
+    problem = F.concat(F.size(filled).cast("string"), F.lit(f" items where {dim} are expected"))
+    return F.when(F.size(filled) > dim, F.raise_error(problem).cast("array<double>")).otherwise(padded)
 
 
 def features(text: Column, graph: Column | None = None, weights: Column | None = None) -> Column:
@@ -60,16 +66,24 @@ def _sum(items: Column, term=lambda x: x) -> Column:
     return F.aggregate(items, F.lit(0.0), lambda s, x: s + term(x))
 
 
+def _same_length(a: Column, b: Column, distance: Column) -> Column:
+    """A distance of vectors of unequal length is an error; one of a missing vector is null."""
+    problem = F.concat(
+        F.lit("vectors of "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"), F.lit(" numbers")
+    )
+    return F.when(F.size(a) != F.size(b), F.raise_error(problem).cast("double")).otherwise(distance)
+
+
 def _gap(a: Column, b: Column, eps: float) -> Column:
     return F.zip_with(to_doubles(a), to_doubles(b), lambda x, y: x - y + eps)
 
 
 def euclidean(a: Column, b: Column, eps: float = PAIRWISE_EPS) -> Column:
-    return F.sqrt(_sum(_gap(a, b, eps), lambda d: d * d))
+    return _same_length(a, b, F.sqrt(_sum(_gap(a, b, eps), lambda d: d * d)))
 
 
 def manhattan(a: Column, b: Column, eps: float = PAIRWISE_EPS) -> Column:
-    return _sum(_gap(a, b, eps), F.abs)
+    return _same_length(a, b, _sum(_gap(a, b, eps), F.abs))
 
 
 def cosine(a: Column, b: Column, eps: float = COSINE_EPS) -> Column:
@@ -79,7 +93,8 @@ def cosine(a: Column, b: Column, eps: float = COSINE_EPS) -> Column:
     def norm(v: Column) -> Column:
         return F.greatest(F.sqrt(_sum(v, lambda x: x * x)), F.lit(eps))
 
-    return 1 - _sum(F.zip_with(a, b, lambda x, y: x * y)) / (norm(a) * norm(b))
+    product = _sum(F.zip_with(a, b, lambda x, y: x * y))
+    return _same_length(a, b, 1 - product / (norm(a) * norm(b)))
 
 
 DISTANCES = {"euclidean": euclidean, "manhattan": manhattan, "cosine": cosine}

@@ -73,8 +73,15 @@ def sort_candidates(candidates: DataFrame) -> DataFrame:
 
 
 def number_candidates(candidates: DataFrame) -> DataFrame:
-    """``ordinal`` 0..n-1 in the order (query_index, hit)."""
-    return dense_ordinal(candidates, ["query_index", "hit", "url_dbpedia"])
+    """``ordinal`` 0..n-1 in the order (query_index, hit, url), then by the whole row.
+
+    Only these keys are sorted; the number is joined back to the landed rows.
+    """
+    rows = land(candidates.withColumn("_row", F.monotonically_increasing_id()))
+    tie = F.xxhash64(*candidates.columns).alias("_tie")
+    keys = rows.select("query_index", "hit", "url_dbpedia", tie, "_row")
+    numbered = dense_ordinal(keys, ["query_index", "hit", "url_dbpedia", "_tie", "_row"])
+    return rows.join(numbered.select("_row", "ordinal"), "_row").drop("_row")
 
 
 def attach_wikidata(candidates: DataFrame, title_map: DataFrame) -> DataFrame:
@@ -125,14 +132,29 @@ def fill_vectors(candidates: DataFrame, dim: int = vectors.GRAPH_DIM) -> DataFra
 def attach_token_weights(
     candidates: DataFrame, weights: DataFrame, check: bool = True
 ) -> DataFrame:
-    """Join on the explicit ordinal; unequal lengths mean that the two do not belong together."""
+    """Join on the explicit ordinal, which must run from 0 without gaps or repeats on both sides.
+
+    Number the candidates after all joins that can repeat a row: weights belong to the merged rows.
+    """
     if check:
-        n_candidates, n_weights = candidates.count(), weights.count()
+        n_candidates, n_weights = dense_size(candidates, "candidates"), dense_size(weights, "weight lines")
         if n_candidates != n_weights:
             raise ValueError(f"{n_candidates} candidates but {n_weights} weight lines")
     return candidates.join(weights, "ordinal", "left")
 
 
+def dense_size(rows: DataFrame, what: str) -> int:
+    """The number of rows, if their ordinals are 0..n-1."""
+    seen = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("least"), F.max("ordinal").alias("most"),
+        F.countDistinct("ordinal").alias("different"),
+    ).first()
+    n = seen["n"]
+    if n and (seen["least"], seen["most"], seen["different"]) != (0, n - 1, n):
+        raise ValueError(f"the ordinals of {n} {what} are not 0 to {n - 1}")
+    return n
+
+
 def clean_abstracts(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("abstract", text.clean_literal(F.col("abstract")))
 

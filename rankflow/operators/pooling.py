@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.operators.batches import known_postings, whole_documents
+from rankflow.operators.retrieval import unique_documents
 from rankflow.session import land
 
 # Numbers in a token-vector table that goes to every task: 160 MB.
@@ -40,19 +41,39 @@ def _pool_documents(shared: Broadcast):
     return run
 
 
+def _one_vector_per_token(token_vectors: DataFrame) -> DataFrame:
+    vector = F.col("vector").cast("array<double>")
+    known = token_vectors.select("token", vector.alias("vector")).where(
+        F.col("token").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())
+    )
+    counts = land(known.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token"))
+    if counts.isEmpty():
+        return known
+    several = known.join(counts, "token", "left_semi").groupBy("token")
+    mean = several.agg(vector_to_array(Summarizer.mean(array_to_vector("vector"))).alias("vector"))
+    return known.join(counts, "token", "left_anti").unionByName(mean)
+
+
 def mean_pool(
     index: DataFrame, token_vectors: DataFrame, broadcast_values: int = BROADCAST_VALUES
 ) -> DataFrame:
     """``doc_id, mean_vector`` for every document with a known token; others do not count.
 
-    ``index`` is that of ``retrieval.doc_vectors``; ``token_vectors`` has ``token, vector``, one
-    row per token. A vocabulary below the bound goes to every task, which pools whole documents
-    without a shuffle. Beyond it, tokens and vectors are joined on the token, where AQE splits a
-    frequent token, and the sums are combined per document.
+    ``index`` is that of ``retrieval.doc_vectors``; ``token_vectors`` has ``token, vector``. A token
+    whose vector is null or holds a null is unknown; a token with several vectors has their mean;
+    vectors of unequal length are an error. Rows of the index with the same id are one document.
+
+    A vocabulary below the bound goes to every task, which pools whole documents without a shuffle.
+    Beyond it, tokens and vectors are joined on the token, where AQE splits a frequent token, and
+    the sums are combined per document. Both ways give the same rows.
     """
-    table = land(token_vectors.select("token", F.col("vector").cast("array<double>")))
-    size = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
-    documents = index.select("doc_id", "terms")
+    table = land(_one_vector_per_token(token_vectors))
+    size = table.agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim"), F.min(F.size("vector")).alias("least")
+    ).first()
+    if size["dim"] != size["least"]:
+        raise ValueError(f"token vectors of {size['least']} to {size['dim']} numbers")
+    documents = unique_documents(index).select("doc_id", "terms")
     if 0 < size["n"] * (size["dim"] or 0) <= broadcast_values:
         rows = table.toArrow().combine_chunks()
         values = pc.list_flatten(rows["vector"].combine_chunks()).to_numpy(zero_copy_only=False)

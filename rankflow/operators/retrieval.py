@@ -2,13 +2,15 @@
 
 The index is one row per document: ``doc_id, doc_length, terms array<struct<term, tf>>``. A
 document is one row of the corpus, so its terms are counted inside the row and building the index
-needs no shuffle. Document ids must be unique.
+needs no shuffle. Rows with the same id are one document to a search.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,16 +29,13 @@ K1 = 0.9
 B = 0.4
 SCORE_DIGITS = 6
 
-# Above this k Spark no longer cuts a window to k rows per partition before the shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-_GROUP_LIMIT = 1000
-# Query terms that are broadcast: about 100 bytes each in memory.
-_BROADCAST_ROWS = 1_000_000
+# Query weights that go to every task at once; each takes its term and about so many bytes more.
+_BLOCK_BYTES = 64 << 20
+_WEIGHT_BYTES = 40
 # Rows of the in-task top-k buffer, and term scores that are summed at a time.
 _BUFFER_ROWS = 2_000_000
 _CHUNK_ROWS = 2_000_000
-# Scoring tasks per core, and rows of one query that one task ranks.
-_TASKS_PER_CORE = 4
+# Rows of one query that one task ranks.
 _ROWS_PER_GROUP = 10_000_000
 
 
@@ -132,32 +131,62 @@ def query_terms(queries: DataFrame, stop_words: DataFrame | None = None) -> Data
     return terms.groupBy("query_index", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def query_weights(
-    index: DataFrame, terms: DataFrame, k1: float = K1, b: float = B
-) -> DataFrame:
+def unique_documents(index: DataFrame) -> DataFrame:
+    """The index with one row per id: rows that share an id are one document, null ids are left out.
+
+    Only ids are shuffled to find such rows, and only the rows found are merged. A merged document
+    has at most one entry per term of the vocabulary.
+    """
+    index = index.where(F.col("doc_id").isNotNull()).select("doc_id", "doc_length", "terms")
+    repeated = index.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    repeated = land(repeated.select("doc_id"))
+    if repeated.isEmpty():
+        return index
+    rows = index.join(repeated, "doc_id", "left_semi")
+    lengths = rows.groupBy("doc_id").agg(F.sum("doc_length").cast("int").alias("doc_length"))
+    terms = rows.select("doc_id", F.explode("terms").alias("t"))
+    terms = terms.groupBy("doc_id", F.col("t.term").alias("term"))
+    terms = terms.agg(F.sum("t.tf").cast("int").alias("tf")).groupBy("doc_id")
+    terms = terms.agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms"))
+    none = F.array().cast(index.schema["terms"].dataType)
+    merged = lengths.join(terms, "doc_id", "left").withColumn("terms", F.coalesce("terms", none))
+    return index.join(repeated, "doc_id", "left_anti").unionByName(merged.select(*index.columns))
+
+
+@dataclass(frozen=True)
+class Index:
+    """What a search reads: documents with unique ids, document frequencies, and two numbers."""
+
+    documents: DataFrame
+    frequencies: DataFrame
+    n_docs: int
+    avg_length: float
+
+
+def prepare(index: DataFrame) -> Index:
+    """Count terms and lengths once, for any number of searches."""
+    documents = unique_documents(index)
+    return with_counts(documents, land(document_frequency(documents)))
+
+
+def with_counts(documents: DataFrame, frequencies: DataFrame) -> Index:
+    stats = corpus_stats(documents).first()
+    return Index(documents, frequencies, stats["n_docs"], stats["avg_length"] or 1.0)
+
+
+def query_weights(index: Index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """``query_index, term, weight`` and the two numbers of the length norm, all a score needs."""
-    df = document_frequency(index, terms)
-    stats = corpus_stats(index)
-    n_docs = stats.select("n_docs").scalar()
-    avg_length = stats.select("avg_length").scalar()
+    n_docs = F.lit(index.n_docs)
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return terms.join(df, "term").select(
+    return terms.join(index.frequencies, "term").select(
         "query_index",
         "term",
         (F.col("qtf") * idf).alias("weight"),
         F.lit(k1 * (1 - b)).alias("norm_base"),
-        (F.lit(k1 * b) / avg_length).alias("norm_per_term"),
+        F.lit(k1 * b / index.avg_length).alias("norm_per_term"),
     )
 
 
-def _term_scores(index: DataFrame, weights: DataFrame) -> DataFrame:
-    hits = index.select("doc_id", "doc_length", F.explode("terms").alias("t"))
-    hits = hits.select("doc_id", "doc_length", F.col("t.term").alias("term"), F.col("t.tf"))
-    norm = F.col("norm_base") + F.col("norm_per_term") * F.col("doc_length")
-    part = F.col("weight") * F.col("tf") / (F.col("tf") + norm)
-    return hits.join(weights, "term").select("query_index", "doc_id", part.alias("score"))
-
-
 def _sum_by_pair(pair: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sum the scores of equal pairs; by counting where pairs are dense, by sorting elsewhere."""
     low = pair.min()
@@ -275,11 +304,12 @@ def top_k(
 ) -> DataFrame:
     """The k best rows per group, ranked from 1 in ``hit``; ties go to the smaller id.
 
-    Up to 1000, Spark itself cuts every partition to k rows per group before the shuffle. Above
-    that, or with ``salts``, a first window over salted groups does so.
+    Up to a limit on k, Spark itself cuts every partition to k rows per group before the shuffle.
+    Above that, or with ``salts``, a first window over salted groups does so.
     """
-    if k > _GROUP_LIMIT:
-        salts = max(salts, scores.sparkSession.sparkContext.defaultParallelism)
+    spark = scores.sparkSession
+    if k > int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        salts = max(salts, spark.sparkContext.defaultParallelism)
     order = [F.desc("score"), F.asc(ident)]
     if salts > 1:
         salted = scores.withColumn("_salt", F.pmod(F.xxhash64(ident), F.lit(salts)))
@@ -291,44 +321,40 @@ def top_k(
     return scores.withColumn("hit", hit).where(F.col("hit") <= k)
 
 
-def _few_tasks(index: DataFrame) -> tuple[DataFrame, int]:
-    """The index in no more tasks than keep the cluster busy, since each passes on k rows a query."""
-    tasks = _TASKS_PER_CORE * index.sparkSession.sparkContext.defaultParallelism
-    splits = index.rdd.getNumPartitions()
-    return (index.coalesce(tasks), tasks) if splits > tasks else (index, splits)
-
-
 def bm25_search(
-    index: DataFrame,
+    index: Index | DataFrame,
     queries: DataFrame,
     k: int = 1000,
     stop_words: DataFrame | None = None,
     k1: float = K1,
     b: float = B,
-    broadcast_rows: int = _BROADCAST_ROWS,
+    block_bytes: int = _BLOCK_BYTES,
 ) -> DataFrame:
     """The run table ``query_index, doc_id, hit, score`` with the k best documents per query.
 
-    The query weights are landed and counted. Up to ``broadcast_rows`` they go to every task: a
-    document is one row of the index, so a task scores whole documents and passes on k rows per
-    query, and what is shuffled does not grow with the number of (query, document) matches. Beyond
-    that bound, postings and weights meet in a shuffle join on the term, which AQE splits on a hot term.
+    ``index`` is a prepared index or a table of ``doc_vectors``; rows with the same id are one
+    document. The query weights are landed and cut into blocks of about ``block_bytes``, each query in
+    one block. A block goes to every task: a document is one row of the index, so a task scores whole
+    documents and passes on k rows per query, and what is shuffled does not grow with the number
+    of (query, document) matches. The index is scanned once per block.
     """
+    if isinstance(index, DataFrame):
+        index = prepare(index)
+    spark = index.documents.sparkSession
     weights = land(query_weights(index, query_terms(queries, stop_words), k1, b))
-    doc_id = index.schema["doc_id"].dataType.simpleString()
+    size = weights.agg(F.sum(F.octet_length("term") + _WEIGHT_BYTES)).first()[0] or 0
+    n_blocks = math.ceil(size / block_bytes)
+    doc_id = index.documents.schema["doc_id"].dataType.simpleString()
     run = f"query_index long, doc_id {doc_id}, score double"
-    few = weights.limit(broadcast_rows + 1).toPandas()
-    salts = 1
-    if few.empty:
-        scores = index.sparkSession.createDataFrame([], run)
-    elif len(few) <= broadcast_rows:
-        shared = index.sparkSession.sparkContext.broadcast(_packed(few))
-        task = _score_documents(shared, k, SCORE_DIGITS)
-        documents = index.select("doc_id", "doc_length", "terms").where("doc_length > 0")
-        documents, tasks = _few_tasks(documents)
-        scores = documents.mapInArrow(task, run)
-        salts = math.ceil(tasks * k / _ROWS_PER_GROUP)
-    else:
-        scores = _term_scores(index, weights).groupBy("query_index", "doc_id")
-        scores = scores.agg(F.round(F.sum("score"), SCORE_DIGITS).alias("score"))
+    documents = index.documents.where("doc_length > 0")
+    parts = []
+    for block in range(n_blocks):
+        mine = weights.where(F.pmod(F.xxhash64("query_index"), F.lit(n_blocks)) == block).toPandas()
+        if len(mine):
+            shared = spark.sparkContext.broadcast(_packed(mine))
+            parts.append(documents.mapInArrow(_score_documents(shared, k, SCORE_DIGITS), run))
+    scores = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], run)
+    # A query has at most k rows of each task, and no more rows than there are documents.
+    salts = math.ceil(index.n_docs / _ROWS_PER_GROUP)
+    salts = min(max(salts, 1), int(spark.conf.get("spark.sql.shuffle.partitions")))
     return top_k(scores, k, salts=salts).select("query_index", "doc_id", "hit", "score")

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankflow.functions.text import score_name
-from rankflow.functions.vectors import DISTANCES, features, finite
+from rankflow.functions.vectors import DISTANCES, TRIPLET_MARGIN, features, finite
+from rankflow.operators.reduction import keep_keys
+from rankflow.operators.triplets import triplet_loss
 from rankflow.session import land
 
 # Rows per call of the encoder.
@@ -35,13 +37,18 @@ def embed_texts(
     """``text_key, embedding`` for every distinct text of ``column``.
 
     ``load_encoder`` runs once per Python worker and returns a function from an array of texts to
-    a matrix of vectors.
+    a matrix of vectors. Keys are made distinct first, so that a text that stands on many rows is
+    fetched from one of them and not moved with all. ``texts`` is read twice and should be a table.
     """
     encode = predict_batch_udf(
         load_encoder, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size
     )
-    distinct = texts.select(F.col(column).alias("_text")).where("_text is not null").distinct()
-    return distinct.select(text_key("_text").alias("text_key"), encode("_text").alias("embedding"))
+    keyed = texts.select(
+        text_key(column).alias("text_key"), F.col(column).alias("_text"), F.xxhash64(*texts.columns).alias("_id")
+    ).where("_text is not null")
+    first = keyed.groupBy("text_key").agg(F.min("_id").alias("_id"))
+    distinct = keep_keys(keyed, first, "_id").dropDuplicates(["text_key"])
+    return distinct.select("text_key", encode("_text").alias("embedding"))
 
 
 def attach_embedding(rows: DataFrame, embedded: DataFrame, key: str, name: str) -> DataFrame:
@@ -103,11 +110,14 @@ def score_candidates(
 ) -> DataFrame:
     """``experiment`` and score per candidate, lower is better.
 
+    Graph or weight vectors need a head that projects them back to the width of the encoder.
+
     Each distinct query and passage is encoded once. The vectors, the costly part, are landed: they
     are not computed again when an executor is lost, and their true size decides how they are
     joined. The result is written to a new place or appended to a score table; the candidate table
     stays as it is.
     """
+    _check_head(head, graph, weights)
     if existing is not None:
         candidates = unscored(candidates, existing, experiment)
     wanted = [*SCORE_KEYS, "query_text", "abstract"]
@@ -119,18 +129,68 @@ def score_candidates(
     rows = rows.withColumn("_query_key", text_key("query_text")).drop("query_text", "abstract")
     rows = attach_embedding(rows, queries, "_query_key", "_query")
     rows = attach_embedding(rows, passages, "passage_key", "_passage")
-    entity_side = features(
-        F.col("_passage"),
-        F.col("biggraph_embedding") if graph else None,
-        finite(F.col("deepct_weights"), weight_dim) if weights else None,
-    )
-    rows = rows.withColumn("_passage", entity_side)
-    if head is not None:
-        rows = head_projection(rows, "_passage", "_passage", head)
+    rows = _entity_side(rows, "_passage", "biggraph_embedding", "deepct_weights", head, graph, weights, weight_dim)
     score = DISTANCES[metric](F.col("_query"), F.col("_passage"))
     return rows.select(F.lit(experiment).alias("experiment"), *SCORE_KEYS, score.alias("score"))
 
 
+def _check_head(head, graph: bool, weights: bool) -> None:
+    if head is None:
+        if graph or weights:
+            raise ValueError("graph and weight vectors need a projection head")
+        return
+    (w1, b1), (w2, b2) = head
+    if w2.shape[1] != w1.shape[0] or b1.shape != (w1.shape[0],) or b2.shape != (w2.shape[0],):
+        raise ValueError("the layers of the head don't fit each other")
+    if (graph or weights) and w2.shape[0] >= w1.shape[1]:
+        raise ValueError("the head is not wide enough for graph or weight vectors")
+
+
+def _entity_side(rows, passage, graph_column, weight_column, head, graph, weights, weight_dim) -> DataFrame:
+    """``passage`` with its graph and weight vectors, projected back by the head."""
+    joined = features(
+        F.col(passage),
+        F.col(graph_column) if graph else None,
+        finite(F.col(weight_column), weight_dim) if weights else None,
+    )
+    rows = rows.withColumn(passage, joined)
+    return rows if head is None else head_projection(rows, passage, passage, head)
+
+
+def model_triplet_loss(
+    triplets: DataFrame,
+    load_encoder: Callable[[], Encoder],
+    head: list[tuple[np.ndarray, np.ndarray]] | None = None,
+    graph: bool = False,
+    weights: bool = False,
+    weight_dim: int = 100,
+    metric: str = "euclidean",
+    margin: float = TRIPLET_MARGIN,
+    batch_size: int = BATCH_SIZE,
+) -> DataFrame:
+    """The mean loss of a model on a triplet table: encode, add vectors, project, compare.
+
+    Each distinct query and passage is encoded once, whichever side of how many triplets it is on.
+    """
+    _check_head(head, graph, weights)
+    queries = land(embed_texts(triplets.select("query_text"), "query_text", load_encoder, batch_size))
+    sides = [triplets.select(F.col(f"abstract_{s}").alias("abstract")).distinct() for s in "xy"]
+    passages = land(embed_texts(land(sides[0].union(sides[1])), "abstract", load_encoder, batch_size))
+    extra = ["biggraph_embedding"] * graph + ["deepct_weights"] * weights
+    rows = triplets.select(
+        text_key("query_text").alias("_query"),
+        *[text_key(f"abstract_{s}").alias(f"_key_{s}") for s in "xy"],
+        *[f"{c}_{s}" for c in extra for s in "xy"],
+    )
+    rows = attach_embedding(rows, queries, "_query", "_anchor")
+    for s in "xy":
+        rows = attach_embedding(rows, passages, f"_key_{s}", f"_side_{s}")
+        rows = _entity_side(
+            rows, f"_side_{s}", f"biggraph_embedding_{s}", f"deepct_weights_{s}", head, graph, weights, weight_dim
+        )
+    return triplet_loss(rows, "_anchor", "_side_x", "_side_y", metric, margin)
+
+
 def attach_scores(
     candidates: DataFrame, scores: DataFrame, experiment: str, name: str
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankflow.functions.vectors import DISTANCES, TRIPLET_MARGIN, finite
+from rankflow.functions.vectors import DISTANCES, TRIPLET_MARGIN, WEIGHT_DIM, finite
 from rankflow.session import land
 
 KEYS = ("query_id", "query_text")
@@ -70,11 +70,29 @@ def negative_sample(
 ) -> DataFrame:
     """As many judged negatives per query as it has positives, without replacement.
 
-    The sample is the first ``n_pos`` negatives in draw order. A query with more than
-    ``rows_per_task`` negatives is cut into ranges of the draw key; the ranges are counted first,
-    so that only those with sampled rows are read on and each is sorted by its own task.
+    The sample is the first ``n_pos`` negatives in draw order; rows that tie are told apart by
+    ``tie``, then by a hash of the whole row, so the sample does not depend on the partitions. A
+    query with more than ``rows_per_task`` negatives is cut into ranges of the draw key; the ranges
+    are counted first, so that only those with sampled rows are read on and each is sorted by its
+    own task. Only keys are sorted and shuffled; the rows sampled are fetched by row number then.
     """
     counts = land(judged_counts(candidates)) if counts is None else counts
+    rows = numbered_rows(candidates)
+    keys = list(dict.fromkeys(("_row", "query_id", "qrel", *identity, *tie)))
+    narrow = rows.select(*keys, F.xxhash64(*candidates.columns).alias("_hash"))
+    drawn = _draw(narrow, seed, identity, (*tie, "_hash", "_row"), counts, rows_per_task)
+    picked = land(drawn.select("_row", "n_pos"))
+    return rows.join(picked, "_row").drop("_row")
+
+
+def numbered_rows(candidates: DataFrame) -> DataFrame:
+    """Candidates with a row number in ``_row``: their ordinal, or one that is landed with them."""
+    if "ordinal" in candidates.columns:
+        return candidates.withColumn("_row", F.col("ordinal"))
+    return land(candidates.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _draw(candidates, seed, identity, tie, counts, rows_per_task) -> DataFrame:
     sampled = sampled_queries(counts).withColumn("_parts", F.ceil(F.col("n_neg") / rows_per_task))
     prefix = F.conv(F.substring("_draw", 1, 8), 16, 10).cast("double")
     drawn = (
@@ -152,7 +170,7 @@ def triplet_loss(
 
 
 def shape_triplets(
-    triplets: DataFrame, graph: bool = False, weights: bool = False
+    triplets: DataFrame, graph: bool = False, weights: bool = False, weight_dim: int = WEIGHT_DIM
 ) -> DataFrame:
     """The columns a training step reads."""
     return _shape(
@@ -162,11 +180,12 @@ def shape_triplets(
         {"pos_deepct": "deepct_weights_x", "neg_deepct": "deepct_weights_y"},
         graph,
         weights,
+        weight_dim,
     )
 
 
 def shape_candidates(
-    candidates: DataFrame, graph: bool = False, weights: bool = False
+    candidates: DataFrame, graph: bool = False, weights: bool = False, weight_dim: int = WEIGHT_DIM
 ) -> DataFrame:
     """The columns a scoring step reads."""
     return _shape(
@@ -176,13 +195,14 @@ def shape_candidates(
         {"deepct": "deepct_weights"},
         graph,
         weights,
+        weight_dim,
     )
 
 
-def _shape(rows, sentences, graph_columns, weight_columns, graph, weights) -> DataFrame:
+def _shape(rows, sentences, graph_columns, weight_columns, graph, weights, weight_dim) -> DataFrame:
     columns = [F.col(c).alias(n) for n, c in sentences.items()]
     if graph:
         columns += [F.col(c).alias(n) for n, c in graph_columns.items()]
     if weights:
-        columns += [finite(F.col(c)).alias(n) for n, c in weight_columns.items()]
+        columns += [finite(F.col(c), weight_dim).alias(n) for n, c in weight_columns.items()]
     return rows.select(*columns)

@@ -19,6 +19,8 @@ class KnowledgeBaseInputs:
     folds: str
     # A run made elsewhere; without one, the corpus is searched with BM25.
     run: str | None = None
+    # A table of the projection head, for experiments with graph or weight vectors.
+    head: str | None = None
     vector_dim: int = 200
     weight_dim: int = 100
 

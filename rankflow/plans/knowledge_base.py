@@ -1,130 +1,173 @@
 """From a knowledge-base dump to candidate folds, triplets and scores.
 
-Each stage is a table under ``out`` that is computed when it is missing, so a run that was stopped
-goes on after its last finished stage.
+Each stage is a table under ``out`` that is computed when it is missing or was made with other inputs
+or parameters, so a run that was stopped goes on after its last finished stage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankflow import sources
-from rankflow.functions.vectors import finite
 from rankflow.operators import candidates as cand
-from rankflow.operators import retrieval
+from rankflow.operators import retrieval, triplets
 from rankflow.operators.folds import split_folds
-from rankflow.operators.scoring import score_experiments
-from rankflow.operators.triplets import build_triplets
+from rankflow.operators.scoring import attach_scores, load_head, score_experiments
 from rankflow.plans.inputs import KnowledgeBaseInputs
 from rankflow.session import land
-from rankflow.sinks import is_complete, materialise, write_folds
+from rankflow.sinks import materialise, write_folds
+
+# Hits per query.
+K = 1000
+
+
+def _stage(spark, inputs, out: str, name: str, build, write=None, **parameters) -> DataFrame:
+    """One stage; its manifest holds the inputs and parameters, so that others start it anew."""
+    known = asdict(inputs) | parameters
+    return materialise(spark, f"{out}/{name}", build, parameters=known, write=write)
 
 
 def corpus(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str) -> DataFrame:
     def build():
         return sources.parse_quads(sources.read_quad_lines(spark, inputs.quads))
 
-    return materialise(spark, f"{out}/corpus", build)
+    return _stage(spark, inputs, out, "corpus", build)
+
+
+def rejects(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str) -> DataFrame:
+    """Lines of the dump that are no quad and that the corpus goes without."""
+
+    def build():
+        return sources.rejected_quads(sources.read_quad_lines(spark, inputs.quads))
+
+    return _stage(spark, inputs, out, "rejects", build)
+
 
+def index(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str) -> retrieval.Index:
+    """Document vectors and document frequencies, counted once for all searches."""
 
-def index(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str) -> DataFrame:
     def build():
-        return retrieval.doc_vectors(corpus(spark, inputs, out), "url_dbpedia", "abstract")
+        vectors = land(retrieval.doc_vectors(corpus(spark, inputs, out), "url_dbpedia", "abstract"))
+        return retrieval.unique_documents(vectors)
 
-    return materialise(spark, f"{out}/index", build)
+    documents = _stage(spark, inputs, out, "index", build)
+    frequencies = _stage(
+        spark, inputs, out, "index_frequencies", lambda: retrieval.document_frequency(documents)
+    )
+    return retrieval.with_counts(documents, frequencies)
 
 
 def queries(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str) -> DataFrame:
-    return materialise(spark, f"{out}/queries", lambda: sources.read_queries(spark, inputs.queries))
+    return _stage(spark, inputs, out, "queries", lambda: sources.read_queries(spark, inputs.queries))
 
 
-def run(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = 1000) -> DataFrame:
+def run(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = K) -> DataFrame:
     def build():
         if inputs.run:
             return sources.read_run(spark, inputs.run)
-        hits = retrieval.bm25_search(
-            index(spark, inputs, out), queries(spark, inputs, out).select("query_index", "query_text"), k
-        )
+        asked = queries(spark, inputs, out).select("query_index", "query_text")
+        hits = retrieval.bm25_search(index(spark, inputs, out), asked, k)
         return hits.withColumnRenamed("doc_id", "url_dbpedia")
 
-    return materialise(spark, f"{out}/run", build)
+    return _stage(spark, inputs, out, "run", build, k=k)
 
 
-def candidates(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str) -> DataFrame:
-    """Hits with text, query and grade, and their ``ordinal`` in the order (query, hit)."""
+def candidates(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = K) -> DataFrame:
+    """Hits with text, query and grade."""
 
     def build():
-        joined = cand.build_candidates(
-            run(spark, inputs, out),
+        return cand.build_candidates(
+            run(spark, inputs, out, k),
             corpus(spark, inputs, out),
             queries(spark, inputs, out),
             sources.read_grades(spark, inputs.grades),
         )
-        # A range sort reads its input twice; the corpus must not be scanned twice for it.
-        return cand.number_candidates(land(joined))
 
-    return materialise(spark, f"{out}/candidates", build)
+    return _stage(spark, inputs, out, "candidates", build, k=k)
 
 
-def vector_candidates(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str) -> DataFrame:
-    """Candidates with knowledge-base id, entity index and vector (null where there is none)."""
+def skipped_queries(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = K) -> DataFrame:
+    """Judged queries that give no triplets, and why."""
 
     def build():
-        names = materialise(
-            spark, f"{out}/entity_names", lambda: sources.read_entity_names(spark, inputs.entity_names)
+        return triplets.skipped_queries(triplets.judged_counts(candidates(spark, inputs, out, k)))
+
+    return _stage(spark, inputs, out, "skipped_queries", build, k=k)
+
+
+def vector_candidates(
+    spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = K
+) -> DataFrame:
+    """Candidates with knowledge-base id, entity index and vector (null where there is none).
+
+    ``ordinal`` numbers these merged rows in the order (query, hit): a title or name that stands twice
+    in its file repeats a candidate, and each repeat has a line of its own among the weights.
+    """
+
+    def build():
+        names = _stage(
+            spark, inputs, out, "entity_names", lambda: sources.read_entity_names(spark, inputs.entity_names)
         )
-        vectors = materialise(
+        vectors = _stage(
             spark,
-            f"{out}/entity_vectors",
+            inputs,
+            out,
+            "entity_vectors",
             lambda: sources.read_entity_vectors(spark, inputs.entity_vectors, inputs.vector_dim),
         )
-        rows = candidates(spark, inputs, out)
+        rows = candidates(spark, inputs, out, k)
         title_map = sources.read_title_map(spark, inputs.title_map)
-        entities = materialise(
-            spark, f"{out}/entities", lambda: cand.entity_table(rows, title_map, names, vectors)
+        entities = _stage(
+            spark, inputs, out, "entities", lambda: cand.entity_table(rows, title_map, names, vectors), k=k
         )
-        return cand.attach_entities(rows, entities)
+        return cand.number_candidates(cand.attach_entities(rows, entities))
 
-    return materialise(spark, f"{out}/candidates_vec", build)
+    return _stage(spark, inputs, out, "candidates_vec", build, k=k)
 
 
-def complete_candidates(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str) -> DataFrame:
+def complete_candidates(
+    spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = K
+) -> DataFrame:
     """Filled vectors, token weights by ordinal and clean texts."""
 
     def build():
-        weights = materialise(
-            spark, f"{out}/token_weights", lambda: sources.read_token_weights(spark, inputs.token_weights)
+        weights = _stage(
+            spark, inputs, out, "token_weights", lambda: sources.read_token_weights(spark, inputs.token_weights)
         )
-        filled = cand.fill_vectors(vector_candidates(spark, inputs, out), inputs.vector_dim)
+        filled = cand.fill_vectors(vector_candidates(spark, inputs, out, k), inputs.vector_dim)
         return cand.clean_abstracts(cand.attach_token_weights(filled, weights))
 
-    return materialise(spark, f"{out}/candidates_complete", build)
+    return _stage(spark, inputs, out, "candidates_complete", build, k=k)
 
 
-def _folds_of(spark, inputs, path: str, rows: DataFrame) -> DataFrame:
-    if not is_complete(spark, path):
-        write_folds(split_folds(rows, sources.read_folds(spark, inputs.folds)), path)
-    return spark.read.parquet(path)
+def _folds_of(spark, inputs, out: str, name: str, rows: DataFrame, **parameters) -> DataFrame:
+    def build():
+        return split_folds(rows, sources.read_folds(spark, inputs.folds))
 
+    return _stage(spark, inputs, out, name, build, write=write_folds, **parameters)
 
-def fold_candidates(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str) -> DataFrame:
-    rows = complete_candidates(spark, inputs, out)
-    return _folds_of(spark, inputs, f"{out}/fold_candidates", rows)
+
+def fold_candidates(
+    spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = K
+) -> DataFrame:
+    rows = complete_candidates(spark, inputs, out, k)
+    return _folds_of(spark, inputs, out, "fold_candidates", rows, k=k)
 
 
 def fold_triplets(
-    spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, seed: int = 42
+    spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, seed: int = 42, k: int = K
 ) -> DataFrame:
     """Triplets of every query, then of every fold: a query has the same triplets in all folds."""
 
     def build():
-        return build_triplets(complete_candidates(spark, inputs, out), seed)
+        return triplets.build_triplets(complete_candidates(spark, inputs, out, k), seed)
 
-    triplets = materialise(spark, f"{out}/triplets", build)
-    return _folds_of(spark, inputs, f"{out}/fold_triplets", triplets)
+    built = _stage(spark, inputs, out, "triplets", build, k=k, seed=seed)
+    return _folds_of(spark, inputs, out, "fold_triplets", built, k=k, seed=seed)
 
 
 def scores(
@@ -134,16 +177,33 @@ def scores(
     experiments: Sequence[dict],
     path: str,
     existing: DataFrame | None = None,
+    k: int = K,
 ) -> DataFrame:
     """Scores of all candidates for all experiments, at a path of its own.
 
+    An experiment that uses graph or weight vectors and brings no head takes the one of the inputs.
+
     The folds are not scored one by one: a query is tested in one fold, so a join of this table
     with the folds gives the scores of every fold.
     """
-    rows = complete_candidates(spark, inputs, out).withColumn(
-        "deepct_weights", finite(F.col("deepct_weights"), inputs.weight_dim)
+    rows = complete_candidates(spark, inputs, out, k)
+    head = load_head(sources.read_head(spark, inputs.head)) if inputs.head else None
+    given = [{"weight_dim": inputs.weight_dim} | e for e in experiments]
+    given = [{"head": head} | e if e.get("graph") or e.get("weights") else e for e in given]
+    names = [e["experiment"] for e in experiments]
+    return materialise(
+        spark,
+        path,
+        lambda: score_experiments(rows, given, existing),
+        parameters=asdict(inputs) | {"k": k, "experiments": names},
     )
-    return materialise(spark, path, lambda: score_experiments(rows, experiments, existing))
+
+
+def wide_scores(
+    spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, scored: DataFrame, experiment: str, name: str, k: int = K
+) -> DataFrame:
+    """The complete candidates with one experiment's score as a column."""
+    return attach_scores(complete_candidates(spark, inputs, out, k), scored, experiment, name)
 
 
 def fold_scores(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,34 +11,54 @@ from rankflow import sources
 from rankflow.operators import candidates as cand
 from rankflow.operators import entities, retrieval
 from rankflow.plans.inputs import WikiInputs
-from rankflow.sinks import materialise, write_entity_pages
+from rankflow.session import land
+from rankflow.sinks import materialise, write_entity_pages, write_search_documents, write_topics
+
+
+def _stage(spark, inputs, out: str, name: str, build, **parameters) -> DataFrame:
+    return materialise(spark, f"{out}/{name}", build, parameters=asdict(inputs) | parameters)
+
+
+def index(spark: SparkSession, inputs: WikiInputs, out: str) -> retrieval.Index:
+    def build():
+        vectors = retrieval.doc_vectors(sources.read_wiki_pages(spark, inputs.pages), "id", "text")
+        return retrieval.unique_documents(land(vectors))
+
+    documents = _stage(spark, inputs, out, "index", build)
+    frequencies = _stage(
+        spark, inputs, out, "index_frequencies", lambda: retrieval.document_frequency(documents)
+    )
+    return retrieval.with_counts(documents, frequencies)
 
 
 def run(spark: SparkSession, inputs: WikiInputs, out: str, k: int = 1000) -> DataFrame:
     def build():
         if inputs.run:
             return sources.read_run(spark, inputs.run, "id")
-        index = materialise(
-            spark,
-            f"{out}/index",
-            lambda: retrieval.doc_vectors(sources.read_wiki_pages(spark, inputs.pages), "id", "text"),
-        )
         queries = sources.read_queries(spark, inputs.queries).select("query_index", "query_text")
-        return retrieval.bm25_search(index, queries, k).withColumnRenamed("doc_id", "id")
+        hits = retrieval.bm25_search(index(spark, inputs, out), queries, k)
+        return hits.withColumnRenamed("doc_id", "id")
 
-    return materialise(spark, f"{out}/run", build)
+    return _stage(spark, inputs, out, "run", build, k=k)
 
 
-def candidates(spark: SparkSession, inputs: WikiInputs, out: str) -> DataFrame:
+def candidates(spark: SparkSession, inputs: WikiInputs, out: str, k: int = 1000) -> DataFrame:
     def build():
         return cand.build_wiki_candidates(
-            run(spark, inputs, out),
+            run(spark, inputs, out, k),
             sources.read_queries(spark, inputs.queries),
             sources.read_wiki_pages(spark, inputs.pages),
             sources.read_article_grades(spark, inputs.article_grades),
         )
 
-    return materialise(spark, f"{out}/candidates", build)
+    return _stage(spark, inputs, out, "candidates", build, k=k)
+
+
+def write_search_inputs(spark: SparkSession, inputs: WikiInputs, out: str) -> None:
+    """Search documents and topics, for a search engine outside Spark."""
+    pages = sources.read_wiki_pages(spark, inputs.pages)
+    write_search_documents(pages, f"{out}/search_documents", "id", "text")
+    write_topics(sources.read_queries(spark, inputs.queries), f"{out}/topics")
 
 
 def write_pages_of_entities(spark: SparkSession, lists: str, pages: str, path: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -54,7 +55,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster is a cluster
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="rankflow-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -71,15 +72,39 @@ def land(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/rankflow/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _landed.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_landed: dict[str, list[str]] = {}
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path of any scheme."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def drop_landed(spark: SparkSession) -> int:
+    """Delete the tables that this application has landed; frames that read them can't be used again."""
+    paths = _landed.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        files, at = hadoop_path(spark, path)
+        files.delete(at, True)
+    return len(paths)
+
+
 # A scan of more splits than this (4 GB at the default split size) is never shuffled by ``spread``.
 SMALL_SCAN_SPLITS = 32
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Repartition a small scan that has fewer splits than the cluster has cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    small = df.rdd.getNumPartitions() <= min(cores, SMALL_SCAN_SPLITS)
-    return df.repartition(cores) if small else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= min(cores, SMALL_SCAN_SPLITS) * split else df

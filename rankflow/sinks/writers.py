@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.types import StructType
 
 from rankflow.operators.numbering import dense_ordinal
+from rankflow.session import hadoop_path
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "zstd") -> None:
@@ -16,8 +19,9 @@ def write_parquet(df: DataFrame, path: str, compression: str = "zstd") -> None:
 
 
 def write_search_documents(corpus: DataFrame, path: str, id_col: str, text_col: str) -> None:
-    """JSON lines ``{id, contents}``."""
-    corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("contents")).write.json(path)
+    """JSON lines ``{id, contents}``; a null text is written as null."""
+    documents = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("contents"))
+    documents.write.option("ignoreNullFields", "false").json(path)
 
 
 def write_topics(queries: DataFrame, path: str) -> None:
@@ -46,30 +50,77 @@ def write_entity_pages(pages: DataFrame, path: str) -> None:
     writer.option("header", True).option("escape", '"').csv(path)
 
 
-def write_folds(df: DataFrame, path: str, compression: str = "zstd") -> None:
+def write_folds(
+    df: DataFrame, path: str, compression: str = "zstd", mode: str = "errorifexists"
+) -> None:
     """One folder per fold and split; large ones are written by several tasks."""
     balanced = df.hint("rebalance", "fold", "split")
-    balanced.write.partitionBy("fold", "split").option("compression", compression).parquet(path)
+    writer = balanced.write.mode(mode).partitionBy("fold", "split")
+    writer.option("compression", compression).parquet(path)
+
+
+MANIFEST = "_stage.json"
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
     """A Spark write leaves ``_SUCCESS`` only when every task has committed."""
+    files, at = hadoop_path(spark, f"{path}/_SUCCESS")
+    return files.exists(at)
+
+
+def _manifest(spark: SparkSession, path: str) -> dict | None:
+    if not is_complete(spark, path):
+        return None
+    files, at = hadoop_path(spark, f"{path}/{MANIFEST}")
+    if not files.exists(at):
+        return None
+    stream = files.open(at)
     try:
-        spark.read.format("binaryFile").load(f"{path}/_SUCCESS").limit(0).collect()
-        return True
-    except AnalysisException:
-        return False
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return json.loads(text)
+
+
+def _finish(spark: SparkSession, temporary: str, path: str, manifest: dict) -> None:
+    """Put the manifest into a written table and move it to its place."""
+    files, at = hadoop_path(spark, f"{temporary}/{MANIFEST}")
+    stream = files.create(at, True)
+    try:
+        stream.write(json.dumps(manifest).encode())
+    finally:
+        stream.close()
+    _, old = hadoop_path(spark, path)
+    _, new = hadoop_path(spark, temporary)
+    files.delete(old, True)
+    files.mkdirs(old.getParent())
+    if not files.rename(new, old):
+        raise OSError(f"cannot move {temporary} to {path}")
 
 
 def materialise(
-    spark: SparkSession, path: str, build: Callable[[], DataFrame], compression: str = "zstd"
+    spark: SparkSession,
+    path: str,
+    build: Callable[[], DataFrame],
+    compression: str = "zstd",
+    parameters: dict | None = None,
+    write: Callable[[DataFrame, str], None] | None = None,
 ) -> DataFrame:
-    """Read the table at ``path``; if there is none, build and write it first.
+    """Read the table at ``path``; if there is none for these parameters, build and write it first.
 
-    A table counts as present only when its write was committed, so the leftovers of a failed
-    run are replaced.
+    The table is written beside its place and moved there when its write was committed, together
+    with a manifest of the parameters and the schema. The leftovers of a failed run, and a table that
+    was made with other parameters, are replaced.
     """
-    if not is_complete(spark, path):
+    parameters = json.loads(json.dumps(parameters or {}))
+    manifest = _manifest(spark, path)
+    if manifest is None or manifest["parameters"] != parameters:
         df = build()
-        df.write.mode("overwrite").option("compression", compression).parquet(path)
-    return spark.read.parquet(path)
+        temporary = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
+        if write is None:
+            df.write.option("compression", compression).parquet(temporary)
+        else:
+            write(df, temporary)
+        manifest = {"parameters": parameters, "schema": df.schema.json()}
+        _finish(spark, temporary, path, manifest)
+    return spark.read.schema(StructType.fromJson(json.loads(manifest["schema"]))).parquet(path)

@@ -105,6 +105,8 @@ def read_entity_names(spark: SparkSession, path: str) -> DataFrame:
     bare = F.regexp_replace("value", r"\\.", "")
     quotes = F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))
     pieces = pieces.withColumn("_odd", F.pmod(quotes, F.lit(2)))
+    if (pieces.agg(F.sum("_odd")).first()[0] or 0) % 2:
+        raise ValueError(f"a quote is left open in {path}")
     pieces = running_total(pieces, "_piece", "_odd", "_open")
     pieces = pieces.withColumn("_starts", (F.pmod("_open", F.lit(2)) == 0).cast("int"))
     pieces = running_total(pieces, "_piece", "_starts", "_before")
@@ -123,22 +125,37 @@ def read_entity_names(spark: SparkSession, path: str) -> DataFrame:
 def read_entity_vectors(
     spark: SparkSession, path: str, dim: int = vectors.GRAPH_DIM
 ) -> DataFrame:
-    """Entity, then ``dim`` fields; the header line has another number of fields.
+    """Entity, then ``dim`` fields, behind one header line. A line of another width is an error.
 
-    One task has to read a gzip file, but lines are dealt out before they are split. Land the
-    result once and read the landed table from then on.
+    ``rejected_entity_vectors`` returns such lines. One task has to read a gzip file, but lines are
+    dealt out before they are split. Land the result once and read the landed table from then on.
     """
-    lines = spark.read.text(path)
-    if path.endswith(".gz"):
-        lines = lines.repartition(spark.sparkContext.defaultParallelism, "value")
-    # Counting tabs is cheap enough for the reading task, where Catalyst moves this filter.
-    tabs = F.length("value") - F.length(F.replace("value", F.lit("\t"), F.lit("")))
     parts = F.split("value", "\t")
-    return lines.where(tabs == dim).select(
-        _field(parts, 0).alias("entity"), F.slice(parts, 2, dim).alias("biggraph_embedding")
+    problem = F.concat(F.lit(f"not an entity and {dim} numbers: "), F.left("value", F.lit(200)))
+    checked = F.when(F.size(parts) == dim + 1, parts).otherwise(F.raise_error(problem).cast("array<string>"))
+    rows = _vector_lines(spark, path).select(checked.alias("parts"))
+    return rows.select(
+        _field(F.col("parts"), 0).alias("entity"), F.slice("parts", 2, dim).alias("biggraph_embedding")
     )
 
 
+def rejected_entity_vectors(
+    spark: SparkSession, path: str, dim: int = vectors.GRAPH_DIM
+) -> DataFrame:
+    """Lines of a vector file, but for its header, that don't hold ``dim`` numbers."""
+    return _vector_lines(spark, path).where(F.size(F.split("value", "\t")) != dim + 1)
+
+
+def _vector_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines but the header, which is the first line of the file."""
+    lines = spark.read.text(path)
+    header = lines.first()
+    if header is None:
+        return lines
+    lines = lines.where(F.col("value") != F.lit(header["value"]))
+    return lines.repartition(spark.sparkContext.defaultParallelism, "value") if path.endswith(".gz") else lines
+
+
 def read_token_weights(spark: SparkSession, path: str) -> DataFrame:
     """Alternating token and weight; line N, blank or not, belongs to candidate N."""
     lines = number_lines(spark.read.text(path), "ordinal")

@@ -74,6 +74,9 @@ def test_weights_by_position(spark, tables):
     assert [(r.ordinal, r.hit, r.deepct_tokens) for r in rows] == [(0, 1, ["t0"]), (1, 1, ["t1"]), (2, 2, ["t2"])]
     with pytest.raises(ValueError):
         cand.attach_token_weights(numbered, weights.where("ordinal > 0"))
+    twice = weights.withColumn("ordinal", F.greatest("ordinal", F.lit(1)).cast("long"))
+    with pytest.raises(ValueError):  # as many lines, but one number twice
+        cand.attach_token_weights(numbered, twice)
 
 
 def test_wiki_candidates(spark):

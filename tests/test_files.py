@@ -18,6 +18,7 @@ def test_quad_file_with_comments_and_bad_bytes(spark, tmp_path):
     line = '<http://dbpedia.org/resource/{}> <http://p/c> "text {}"@en <http://w/{}> .'
     body = b"# started\n" + line.format("A", "é�", "A").encode()
     body += b"\n" + line.format("B", "x", "B").encode().replace(b"text x", b"te\xffxt \xc3x")
+    body += b"\n" + line.format("C", "q", "C").encode().replace(b"text q", "te�xt \x00".encode() + b"\xff\xe2\x82")
     body += b"\n# completed\n"
     path = tmp_path / "abstracts.tql.bz2"
     path.write_bytes(bz2.compress(body))
@@ -25,6 +26,7 @@ def test_quad_file_with_comments_and_bad_bytes(spark, tmp_path):
     assert values(parsed, "url_dbpedia", "abstract") == [
         ("http://dbpedia.org/resource/A", '"text é�"@en '),
         ("http://dbpedia.org/resource/B", '"text x"@en '),
+        ("http://dbpedia.org/resource/C", '"te�xt \x00"@en '),
     ]
 
 
@@ -103,6 +105,24 @@ def test_entity_vectors_skip_the_header(spark, tmp_path):
     ]
 
 
+def test_vectors_of_another_width_are_reported(spark, tmp_path):
+    path = tmp_path / "vectors.tsv"
+    path.write_text("2\t3\nA\t0.1\t0.2\t0.3\nB\t1\t2\nC\n")
+    rejected = sources.rejected_entity_vectors(spark, str(path), dim=3)
+    assert values(rejected, "value") == [("B\t1\t2",), ("C",)]
+    with pytest.raises(Exception, match="not an entity and 3 numbers"):
+        sources.read_entity_vectors(spark, str(path), dim=3).collect()
+    path.write_text("")
+    assert sources.read_entity_vectors(spark, str(path), dim=3).collect() == []
+
+
+def test_names_with_an_open_quote_fail(spark, tmp_path):
+    path = tmp_path / "names.json"
+    path.write_text('["a", "b, "c"]')
+    with pytest.raises(ValueError):
+        sources.read_entity_names(spark, str(path))
+
+
 def test_token_weights_keep_blank_lines(spark, tmp_path):
     path = tmp_path / "weights.txt"
     path.write_text("a 0.5 b nan\n\nc inf\n")
@@ -175,6 +195,24 @@ def test_materialise_builds_once_and_replaces_leftovers(spark, tmp_path):
     assert len(calls) == 1
 
 
+def test_a_stage_is_built_anew_for_other_parameters(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    for k, rows in ((3, 3), (1, 1), (1, 5), (3, 2)):
+        got = sinks.materialise(spark, path, lambda n=rows: spark.range(n), parameters={"k": k})
+        assert got.count() == {(3, 3): 3, (1, 1): 1, (1, 5): 1, (3, 2): 2}[k, rows]
+    assert got.dtypes == spark.range(1).dtypes
+    assert [p.name for p in tmp_path.iterdir()] == ["stage"]  # nothing temporary stays
+
+
+def test_fold_stage_replaces_leftovers(spark, tmp_path):
+    df = spark.createDataFrame([(0, "test", 1), (1, "training", 2)], "fold int, split string, v int")
+    left = tmp_path / "folds" / "fold=7"
+    left.mkdir(parents=True)
+    (left / "part-0.parquet").write_text("left over")
+    got = sinks.materialise(spark, str(tmp_path / "folds"), lambda: df, write=sinks.write_folds)
+    assert values(got, "fold", "split", "v") == [(0, "test", 1), (1, "training", 2)]
+
+
 def test_read_table_reads_only_the_declared_columns(spark, tmp_path):
     spark.range(2).select("id", F.lit("x").alias("extra")).write.parquet(str(tmp_path / "t"))
     assert sources.read_table(spark, str(tmp_path / "t"), "id long").columns == ["id"]

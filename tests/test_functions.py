@@ -82,13 +82,26 @@ def test_finite(spark):
     top = sys.float_info.max
     got = one(
         spark,
-        vectors.finite(F.col("v"), 2),
+        vectors.finite(F.col("v"), 6),
         v=("array<double>", [1.5, float("nan"), float("inf"), float("-inf"), None]),
     )
-    assert got == [1.5, 0.0, top, -top, 0.0]
+    assert got == [1.5, 0.0, top, -top, 0.0, 0.0]
     assert one(spark, vectors.finite(F.col("v"), 2), v=("array<double>", None)) == [0.0, 0.0]
 
 
+def test_longer_weights_are_not_cut(spark):
+    with pytest.raises(Exception, match="3 items where 2 are expected"):
+        one(spark, vectors.finite(F.col("v"), 2), v=("array<double>", [1.0, 2.0, 3.0]))
+
+
+@pytest.mark.parametrize("name", list(vectors.DISTANCES))
+def test_distances_of_unequal_lengths_fail(spark, name):
+    distance = vectors.DISTANCES[name](F.col("a"), F.col("b"))
+    with pytest.raises(Exception, match="vectors of 2 and 1 numbers"):
+        one(spark, distance, a=("array<double>", [1.0, 2.0]), b=("array<double>", [1.0]))
+    assert one(spark, distance, a=("array<double>", None), b=("array<double>", [1.0])) is None
+
+
 def test_deinterleave(spark):
     items = ["a", "0.5", "b", "nan", "c", "?"]
     assert one(spark, vectors.even_items(F.col("i")), i=("array<string>", items)) == ["a", "b", "c"]

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,52 @@ def test_a_finished_stage_is_not_computed_again(spark, files, out):
     assert sorted(kb.candidates(spark, files, out).inputFiles()) == sorted(before)
 
 
+def test_reports_of_rejects_and_skipped_queries(spark, files, out):
+    assert [r.value for r in kb.rejects(spark, files, out).collect()] == ["broken line"]
+    assert {(r.query_id, r.reason) for r in kb.skipped_queries(spark, files, out).collect()} == {
+        ("Q_c", "too few negatives")
+    }
+
+
+def test_other_parameters_make_other_stages(spark, files, tmp_path):
+    at = str(tmp_path)
+    assert kb.run(spark, files, at, k=3).where("query_index = 2").count() == 3
+    assert kb.run(spark, files, at, k=1).where("query_index = 2").count() == 1
+    assert kb.candidates(spark, files, at, k=3).count() == 3 + 3
+    assert kb.run(spark, files, at, k=3).where("query_index = 2").count() == 3
+
+
+def test_repeated_titles_have_weights_of_their_own(spark, files, tmp_path):
+    """The weight file has a line for each merged row, also where a title stands twice in its map."""
+    title_map = spark.createDataFrame(
+        [("Sky", "Q1"), ("Sky", "Q2"), ("Sea", "Q2")], "title string, wikidata_id string"
+    )
+    title_map.write.parquet(str(tmp_path / "titles"))
+    lines = 8 + 2  # Sky is a hit of both judged queries
+    (tmp_path / "weights.txt").write_text("".join(f"t{i} 0.{i} u nan\n" for i in range(lines)))
+    inputs = replace(files, title_map=str(tmp_path / "titles"), token_weights=str(tmp_path / "weights.txt"))
+    rows = kb.complete_candidates(spark, inputs, str(tmp_path / "out")).orderBy("ordinal").collect()
+    assert [r.ordinal for r in rows] == list(range(lines))
+    assert [r.deepct_tokens[0] for r in rows] == [f"t{i}" for i in range(lines)]
+    assert [(r.query_index, r.hit) for r in rows] == sorted((r.query_index, r.hit) for r in rows)
+    assert {r.title_to_id_wikidata for r in rows if r.dbpedia_entity == "<dbpedia:Sky>"} == {"Q1", "Q2"}
+
+
+def test_scores_with_vectors_take_the_head_of_the_inputs(spark, files, out, tmp_path):
+    layers = [
+        (0, [[0.1 * (i + j) for j in range(12)] for i in range(3)], [0.0, 0.1, 0.2]),
+        (1, [[0.2 * (i - j) for j in range(3)] for i in range(8)], [0.0] * 8),
+    ]
+    head = spark.createDataFrame(layers, "layer int, w array<array<double>>, b array<double>")
+    head.write.parquet(str(tmp_path / "head"))
+    inputs = replace(files, head=str(tmp_path / "head"))
+    experiments = [{"experiment": "letters@1", "load_encoder": letter_encoder, "graph": True, "weights": True}]
+    scored = kb.scores(spark, inputs, str(tmp_path / "out"), experiments, str(tmp_path / "scores"))
+    assert scored.count() == 8 and scored.where("score is null").isEmpty()
+    wide = kb.wide_scores(spark, inputs, str(tmp_path / "out"), scored, "letters@1", "s")
+    assert wide.where("s is not null").count() == 8
+
+
 def test_wiki(spark, tmp_path):
     pages = spark.createDataFrame(
         [("7", "Blue+Sky", "the sky is blue"), ("8", "Red", "red fire")], "id string, title string, text string"
@@ -111,6 +158,17 @@ def test_wiki(spark, tmp_path):
     assert {(r.query_id, r.id, r.hit, r.qrel) for r in rows} == {("Q_a", 7, 1, 2), ("Q_b", 8, 1, None)}
 
 
+def test_search_inputs(spark, tmp_path):
+    pages = spark.createDataFrame([("7", "t", "sky"), ("8", "u", None)], "id string, title string, text string")
+    pages.write.parquet(str(tmp_path / "pages"))
+    (tmp_path / "queries.tsv").write_text("Q_a\tblue\n")
+    inputs = WikiInputs(str(tmp_path / "pages"), str(tmp_path / "queries.tsv"), "unused")
+    wiki.write_search_inputs(spark, inputs, str(tmp_path / "out"))
+    lines = sorted("".join(p.read_text() for p in (tmp_path / "out/search_documents").glob("part-*")).splitlines())
+    assert [json.loads(x) for x in lines] == [{"id": "7", "contents": "sky"}, {"id": "8", "contents": None}]
+    assert "".join(p.read_text() for p in (tmp_path / "out/topics").glob("part-*")) == "0\tblue\n"
+
+
 def test_pages_of_entities(spark, tmp_path):
     (tmp_path / "entities.json").write_text('{"entities": ["A", "B", "A"]}\n{"entities": ["B"]}\n')
     pages = spark.createDataFrame([("1", "B", "text\nof B")], "id string, title string, text string")

@@ -58,16 +58,28 @@ def found(run):
     return {(r.query_index, r.doc_id, r.hit, r.score) for r in run.collect()}
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+@pytest.mark.parametrize("block_bytes", [50, 200, 1 << 20])
 @pytest.mark.parametrize("hot", [False, True])
 @pytest.mark.parametrize("k", [1, 7, 1000, 1500])
-def test_search_equals_brute_force(spark, broadcast_rows, hot, k):
+def test_search_equals_brute_force(spark, block_bytes, hot, k):
     texts = corpus(150, hot)
     index, queries = frames(spark, texts)
-    run = retrieval.bm25_search(index, queries, k, broadcast_rows=broadcast_rows)
+    run = retrieval.bm25_search(index, queries, k, block_bytes=block_bytes)
     assert found(run) == expected(texts, QUERIES, k)
 
 
+@pytest.mark.parametrize("block_bytes", [50, 1 << 20])
+def test_rows_with_one_id_are_one_document(spark, block_bytes):
+    docs = [(1, "red sky"), (1, "blue sky sky"), (2, "red"), (3, ""), (3, "sea"), (None, "sea sea"), (4, None), (4, "")]
+    merged = ["", "red sky blue sky sky", "red", "sea", ""]
+    index = retrieval.doc_vectors(spark.createDataFrame(docs, "id long, body string").repartition(3), "id", "body")
+    asked = ["sky sea", "red"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_index long, query_text string")
+    run = retrieval.bm25_search(index, queries, 10, block_bytes=block_bytes)
+    assert found(run) == expected(merged, asked, 10)
+    assert found(retrieval.bm25_search(retrieval.prepare(index), queries, 10)) == expected(merged, asked, 10)
+
+
 def test_small_buffers_change_nothing(spark, monkeypatch):
     texts = corpus(150, True)
     index, queries = frames(spark, texts)
@@ -126,8 +138,12 @@ def test_search_shuffles_only_the_best(spark, tmp_path):
     """One shuffle, by query, and the rows are cut to k per partition before it."""
     index, queries = frames(spark, corpus(50))
     index.write.parquet(str(tmp_path / "i"))
-    text = plan(retrieval.bm25_search(spark.read.parquet(str(tmp_path / "i")), queries, 10))
+    prepared = retrieval.prepare(spark.read.parquet(str(tmp_path / "i")))
+    text = plan(retrieval.bm25_search(prepared, queries, 10))
     assert text.count("Exchange") == 1
+    assert text.count("FileScan") == 1  # the index, once
+    blocks = plan(retrieval.bm25_search(prepared, queries, 10, block_bytes=60))
+    assert 1 < blocks.count("FileScan") == blocks.count("MapInArrow") and "doc_id, 4" not in blocks
     before = text[text.index("Exchange") :]
     assert "WindowGroupLimit" in before and "MapInArrow" in before
 

@@ -51,6 +51,46 @@ def test_scores_with_vectors_and_head(candidates):
         assert got[r.query_id, r.passage_key] == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("extra", [{"graph": True}, {"weights": True}])
+def test_vectors_without_a_fitting_head_fail(candidates, extra):
+    with pytest.raises(ValueError):
+        scoring.score_candidates(candidates, "m", letter_encoder, **extra)
+    narrow = [(np.ones((2, 8)), np.zeros(2)), (np.ones((8, 2)), np.zeros(8))]
+    with pytest.raises(ValueError):
+        scoring.score_candidates(candidates, "m", letter_encoder, narrow, **extra)
+
+
+def test_loss_of_a_model_on_triplets(spark, candidates):
+    rows = candidates.collect()
+    pairs = [(a, b) for a in rows for b in rows if a.query_id == b.query_id and a is not b]
+    data = [
+        (a.query_text, a.abstract, b.abstract, a.biggraph_embedding, b.biggraph_embedding, a.deepct_weights, b.deepct_weights)
+        for a, b in pairs
+    ]
+    triplets = spark.createDataFrame(
+        data,
+        "query_text string, abstract_x string, abstract_y string, biggraph_embedding_x array<double>,"
+        " biggraph_embedding_y array<double>, deepct_weights_x array<double>, deepct_weights_y array<double>",
+    )
+
+    def side(text, graph, weights):
+        (w1, b1), (w2, b2) = HEAD
+        x = np.r_[letters(text), graph, [0.0 if w != w else w for w in (weights or [0.0])]]
+        return w2 @ np.maximum(w1 @ x + b1, 0) + b2
+
+    def distance(a, b):
+        return np.sqrt(((a - b + 1e-6) ** 2).sum())
+
+    losses = [
+        max(distance(letters(q), side(x, gx, wx)) - distance(letters(q), side(y, gy, wy)) + 0.5, 0)
+        for q, x, y, gx, gy, wx, wy in data
+    ]
+    loss = scoring.model_triplet_loss(
+        triplets, letter_encoder, HEAD, graph=True, weights=True, weight_dim=1, margin=0.5
+    ).first()["loss"]
+    assert loss == pytest.approx(np.mean(losses), abs=1e-9)
+
+
 def test_every_text_is_encoded_once(spark, tmp_path):
     log = tmp_path / "calls"
     log.mkdir()
@@ -120,6 +160,25 @@ def test_mean_pool(spark, monkeypatch, broadcast_values):
     assert got == want
 
 
+@pytest.mark.parametrize("broadcast_values", [0, 100])
+def test_mean_pool_with_gaps_and_repeats(spark, broadcast_values):
+    """A null vector shifts nothing; a repeated token has its mean; a repeated id is one document."""
+    texts = [(1, "red"), (2, "sky"), (3, "red sky aaa"), (3, "red"), (4, "aaa"), (None, "red")]
+    index = retrieval.doc_vectors(spark.createDataFrame(texts, "id long, text string"), "id", "text")
+    rows = [("aaa", None), ("red", [1.0]), ("sky", [1.0]), ("sky", [3.0]), ("zzz", [3.0]), ("bad", [None]), (None, [9.0])]
+    table = spark.createDataFrame(rows, "token string, vector array<double>")
+    got = {r.doc_id: r.mean_vector for r in pooling.mean_pool(index, table, broadcast_values).collect()}
+    assert got == {1: [1.0], 2: [2.0], 3: [pytest.approx(4 / 3)]}
+
+
+@pytest.mark.parametrize("broadcast_values", [0, 100])
+def test_token_vectors_of_unequal_length_fail(spark, broadcast_values):
+    index = retrieval.doc_vectors(spark.createDataFrame([(1, "a")], "id long, text string"), "id", "text")
+    table = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "token string, vector array<double>")
+    with pytest.raises(ValueError):
+        pooling.mean_pool(index, table, broadcast_values)
+
+
 def test_mean_pool_without_vectors(spark):
     index = retrieval.doc_vectors(spark.createDataFrame([(1, "a")], "id long, text string"), "id", "text")
     table = spark.createDataFrame([], "token string, vector array<double>")

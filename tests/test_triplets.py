@@ -53,6 +53,31 @@ def test_sample_is_the_start_of_the_draw(spark, rows_per_task, seed):
     assert drawn.count() == len(got)
 
 
+def test_the_sample_does_not_depend_on_the_partitions(spark):
+    """Many passages of one entity at one hit: only the text tells them apart."""
+    rows = [("q", "text q", "e", 1, 0, f"passage {i}", [0.0]) for i in range(40)]
+    rows += [("q", "text q", f"p{i}", 2, 1, "x", [0.0]) for i in range(5)]
+    schema = make(spark, ROWS[:1]).schema
+    samples = set()
+    for n in (1, 2, 5, 9, 20):
+        df = spark.createDataFrame(rows, schema).repartition(n)
+        samples.add(tuple(sorted(r.abstract for r in triplets.negative_sample(df, 42).collect())))
+    assert len(samples) == 1 and len(samples.pop()) == 5
+
+
+def test_only_keys_are_sampled(spark, tmp_path, monkeypatch):
+    landed = []
+    land = triplets.land
+    monkeypatch.setattr(triplets, "land", lambda df: landed.append(df) or land(df))
+    triplets.negative_sample(make(spark, ROWS), 42)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in landed]
+    sampling = next(p for p in plans if "Window" in p)
+    for exchange in [line for line in sampling.splitlines() if "Exchange" in line or "Window" in line]:
+        assert "abstract" not in exchange and "biggraph" not in exchange
+    above_scan = sampling[: sampling.index("FileScan")]
+    assert "abstract" not in above_scan.split("Project")[0]
+
+
 def test_skipped_queries_are_reported(spark):
     skipped = triplets.skipped_queries(triplets.judged_counts(make(spark, ROWS)))
     assert {(r.query_id, r.reason) for r in skipped.collect()} == {
@@ -92,9 +117,9 @@ def test_loss(spark):
 
 def test_shapes(spark):
     built = triplets.build_triplets(make(spark, ROWS).withColumn("deepct_weights", F.array(F.lit(float("nan")))))
-    shaped = triplets.shape_triplets(built, graph=True, weights=True)
+    shaped = triplets.shape_triplets(built, graph=True, weights=True, weight_dim=3)
     assert shaped.columns == [
         "query_sentence", "pos_sentence", "neg_sentence", "pos_biggraph", "neg_biggraph", "pos_deepct", "neg_deepct",
     ]
-    assert shaped.first()["pos_deepct"] == [0.0]
+    assert shaped.first()["pos_deepct"] == [0.0, 0.0, 0.0]
     assert triplets.shape_candidates(make(spark, ROWS)).columns == ["query_sentence", "retrieval_sentence"]
