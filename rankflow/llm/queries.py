@@ -123,3 +123,43 @@ def op8_licenses(spark: SparkSession, sf: str) -> DataFrame:
 def op6_style_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Main text of every page."""
     return extract_pages(table(spark, sf, "pages").select("page_id", "url", "html"))
+
+
+ORACLE["op4_embedding_links"] = """
+with recursive v as (
+  select vec_id, embedding::double[] as e, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) as norm
+  from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b
+  on a.vec_id <> b.vec_id and a.norm > 0 and b.norm > 0 and len(a.e) = len(b.e)
+  where list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach as (
+  select vec_id as a, vec_id as b from embeddings
+  union select r.a, l.b from reach r join links l on r.b = l.a),
+n as (select a as vec_id, count(*) as n_links from links group by a),
+c as (select a as vec_id, min(b) as component_id from reach group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
+from embeddings join c using (vec_id) left join n using (vec_id)"""
+
+ORACLE["op10_jaccard_join"] = """
+with recursive w as (
+  select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{80}-\\x{10FFFF}]+') as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) >= 5
+    then list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i + 4], ' ')))
+    when len(w) > 0 then [hash(array_to_string(w, ' '))] else [] end) as shingle from w),
+size as (select doc_id, count(*) as n from s group by doc_id),
+common as (
+  select x.doc_id as a, y.doc_id as b, count(*) as n from s x join s y on x.shingle = y.shingle and x.doc_id <> y.doc_id
+  group by x.doc_id, y.doc_id),
+links as (
+  select a, b from common join size p on p.doc_id = a join size q on q.doc_id = b
+  where common.n / (p.n + q.n - common.n) >= 0.8),
+reach as (
+  select doc_id as a, doc_id as b from documents
+  union select r.a, l.b from reach r join links l on r.b = l.a),
+n as (select a as doc_id, count(*) as n_links from links group by a),
+c as (select a as doc_id, min(b) as class_id from reach group by a)
+select doc_id, class_id, coalesce(n_links, 0) as n_links
+from documents join c using (doc_id) left join n using (doc_id)"""
