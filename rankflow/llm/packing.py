@@ -4,7 +4,7 @@ Only longer documents than a sequence are cut. The rest is bin packing with inte
 the sequence length, so the whole problem is a histogram of at most that many counts, whatever the
 number of documents. The plan is made on it:
 
-1. linear grouping: pieces over a quarter of a sequence are put in order of length and cut into groups
+1. linear grouping: large pieces, over a quarter of a sequence or more, are put in order of length and cut into groups
    of equal cardinality; each length counts as the largest of its group;
 2. configurations: which of these few sizes go into one sequence, and how often, from the linear program
    of the configurations (column by column), rounded down;
@@ -34,7 +34,10 @@ from rankflow.llm.tokens import SLICE_BYTES, default_tokenizer, encode
 from rankflow.session import land
 
 SEQUENCE = 2048
-GROUPS = 24
+#: Numbers of groups, and parts of a sequence over which a piece is a large one. A plan is made for each
+#: of their pairs, and the one with the fewest sequences is taken.
+GROUPS = (8, 24)
+LARGE = (1 / 4, 1 / 3, 1 / 2)
 
 #: length, first number, end number, pieces per sequence, first sequence
 Run = tuple[int, int, int, int, int]
@@ -84,8 +87,17 @@ def _configurations(sizes: list[int], counts: list[int], capacity: int) -> list[
     return out
 
 
-def plan_packing(histogram: dict[int, int], capacity: int = SEQUENCE, groups: int = GROUPS) -> list[Run]:
-    """Runs that place every piece of the histogram {length: count}."""
+def plan_packing(
+    histogram: dict[int, int], capacity: int = SEQUENCE, groups: tuple[int, ...] = GROUPS,
+    large: tuple[float, ...] = LARGE,
+) -> list[Run]:
+    """Runs that place every piece of the histogram {length: count}, in the fewest sequences found."""
+    plans = (_plan(histogram, capacity, g, share) for g in groups for share in large)
+    return min(plans, key=lambda plan: plan[1])[0]
+
+
+def _plan(histogram: dict[int, int], capacity: int, groups: int, share: float) -> tuple[list[Run], int]:
+    """One plan and its number of sequences."""
     runs: list[Run] = []
     next_sequence = 0
     if histogram.get(capacity):
@@ -93,7 +105,7 @@ def plan_packing(histogram: dict[int, int], capacity: int = SEQUENCE, groups: in
         runs.append((capacity, 0, n, 1, 0))
         next_sequence = n
     rooms: dict[int, list[tuple[int, int]]] = {}  # room left: (first sequence, number of them)
-    large = [length for length in sorted(histogram) if capacity / 4 < length < capacity]
+    large = [length for length in sorted(histogram) if capacity * share < length < capacity]
     total = sum(histogram[length] for length in large)
     if total:
         ends = np.cumsum([histogram[length] for length in large])
@@ -137,7 +149,7 @@ def plan_packing(histogram: dict[int, int], capacity: int = SEQUENCE, groups: in
     else:
         rest = {}
     for length, n in histogram.items():
-        if n and length <= capacity / 4:
+        if n and length <= capacity * share:
             rest[length] = [(0, n)]
     order = sorted(rooms)
     for length in sorted(rest, reverse=True):
@@ -166,7 +178,7 @@ def plan_packing(histogram: dict[int, int], capacity: int = SEQUENCE, groups: in
                     runs.append((length, first, first + odd, odd, sequence + full))
                     _put(rooms, order, room - odd * length, sequence + full, 1)
                     first, n = first + odd, n - odd
-    return runs
+    return runs, next_sequence
 
 
 def _put(rooms: dict, order: list, room: int, sequence: int, n: int) -> None:
@@ -249,7 +261,7 @@ def _look_up(runs: list[Run]):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = SEQUENCE, groups: int = GROUPS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     """``pieces`` of ``cut_documents`` with their sequence_id and offset.
 
     Only a histogram of lengths, at most ``capacity`` rows, comes to the driver. An empty table has
@@ -265,7 +277,7 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, groups: int = GROUPS) -> D
     columns = [c for c in numbered.columns if c != "sequence_id"]
     numbered = numbered.select(*columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema)
-    placed = numbered.mapInArrow(_look_up(plan_packing(histogram, capacity, groups)), f"{schema}, sequence_id long")
+    placed = numbered.mapInArrow(_look_up(plan_packing(histogram, capacity)), f"{schema}, sequence_id long")
     within = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "number")
     within = within.rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(within), F.lit(0).cast("long"))

@@ -37,7 +37,7 @@ def test_plans_place_each_piece_once_and_waste_little(seed):
         histogram[n] = histogram.get(n, 0) + 1
     fill = placed(histogram, capacity)
     least = -(-sum(n * c for n, c in histogram.items()) // capacity)
-    assert len(fill) <= 1.03 * least + 3
+    assert len(fill) <= 1.01 * least + 2
 
 
 def test_plan_meets_the_lower_bound_of_large_pieces():
