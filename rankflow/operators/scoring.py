@@ -51,6 +51,15 @@ def embed_texts(
     return distinct.select("text_key", encode("_text").alias("embedding"))
 
 
+def embed_sides(
+    candidates: DataFrame, load_encoder: Callable[[], Encoder], batch_size: int = BATCH_SIZE
+) -> tuple[DataFrame, DataFrame]:
+    """The vectors of all queries and passages, landed."""
+    sides = ("query_text", "abstract")
+    queries, passages = (embed_texts(candidates, c, load_encoder, batch_size) for c in sides)
+    return land(queries), land(passages)
+
+
 def attach_embedding(rows: DataFrame, embedded: DataFrame, key: str, name: str) -> DataFrame:
     """Vectors joined on the short key of a text; the text itself is not shuffled."""
     vectors = embedded.select(F.col("text_key").alias(key), F.col("embedding").alias(name))
@@ -107,9 +116,12 @@ def score_candidates(
     metric: str = "euclidean",
     batch_size: int = BATCH_SIZE,
     existing: DataFrame | None = None,
+    embedded: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """``experiment`` and score per candidate, lower is better.
 
+    ``embedded`` holds the vectors of queries and passages where ``embed_sides`` has made them before.
+
     Graph or weight vectors need a head that projects them back to the width of the encoder.
 
     Each distinct query and passage is encoded once. The vectors, the costly part, are landed: they
@@ -124,8 +136,7 @@ def score_candidates(
     wanted += ["biggraph_embedding"] if graph else []
     wanted += ["deepct_weights"] if weights else []
     rows = with_passage_key(candidates).select(*wanted)
-    queries = land(embed_texts(rows, "query_text", load_encoder, batch_size))
-    passages = land(embed_texts(rows, "abstract", load_encoder, batch_size))
+    queries, passages = embedded or embed_sides(rows, load_encoder, batch_size)
     rows = rows.withColumn("_query_key", text_key("query_text")).drop("query_text", "abstract")
     rows = attach_embedding(rows, queries, "_query_key", "_query")
     rows = attach_embedding(rows, passages, "passage_key", "_passage")
@@ -204,8 +215,18 @@ def attach_scores(
 def score_experiments(
     candidates: DataFrame, experiments: Sequence[dict], existing: DataFrame | None = None
 ) -> DataFrame:
-    """All experiments in one table; each is one pass over the rows of all folds."""
-    runs = [score_candidates(candidates, existing=existing, **e) for e in experiments]
+    """All experiments in one table; each is one pass over the rows of all folds.
+
+    Experiments of one encoder share its vectors, unless rows that are scored already set them apart.
+    """
+    encoders = [(e["load_encoder"], e.get("batch_size", BATCH_SIZE)) for e in experiments]
+    shared = {}
+    if existing is None:
+        shared = {e: embed_sides(candidates, *e) for e in dict.fromkeys(encoders) if encoders.count(e) > 1}
+    runs = [
+        score_candidates(candidates, existing=existing, embedded=shared.get(key), **e)
+        for e, key in zip(experiments, encoders, strict=True)
+    ]
     return reduce(DataFrame.unionByName, runs)
 
 

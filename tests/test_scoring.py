@@ -120,6 +120,22 @@ def test_existing_scores_are_skipped_per_experiment(candidates):
     assert scoring.score_candidates(candidates, "m@2", letter_encoder, existing=first).count() == 4
 
 
+def test_experiments_of_one_encoder_share_its_vectors(candidates, monkeypatch):
+    calls = []
+    embed = scoring.embed_sides
+    monkeypatch.setattr(scoring, "embed_sides", lambda *a: calls.append(a) or embed(*a))
+    experiments = [
+        {"experiment": "a", "load_encoder": letter_encoder},
+        {"experiment": "b", "load_encoder": letter_encoder, "metric": "manhattan"},
+    ]
+    together = scoring.score_experiments(candidates, experiments)
+    assert len(calls) == 1
+    for e in experiments:
+        alone = scoring.score_candidates(candidates, **e)
+        assert alone.exceptAll(together).isEmpty()
+    assert together.count() == 8
+
+
 def test_attached_scores(candidates):
     experiments = [{"experiment": e, "load_encoder": letter_encoder} for e in ("m@1", "m@2")]
     scores = scoring.score_experiments(candidates, experiments)
