@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from checks.fixtures import letter_encoder
 from rankflow.operators import pooling, retrieval, scoring
