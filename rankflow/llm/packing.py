@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.llm.session import ready
-from rankflow.llm.text_arrays import slices
+from rankflow.llm.text_arrays import blocks
 from rankflow.llm.tokens import SLICE_BYTES, default_tokenizer, encode
 from rankflow.session import land
 
@@ -193,40 +193,39 @@ def _cut_rows(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far in this task
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE_BYTES):
-                ids, offsets = encode(batch.column("text"), path, end_id)
-                n = np.diff(offsets)
-                counts = -(-n // capacity)
-                row = np.repeat(np.arange(len(n)), counts)
-                piece = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-                head = (n - 1) % capacity + 1  # the first piece is the shorter one
-                length = np.where(piece == 0, head[row], capacity)
-                start = np.where(piece == 0, 0, head[row] + (piece - 1) * capacity)
-                begin = (offsets[row] + start) * 4
-                raw = memoryview(ids.astype("<u4")).cast("B")
-                crc = [
-                    zlib.crc32(raw[a : a + 4 * b]) for a, b in zip(begin.tolist(), length.tolist(), strict=True)
-                ]
-                order = np.argsort(length, kind="stable")
-                ordered = length[order]
-                groups, first, size = np.unique(ordered, return_index=True, return_counts=True)
-                number = np.empty(len(length), np.int64)
-                number[order] = np.arange(len(order)) - np.repeat(first, size) + np.repeat(seen[groups], size)
-                seen[groups] += size
-                columns = {
-                    "doc_id": batch.column("doc_id").take(pa.array(row)),
-                    "piece": pa.array(piece.astype(np.int32)),
-                    "start": pa.array(start),
-                    "length": pa.array(length),
-                    "ids_crc32": pa.array(crc, pa.int64()),
-                    "part": pa.array(np.full(len(row), part, np.int32)),
-                    "number": pa.array(number),
-                }
-                if with_ids:
-                    bounds = np.append(offsets[row] + start, len(ids)).astype(np.int32)
-                    columns["ids"] = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.view(np.int32)))
-                yield pa.RecordBatch.from_pydict(columns)
+        for batch in blocks(batches, "text", SLICE_BYTES):
+            ids, offsets = encode(batch.column("text"), path, end_id)
+            n = np.diff(offsets)
+            counts = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), counts)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            head = (n - 1) % capacity + 1  # the first piece is the shorter one
+            length = np.where(piece == 0, head[row], capacity)
+            start = np.where(piece == 0, 0, head[row] + (piece - 1) * capacity)
+            begin = (offsets[row] + start) * 4
+            raw = memoryview(ids.astype("<u4")).cast("B")
+            crc = [
+                zlib.crc32(raw[a : a + 4 * b]) for a, b in zip(begin.tolist(), length.tolist(), strict=True)
+            ]
+            order = np.argsort(length, kind="stable")
+            ordered = length[order]
+            groups, first, size = np.unique(ordered, return_index=True, return_counts=True)
+            number = np.empty(len(length), np.int64)
+            number[order] = np.arange(len(order)) - np.repeat(first, size) + np.repeat(seen[groups], size)
+            seen[groups] += size
+            columns = {
+                "doc_id": batch.column("doc_id").take(pa.array(row)),
+                "piece": pa.array(piece.astype(np.int32)),
+                "start": pa.array(start),
+                "length": pa.array(length),
+                "ids_crc32": pa.array(crc, pa.int64()),
+                "part": pa.array(np.full(len(row), part, np.int32)),
+                "number": pa.array(number),
+            }
+            if with_ids:
+                bounds = np.append(offsets[row] + start, len(ids)).astype(np.int32)
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 

@@ -148,3 +148,21 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iter
         to = max(at + 1, int(np.searchsorted(total, before + max_bytes, "right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+def blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in order, put together to runs of about ``max_bytes`` of text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if size >= max_bytes:
+            yield from _joined(held, column, max_bytes)
+            held, size = [], 0
+    if held:
+        yield from _joined(held, column, max_bytes)
+
+
+def _joined(held: list[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    for batch in pa.Table.from_batches(held).combine_chunks().to_batches():
+        yield from slices(batch, column, 2 * max_bytes)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankflow.llm.session import ready
-from rankflow.llm.text_arrays import slices
+from rankflow.llm.text_arrays import blocks
 from rankflow.llm.tokens import SLICE_BYTES, default_tokenizer, encode
 
 ORC_OPTIONS = {
@@ -36,21 +36,20 @@ def _encode_rows(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         place = 0
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE_BYTES):
-                ids, offsets = encode(batch.column("text"), path, end_id)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array(np.full(batch.num_rows, part, np.int32)),
-                        pa.array(offsets[:-1] + place),
-                        pa.ListArray.from_arrays(
-                            pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32))
-                        ),
-                    ],
-                    names=["doc_id", "part", "place", "ids"],
-                )
-                place += int(offsets[-1])
+        for batch in blocks(batches, "text", SLICE_BYTES):
+            ids, offsets = encode(batch.column("text"), path, end_id)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array(np.full(batch.num_rows, part, np.int32)),
+                    pa.array(offsets[:-1] + place),
+                    pa.ListArray.from_arrays(
+                        pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32))
+                    ),
+                ],
+                names=["doc_id", "part", "place", "ids"],
+            )
+            place += int(offsets[-1])
 
     return run
 

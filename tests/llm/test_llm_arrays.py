@@ -42,6 +42,15 @@ def test_slices_hold_all_rows_in_order(texts):
     assert len(parts) > 10
 
 
+def test_blocks_hold_all_rows_in_order(texts):
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    parts = [batch.slice(i, 7) for i in range(0, len(texts), 7)]
+    joined = list(text_arrays.blocks(iter(parts), "text", 5000))
+    assert [x for p in joined for x in p.column("text").to_pylist()] == texts
+    assert 1 < len(joined) < len(parts)
+    assert list(text_arrays.blocks(iter([]), "text", 10)) == []
+
+
 def test_ids_are_the_library_s_own(texts):
     path = tokens.default_tokenizer()
     ids, offsets = tokens.encode(pa.array(texts, pa.string()), path, 0)
