@@ -326,7 +326,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, max_chars: int = 16_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_chars: int = 10_000_000) -> Model:
     """Fit on labelled rows that are not held out: at most ``max_rows`` of each class, whole texts.
 
     The sample is the rows with the least hash of doc_id; rows beyond ``max_chars`` in all are left
