@@ -6,12 +6,15 @@ largest answer and its mean answer in a segment feed a logistic layer. A text is
 bounded length, all of them, so that long and short texts meet the same kind of input; its
 score is the mean of its segments' log odds.
 
-The threshold is calibrated for each language on training rows that the fit did not see. Language is
-guessed from the function words in the text, so that no column but the text enters a score. Scores
-are shifted so that every language's threshold becomes 0.7.
+The threshold is calibrated for each language on all labelled rows that are neither held out nor part of
+the fit: Spark counts them by language, label and bin of log odds, and the counts are weighted to the
+mix of classes that all labelled rows have. Language is guessed from the function words in the text,
+so that no column but the text enters a score. Scores are shifted so that every language's threshold
+becomes 0.7.
 
 The fit uses a bounded sample of labelled rows (``max_rows`` of each class); it runs on the driver in
-time that does not depend on the size of the corpus. Scoring is a map over whole texts.
+time that does not depend on the size of the corpus. A quarter of the labelled rows never enters it.
+Calibration and scoring are maps over whole texts.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 WIDTHS = (1, 2, 3)
 SEGMENT = 256
 _BITS = 16
+#: Bins of log odds in calibration: how many in a unit, and the value at which they end on both sides.
+BINS, BIN_LIMIT = 128, 64
 
 # Frequent function words that tell four languages apart.
 FUNCTION_WORDS = {
@@ -286,39 +291,46 @@ def _update_table(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, grad
     table[used] -= 0.05 * total / (np.sqrt(squares[used]) + 1e-6)[:, None]
 
 
-def _best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The midpoint of the cut with the highest F1."""
-    order = np.argsort(-logits, kind="stable")
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
-    k = int(np.argmax(f1))
-    below = logits[order[k + 1]] if k + 1 < len(order) else logits[order[k]] - 1
-    return float(logits[order[k]] + below) / 2
+def _best_threshold(bins: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
+    """The cut between bins with the highest F1, in the middle of the gap below it."""
+    values, slot = np.unique(-bins, return_inverse=True)
+    everything = np.cumsum(np.bincount(slot, weights))
+    hits = np.cumsum(np.bincount(slot, weights * labels))
+    k = int(np.argmax(2 * hits / (everything + hits[-1])))
+    low = -values[k] / BINS
+    below = (1 - values[k + 1]) / BINS if k + 1 < len(values) else low - 1
+    return float(low + below) / 2
 
 
-def fit(texts: list[str], labels: np.ndarray, folds: np.ndarray, min_rows: int = 30, **network) -> Model:
-    """Train on rows of fold 0 and calibrate the languages' thresholds on fold 1.
+def calibrate(
+    model: Model, lang: np.ndarray, bins: np.ndarray, labels: np.ndarray, seen: np.ndarray, n: np.ndarray,
+    min_rows: int = 30,
+) -> None:
+    """Set the languages' thresholds from counts ``n`` of labelled rows.
 
-    A language with fewer than ``min_rows`` positive rows to calibrate on takes the common threshold.
-    Without rows of both classes the model scores every text alike, below the threshold.
+    Rows that the fit has ``seen`` count only for the mix of classes; the others are weighted to it. A
+    language with fewer than ``min_rows`` unseen positive rows takes the common threshold. Without unseen
+    rows of both classes every text without a word scores below the threshold.
     """
-    train = folds == 0
-    model = fit_network([t for t, x in zip(texts, train, strict=True) if x], labels[train], **network)
     odds = np.log(THRESHOLD / (1 - THRESHOLD))
-    held = ~train
-    if not labels[held].any() or labels[held].all() or not model.weights.any():
-        model.shift[:] = -odds + 1
-        return model
-    unseen = [words(pa.array(p, pa.string())) for p in _parts([t for t, x in zip(texts, held, strict=True) if x])]
-    logits = np.concatenate([text_logits(model, found) for found in unseen])
-    lang = np.concatenate([languages(model, found) for found in unseen])
-    y = labels[held]
-    model.shift[:] = _best_threshold(logits, y) - odds
-    for i in range(len(LANGUAGES)):
-        own = lang == i
-        if y[own].sum() >= min_rows and not y[own].all():
-            model.shift[i] = _best_threshold(logits[own], y[own]) - odds
-    return model
+
+    def cut(own: np.ndarray, least: int) -> float | None:
+        weights = np.zeros(len(n))
+        for c in (0, 1):
+            of_class = own & (labels == c)
+            unseen = of_class & ~seen
+            if n[unseen].sum() < (least if c else 1):
+                return None
+            weights[unseen] = n[unseen] * (n[of_class].sum() / n[unseen].sum())
+        there = weights > 0
+        return _best_threshold(bins[there], labels[there], weights[there]) - odds
+
+    common = cut(np.ones(len(n), bool), 1) if model.weights.any() else None
+    model.shift[:] = 1 - odds if common is None else common
+    if common is not None:
+        for i in range(len(LANGUAGES)):
+            own = cut(lang == i, min_rows)
+            model.shift[i] = common if own is None else own
 
 
 def held_out(doc_id: Column) -> Column:
@@ -330,16 +342,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_chars: i
     """Fit on labelled rows that are not held out: at most ``max_rows`` of each class, whole texts.
 
     The sample is the rows with the least hash of doc_id; rows beyond ``max_chars`` in all are left
-    out of it as well, so that the driver's memory is bounded whatever the texts. Repeated labels of a
-    document count as 1 if any of them is 1; null labels, ids and texts are left out.
+    out of it as well, so that the driver's memory is bounded whatever the texts. All other labelled
+    rows that are not held out calibrate the thresholds. Repeated labels of a document count as 1 if any
+    of them is 1; null labels, ids and texts are left out.
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     draw = F.xxhash64("doc_id", F.lit(3))
-    picked = [
-        labels.where(F.col("toxic") == c).orderBy(draw, "doc_id").limit(max_rows) for c in (0, 1)
-    ]
+    pool = labels.where(F.pmod(F.shiftright(draw, 8), F.lit(4)) != 0)
+    picked = [pool.where(F.col("toxic") == c).orderBy(draw, "doc_id").limit(max_rows) for c in (0, 1)]
     picked = F.broadcast(picked[0].union(picked[1]))  # at most 2 max_rows rows of two numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("length(text) > 0")
     rows = texts.join(picked, "doc_id").select("doc_id", "toxic", "text", draw.alias("draw"))
@@ -354,8 +366,40 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_chars: i
         last = r["draw"]
     sample = [] if last is None else rows.where(F.col("draw") <= last).select("doc_id", "toxic", "text", "draw").collect()
     sample.sort(key=lambda r: (r["draw"], r["doc_id"], r["text"]))
-    folds = np.array([(r["draw"] >> 8) % 4 == 0 for r in sample], np.int64)
-    return fit([r["text"] for r in sample], np.array([r["toxic"] for r in sample], np.int64), folds)
+    model = fit_network([r["text"] for r in sample], np.array([r["toxic"] for r in sample], np.int64))
+    calibrate(model, *_label_counts(texts, labels, model, sorted({r["doc_id"] for r in sample})))
+    return model
+
+
+def _label_counts(texts: DataFrame, labels: DataFrame, model: Model, fitted: list[int]) -> list[np.ndarray]:
+    """Language, bin of log odds, label, whether the fit saw it, and number of the labelled rows.
+
+    Texts are scored where they lie, and only their bins are shuffled to the labels.
+    """
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast(model)
+    unheld = texts.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    scored = unheld.mapInArrow(_bin_rows(sent), "doc_id long, lang int, bin int")
+    seen = spark.createDataFrame([(i, True) for i in fitted], "doc_id long, seen boolean")  # at most the sample
+    rows = scored.join(labels, "doc_id").join(F.broadcast(seen), "doc_id", "left")
+    columns = ["lang", "bin", "toxic", F.coalesce("seen", F.lit(False)).alias("seen")]
+    counts = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).collect()  # bounded by the bins
+    counts.sort()
+    kinds = (np.int64, np.int64, np.int64, bool, np.int64)
+    return [np.array([r[i] for r in counts], kind) for i, kind in enumerate(kinds)]
+
+
+def _bin_rows(model: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = words(batch.column("text"))
+                logit = np.clip(text_logits(model.value, found), -BIN_LIMIT, BIN_LIMIT)
+                lang = pa.array(languages(model.value, found), pa.int32())
+                bins = pa.array(np.floor(logit * BINS).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lang, bins], names=["doc_id", "lang", "bin"])
+
+    return run
 
 
 def _score_rows(model: Broadcast, keep: list[str], below: float | None):

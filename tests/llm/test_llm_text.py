@@ -98,6 +98,29 @@ def test_label_rows_that_are_held_out_change_nothing(spark):
     assert a == b
 
 
+def mixed_toxicity(spark):
+    """(docs, labels, kind by doc_id): half of the few toxic rows look like a tenth of the clean ones and more."""
+    rng = random.Random(4)
+    kinds = ["vile"] * 100 + ["grim"] * 1100 + ["calm"] * 900
+    rng.shuffle(kinds)
+    first = itertools.count()
+    docs = [(i, f"{k} {k} {PROSE} {' '.join(rng.choice('abcdefgh') * 3 for _ in range(8))}", k) for i, k in enumerate(kinds)]
+    labels = [(i, int(k == "vile" or (k == "grim" and next(first) % 11 == 0))) for i, _, k in docs]
+    return (
+        spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").repartition(4),
+        spark.createDataFrame(labels, "doc_id long, toxic int"),
+        dict(enumerate(kinds)),
+    )
+
+
+def test_toxicity_threshold_is_that_of_the_true_mix_of_classes(spark):
+    docs, labels, kinds = mixed_toxicity(spark)
+    rows = toxicity.toxicity_scores(docs, labels, max_rows=100).collect()
+    share = {k: np.mean([r.predicted for r in rows if kinds[r.doc_id] == k]) for k in ("vile", "grim", "calm")}
+    # of the grim rows 9 % are toxic, but half of those in a sample of as many toxic as clean rows
+    assert share["vile"] > 0.95 and share["grim"] < 0.05 and share["calm"] < 0.05
+
+
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
