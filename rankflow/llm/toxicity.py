@@ -19,7 +19,7 @@ Calibration and scoring are maps over whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -185,7 +185,7 @@ class _Adam:
         self.value -= self.rate * m / (np.sqrt(v) + 1e-6)
 
 
-def _parts(texts: list[str], max_chars: int = 1 << 20) -> Iterator[list[str]]:
+def _parts(texts: Iterable[str], max_chars: int = 1 << 20) -> Iterator[list[str]]:
     """Runs of texts of about ``max_chars``, so that work arrays stay small on the driver."""
     part, size = [], 0
     for text in texts:
@@ -198,7 +198,7 @@ def _parts(texts: list[str], max_chars: int = 1 << 20) -> Iterator[list[str]]:
         yield part
 
 
-def _segmented(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _segmented(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Table rows of all words, first words of all segments, and the text each belongs to."""
     rows, starts, row = [np.zeros((0, 1 + len(PREFIXES)), np.uint16)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     n_words = n_texts = 0
@@ -213,10 +213,10 @@ def _segmented(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fit_network(
-    texts: list[str], labels: np.ndarray, dim: int = 8, filters: int = 8, epochs: int = 6,
+    texts: Iterable[str], labels: np.ndarray, dim: int = 8, filters: int = 8, epochs: int = 6,
     batch_segments: int = 64, seed: int = 5,
 ) -> Model:
-    """Train on whole texts, cut into segments that carry their text's label."""
+    """Train on whole texts, cut into segments that carry their text's label; texts are read once."""
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.05, (1 << _BITS, dim)).astype(np.float32)
     table[0] = 0
@@ -338,13 +338,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_chars: int = 10_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, max_chars: int = 16_000_000) -> Model:
     """Fit on labelled rows that are not held out: at most ``max_rows`` of each class, whole texts.
 
-    The sample is the rows with the least hash of doc_id; rows beyond ``max_chars`` in all are left
-    out of it as well, so that the driver's memory is bounded whatever the texts. All other labelled
-    rows that are not held out calibrate the thresholds. Repeated labels of a document count as 1 if any
-    of them is 1; null labels, ids and texts are left out.
+    The sample is the rows with the least hash of doc_id, one text for each doc_id. A text that would take
+    its class beyond half of ``max_chars`` is passed over and later ones are still taken, so that neither
+    class nor a long text crowds out others. Texts are streamed to the driver, which keeps only their
+    word rows. All other labelled rows that are not held out calibrate the thresholds. Repeated labels
+    of a document count as 1 if any of them is 1; null labels, ids and texts are left out.
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -354,23 +355,33 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_chars: i
     picked = [pool.where(F.col("toxic") == c).orderBy(draw, "doc_id").limit(max_rows) for c in (0, 1)]
     picked = F.broadcast(picked[0].union(picked[1]))  # at most 2 max_rows rows of two numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("length(text) > 0")
-    rows = texts.join(picked, "doc_id").select("doc_id", "toxic", "text", draw.alias("draw"))
-    # Bounded in rows by the sample; bounded in characters here, before anything reaches the driver.
-    sizes = rows.select("doc_id", "draw", F.length("text").alias("n")).collect()
-    sizes.sort(key=lambda r: (r["draw"], r["doc_id"], r["n"]))
-    total, last = 0, None
-    for r in sizes:
-        total += r["n"]
-        if total > max_chars:
-            break
-        last = r["draw"]
-    sample = [] if last is None else rows.where(F.col("draw") <= last).select("doc_id", "toxic", "text", "draw").collect()
-    sample.sort(key=lambda r: (r["draw"], r["doc_id"], r["text"]))
-    model = fit_network([r["text"] for r in sample], np.array([r["toxic"] for r in sample], np.int64))
-    calibrate(model, *_label_counts(texts, labels, model, sorted({r["doc_id"] for r in sample})))
+    sample = _within(texts.join(picked, "doc_id"), max_chars // 2)
+    model = fit_network(_stream(texts, sample), np.array([toxic for _, _, toxic in sample], np.int64))
+    calibrate(model, *_label_counts(texts, labels, model, [i for i, _, _ in sample]))
     return model
 
 
+def _within(rows: DataFrame, class_chars: int) -> list[tuple[int, int, int]]:
+    """(doc_id, hash of the text, label) of the rows in order of draw that fit into the bound of their class."""
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), F.length("text").alias("n"))).alias("one")
+    sizes = rows.groupBy("doc_id", "toxic").agg(one).withColumn("draw", F.xxhash64("doc_id", F.lit(3)))
+    left, out = {0: class_chars, 1: class_chars}, []
+    for r in sorted(sizes.collect(), key=lambda r: (r["draw"], r["doc_id"])):  # one row for each picked label
+        if r["one"]["n"] <= left[r["toxic"]]:
+            left[r["toxic"]] -= r["one"]["n"]
+            out.append((r["doc_id"], r["one"]["hash"], r["toxic"]))
+    return out
+
+
+def _stream(texts: DataFrame, sample: list[tuple[int, int, int]]) -> Iterator[str]:
+    """The texts of the sample in its order, a partition at a time."""
+    rows = [(i, doc_id, value) for i, (doc_id, value, _) in enumerate(sample)]
+    wanted = texts.sparkSession.createDataFrame(rows, "place long, doc_id long, hash long")
+    found = texts.withColumn("hash", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "hash"])
+    for r in found.dropDuplicates(["place"]).orderBy("place").select("text").toLocalIterator():
+        yield r["text"]
+
+
 def _label_counts(texts: DataFrame, labels: DataFrame, model: Model, fitted: list[int]) -> list[np.ndarray]:
     """Language, bin of log odds, label, whether the fit saw it, and number of the labelled rows.
 

@@ -121,6 +121,28 @@ def test_toxicity_threshold_is_that_of_the_true_mix_of_classes(spark):
     assert share["vile"] > 0.95 and share["grim"] < 0.05 and share["calm"] < 0.05
 
 
+def test_long_texts_and_the_other_class_do_not_crowd_out_the_sample(spark, monkeypatch):
+    rows = [(i, f"{'vile' if i % 10 == 0 else 'calm'} " * 50, int(i % 10 == 0)) for i in range(1200)]
+    rows += [(i, "long " * 20_000, 1) for i in range(2000, 2010)] + [(i, "twice " * 50, 1) for i in (3001, 3001, 3001)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    taken = {}
+
+    def fit_network(texts, labels):
+        taken["texts"], taken["labels"] = list(texts), labels.tolist()
+        return network(iter(taken["texts"]), labels)
+
+    network = toxicity.fit_network
+    monkeypatch.setattr(toxicity, "fit_network", fit_network)
+    docs, labels = frame.select("doc_id", "text"), frame.select("doc_id", "toxic")
+    toxicity.train(docs, labels, max_rows=200, max_chars=40_000)
+    unheld = labels.distinct().where(~toxicity.held_out(F.col("doc_id"))).where("doc_id < 2000 and toxic = 1").count()
+    sizes = [sum(len(t) for t, x in zip(taken["texts"], taken["labels"], strict=True) if x == c) for c in (0, 1)]
+    assert max(sizes) <= 20_000 and sizes[0] > 19_000
+    assert sum(taken["labels"]) >= 0.6 * unheld and not any("long" in t for t in taken["texts"])
+    assert sum("twice" in t for t in taken["texts"]) <= 1
+    assert all(("calm" in t) == (x == 0) for t, x in zip(taken["texts"], taken["labels"], strict=True))
+
+
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
