@@ -1,9 +1,10 @@
 """License scan with a positional index of rare words.
 
 Templates are short characteristic passages of licenses. Their words are indexed with template and
-position. For each file the licence words it holds that are rarest in the corpus are looked up; each
-occurrence votes for a template at a relative position. A template counts as found where several
-distinct words agree on one position and the template's mandatory phrases stand nearby.
+position. For each file and each template whose mandatory phrases the file holds, the template's words in
+the file that are rarest in the corpus are looked up; each occurrence votes for the template at a
+relative position. A template counts as found where several distinct words agree on one position and
+its mandatory phrases stand nearby. No template takes the words of another, and none is left out.
 
 Only DataFrame functions are used. A word's document frequency is counted over all documents. The
 index has a fixed size and is broadcast.
@@ -84,7 +85,7 @@ COMMON = "a an and any are as at be by for from if in is it its may not of on on
 
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rare words of a file that are looked up.
+#: Rare words of each template that are looked up in a file.
 LOOKED_UP = 12
 MIN_VOTES = 3
 MIN_SHARE = 0.5
@@ -128,13 +129,17 @@ def _all(conditions: list[Column]) -> Column:
 
 def _index(spark: SparkSession) -> DataFrame:
     """(word, template, at): every position of every vocabulary word in the templates."""
-    known = set(_vocabulary())
-    rows = [
-        (w, name, i) for name, (text, _) in TEMPLATES.items() for i, w in enumerate(text.split()) if w in known
-    ]
+    rows = [(w, name, i) for name in TEMPLATES for i, w in enumerate(TEMPLATES[name][0].split()) if w not in COMMON]
     return spark.createDataFrame(rows, "word string, template string, at int")
 
 
+def _rare_words(name: str, rarity: list[str], words: Column) -> Column:
+    """The words of a template that are in the file, the rarest of them in the corpus first."""
+    own = set(TEMPLATES[name][0].split())
+    ordered = F.array(*[F.lit(w) for w in rarity if w in own]).cast("array<string>")
+    return F.slice(F.array_intersect(ordered, words), 1, LOOKED_UP)
+
+
 def _words_by_rarity(split: DataFrame) -> list[str]:
     """Vocabulary words in the corpus, those in the fewest documents first."""
     vocabulary = F.array(*[F.lit(w) for w in _vocabulary()])
@@ -147,7 +152,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, base (array of start and label), found (labels with share).
 
     base: every place of a base phrase, as (start word, label), in order. found: (label, share) of the
-    templates found, where share is the part of the looked-up words of the template that agree.
+    templates found, where share is the part of the template's looked-up words that agree.
     Null and empty texts have no words. Repeated rows and rows with a null doc_id are scanned like
     any other. Other columns are ignored.
     """
@@ -162,41 +167,40 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             _phrase_places(words, phrase), lambda i: F.struct(i.alias("start"), F.lit(label).alias("label"))
         )
 
-    ordered = F.array(*[F.lit(w) for w in rarity]).cast("array<string>")
-    rare = F.slice(F.array_intersect(ordered, words), 1, LOOKED_UP)
-    no_hits = F.array().cast("array<struct<at:int,word:string>>")
-    rows = trimmed.withColumn("rare", rare if rarity else F.array().cast("array<string>"))
-    looked_at = F.filter(
-        F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word"))),
-        lambda h: F.array_contains(F.col("rare"), h["word"]),
-    )
     phrases = sorted({tuple(p.split()) for _, ps in TEMPLATES.values() for p in ps})
-    enough = F.size("rare") >= MIN_VOTES
-    verified = [
-        F.transform(
-            F.when(enough, _phrase_places(words, p)).otherwise(F.array().cast("array<int>")),
-            _struct_of(" ".join(p)),
+    verified = [F.transform(_phrase_places(words, p), _struct_of(" ".join(p))) for p in phrases]
+    rows = trimmed.select(
+        F.monotonically_increasing_id().alias("row"),
+        "doc_id",
+        F.size(words).cast("long").alias("n_words"),
+        F.array_sort(F.concat(*[base(k, p) for k, p in PHRASES.items()])).alias("base"),
+        F.concat(*verified).alias("phrases"),
+        "words",
+    )
+    # A template without its mandatory phrases can't be found, whatever its votes.
+    asked_of = [
+        F.when(
+            _all([F.exists("phrases", _is_phrase(p)) for p in TEMPLATES[name][1]]),
+            F.struct(F.lit(name).alias("template"), _rare_words(name, rarity, words).alias("rare")),
         )
-        for p in phrases
+        for name in TEMPLATES
     ]
-    rows = land(
-        rows.select(
-            F.monotonically_increasing_id().alias("row"),
-            "doc_id",
-            F.size(words).cast("long").alias("n_words"),
-            F.array_sort(F.concat(*[base(k, p) for k, p in PHRASES.items()])).alias("base"),
-            F.when(enough, looked_at).otherwise(no_hits).alias("hits"),
-            F.concat(*verified).alias("phrases"),
-            F.col("rare"),
-        )
+    asked_of = F.when(F.size("phrases") > 0, F.array_compact(F.array(*asked_of)))
+    rows = rows.withColumn("asked", F.filter(asked_of, lambda t: F.size(t["rare"]) >= MIN_VOTES))
+    rare = F.array_distinct(F.flatten(F.transform("asked", lambda t: t["rare"])))
+    looked_at = F.filter(
+        F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word"))),
+        lambda h: F.array_contains(F.col("rare"), h["word"]),
     )
+    rows = rows.withColumn("rare", rare).withColumn("hits", F.when(F.size("rare") > 0, looked_at))
+    rows = land(rows.drop("words", "rare"))
     index = F.broadcast(_index(spark))  # fixed size
-    asked = rows.where(F.size("rare") >= MIN_VOTES)
-    # Looked-up words of the file that the template has at all.
-    wanted = asked.select("row", F.explode("rare").alias("word")).join(index, "word")
-    wanted = wanted.groupBy("row", "template").agg(F.countDistinct("word").alias("n_wanted"))
-    votes = asked.select("row", F.explode("hits").alias("h")).select("row", F.col("h.at").alias("place"), "h.word")
-    votes = votes.join(index, "word").groupBy("row", "template", (F.col("place") - F.col("at")).alias("first"))
+    asked = rows.where(F.size("asked") > 0)
+    wanted = asked.select("row", F.explode("asked").alias("t"))
+    wanted = wanted.select("row", "t.template", F.size("t.rare").alias("n_wanted"))
+    votes = asked.select("row", "asked", F.explode("hits").alias("h")).join(index, F.col("h.word") == F.col("word"))
+    rare_here = F.exists("asked", lambda t: (t["template"] == F.col("template")) & F.array_contains(t["rare"], F.col("word")))
+    votes = votes.where(rare_here).groupBy("row", "template", (F.col("h.at") - F.col("at")).alias("first"))
     votes = votes.agg(F.countDistinct("word").alias("votes")).where(F.col("votes") >= MIN_VOTES)
     voted = votes.join(wanted, ["row", "template"])
     voted = voted.withColumn("share", F.col("votes") / F.col("n_wanted")).where(F.col("share") >= MIN_SHARE)
@@ -208,6 +212,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", "base", F.coalesce("found", none).alias("found"))
 
 
+def _is_phrase(phrase: str):
+    return lambda x: x["phrase"] == phrase
+
+
 def _struct_of(phrase: str):
     return lambda i: F.struct(i.alias("at"), F.lit(phrase).alias("phrase"))
 

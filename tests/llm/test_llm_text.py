@@ -265,6 +265,22 @@ def test_license_passages_without_their_names(spark):
     assert licenses.scan_licenses(docs.limit(0)).isEmpty()
 
 
+def test_every_license_of_a_long_file_is_found(spark):
+    passages = {name: text for name, (text, _) in licenses.TEMPLATES.items()}
+    words = sorted({w for text in passages.values() for w in text.split()})
+    scattered = " ".join(f"{w} x{i}" for i, w in enumerate(words))
+    rows = [
+        (1, f" {PROSE} ".join(passages.values())),
+        (2, f"{scattered} released under the mit license {PROSE} licensed under cc by nc"),
+        (3, f"{scattered} {passages['unlicense']} {PROSE} {passages['mit']} {PROSE} {passages['bsd']}"),
+        (4, scattered),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: {t.template for t in r.found} for r in licenses.scan_licenses(frame).collect()}
+    assert found[1] == set(passages) and found[4] == set()
+    assert found[2] >= {"mit-notice", "cc-by-nc"} and found[3] >= {"unlicense", "mit", "bsd"}
+
+
 def test_importance_keeps_the_largest_keys(spark):
     docs, labels = small(spark, "documents"), small(spark, "labels")
     rows = importance.resample(docs, labels, share=0.3).collect()
