@@ -7,7 +7,9 @@ many pages says little; a node whose texts differ from page to page carries cont
 importance is well below that of the best node of their site are removed from every page.
 
 On top of that the page's own markup counts: scripts, styles, menus, forms and the like are never
-content, and where a page marks its article, the rest of the page isn't either.
+content, and where a page marks its article, the rest of the page isn't either. A class or role that as a
+whole is the name of a sidebar or the like isn't content; such a word as part of a longer name or in
+an id only lowers the importance of what is inside.
 
 Pages are parsed twice; they are not shuffled. The first pass returns counts per host, node and text, which
 Spark adds up; their sums become one importance per node of a host. Nodes to remove go to the
@@ -72,6 +74,8 @@ GAMMA = 0.9
 RELATIVE = 0.5
 #: A host or node with fewer pages than this tells nothing.
 MIN_PAGES = 5
+#: What is left of the importance of a node within a doubtful name.
+DOUBTFUL = 0.7
 #: Removed nodes that are broadcast, 8 bytes each.
 MAX_NODES = 1_000_000
 
@@ -82,13 +86,14 @@ _PART = re.compile(r"[a-z]+")
 
 
 class Text(NamedTuple):
-    """A run of text of one block: the node's chain hash, text, and whether markup allows it."""
+    """A run of text of one block: the node's chain hash, text, whether markup allows it or doubts it."""
 
     block: int
     node: int
     text: str
     never: bool
     main: bool
+    doubtful: bool
 
 
 def _hash(value: str) -> int:
@@ -125,8 +130,8 @@ def parse(page: str) -> tuple[list[Text], list[tuple[int, int, int]]]:
     """Texts in page order, and (chain hash, children hash, number of children) of every element."""
     texts: list[Text] = []
     nodes: list[tuple[int, int, int]] = []
-    # open elements: name, chain, never, main, children so far
-    stack: list[tuple[str, int, bool, bool, list[str]]] = [("", 0, False, False, [])]
+    # open elements: name, chain, never, main, doubtful, children so far
+    stack: list[tuple[str, int, bool, bool, bool, list[str]]] = [("", 0, False, False, False, [])]
     opened: Counter = Counter()  # saves looking through the stack for what isn't there
     block = 0
     at, n = 0, len(page)
@@ -134,7 +139,7 @@ def parse(page: str) -> tuple[list[Text], list[tuple[int, int, int]]]:
     def close(depth: int) -> None:
         nonlocal block
         while len(stack) > depth:
-            name, chain, _, _, children = stack.pop()
+            name, chain, _, _, _, children = stack.pop()
             opened[name] -= 1
             nodes.append((chain, _hash(" ".join(children)), len(children)))
             if name in BLOCK:
@@ -142,8 +147,8 @@ def parse(page: str) -> tuple[list[Text], list[tuple[int, int, int]]]:
 
     def add(text: str) -> None:
         if text:
-            _, chain, never, main, _ = stack[-1]
-            texts.append(Text(block, chain, text, never, main))
+            _, chain, never, main, doubtful, _ = stack[-1]
+            texts.append(Text(block, chain, text, never, main, doubtful))
 
     while at < n:
         i = page.find("<", at)
@@ -206,7 +211,7 @@ def parse(page: str) -> tuple[list[Text], list[tuple[int, int, int]]]:
                     break
             if lowest:
                 close(lowest)
-        _, chain, never, main, children = stack[-1]
+        _, chain, never, main, doubtful, children = stack[-1]
         marks = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _MARKS_IN.finditer(attributes)]
         label = name + "".join(f".{v}" for k, v in marks if k == "class")
         children.append(label)
@@ -216,11 +221,12 @@ def parse(page: str) -> tuple[list[Text], list[tuple[int, int, int]]]:
             block += 1
         if name in VOID:
             continue
-        words = {w for _, v in marks for w in _PART.findall(v.lower())}
         is_main = main or name in MAIN
-        dropped = name in NEVER or bool(words & MARKS and name not in ("html", "body", "article", "main"))
-        dropped = dropped or (name == "header" and not main)
-        here = (name, _hash(f"{chain}/{label}"), never or dropped, is_main, [])
+        dropped = name in NEVER or (name == "header" and not main)
+        if marks and name not in ("html", "body", "article", "main"):
+            dropped = dropped or any(not MARKS.isdisjoint(v.lower().split()) for k, v in marks if k != "id")
+            doubtful = doubtful or any(not MARKS.isdisjoint(_PART.findall(v.lower())) for _, v in marks)
+        here = (name, _hash(f"{chain}/{label}"), never or dropped, is_main, doubtful, [])
         if name in RAW:
             stop = re.compile(f"</{name}", re.IGNORECASE).search(page, at)
             end = page.find(">", stop.start()) if stop else -1
@@ -248,7 +254,8 @@ def node_key(host: str, chain: int) -> int:
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, node, kind, value, n): pages per presentation (kind 0) and per text (kind 1) of a node.
 
-    Kind 2 adds up the children of a node, for the weight of its presentation.
+    Kind 2 adds up the children of a node, for the weight of its presentation; kind 3 its pages with a
+    doubtful name.
     """
     for batch in batches:
         counts: Counter = Counter()
@@ -264,6 +271,8 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = node_key(host, chain)
                 counts[site, key, 0, children] += 1
                 counts[site, key, 2, 0] += n
+            for chain in {t.node for t in texts if t.doubtful}:
+                counts[site, node_key(host, chain), 3, 0] += 1
             has_main = any(t.main for t in texts)
             own = {
                 (t.node, _hash(_SPACE.sub(" ", t.text).strip()))
@@ -288,7 +297,8 @@ def node_importance(pages: DataFrame) -> DataFrame:
 
     A node's contents have importance 1 - mean(log(pages of a text) / log(pages of the node)); its
     presentation has the entropy of its child sequences over its pages. The presentation counts
-    with weight 1 - gamma ** children, so that a node without children is judged by its texts.
+    with weight 1 - gamma ** children, so that a node without children is judged by its texts. Doubtful
+    names lower the importance by their share of the node's pages.
     """
     rows = pages.select("url", "html").mapInArrow(_count_rows, "host long, node long, kind long, value long, n long")
     counts = land(rows.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n")))
@@ -297,6 +307,7 @@ def node_importance(pages: DataFrame) -> DataFrame:
         n_pages.alias("m"),
         F.sum(F.when(F.col("kind") == 0, F.col("n") * F.log(F.col("n")))).alias("nlogn"),
         F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("children"),
+        F.sum(F.when(F.col("kind") == 3, F.col("n")).otherwise(0)).alias("doubtful"),
     )
     texts = counts.where("kind = 1").groupBy("host", "node").agg(F.avg(F.log("n")).alias("mean_log"))
     size = F.greatest(F.log("m"), F.lit(1e-9))
@@ -304,6 +315,7 @@ def node_importance(pages: DataFrame) -> DataFrame:
     presentation = F.when(F.col("m") > 1, (F.log("m") - F.col("nlogn") / F.col("m")) / size).otherwise(F.lit(1.0))
     weight = 1 - F.pow(F.lit(GAMMA), F.col("children") / F.col("m"))
     importance = 1 - (1 - content) * (1 - weight * presentation)
+    importance = importance * (1 - (1 - DOUBTFUL) * F.col("doubtful") / F.col("m"))
     return land(nodes.join(texts, ["host", "node"]).select("host", "node", F.col("m").alias("n_pages"), importance.alias("importance")))
 
 

@@ -161,6 +161,35 @@ def test_branches_that_repeat_on_a_site_are_removed(spark, max_nodes):
     assert got[100] == "Site b\nStory 1 about é1 & more\nSecond part 1\nSubscribe now"
 
 
+ARTICLE = (
+    "<article><div class='entry-header'><h1>Title {n}</h1></div><div class='elementor-widget-container'><p>Story {n}</div>"
+    "<h2 id='related-work'>Work {n}</h2><section id='sharing-data'><p>Data {n}</p></section>"
+    "<div class='share-buttons'><p>Tell your friends</p></div><div class='widget'><p>Poll {n}</p></div></article>"
+)
+
+
+def test_parts_of_names_and_ids_do_not_remove_what_differs(spark):
+    rows = [(i, f"http://a.example/{i}", ARTICLE.format(n=i)) for i in range(20)]
+    pages = spark.createDataFrame([*rows, (99, "http://b.example/", ARTICLE.format(n=99))], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in style_tree.extract_pages(pages).collect()}
+    for i in range(20):
+        assert got[i] == f"Title {i}\nStory {i}\nWork {i}\nData {i}"
+    # a site with one page has no entropy to go by
+    assert got[99] == "Title 99\nStory 99\nWork 99\nData 99\nTell your friends"
+
+
+def test_doubtful_names_lower_importance(spark):
+    def importances(label):
+        page = "<article><p>Story {n}</p><div class='" + label + "'><p>Part {k}</p></div></article>"
+        rows = [(f"http://a.example/{i}", page.format(n=i, k=i // 2)) for i in range(20)]
+        nodes = style_tree.node_importance(spark.createDataFrame(rows, "url string, html string")).collect()
+        return sorted(r.importance for r in nodes)
+
+    plain, doubtful = importances("x-y"), importances("x-share")
+    assert plain[-1] == doubtful[-1] == 1.0
+    assert abs(min(doubtful) - style_tree.DOUBTFUL * min(plain)) < 1e-9
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
