@@ -7,8 +7,9 @@ document with an item, and the words around it are compared one by one: the pair
 stretch of ``window`` aligned words (the whole item if it is shorter) agrees in ``similarity`` of
 them at least. Insertions and deletions end an alignment, and the words behind them form another.
 
-The masks find every stretch of 13 words with up to two replaced (a test tries all patterns). The
-benchmark is indexed in blocks of bounded size, each broadcast to a scan of the documents; documents
+The masks find every stretch of 13 words with up to two replaced. Shorter items have further masks, with
+which a fifth of their words may be replaced; items of fewer than five words are found as exact copies
+(a test tries all patterns of all lengths). The benchmark is indexed in blocks of bounded size, each broadcast to a scan of the documents; documents
 are never shuffled.
 """
 
@@ -28,6 +29,9 @@ from rankflow.llm.session import ready
 from rankflow.llm.text_arrays import Words, constants, slices, words
 
 MASKS = ("11111", "111101", "101111", "1101101")
+#: Further masks where 5 to 12 words are compared, and those where fewer are: the whole item.
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
+WHOLE_MASKS = ("1", "11", "111", "1111")
 _FILTER_BITS = 22
 #: Characters of benchmark text indexed at once: the index takes about 20 bytes for each.
 BLOCK_CHARS = 8_000_000
@@ -65,13 +69,27 @@ def _inside(found: Words, at: np.ndarray, span: int) -> np.ndarray:
     return at + span <= found.offsets[row + 1]
 
 
+def masks_for(n_words: int, masks: tuple[str, ...] = MASKS) -> tuple[str, ...]:
+    """The masks of an item of which ``n_words`` words are compared."""
+    if n_words < 5:
+        return WHOLE_MASKS[n_words - 1 : n_words] if n_words else ()
+    return (*masks, *SHORT_MASKS) if n_words < 13 else masks
+
+
 def build_index(items: list, texts: list, window: int, similarity: float, masks: tuple[str, ...]) -> SeedIndex:
     found = words(pa.array(texts, pa.string()))
+    compared = np.minimum(np.diff(found.offsets), window)
+    users: dict[str, list[int]] = {}
+    for n in np.unique(compared).tolist():
+        for mask in masks_for(n, masks):
+            users.setdefault(mask, []).append(n)
+    masks = tuple(users)
     seeds, filters = [], []
     for key, mask in enumerate(masks):
         value = _seeds(found, mask, 10 + key)
         at = np.arange(len(value))
         at = at[_inside(found, at, len(mask))]
+        at = at[np.isin(compared[np.searchsorted(found.offsets, at, "right") - 1], users[mask])]
         order = np.argsort(value[at], kind="stable")
         at = at[order]
         there = np.zeros(1 << _FILTER_BITS, bool)
@@ -102,7 +120,11 @@ def overlaps(found: Words, index: SeedIndex) -> list[tuple[int, int, int, int, i
         row = np.searchsorted(found.offsets, at, "right") - 1
         item = np.searchsorted(index.offsets, place, "right") - 1
         # The item's first word falls on this word position; negative before the first document.
-        lines.append(np.stack([row, item, at - (place - index.offsets[item])]))
+        line = np.stack([row, item, at - (place - index.offsets[item])])
+        # A seed of all words of an item is a full match: of those the first in a row is enough.
+        full = (np.diff(index.offsets)[item] == len(mask)) & ("0" not in mask)
+        _, first = np.unique(line[:2, full], axis=1, return_index=True)
+        lines += [line[:, ~full], line[:, full][:, first]]
     if not lines:
         return []
     best: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
@@ -177,7 +199,7 @@ def contaminated(
     ``n_equal`` how many of the item's ``n_item_words`` words agree in the best alignment.
 
     Null and empty texts hold nothing. Items with a null id or text are left out; items of fewer than
-    five words can't be found. Repeated rows of either table are reported once each. Rows with a null
+    five words are found as exact copies only. Repeated rows of either table are reported once each. Rows with a null
     doc_id are reported under null. Other columns are ignored.
     """
     ready(docs.sparkSession)

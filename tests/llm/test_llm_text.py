@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import PROSE, awkward_docs, plain_words, small
 from pyspark.sql import functions as F
@@ -23,6 +24,22 @@ def test_masks_find_two_replaced_words_in_thirteen():
             )
 
 
+@pytest.mark.parametrize("n_words", range(1, 14))
+def test_masks_find_a_fifth_of_the_words_replaced(n_words):
+    item = [f"w{i}" for i in range(n_words)]
+    index = decontaminate.build_index([7], [" ".join(item)], 13, 0.8, decontaminate.MASKS)
+    patterns = [p for n in range(n_words // 5 + 2) for p in itertools.combinations(range(n_words), n)]
+    texts = [" ".join(["a", "b", *(f"z{i}" if i in p else w for i, w in enumerate(item)), "c"]) for p in patterns]
+    rows = {h[0] for h in decontaminate.overlaps(decontaminate.words(pa.array(texts)), index)}
+    assert rows == {i for i, p in enumerate(patterns) if len(p) <= n_words // 5}
+
+
+def test_a_short_item_that_repeats_is_reported_once():
+    index = decontaminate.build_index([7], ["so it goes"], 13, 0.8, decontaminate.MASKS)
+    texts = pa.array(["x " + "so it goes " * 500, None, "so it", "goes so it", "So it goes."])
+    assert sorted(decontaminate.overlaps(decontaminate.words(texts), index)) == [(0, 0, 1, 3, 3), (4, 0, 0, 3, 3)]
+
+
 @pytest.mark.parametrize("block_chars", [200, 8_000_000])
 def test_items_are_found_with_replaced_words(spark, block_chars):
     rng = random.Random(1)
