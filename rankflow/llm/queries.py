@@ -8,14 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankflow.llm.chat import conversation_digests, read_conversations, write_conversations
 from rankflow.llm.decontaminate import contaminated
 from rankflow.llm.embedding_links import embedding_classes
 from rankflow.llm.importance import resample
 from rankflow.llm.jaccard_join import jaccard_classes
 from rankflow.llm.licenses import scan_licenses
+from rankflow.llm.merkle import verify_tampered
 from rankflow.llm.packing import cut_documents, pack
 from rankflow.llm.pii import KINDS, find_pii, span_text
 from rankflow.llm.style_tree import extract_pages
+from rankflow.llm.target_resampling import resample_to_target
 from rankflow.llm.token_files import read_tokens, token_digests, write_tokens
 from rankflow.llm.toxicity import toxicity_scores
 from rankflow.session import shared_folder
@@ -125,6 +128,160 @@ def op6_style_tree(spark: SparkSession, sf: str) -> DataFrame:
     return extract_pages(table(spark, sf, "pages").select("page_id", "url", "html"))
 
 
+@query
+def op11_target_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all documents against the benchmark texts, and the ranks of those drawn."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return resample_to_target(docs, table(spark, sf, "benchmark").select("text"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaf, proof and verification of every document, a fifth of them tampered with."""
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return verify_tampered(table(spark, sf, "documents"), tampered)
+
+
+#: A text that holds control strings, the escape character included.
+CONTROL_TURNS = [(-7, turn, role, "\\### Assistant: </turn> ok") for turn, role in enumerate(["user", "assistant"])]
+
+
+@query
+def op13_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of all conversations, read back from the files they were written to."""
+    columns = ["conv_id", "turn", "role", "text"]
+    more = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
+    path = f"{shared_folder(spark)}/chat-{uuid.uuid4().hex}"
+    write_conversations(table(spark, sf, "conversations").select(*columns).unionByName(more), path)
+    return conversation_digests(read_conversations(spark, path))
+
+
+#: (s, crc) of the strings of a relation; DuckDB has no CRC-32 of its own.
+def _crc_sql(strings: str) -> str:
+    return f"""
+bits as (
+  select 0 as k, range::bigint as c, range as i from range(256)
+  union all select k + 1, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, i from bits where k < 8),
+tab as (select list(c order by i) as t from bits where k = 8),
+crc as (
+  select s, xor(list_reduce(
+    list_transform(range(1, strlen(s) + 1), lambda i: ('0x' || hex(encode(s))[2 * i - 1:2 * i])::bigint),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295::bigint), 4294967295) as crc
+  from (select distinct s from {strings}), tab)"""
+
+
+ORACLE["op11_target_resampling"] = rf"""
+with recursive texts as (
+  select row_number() over () as n, false as target, doc_id, text from documents
+  union all select -row_number() over (), true, null, text from benchmark),
+w as (
+  select n, target, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') as w from texts),
+feature as (
+  select n, target, s, count(*) as c from (
+    select n, target, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as s from w)
+  group by n, target, s),
+{_crc_sql("feature")},
+counted as (
+  select crc % 10000 as bucket, sum(case when target then 0 else c end) as s, sum(case when target then c else 0 end) as t
+  from feature join crc using (s) group by bucket),
+whole as (select sum(s) as s, sum(t) as t from counted),
+gain as (
+  select bucket, floor(1000 * ln((c.t + 1.0::double) * (w.s + 10000.0::double)
+    / ((c.s + 1.0::double) * (w.t + 10000.0::double))))::bigint as gain from counted c, whole w),
+weighed as (
+  select n, sum(c)::bigint as n_features, floor(sum(c * gain) / sum(c)::double)::bigint as weight
+  from feature join crc using (s) join gain on bucket = crc % 10000 where not target group by n),
+scored as (
+  select w.n, doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    (coalesce(weight, 0) + floor(-1000.0::double * ln(-ln(
+      (('0x' || sha256('7:' || doc_id)[1:8])::bigint + 0.5::double) / 4294967296.0::double))))::bigint as score
+  from w left join weighed using (n) where not target),
+ranked as (
+  select n, row_number() over (order by score desc, doc_id) as r, count(*) over () as n_able
+  from scored where n_words >= 20)
+select doc_id, n_features, weight, score, case when r <= n_able * 25 // 100 then r end as rank
+from scored left join ranked using (n)"""
+
+_FIELD = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """All nodes (key, level, p, n, digest) over (key, p, n, digest), level by level."""
+    return f"""
+{name} as (
+  select key, 0 as level, p, n, digest from {leaves}
+  union all
+  select key, level + 1, p // 16, (any_value(n) + 15) // 16, sha256(string_agg(digest, '' order by p))
+  from {name} where n > 1 group by key, level, p // 16)"""
+
+
+ORACLE["op12_merkle_manifest"] = f"""
+with recursive docs as (
+  select row_number() over () as id, doc_id, source, {_leaf_sql("text")} as leaf, {_leaf_sql(_LOWER)} as low
+  from documents),
+words as (select doc_id::varchar as s from documents),
+{_crc_sql("words")},
+leaves as (
+  select id, doc_id, coalesce(source, '') || (source is null)::varchar as key, source, leaf as digest,
+    case when crc.crc % 5 = 0 then low else leaf end as claimed,
+    row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as p,
+    count(*) over (partition by source) as n
+  from docs left join crc on s = doc_id::varchar),
+{_tree_sql("nodes", "leaves")},
+subroots as (
+  select l.key as group_key, '' as key, digest, row_number() over (order by source nulls first) - 1 as p,
+    count(*) over () as n
+  from nodes join (select distinct key, source from leaves) l using (key) where nodes.n = 1),
+{_tree_sql("upper", "subroots")},
+root as (select digest as root from upper where n = 1),
+steps as (
+  select l.id, x.level, string_agg(y.digest, '' order by y.p) filter (y.p < x.p) as before,
+    string_agg(y.digest, '' order by y.p) filter (y.p > x.p) as after
+  from leaves l join nodes x on x.key = l.key and x.n > 1 and x.p = l.p // (16 ** x.level)::bigint
+  join nodes y on y.key = x.key and y.level = x.level and y.p // 16 = x.p // 16
+  group by l.id, x.level
+  union all
+  select l.id, 100 + x.level, string_agg(y.digest, '' order by y.p) filter (y.p < x.p),
+    string_agg(y.digest, '' order by y.p) filter (y.p > x.p)
+  from leaves l join subroots s on s.group_key = l.key join upper x on x.n > 1 and x.p = s.p // (16 ** x.level)::bigint
+  join upper y on y.level = x.level and y.p // 16 = x.p // 16
+  group by l.id, x.level),
+ordered as (
+  select id, row_number() over (partition by id order by level) as step, coalesce(before, '') as before,
+    coalesce(after, '') as after from steps),
+proof as (select id, count(*) as n, sha256(string_agg(before || after, '' order by step)) as proof from ordered group by id),
+folded as (
+  select id, 0 as step, claimed as node from leaves
+  union all
+  select id, o.step, sha256(before || node || after) from folded f join ordered o using (id) where o.step = f.step + 1)
+select doc_id, l.digest as leaf, s.digest as subroot, root, coalesce(proof, sha256('')) as proof_sha256,
+  node as folded_root, node = root as verified
+from leaves l join subroots s on s.group_key = l.key cross join root left join proof using (id)
+join folded f on f.id = l.id and f.step = coalesce(proof.n, 0)"""
+
+ORACLE["op13_chat_format"] = r"""
+with t as (
+  select conv_id, turn, role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+c as (
+  select conv_id, string_agg(role || chr(10) || text || chr(10), '' order by turn) as turns, count(*) as n_turns,
+    coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '') as loss,
+    sum(length('<turn ' || role || '>') + length(regexp_replace(text, '</?turn|<(image|audio|document):', '+\0', 'g'))
+      + length('+</turn>++'))::bigint as formatted_chars
+  from t group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256,
+  formatted_chars
+from c"""
+
 ORACLE["op4_embedding_links"] = """
 with recursive v as (
   select vec_id, embedding::double[] as e, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) as norm
