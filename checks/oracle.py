@@ -172,6 +172,20 @@ def projected(ctes: str, source: str, columns: str, sides: dict[str, tuple[str,
     )
 
 
+MODEL_LOSS = f"""with {projected(TRIPLETS, 'trip', 'query_id', {
+    'x': ('abstract_x', 'vec_x', WEIGHTS.replace('+ hit', '+ hit_x')),
+    'y': ('abstract_y', 'vec_y', WEIGHTS.replace('+ hit', '+ hit_y'))})}
+select round(avg(greatest({euclidean('anchor', 'y_x')} - {euclidean('anchor', 'y_y')} + 0.5, 0)), 6) as loss,
+count(*) as n_pairs from model_out"""
+
+
+def vector_loss(formula) -> str:
+    """Loss over all triplets whose query has a vector, and their number."""
+    return f"""with {TRIPLETS}, a as (select vec_id, embedding::double[] as anchor from embeddings)
+select round(avg(greatest(({formula('anchor', 'vec_x')}) - ({formula('anchor', 'vec_y')}) + 0.5, 0)), 6) as loss,
+count(*) as n_pairs from trip join a on a.vec_id = trip.query_index"""
+
+
 def head(vector: str = "embedding::double[]") -> str:
     (w1, b1), (w2, b2) = fx.test_head()
     hidden = [
@@ -206,6 +220,11 @@ scored as (select *, sha256(abstract) as passage_key,
     round({letter_distance('query_text', 'abstract')}, 6) as dist from cand)"""
 )
 
+RUN_CORPUS = f"""with {SEARCH} select query_index, hit::int as hit, score, c.url_dbpedia,
+c.predicate, md5('"' || d.text || '"@en ') as abstract, c.url_wikipedia
+from d_run r join documents d using (doc_id)
+join ({QUADS}) c on c.url_dbpedia = '{fx.RESOURCE}' || r.doc_id"""
+
 ORACLE = {
     "tokenize_counts": f"select term, count(*) as n from (select unnest({words('text')}) as term"
     " from documents) group by term",
@@ -266,10 +285,8 @@ select row_number() over (order by item_id) - 1 as ordinal, array_to_string(w, '
     f" from ({QUADS})",
     "entity_key": f"select '{fx.RESOURCE}' || doc_id as url_dbpedia,"
     " '<dbpedia:Doc_' || doc_id || '>' as dbpedia_entity, 'Doc_' || doc_id as title from documents",
-    "run_corpus_join": f"""with {SEARCH} select query_index, hit::int as hit, score, c.url_dbpedia,
-c.predicate, md5('"' || d.text || '"@en ') as abstract, c.url_wikipedia
-from d_run r join documents d using (doc_id)
-join ({QUADS}) c on c.url_dbpedia = '{fx.RESOURCE}' || r.doc_id""",
+    "run_corpus_join": RUN_CORPUS,
+    "run_corpus_filtered": RUN_CORPUS,
     "run_grades": f"with {CANDIDATES} select query_index, hit, score, dbpedia_entity, query_id,"
     " query_text, qrel from cand",
     "title_lookup": f"with {CANDIDATES} select query_index, hit, dbpedia_entity,"
@@ -317,9 +334,10 @@ from n where n_pos = 0 or n_pos > n_neg""",
     "dist_euclidean": distance(euclidean),
     "dist_manhattan": distance(manhattan),
     "dist_cosine": distance(cosine),
-    "triplet_loss": f"""with {TRIPLETS}, a as (select vec_id, embedding::double[] as anchor from embeddings)
-select round(avg(greatest({euclidean('anchor', 'vec_x')} - {euclidean('anchor', 'vec_y')} + 0.5, 0)), 6) as loss
-from trip join a on a.vec_id = trip.query_index""",
+    "triplet_loss": f"select loss from ({vector_loss(euclidean)})",
+    "sampled_loss_euclidean": vector_loss(euclidean),
+    "sampled_loss_manhattan": vector_loss(manhattan),
+    "sampled_loss_cosine": vector_loss(cosine),
     "feature_concat": "with f as (select vec_id, list_concat(embedding::double[],"
     " list_reverse(embedding::double[]), [label::double]) as f from embeddings)"
     f" select vec_id, {shown('f')} as features from f",
@@ -335,11 +353,8 @@ from t group by doc_id""",
     {'p': ('abstract', 'vec', WEIGHTS)})}
 select 'letters@3' as experiment, query_id, dbpedia_entity, passage_key,
 round({euclidean('anchor', 'y_p')}, 6) as score from model_out""",
-    "model_triplet_loss": f"""with {projected(TRIPLETS, 'trip', 'query_id', {
-    'x': ('abstract_x', 'vec_x', WEIGHTS.replace('+ hit', '+ hit_x')),
-    'y': ('abstract_y', 'vec_y', WEIGHTS.replace('+ hit', '+ hit_y'))})}
-select round(avg(greatest({euclidean('anchor', 'y_x')} - {euclidean('anchor', 'y_y')} + 0.5, 0)), 6) as loss
-from model_out""",
+    "model_triplet_loss": f"select loss from ({MODEL_LOSS})",
+    "model_sampled_loss": MODEL_LOSS,
     "score_skip_existing": f"with {SCORED} select 'letters@1' as experiment, query_id, dbpedia_entity,"
     " passage_key, dist as score from scored where qrel is null",
     "scored_columns": f"with {SCORED} select query_id, dbpedia_entity, hit,"

@@ -15,7 +15,7 @@ from checks.files import FILES, stored_head
 from checks.fixtures import shown
 from rankflow.functions import text, vectors
 from rankflow.operators import candidates as cand
-from rankflow.operators import entities, folds, pooling, retrieval, scoring, triplets
+from rankflow.operators import entities, folds, losses, pooling, retrieval, scoring, triplets
 from rankflow.operators.numbering import rank_in_group
 from rankflow.session import land, ship
 from rankflow.sources import parse_quads
@@ -118,6 +118,13 @@ def run_corpus_join(spark, sf):
     return found.withColumn("abstract", F.md5("abstract"))
 
 
+@query
+def run_corpus_filtered(spark, sf):
+    """The same with a Bloom filter of the keys, as if they were too many for a broadcast."""
+    found = cand.attach_corpus(fx.run(spark, sf), fx.corpus(spark, sf), broadcast_bytes=64 << 10)
+    return found.withColumn("abstract", F.md5("abstract"))
+
+
 @query
 def run_grades(spark, sf):
     built = cand.build_candidates(
@@ -324,14 +331,34 @@ for _name in vectors.DISTANCES:
     _distance(_name)
 
 
-@query
-def triplet_loss(spark, sf):
-    """The query's vector against the filled vectors of positive and negative."""
+def _anchored(spark, sf, rows: DataFrame) -> DataFrame:
+    """Rows with the vector of their query; null where there is none."""
     anchors = fx.table(spark, sf, "embeddings").select(
         F.concat(F.lit("Q_"), F.col("vec_id").cast("string")).alias("query_id"),
         F.col("embedding").alias("anchor"),
     )
-    rows = fx.built_triplets(spark, sf).join(anchors, "query_id")
+    return rows.join(anchors, "query_id", "left")
+
+
+def _sampled_loss(metric: str):
+    def run(spark, sf):
+        """The loss of all pairs of positives and sampled negatives, none of which is built."""
+        rows = _anchored(spark, sf, fx.vector_candidates(spark, sf))
+        loss = losses.sampled_loss(rows, "anchor", "biggraph_embedding", metric, margin=0.5, seed=fx.SEED)
+        return loss.select(F.round("loss", 6).alias("loss"), "n_pairs")
+
+    run.__name__ = f"sampled_loss_{metric}"
+    return query(run)
+
+
+for _name in vectors.DISTANCES:
+    _sampled_loss(_name)
+
+
+@query
+def triplet_loss(spark, sf):
+    """The query's vector against the filled vectors of positive and negative."""
+    rows = _anchored(spark, sf, fx.built_triplets(spark, sf))
     return triplets.triplet_loss(
         rows, "anchor", "biggraph_embedding_x", "biggraph_embedding_y", margin=0.5
     ).select(F.round("loss", 6).alias("loss"))
@@ -403,6 +430,15 @@ def model_triplet_loss(spark, sf):
     return loss.select(F.round("loss", 6).alias("loss"))
 
 
+@query
+def model_sampled_loss(spark, sf):
+    """The same number from the candidates, without triplets."""
+    loss = scoring.model_sampled_loss(
+        fx.vector_candidates(spark, sf), fx.letter_encoder, margin=0.5, seed=fx.SEED, **_vector_model(spark)
+    )
+    return loss.select(F.round("loss", 6).alias("loss"), "n_pairs")
+
+
 @query
 def score_skip_existing(spark, sf):
     """Judged candidates are scored already, so only the unjudged are scored now."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rankflow.functions import text, vectors
 from rankflow.operators.numbering import dense_ordinal
-from rankflow.operators.reduction import keep_keys
+from rankflow.operators.reduction import BROADCAST_BYTES, keep_keys
 from rankflow.session import land
 
 CANDIDATE_COLUMNS = (
@@ -31,9 +31,11 @@ CANDIDATE_COLUMNS = (
 )
 
 
-def attach_corpus(run: DataFrame, corpus: DataFrame) -> DataFrame:
+def attach_corpus(
+    run: DataFrame, corpus: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Only the texts of hits are shuffled, if any; the corpus is scanned once."""
-    return run.join(keep_keys(corpus, run, "url_dbpedia"), "url_dbpedia")
+    return run.join(keep_keys(corpus, run, "url_dbpedia", broadcast_bytes), "url_dbpedia")
 
 
 def judged_queries(queries: DataFrame, grades: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,3 +105,33 @@ def running_total(
         .withColumn(name, F.col("_offset") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .drop("_block", "_offset")
     )
+
+
+def running_sums(
+    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], sums: Mapping[str, str]
+) -> DataFrame:
+    """Sums within each group up to and including a row, in the given order; a hot group is many tasks' work.
+
+    ``sums`` maps each new column to the column it adds up. One range-partitioned sort, landed; a window never
+    leaves a sorted partition, and partitions of one group are linked by their totals, of which there are
+    as many as partitions that hold the group. Sums start anew in each group, so that a group's sums don't
+    lose digits to those of others. Rows that tie come in any order. Groups must not be null.
+    """
+    tie = F.monotonically_increasing_id()  # rows of one group and one place are parted too
+    placed = land(
+        df.withColumn("_tie", tie)
+        .orderBy(*group, *order, "_tie")
+        .drop("_tie")
+        .withColumn("_place", F.monotonically_increasing_id())
+    ).withColumn("_part", F.shiftright("_place", _POSITION_BITS))
+    names = {name: f"_before_{i}" for i, name in enumerate(sums)}
+    totals = placed.groupBy("_part", *group).agg(*[F.sum(c).alias(names[n]) for n, c in sums.items()])
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = land(totals.withColumns({b: F.coalesce(F.sum(b).over(earlier), F.lit(0)) for b in names.values()}))
+    inside = Window.partitionBy("_part", *group).orderBy("_place")
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = placed.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
+    linked = summed.join(before, ["_part", *group])
+    return linked.withColumns({n: F.col(n) + F.col(b) for n, b in names.items()}).drop(
+        "_part", "_place", *names.values()
+    )

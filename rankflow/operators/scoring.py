@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from rankflow.functions.text import score_name
 from rankflow.functions.vectors import DISTANCES, TRIPLET_MARGIN, features, finite
+from rankflow.operators.losses import hinge_loss, sampled_sides
 from rankflow.operators.reduction import keep_keys
 from rankflow.operators.triplets import triplet_loss
 from rankflow.session import land
@@ -129,20 +130,40 @@ def score_candidates(
     joined. The result is written to a new place or appended to a score table; the candidate table
     stays as it is.
     """
-    _check_head(head, graph, weights)
     if existing is not None:
         candidates = unscored(candidates, existing, experiment)
-    wanted = [*SCORE_KEYS, "query_text", "abstract"]
-    wanted += ["biggraph_embedding"] if graph else []
-    wanted += ["deepct_weights"] if weights else []
-    rows = with_passage_key(candidates).select(*wanted)
-    queries, passages = embedded or embed_sides(rows, load_encoder, batch_size)
-    rows = rows.withColumn("_query_key", text_key("query_text")).drop("query_text", "abstract")
+    model = {"head": head, "graph": graph, "weights": weights, "weight_dim": weight_dim, "metric": metric}
+    rows = candidate_distances(
+        with_passage_key(candidates), SCORE_KEYS, load_encoder, **model, batch_size=batch_size, embedded=embedded
+    )
+    return rows.select(F.lit(experiment).alias("experiment"), *SCORE_KEYS, F.col("distance").alias("score"))
+
+
+def candidate_distances(
+    candidates: DataFrame,
+    keep: Sequence[str],
+    load_encoder: Callable[[], Encoder],
+    head: list[tuple[np.ndarray, np.ndarray]] | None = None,
+    graph: bool = False,
+    weights: bool = False,
+    weight_dim: int = 100,
+    metric: str = "euclidean",
+    batch_size: int = BATCH_SIZE,
+    embedded: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """The columns ``keep`` of every candidate, and the model's ``distance`` of its query and passage."""
+    _check_head(head, graph, weights)
+    vectors = ["biggraph_embedding"] * graph + ["deepct_weights"] * weights
+    queries, passages = embedded or embed_sides(
+        candidates.select(*SCORE_KEYS[:2], "query_text", "abstract"), load_encoder, batch_size
+    )
+    rows = candidates.select(
+        *keep, *vectors, text_key("query_text").alias("_query_key"), text_key("abstract").alias("_passage_key")
+    )
     rows = attach_embedding(rows, queries, "_query_key", "_query")
-    rows = attach_embedding(rows, passages, "passage_key", "_passage")
+    rows = attach_embedding(rows, passages, "_passage_key", "_passage")
     rows = _entity_side(rows, "_passage", "biggraph_embedding", "deepct_weights", head, graph, weights, weight_dim)
-    score = DISTANCES[metric](F.col("_query"), F.col("_passage"))
-    return rows.select(F.lit(experiment).alias("experiment"), *SCORE_KEYS, score.alias("score"))
+    return rows.select(*keep, DISTANCES[metric](F.col("_query"), F.col("_passage")).alias("distance"))
 
 
 def _check_head(head, graph: bool, weights: bool) -> None:
@@ -202,6 +223,25 @@ def model_triplet_loss(
     return triplet_loss(rows, "_anchor", "_side_x", "_side_y", metric, margin)
 
 
+def model_sampled_loss(
+    candidates: DataFrame,
+    load_encoder: Callable[[], Encoder],
+    margin: float = TRIPLET_MARGIN,
+    seed: int = 42,
+    **model,
+) -> DataFrame:
+    """(loss, n_pairs) of a model on the triplets of the candidates, none of which is built.
+
+    Each candidate's distance is measured once; ``model_triplet_loss`` measures two in every triplet.
+    """
+    sides = land(sampled_sides(candidates, seed))
+    measured = candidate_distances(sides, ("query_id", "query_text", "is_positive"), load_encoder, **model)
+    query = [F.sha2(c, 256).alias(c) for c in ("query_id", "query_text")]
+    return hinge_loss(
+        measured.select(*query, "is_positive", "distance"), ("query_id", "query_text"), "distance", "is_positive", margin
+    )
+
+
 def attach_scores(
     candidates: DataFrame, scores: DataFrame, experiment: str, name: str
 ) -> DataFrame:

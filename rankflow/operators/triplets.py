@@ -163,10 +163,14 @@ def triplet_loss(
     metric: str = "euclidean",
     margin: float = TRIPLET_MARGIN,
 ) -> DataFrame:
-    """Mean of max(d(anchor, positive) - d(anchor, negative) + margin, 0)."""
+    """Mean of max(d(anchor, positive) - d(anchor, negative) + margin, 0).
+
+    A triplet without one of its vectors has no loss and doesn't count.
+    """
     distance = DISTANCES[metric]
     gap = distance(F.col(anchor), F.col(positive)) - distance(F.col(anchor), F.col(negative))
-    return triplets.agg(F.avg(F.greatest(gap + F.lit(margin), F.lit(0.0))).alias("loss"))
+    hinge = F.when(gap.isNotNull(), F.greatest(gap + F.lit(margin), F.lit(0.0)))
+    return triplets.agg(F.avg(hinge).alias("loss"))
 
 
 def shape_triplets(
