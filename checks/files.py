@@ -12,7 +12,9 @@ from rankflow import sinks, sources
 from rankflow.functions import text, vectors
 from rankflow.operators import candidates as cand
 from rankflow.operators import entities, folds, scoring
+from rankflow.operators.vector_store import VectorStore
 from rankflow.session import shared_folder
+from rankflow.sinks.snapshots import SnapshotTable
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -169,6 +171,27 @@ def stage_table(spark, sf):
     return sinks.materialise(spark, path, lambda: judged.limit(0), parameters={"k": 2})
 
 
+def score_snapshots(spark, sf):
+    """Scores of two runs: pinned to the first, and the newest of each candidate."""
+    table = SnapshotTable(spark, place(spark, "scores"), scoring.SCORES)
+    rows = scoring.with_passage_key(fx.candidates(spark, sf))
+    scored = rows.select(F.lit("m").alias("experiment"), *scoring.SCORE_KEYS, F.col("score"), "qrel")
+    first = table.append(scored.drop("qrel"), {"run": 1})
+    table.append(scored.where("qrel is not null").withColumn("score", -F.col("score")).drop("qrel"), {"run": 2})
+    keys = ["experiment", *scoring.SCORE_KEYS]
+    pinned = table.read(first).withColumn("reader", F.lit("pinned"))
+    return pinned.unionByName(table.newest(keys).withColumn("reader", F.lit("newest")))
+
+
+def vector_snapshots(spark, sf):
+    """Vectors of all passages after two runs, and which of them made each: the first has the judged only."""
+    store = VectorStore(spark, place(spark, "vectors"), "letters@1")
+    rows = fx.candidates(spark, sf)
+    for part in (rows.where("qrel is not null"), rows):
+        store.embed(part, "abstract", fx.letter_encoder)
+    return store.table.read().select("text_key", fx.shown(F.col("embedding")).alias("vector"), "snapshot")
+
+
 def table_file(spark, sf):
     path = place(spark, "table")
     sinks.write_parquet(fx.corpus(spark, sf), path)
@@ -206,5 +229,5 @@ def head_table(spark, sf):
 FILES = (
     quad_file, quad_rejects, run_file, grades_file, queries_file, topics_file, article_grades_file, names_file,
     vectors_file, weights_file, folds_file, entity_lists_file, pages_csv, search_docs_file, fold_tables, stage_table,
-    table_file, title_map_table, wiki_pages_table, head_table,
+    score_snapshots, vector_snapshots, table_file, title_map_table, wiki_pages_table, head_table,
 )

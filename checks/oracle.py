@@ -274,6 +274,15 @@ select row_number() over (order by item_id) - 1 as ordinal, array_to_string(w, '
     " from cand join folds using (query_id)",
     "stage_table": f"with {SEARCH} select item_id as query_index, 'Q_' || item_id as query_id, text as query_text"
     " from benchmark where item_id in (select query_index from d_run join labels using (doc_id))",
+    "score_snapshots": f"""with {CANDIDATES},
+keyed as (select 'm' as experiment, query_id, dbpedia_entity, sha256(abstract) as passage_key, score, qrel from cand)
+select * exclude qrel, 1::bigint as snapshot, 'pinned' as reader from keyed
+union all select * exclude qrel replace (case when qrel is null then score else -score end as score),
+  case when qrel is null then 1 else 2 end::bigint, 'newest' from keyed""",
+    "vector_snapshots": f"""with {CANDIDATES},
+texts as (select abstract, bool_or(qrel is not null) as judged from cand group by abstract)
+select sha256(abstract) as text_key, {shown(letter_vector('abstract'))} as vector,
+  case when judged then 1 else 2 end::bigint as snapshot from texts""",
     "table_file": f"select url_dbpedia, predicate, md5(text) as abstract, url_wikipedia from (select *,"
     f" '\"' || doc_text || '\"@en ' as text from (select url_dbpedia, predicate, url_wikipedia, text as doc_text"
     f" from ({QUADS}) c join documents d on c.url_dbpedia = '{fx.RESOURCE}' || d.doc_id))",

@@ -7,64 +7,20 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rankflow.functions.text import score_name
 from rankflow.functions.vectors import DISTANCES, TRIPLET_MARGIN, features, finite
+from rankflow.operators.embedding import BATCH_SIZE, Encoder, attach_embedding, embed_sides, embed_texts, text_key
 from rankflow.operators.losses import hinge_loss, sampled_sides
-from rankflow.operators.reduction import keep_keys
 from rankflow.operators.triplets import triplet_loss
+from rankflow.operators.vector_store import VectorStore
 from rankflow.session import land
 
-# Rows per call of the encoder.
-BATCH_SIZE = 10_000
 # What a score belongs to. The passage is part of it, because an entity may have two texts.
 SCORE_KEYS = ("query_id", "dbpedia_entity", "passage_key")
-
-Encoder = Callable[[np.ndarray], np.ndarray]
-
-
-def text_key(column: str) -> Column:
-    """A short key for joining vectors back to texts without shuffling the texts again."""
-    return F.sha2(column, 256)
-
-
-def embed_texts(
-    texts: DataFrame, column: str, load_encoder: Callable[[], Encoder], batch_size: int = BATCH_SIZE
-) -> DataFrame:
-    """``text_key, embedding`` for every distinct text of ``column``.
-
-    ``load_encoder`` runs once per Python worker and returns a function from an array of texts to
-    a matrix of vectors. Keys are made distinct first, so that a text that stands on many rows is
-    fetched from one of them and not moved with all. ``texts`` is read twice and should be a table.
-    """
-    encode = predict_batch_udf(
-        load_encoder, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size
-    )
-    keyed = texts.select(
-        text_key(column).alias("text_key"), F.col(column).alias("_text"), F.xxhash64(*texts.columns).alias("_id")
-    ).where("_text is not null")
-    first = keyed.groupBy("text_key").agg(F.min("_id").alias("_id"))
-    distinct = keep_keys(keyed, first, "_id").dropDuplicates(["text_key"])
-    return distinct.select("text_key", encode("_text").alias("embedding"))
-
-
-def embed_sides(
-    candidates: DataFrame, load_encoder: Callable[[], Encoder], batch_size: int = BATCH_SIZE
-) -> tuple[DataFrame, DataFrame]:
-    """The vectors of all queries and passages, landed."""
-    sides = ("query_text", "abstract")
-    queries, passages = (embed_texts(candidates, c, load_encoder, batch_size) for c in sides)
-    return land(queries), land(passages)
-
-
-def attach_embedding(rows: DataFrame, embedded: DataFrame, key: str, name: str) -> DataFrame:
-    """Vectors joined on the short key of a text; the text itself is not shuffled."""
-    vectors = embedded.select(F.col("text_key").alias(key), F.col("embedding").alias(name))
-    return rows.join(vectors, key, "left")
+SCORES = "experiment string, query_id string, dbpedia_entity string, passage_key string, score double"
 
 
 def load_head(weights: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -118,10 +74,12 @@ def score_candidates(
     batch_size: int = BATCH_SIZE,
     existing: DataFrame | None = None,
     embedded: tuple[DataFrame, DataFrame] | None = None,
+    store: VectorStore | None = None,
 ) -> DataFrame:
     """``experiment`` and score per candidate, lower is better.
 
-    ``embedded`` holds the vectors of queries and passages where ``embed_sides`` has made them before.
+    ``embedded`` holds the vectors of queries and passages where ``embed_sides`` has made them before;
+    ``store`` keeps them between runs.
 
     Graph or weight vectors need a head that projects them back to the width of the encoder.
 
@@ -134,7 +92,8 @@ def score_candidates(
         candidates = unscored(candidates, existing, experiment)
     model = {"head": head, "graph": graph, "weights": weights, "weight_dim": weight_dim, "metric": metric}
     rows = candidate_distances(
-        with_passage_key(candidates), SCORE_KEYS, load_encoder, **model, batch_size=batch_size, embedded=embedded
+        with_passage_key(candidates), SCORE_KEYS, load_encoder, **model,
+        batch_size=batch_size, embedded=embedded, store=store,
     )
     return rows.select(F.lit(experiment).alias("experiment"), *SCORE_KEYS, F.col("distance").alias("score"))
 
@@ -150,12 +109,13 @@ def candidate_distances(
     metric: str = "euclidean",
     batch_size: int = BATCH_SIZE,
     embedded: tuple[DataFrame, DataFrame] | None = None,
+    store: VectorStore | None = None,
 ) -> DataFrame:
     """The columns ``keep`` of every candidate, and the model's ``distance`` of its query and passage."""
     _check_head(head, graph, weights)
     vectors = ["biggraph_embedding"] * graph + ["deepct_weights"] * weights
     queries, passages = embedded or embed_sides(
-        candidates.select(*SCORE_KEYS[:2], "query_text", "abstract"), load_encoder, batch_size
+        candidates.select(*SCORE_KEYS[:2], "query_text", "abstract"), load_encoder, batch_size, store
     )
     rows = candidates.select(
         *keep, *vectors, text_key("query_text").alias("_query_key"), text_key("abstract").alias("_passage_key")
@@ -259,7 +219,7 @@ def score_experiments(
 
     Experiments of one encoder share its vectors, unless rows that are scored already set them apart.
     """
-    encoders = [(e["load_encoder"], e.get("batch_size", BATCH_SIZE)) for e in experiments]
+    encoders = [(e["load_encoder"], e.get("batch_size", BATCH_SIZE), e.get("store")) for e in experiments]
     shared = {}
     if existing is None:
         shared = {e: embed_sides(candidates, *e) for e in dict.fromkeys(encoders) if encoders.count(e) > 1}

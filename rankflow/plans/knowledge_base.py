@@ -16,10 +16,12 @@ from rankflow import sources
 from rankflow.operators import candidates as cand
 from rankflow.operators import retrieval, triplets
 from rankflow.operators.folds import split_folds
-from rankflow.operators.scoring import attach_scores, load_head, score_experiments
+from rankflow.operators.scoring import SCORE_KEYS, SCORES, attach_scores, load_head, score_experiments
+from rankflow.operators.vector_store import VectorStore
 from rankflow.plans.inputs import KnowledgeBaseInputs
 from rankflow.session import land
 from rankflow.sinks import materialise, write_folds
+from rankflow.sinks.snapshots import VERSION, SnapshotTable
 
 # Hits per query.
 K = 1000
@@ -187,9 +189,7 @@ def scores(
     with the folds gives the scores of every fold.
     """
     rows = complete_candidates(spark, inputs, out, k)
-    head = load_head(sources.read_head(spark, inputs.head)) if inputs.head else None
-    given = [{"weight_dim": inputs.weight_dim} | e for e in experiments]
-    given = [{"head": head} | e if e.get("graph") or e.get("weights") else e for e in given]
+    given = _with_heads(spark, inputs, experiments)
     names = [e["experiment"] for e in experiments]
     return materialise(
         spark,
@@ -199,6 +199,39 @@ def scores(
     )
 
 
+def append_scores(
+    spark: SparkSession,
+    inputs: KnowledgeBaseInputs,
+    out: str,
+    experiments: Sequence[dict],
+    k: int = K,
+) -> tuple[DataFrame, int]:
+    """All scores of the score store under ``out``, and the version they were read at.
+
+    Candidates that an experiment has not scored yet are scored now and appended; a row counts with its
+    newest score. Vectors are kept as well, for experiments that name their encoder in ``encoder``.
+    """
+    rows = complete_candidates(spark, inputs, out, k)
+    table = SnapshotTable(spark, f"{out}/score_store", SCORES)
+    base = table.version()
+    known = land(table.newest(["experiment", *SCORE_KEYS], base).drop(VERSION))
+    given = []
+    for e in _with_heads(spark, inputs, experiments):
+        name = e.pop("encoder", None)
+        given.append(e | {"store": VectorStore(spark, f"{out}/vector_store", name)} if name else e)
+    missing = land(score_experiments(rows, given, known))
+    if not missing.isEmpty():
+        base = table.append(missing, {"experiments": [e["experiment"] for e in given]})
+    return table.newest(["experiment", *SCORE_KEYS], base).drop(VERSION), base
+
+
+def _with_heads(spark, inputs, experiments: Sequence[dict]) -> list[dict]:
+    """Experiments with the weight width of the inputs, and their head where vectors need one."""
+    head = load_head(sources.read_head(spark, inputs.head)) if inputs.head else None
+    given = [{"weight_dim": inputs.weight_dim} | e for e in experiments]
+    return [{"head": head} | e if e.get("graph") or e.get("weights") else e for e in given]
+
+
 def wide_scores(
     spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, scored: DataFrame, experiment: str, name: str, k: int = K
 ) -> DataFrame:

@@ -68,12 +68,9 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
-def _manifest(spark: SparkSession, path: str) -> dict | None:
-    if not is_complete(spark, path):
-        return None
-    files, at = hadoop_path(spark, f"{path}/{MANIFEST}")
-    if not files.exists(at):
-        return None
+def read_json(spark: SparkSession, path: str):
+    """A small JSON file of any file system."""
+    files, at = hadoop_path(spark, path)
     stream = files.open(at)
     try:
         text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -82,15 +79,26 @@ def _manifest(spark: SparkSession, path: str) -> dict | None:
     return json.loads(text)
 
 
-def _finish(spark: SparkSession, temporary: str, path: str, manifest: dict) -> None:
-    """Put the manifest into a written table and move it to its place."""
-    files, at = hadoop_path(spark, f"{temporary}/{MANIFEST}")
+def write_json(spark: SparkSession, path: str, value) -> None:
+    files, at = hadoop_path(spark, path)
     stream = files.create(at, True)
     try:
-        stream.write(json.dumps(manifest).encode())
+        stream.write(json.dumps(value).encode())
     finally:
         stream.close()
-    _, old = hadoop_path(spark, path)
+
+
+def _manifest(spark: SparkSession, path: str) -> dict | None:
+    if not is_complete(spark, path):
+        return None
+    files, at = hadoop_path(spark, f"{path}/{MANIFEST}")
+    return read_json(spark, f"{path}/{MANIFEST}") if files.exists(at) else None
+
+
+def _finish(spark: SparkSession, temporary: str, path: str, manifest: dict) -> None:
+    """Put the manifest into a written table and move it to its place."""
+    write_json(spark, f"{temporary}/{MANIFEST}", manifest)
+    files, old = hadoop_path(spark, path)
     _, new = hadoop_path(spark, temporary)
     files.delete(old, True)
     files.mkdirs(old.getParent())
