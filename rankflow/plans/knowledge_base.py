@@ -1,13 +1,13 @@
 """From a knowledge-base dump to candidate folds, triplets and scores.
 
-Each stage is a table under ``out`` that is computed when it is missing or was made with other inputs
-or parameters, so a run that was stopped goes on after its last finished stage.
+Each stage is a table under ``out`` that is computed when it is missing or was made from other files, other
+parameters or other earlier stages. So a run that was stopped goes on after its last finished stage, and a
+changed file renews what depends on it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,23 +21,31 @@ from rankflow.operators.vector_store import VectorStore
 from rankflow.plans.inputs import KnowledgeBaseInputs
 from rankflow.session import land
 from rankflow.sinks import materialise, write_folds
+from rankflow.sinks.lineage import described, frame_fingerprint
 from rankflow.sinks.snapshots import VERSION, SnapshotTable
 
 # Hits per query.
 K = 1000
 
 
-def _stage(spark, inputs, out: str, name: str, build, write=None, **parameters) -> DataFrame:
-    """One stage; its manifest holds the inputs and parameters, so that others start it anew."""
-    known = asdict(inputs) | parameters
-    return materialise(spark, f"{out}/{name}", build, parameters=known, write=write)
+def _stage(spark, inputs, out: str, name: str, build, reads=(), after=(), write=None, **parameters) -> DataFrame:
+    """One stage, known by the inputs it reads, the stages it comes after, and its parameters."""
+    return materialise(
+        spark,
+        f"{out}/{name}",
+        build,
+        parameters=parameters,
+        write=write,
+        reads=[getattr(inputs, r) for r in reads],
+        after=[f"{out}/{a}" for a in after],
+    )
 
 
 def corpus(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str) -> DataFrame:
     def build():
         return sources.parse_quads(sources.read_quad_lines(spark, inputs.quads))
 
-    return _stage(spark, inputs, out, "corpus", build)
+    return _stage(spark, inputs, out, "corpus", build, reads=["quads"])
 
 
 def rejects(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str) -> DataFrame:
@@ -46,59 +54,85 @@ def rejects(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str) -> DataF
     def build():
         return sources.rejected_quads(sources.read_quad_lines(spark, inputs.quads))
 
-    return _stage(spark, inputs, out, "rejects", build)
+    return _stage(spark, inputs, out, "rejects", build, reads=["quads"])
 
 
 def index(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str) -> retrieval.Index:
     """Document vectors and document frequencies, counted once for all searches."""
+    texts = corpus(spark, inputs, out)
 
     def build():
-        vectors = land(retrieval.doc_vectors(corpus(spark, inputs, out), "url_dbpedia", "abstract"))
-        return retrieval.unique_documents(vectors)
+        return retrieval.unique_documents(land(retrieval.doc_vectors(texts, "url_dbpedia", "abstract")))
 
-    documents = _stage(spark, inputs, out, "index", build)
+    documents = _stage(spark, inputs, out, "index", build, after=["corpus"])
     frequencies = _stage(
-        spark, inputs, out, "index_frequencies", lambda: retrieval.document_frequency(documents)
+        spark, inputs, out, "index_frequencies", lambda: retrieval.document_frequency(documents), after=["index"]
     )
     return retrieval.with_counts(documents, frequencies)
 
 
 def queries(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str) -> DataFrame:
-    return _stage(spark, inputs, out, "queries", lambda: sources.read_queries(spark, inputs.queries))
+    def build():
+        return sources.read_queries(spark, inputs.queries)
+
+    return _stage(spark, inputs, out, "queries", build, reads=["queries"])
 
 
 def run(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = K) -> DataFrame:
+    if inputs.run:
+        return _stage(spark, inputs, out, "run", lambda: sources.read_run(spark, inputs.run), reads=["run"])
+    documents = index(spark, inputs, out)
+    asked = queries(spark, inputs, out).select("query_index", "query_text")
+
     def build():
-        if inputs.run:
-            return sources.read_run(spark, inputs.run)
-        asked = queries(spark, inputs, out).select("query_index", "query_text")
-        hits = retrieval.bm25_search(index(spark, inputs, out), asked, k)
-        return hits.withColumnRenamed("doc_id", "url_dbpedia")
+        return retrieval.bm25_search(documents, asked, k).withColumnRenamed("doc_id", "url_dbpedia")
 
-    return _stage(spark, inputs, out, "run", build, k=k)
+    return _stage(spark, inputs, out, "run", build, after=["index", "index_frequencies", "queries"], k=k)
 
 
 def candidates(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = K) -> DataFrame:
     """Hits with text, query and grade."""
+    hits, texts = run(spark, inputs, out, k), corpus(spark, inputs, out)
+    asked = queries(spark, inputs, out)
 
     def build():
-        return cand.build_candidates(
-            run(spark, inputs, out, k),
-            corpus(spark, inputs, out),
-            queries(spark, inputs, out),
-            sources.read_grades(spark, inputs.grades),
-        )
+        return cand.build_candidates(hits, texts, asked, sources.read_grades(spark, inputs.grades))
 
-    return _stage(spark, inputs, out, "candidates", build, k=k)
+    return _stage(
+        spark, inputs, out, "candidates", build, reads=["grades"], after=["run", "corpus", "queries"]
+    )
 
 
 def skipped_queries(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = K) -> DataFrame:
     """Judged queries that give no triplets, and why."""
+    rows = candidates(spark, inputs, out, k)
 
     def build():
-        return triplets.skipped_queries(triplets.judged_counts(candidates(spark, inputs, out, k)))
+        return triplets.skipped_queries(triplets.judged_counts(rows))
 
-    return _stage(spark, inputs, out, "skipped_queries", build, k=k)
+    return _stage(spark, inputs, out, "skipped_queries", build, after=["candidates"])
+
+
+def entities(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = K) -> DataFrame:
+    """Id, index and vector of the distinct entities among the candidates."""
+    rows = candidates(spark, inputs, out, k)
+    names = _stage(
+        spark, inputs, out, "entity_names", lambda: sources.read_entity_names(spark, inputs.entity_names),
+        reads=["entity_names"],
+    )
+    vectors = _stage(
+        spark, inputs, out, "entity_vectors",
+        lambda: sources.read_entity_vectors(spark, inputs.entity_vectors, inputs.vector_dim),
+        reads=["entity_vectors"], dim=inputs.vector_dim,
+    )
+
+    def build():
+        return cand.entity_table(rows, sources.read_title_map(spark, inputs.title_map), names, vectors)
+
+    return _stage(
+        spark, inputs, out, "entities", build,
+        reads=["title_map"], after=["candidates", "entity_names", "entity_vectors"],
+    )
 
 
 def vector_candidates(
@@ -109,67 +143,67 @@ def vector_candidates(
     ``ordinal`` numbers these merged rows in the order (query, hit): a title or name that stands twice
     in its file repeats a candidate, and each repeat has a line of its own among the weights.
     """
+    known = entities(spark, inputs, out, k)
+    rows = candidates(spark, inputs, out, k)
 
     def build():
-        names = _stage(
-            spark, inputs, out, "entity_names", lambda: sources.read_entity_names(spark, inputs.entity_names)
-        )
-        vectors = _stage(
-            spark,
-            inputs,
-            out,
-            "entity_vectors",
-            lambda: sources.read_entity_vectors(spark, inputs.entity_vectors, inputs.vector_dim),
-        )
-        rows = candidates(spark, inputs, out, k)
-        title_map = sources.read_title_map(spark, inputs.title_map)
-        entities = _stage(
-            spark, inputs, out, "entities", lambda: cand.entity_table(rows, title_map, names, vectors), k=k
-        )
-        return cand.number_candidates(cand.attach_entities(rows, entities))
-
-    return _stage(spark, inputs, out, "candidates_vec", build, k=k)
+        return cand.number_candidates(cand.attach_entities(rows, known))
+
+    return _stage(spark, inputs, out, "candidates_vec", build, after=["candidates", "entities"])
 
 
 def complete_candidates(
     spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = K
 ) -> DataFrame:
     """Filled vectors, token weights by ordinal and clean texts."""
+    rows = vector_candidates(spark, inputs, out, k)
+    weights = _stage(
+        spark, inputs, out, "token_weights", lambda: sources.read_token_weights(spark, inputs.token_weights),
+        reads=["token_weights"],
+    )
 
     def build():
-        weights = _stage(
-            spark, inputs, out, "token_weights", lambda: sources.read_token_weights(spark, inputs.token_weights)
-        )
-        filled = cand.fill_vectors(vector_candidates(spark, inputs, out, k), inputs.vector_dim)
+        filled = cand.fill_vectors(rows, inputs.vector_dim)
         return cand.clean_abstracts(cand.attach_token_weights(filled, weights))
 
-    return _stage(spark, inputs, out, "candidates_complete", build, k=k)
+    return _stage(
+        spark, inputs, out, "candidates_complete", build,
+        after=["candidates_vec", "token_weights"], dim=inputs.vector_dim,
+    )
 
 
-def _folds_of(spark, inputs, out: str, name: str, rows: DataFrame, **parameters) -> DataFrame:
+def _folds_of(spark, inputs, out: str, name: str, rows: DataFrame, after: str) -> DataFrame:
     def build():
         return split_folds(rows, sources.read_folds(spark, inputs.folds))
 
-    return _stage(spark, inputs, out, name, build, write=write_folds, **parameters)
+    return _stage(spark, inputs, out, name, build, reads=["folds"], after=[after], write=write_folds)
 
 
 def fold_candidates(
     spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = K
 ) -> DataFrame:
     rows = complete_candidates(spark, inputs, out, k)
-    return _folds_of(spark, inputs, out, "fold_candidates", rows, k=k)
+    return _folds_of(spark, inputs, out, "fold_candidates", rows, "candidates_complete")
 
 
-def fold_triplets(
+def all_triplets(
     spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, seed: int = 42, k: int = K
 ) -> DataFrame:
-    """Triplets of every query, then of every fold: a query has the same triplets in all folds."""
+    """Triplets of every query."""
+    rows = complete_candidates(spark, inputs, out, k)
 
     def build():
-        return triplets.build_triplets(complete_candidates(spark, inputs, out, k), seed)
+        return triplets.build_triplets(rows, seed)
 
-    built = _stage(spark, inputs, out, "triplets", build, k=k, seed=seed)
-    return _folds_of(spark, inputs, out, "fold_triplets", built, k=k, seed=seed)
+    return _stage(spark, inputs, out, "triplets", build, after=["candidates_complete"], seed=seed)
+
+
+def fold_triplets(
+    spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, seed: int = 42, k: int = K
+) -> DataFrame:
+    """Triplets of every query, then of every fold: a query has the same triplets in all folds."""
+    built = all_triplets(spark, inputs, out, seed, k)
+    return _folds_of(spark, inputs, out, "fold_triplets", built, "triplets")
 
 
 def scores(
@@ -183,19 +217,21 @@ def scores(
 ) -> DataFrame:
     """Scores of all candidates for all experiments, at a path of its own.
 
-    An experiment that uses graph or weight vectors and brings no head takes the one of the inputs.
+    An experiment that uses graph or weight vectors and brings no head takes the one of the inputs. The table is
+    made anew when anything that decides a score is another: metric, flags, widths, the numbers of a head, the
+    name of an encoder, or the files of ``existing``.
 
     The folds are not scored one by one: a query is tested in one fold, so a join of this table
     with the folds gives the scores of every fold.
     """
     rows = complete_candidates(spark, inputs, out, k)
     given = _with_heads(spark, inputs, experiments)
-    names = [e["experiment"] for e in experiments]
     return materialise(
         spark,
         path,
         lambda: score_experiments(rows, given, existing),
-        parameters=asdict(inputs) | {"k": k, "experiments": names},
+        parameters={"experiments": [described(e) for e in given], "existing": frame_fingerprint(existing)},
+        after=[f"{out}/candidates_complete"],
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +13,15 @@ from rankflow.session import land
 from rankflow.sinks import materialise, write_entity_pages, write_search_documents, write_topics
 
 
-def _stage(spark, inputs, out: str, name: str, build, **parameters) -> DataFrame:
-    return materialise(spark, f"{out}/{name}", build, parameters=asdict(inputs) | parameters)
+def _stage(spark, inputs, out: str, name: str, build, reads=(), after=(), **parameters) -> DataFrame:
+    return materialise(
+        spark,
+        f"{out}/{name}",
+        build,
+        parameters=parameters,
+        reads=[getattr(inputs, r) for r in reads],
+        after=[f"{out}/{a}" for a in after],
+    )
 
 
 def index(spark: SparkSession, inputs: WikiInputs, out: str) -> retrieval.Index:
@@ -24,34 +29,39 @@ def index(spark: SparkSession, inputs: WikiInputs, out: str) -> retrieval.Index:
         vectors = retrieval.doc_vectors(sources.read_wiki_pages(spark, inputs.pages), "id", "text")
         return retrieval.unique_documents(land(vectors))
 
-    documents = _stage(spark, inputs, out, "index", build)
+    documents = _stage(spark, inputs, out, "index", build, reads=["pages"])
     frequencies = _stage(
-        spark, inputs, out, "index_frequencies", lambda: retrieval.document_frequency(documents)
+        spark, inputs, out, "index_frequencies", lambda: retrieval.document_frequency(documents), after=["index"]
     )
     return retrieval.with_counts(documents, frequencies)
 
 
 def run(spark: SparkSession, inputs: WikiInputs, out: str, k: int = 1000) -> DataFrame:
+    if inputs.run:
+        return _stage(spark, inputs, out, "run", lambda: sources.read_run(spark, inputs.run, "id"), reads=["run"])
+    documents = index(spark, inputs, out)
+
     def build():
-        if inputs.run:
-            return sources.read_run(spark, inputs.run, "id")
         queries = sources.read_queries(spark, inputs.queries).select("query_index", "query_text")
-        hits = retrieval.bm25_search(index(spark, inputs, out), queries, k)
-        return hits.withColumnRenamed("doc_id", "id")
+        return retrieval.bm25_search(documents, queries, k).withColumnRenamed("doc_id", "id")
 
-    return _stage(spark, inputs, out, "run", build, k=k)
+    return _stage(spark, inputs, out, "run", build, reads=["queries"], after=["index", "index_frequencies"], k=k)
 
 
 def candidates(spark: SparkSession, inputs: WikiInputs, out: str, k: int = 1000) -> DataFrame:
+    hits = run(spark, inputs, out, k)
+
     def build():
         return cand.build_wiki_candidates(
-            run(spark, inputs, out, k),
+            hits,
             sources.read_queries(spark, inputs.queries),
             sources.read_wiki_pages(spark, inputs.pages),
             sources.read_article_grades(spark, inputs.article_grades),
         )
 
-    return _stage(spark, inputs, out, "candidates", build, k=k)
+    return _stage(
+        spark, inputs, out, "candidates", build, reads=["queries", "pages", "article_grades"], after=["run"]
+    )
 
 
 def write_search_inputs(spark: SparkSession, inputs: WikiInputs, out: str) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from rankflow.operators.numbering import dense_ordinal
 from rankflow.session import hadoop_path
+from rankflow.sinks.lineage import digest_of, file_fingerprint
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "zstd") -> None:
@@ -106,6 +107,14 @@ def _finish(spark: SparkSession, temporary: str, path: str, manifest: dict) -> N
         raise OSError(f"cannot move {temporary} to {path}")
 
 
+def stage_digest(spark: SparkSession, path: str) -> str:
+    """The digest of the finished stage at a path."""
+    manifest = _manifest(spark, path)
+    if manifest is None:
+        raise FileNotFoundError(f"there is no finished stage at {path}")
+    return manifest["digest"]
+
+
 def materialise(
     spark: SparkSession,
     path: str,
@@ -113,22 +122,32 @@ def materialise(
     compression: str = "zstd",
     parameters: dict | None = None,
     write: Callable[[DataFrame, str], None] | None = None,
+    reads: Sequence[str] = (),
+    after: Sequence[str] = (),
 ) -> DataFrame:
-    """Read the table at ``path``; if there is none for these parameters, build and write it first.
+    """Read the table at ``path``; if there is none made from the same things, build and write it first.
 
-    The table is written beside its place and moved there when its write was committed, together
-    with a manifest of the parameters and the schema. The leftovers of a failed run, and a table that
-    was made with other parameters, are replaced.
+    It is known by its ``parameters``, by the files of the sources it ``reads``, and by the digests of the
+    finished stages it comes ``after``. The table is written beside its place and moved there when its write was
+    committed, together with a manifest. The leftovers of a failed run, and a table that was made from
+    other things, are replaced.
     """
-    parameters = json.loads(json.dumps(parameters or {}))
+    made_from = {
+        "parameters": json.loads(json.dumps(parameters or {})),
+        "sources": {source: file_fingerprint(spark, source) for source in reads},
+        "stages": {stage: stage_digest(spark, stage) for stage in after},
+    }
+    # Where a stage lies is no part of what it is.
+    known = made_from | {"stages": list(made_from["stages"].values())}
+    digest = digest_of(known)
     manifest = _manifest(spark, path)
-    if manifest is None or manifest["parameters"] != parameters:
+    if manifest is None or manifest.get("digest") != digest:
         df = build()
         temporary = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
         if write is None:
             df.write.option("compression", compression).parquet(temporary)
         else:
             write(df, temporary)
-        manifest = {"parameters": parameters, "schema": df.schema.json()}
+        manifest = made_from | {"schema": df.schema.json(), "digest": digest}
         _finish(spark, temporary, path, manifest)
     return spark.read.schema(StructType.fromJson(json.loads(manifest["schema"]))).parquet(path)

@@ -2,8 +2,11 @@
 
 import gzip
 import json
+import os
+import shutil
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from checks.fixtures import letter_encoder
 from rankflow.plans import knowledge_base as kb
 from rankflow.plans import wiki
 from rankflow.plans.inputs import KnowledgeBaseInputs, WikiInputs
+from rankflow.sinks import writers
 
 RES = "http://dbpedia.org/resource/"
 TEXTS = {
@@ -176,3 +180,100 @@ def test_pages_of_entities(spark, tmp_path):
     wiki.write_pages_of_entities(spark, str(tmp_path / "entities.json"), str(tmp_path / "pages"), str(tmp_path / "csv"))
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "csv"))
     assert sorted((r.row, r.entity, r.document) for r in back.collect()) == [("0", "A", None), ("1", "B", "text\nof B")]
+
+
+@pytest.fixture
+def renewed(monkeypatch):
+    """The names of the stages that are written, since the list was last cleared."""
+    names = []
+    finish = writers._finish
+
+    def seen(spark, temporary, path, manifest):
+        names.append(path.rsplit("/", 1)[1])
+        return finish(spark, temporary, path, manifest)
+
+    monkeypatch.setattr(writers, "_finish", seen)
+    return names
+
+
+def copied(files, folder):
+    """The inputs as files of their own, which a test may change."""
+    shutil.copytree(str(files.quads).rsplit("/", 1)[0], folder)
+    names = [n for n, v in vars(files).items() if isinstance(v, str)]
+    return replace(files, **{n: f"{folder}/{getattr(files, n).rsplit('/', 1)[1]}" for n in names})
+
+
+def test_a_changed_file_renews_what_depends_on_it(spark, files, tmp_path, renewed):
+    inputs, at = copied(files, tmp_path / "in"), str(tmp_path / "out")
+
+    def changed_by(change):
+        change()
+        del renewed[:]
+        kb.fold_candidates(spark, inputs, at)
+        kb.fold_triplets(spark, inputs, at)
+        return set(renewed)
+
+    everything = changed_by(lambda: None)
+    assert {"corpus", "index", "run", "candidates", "entities", "fold_triplets"} <= everything
+    assert changed_by(lambda: None) == set()
+
+    late = {"candidates_complete", "fold_candidates", "triplets", "fold_triplets"}
+    grades = tmp_path / "in" / "grades.tsv"
+    got = changed_by(lambda: grades.write_text(grades.read_text().replace("Snow>\t0", "Snow>\t1")))
+    assert got == {"candidates", "entities", "candidates_vec", *late}
+    weights = tmp_path / "in" / "weights.txt"
+    assert changed_by(lambda: weights.write_text(weights.read_text().replace("t0", "s0"))) == {"token_weights", *late}
+    folds = tmp_path / "in" / "folds.json"
+    assert changed_by(lambda: folds.write_text(folds.read_text() + "\n")) == {"fold_candidates", "fold_triplets"}
+    title_map = spark.createDataFrame([("Sky", "Q2")], "title string, wikidata_id string")
+    got = changed_by(lambda: title_map.write.mode("overwrite").parquet(inputs.title_map))
+    assert got == {"entities", "candidates_vec", *late}
+    # The same time and size under the same name: taken for the same file. Another time is another file.
+    assert changed_by(lambda: os.utime(inputs.quads, (1, 1))) == everything - {"queries", "entity_names", "entity_vectors", "token_weights"}
+
+
+def test_a_stage_made_again_from_the_same_things_renews_nothing(spark, files, tmp_path, renewed):
+    inputs, at = copied(files, tmp_path / "in"), str(tmp_path / "out")
+    kb.candidates(spark, inputs, at)
+    del renewed[:]
+    os.remove(f"{at}/run/_SUCCESS")  # a stage that was lost
+    kb.candidates(spark, inputs, at)
+    assert renewed == ["run"]
+
+
+def test_scores_are_renewed_by_all_that_decides_them(spark, files, tmp_path, renewed):
+    at, path = str(tmp_path / "out"), str(tmp_path / "scores")
+    head = [(np.ones((2, 12)) / 10, np.zeros(2)), (np.ones((8, 2)), np.zeros(8))]
+    base = {"experiment": "m", "load_encoder": letter_encoder, "head": head, "graph": True, "weights": True}
+
+    def scored(**other):
+        existing = other.pop("existing", None)
+        del renewed[:]
+        rows = kb.scores(spark, files, at, [base | other], path, existing=existing)
+        rows = {(r.query_id, r.dbpedia_entity): round(r.score, 9) for r in rows.collect()}
+        return "scores" in renewed, rows
+
+    new, first = scored()
+    assert new and scored() == (False, first)
+    other_head = [(np.ones((2, 12)) / 10, np.zeros(2)), (np.ones((8, 2)) * 2, np.zeros(8))]
+    narrow = [(np.ones((2, 10)) / 10, np.zeros(2)), (np.ones((8, 2)), np.zeros(8))]
+    for other in ({"metric": "cosine"}, {"head": other_head}, {"weights": False, "head": narrow}, {"experiment": "n"}):
+        new, rows = scored(**other)
+        assert new and len(rows) == 8
+        assert other == {"experiment": "n"} or rows != first
+    assert scored()[0]
+    keep = kb.scores(spark, files, at, [base], path).where("query_id = 'Q_a'")
+    keep.write.parquet(str(tmp_path / "keep"))
+    new, rows = scored(existing=spark.read.parquet(str(tmp_path / "keep")))
+    assert new and {q for q, _ in rows} == {"Q_c"}
+
+
+def test_scores_are_kept_between_runs(spark, files, tmp_path):
+    at = str(tmp_path / "out")
+    first = {"experiment": "m@1", "load_encoder": letter_encoder, "encoder": "letters@1"}
+    rows, version = kb.append_scores(spark, files, at, [first])
+    assert version == 1 and rows.count() == 8
+    rows, version = kb.append_scores(spark, files, at, [first])
+    assert version == 1 and rows.count() == 8
+    rows, version = kb.append_scores(spark, files, at, [first, first | {"experiment": "m@2", "metric": "manhattan"}])
+    assert version == 2 and rows.groupBy("experiment").count().count() == 2 and rows.count() == 16
