@@ -14,6 +14,7 @@ from rankflow.operators import candidates as cand
 from rankflow.operators import entities, folds, scoring
 from rankflow.operators.vector_store import VectorStore
 from rankflow.session import shared_folder
+from rankflow.sinks.fold_store import FoldStore, write_fold_store
 from rankflow.sinks.snapshots import SnapshotTable
 
 
@@ -162,6 +163,36 @@ def fold_tables(spark, sf):
     return spark.read.schema("query_id string, dbpedia_entity string, hit int, qrel int, fold int, split string").parquet(path)
 
 
+def _fold_store(spark, sf) -> FoldStore:
+    path = place(spark, "fold_store")
+    keys = fx.candidates(spark, sf).select("query_id", "dbpedia_entity", "hit", "qrel", "abstract")
+    write_fold_store(keys, fx.folds(spark, sf), path)
+    return FoldStore(spark, path)
+
+
+def fold_store(spark, sf):
+    """Each row is written once and read once per fold."""
+    return _fold_store(spark, sf).all().withColumn("abstract", F.md5("abstract"))
+
+
+def fold_store_part(spark, sf):
+    """The test side of one fold and the training side of another, from their folders."""
+    store = _fold_store(spark, sf)
+    sides = [store.part(f, s).withColumns({"fold": F.lit(f), "split": F.lit(s)}) for f, s in ((1, "test"), (3, "training"))]
+    return sides[0].unionByName(sides[1]).withColumn("abstract", F.md5("abstract"))
+
+
+def stage_lineage(spark, sf):
+    """Two stages, one after the other; the file below them is another one the second time."""
+    source, first, second = (place(spark, n) for n in ("source", "first", "second"))
+    for rows in (fx.queries(spark, sf).limit(0), fx.queries(spark, sf)):
+        rows.write.mode("overwrite").parquet(source)
+        sinks.materialise(spark, first, lambda: spark.read.parquet(source), reads=[source])
+        judged = lambda: spark.read.parquet(first).join(fx.grades(spark, sf), "query_id", "left_semi")
+        found = sinks.materialise(spark, second, judged, after=[first])
+    return found
+
+
 def stage_table(spark, sf):
     """A stage of other parameters is built anew; one of the same parameters is read."""
     path = place(spark, "stage")
@@ -228,6 +259,7 @@ def head_table(spark, sf):
 
 FILES = (
     quad_file, quad_rejects, run_file, grades_file, queries_file, topics_file, article_grades_file, names_file,
-    vectors_file, weights_file, folds_file, entity_lists_file, pages_csv, search_docs_file, fold_tables, stage_table,
+    vectors_file, weights_file, folds_file, entity_lists_file, pages_csv, search_docs_file, fold_tables,
+    fold_store, fold_store_part, stage_lineage, stage_table,
     score_snapshots, vector_snapshots, table_file, title_map_table, wiki_pages_table, head_table,
 )

@@ -225,6 +225,11 @@ c.predicate, md5('"' || d.text || '"@en ') as abstract, c.url_wikipedia
 from d_run r join documents d using (doc_id)
 join ({QUADS}) c on c.url_dbpedia = '{fx.RESOURCE}' || r.doc_id"""
 
+JUDGED = (
+    f"with {SEARCH} select item_id as query_index, 'Q_' || item_id as query_id, text as query_text"
+    " from benchmark where item_id in (select query_index from d_run join labels using (doc_id))"
+)
+
 ORACLE = {
     "tokenize_counts": f"select term, count(*) as n from (select unnest({words('text')}) as term"
     " from documents) group by term",
@@ -272,8 +277,13 @@ select row_number() over (order by item_id) - 1 as ordinal, array_to_string(w, '
     "search_docs_file": "select page_id::varchar as id, md5(html) as contents from pages",
     "fold_tables": f"with {CANDIDATES}, {FOLDS} select query_id, dbpedia_entity, hit, qrel, fold, split"
     " from cand join folds using (query_id)",
-    "stage_table": f"with {SEARCH} select item_id as query_index, 'Q_' || item_id as query_id, text as query_text"
-    " from benchmark where item_id in (select query_index from d_run join labels using (doc_id))",
+    "fold_store": f"with {CANDIDATES}, {FOLDS} select query_id, dbpedia_entity, hit, qrel, md5(abstract) as abstract,"
+    " fold, split from cand join folds using (query_id)",
+    "fold_store_part": f"with {CANDIDATES}, {FOLDS} select query_id, dbpedia_entity, hit, qrel, md5(abstract) as abstract,"
+    " fold, split from cand join folds using (query_id)"
+    " where (fold = 1 and split = 'test') or (fold = 3 and split = 'training')",
+    "stage_lineage": JUDGED,
+    "stage_table": JUDGED,
     "score_snapshots": f"""with {CANDIDATES},
 keyed as (select 'm' as experiment, query_id, dbpedia_entity, sha256(abstract) as passage_key, score, qrel from cand)
 select * exclude qrel, 1::bigint as snapshot, 'pinned' as reader from keyed

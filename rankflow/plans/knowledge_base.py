@@ -20,7 +20,8 @@ from rankflow.operators.scoring import SCORE_KEYS, SCORES, attach_scores, load_h
 from rankflow.operators.vector_store import VectorStore
 from rankflow.plans.inputs import KnowledgeBaseInputs
 from rankflow.session import land
-from rankflow.sinks import materialise, write_folds
+from rankflow.sinks import materialise
+from rankflow.sinks.fold_store import FoldStore, write_fold_store
 from rankflow.sinks.lineage import described, frame_fingerprint
 from rankflow.sinks.snapshots import VERSION, SnapshotTable
 
@@ -28,7 +29,9 @@ from rankflow.sinks.snapshots import VERSION, SnapshotTable
 K = 1000
 
 
-def _stage(spark, inputs, out: str, name: str, build, reads=(), after=(), write=None, **parameters) -> DataFrame:
+def _stage(
+    spark, inputs, out: str, name: str, build, reads=(), after=(), write=None, read=None, **parameters
+) -> DataFrame:
     """One stage, known by the inputs it reads, the stages it comes after, and its parameters."""
     return materialise(
         spark,
@@ -36,6 +39,7 @@ def _stage(spark, inputs, out: str, name: str, build, reads=(), after=(), write=
         build,
         parameters=parameters,
         write=write,
+        read=read,
         reads=[getattr(inputs, r) for r in reads],
         after=[f"{out}/{a}" for a in after],
     )
@@ -172,20 +176,34 @@ def complete_candidates(
     )
 
 
-def _folds_of(spark, inputs, out: str, name: str, rows: DataFrame, after: str) -> DataFrame:
-    def build():
-        return split_folds(rows, sources.read_folds(spark, inputs.folds))
+def _folds_of(spark, inputs, out: str, name: str, rows: DataFrame, after: str) -> FoldStore:
+    """The folds of a stage: a store that holds each row once."""
 
-    return _stage(spark, inputs, out, name, build, reads=["folds"], after=[after], write=write_folds)
+    def write(payload: DataFrame, path: str) -> None:
+        write_fold_store(payload, sources.read_folds(spark, inputs.folds), path)
 
+    _stage(
+        spark, inputs, out, name, lambda: rows, reads=["folds"], after=[after], write=write,
+        read=lambda spark, path: FoldStore(spark, path).payload,
+    )
+    return FoldStore(spark, f"{out}/{name}")
 
-def fold_candidates(
+
+def candidate_store(
     spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = K
-) -> DataFrame:
+) -> FoldStore:
+    """The complete candidates by folds; ``part`` reads one side of one fold."""
     rows = complete_candidates(spark, inputs, out, k)
     return _folds_of(spark, inputs, out, "fold_candidates", rows, "candidates_complete")
 
 
+def fold_candidates(
+    spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = K
+) -> DataFrame:
+    """Every complete candidate once per fold."""
+    return candidate_store(spark, inputs, out, k).all()
+
+
 def all_triplets(
     spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, seed: int = 42, k: int = K
 ) -> DataFrame:
@@ -198,14 +216,21 @@ def all_triplets(
     return _stage(spark, inputs, out, "triplets", build, after=["candidates_complete"], seed=seed)
 
 
-def fold_triplets(
+def triplet_store(
     spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, seed: int = 42, k: int = K
-) -> DataFrame:
-    """Triplets of every query, then of every fold: a query has the same triplets in all folds."""
+) -> FoldStore:
+    """The triplets by folds; ``part`` reads one side of one fold."""
     built = all_triplets(spark, inputs, out, seed, k)
     return _folds_of(spark, inputs, out, "fold_triplets", built, "triplets")
 
 
+def fold_triplets(
+    spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, seed: int = 42, k: int = K
+) -> DataFrame:
+    """Triplets of every query once per fold: a query has the same triplets in all folds."""
+    return triplet_store(spark, inputs, out, seed, k).all()
+
+
 def scores(
     spark: SparkSession,
     inputs: KnowledgeBaseInputs,

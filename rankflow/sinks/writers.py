@@ -100,6 +100,9 @@ def _finish(spark: SparkSession, temporary: str, path: str, manifest: dict) -> N
     """Put the manifest into a written table and move it to its place."""
     write_json(spark, f"{temporary}/{MANIFEST}", manifest)
     files, old = hadoop_path(spark, path)
+    _, done = hadoop_path(spark, f"{temporary}/_SUCCESS")
+    if not files.exists(done):  # a layout of several tables, all of them written by now
+        files.create(done, True).close()
     _, new = hadoop_path(spark, temporary)
     files.delete(old, True)
     files.mkdirs(old.getParent())
@@ -124,13 +127,14 @@ def materialise(
     write: Callable[[DataFrame, str], None] | None = None,
     reads: Sequence[str] = (),
     after: Sequence[str] = (),
+    read: Callable[[SparkSession, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Read the table at ``path``; if there is none made from the same things, build and write it first.
 
     It is known by its ``parameters``, by the files of the sources it ``reads``, and by the digests of the
     finished stages it comes ``after``. The table is written beside its place and moved there when its write was
     committed, together with a manifest. The leftovers of a failed run, and a table that was made from
-    other things, are replaced.
+    other things, are replaced. ``write`` and ``read`` stand for other layouts than one Parquet table.
     """
     made_from = {
         "parameters": json.loads(json.dumps(parameters or {})),
@@ -150,4 +154,6 @@ def materialise(
             write(df, temporary)
         manifest = made_from | {"schema": df.schema.json(), "digest": digest}
         _finish(spark, temporary, path, manifest)
+    if read is not None:
+        return read(spark, path)
     return spark.read.schema(StructType.fromJson(json.loads(manifest["schema"]))).parquet(path)
