@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.functions.vectors import DISTANCES, TRIPLET_MARGIN, WEIGHT_DIM, finite
+from rankflow.operators.numbering import running_sums
 from rankflow.session import land
 
 KEYS = ("query_id", "query_text")
@@ -18,6 +19,8 @@ PAYLOAD = (
     "deepct_tokens",
 )
 
+# Negatives of one query that are counted together, and the most such parts of one query.
+ROWS_PER_PART, MOST_PARTS = 100, 1 << 20
 # Rows of one query that one task sorts, and pairs of one query that one task emits.
 ROWS_PER_TASK = 100_000
 PAIRS_PER_TASK = 1_000_000
@@ -66,61 +69,79 @@ def negative_sample(
     identity: tuple[str, ...] = ("query_id", "dbpedia_entity"),
     tie: tuple[str, ...] = ("hit",),
     counts: DataFrame | None = None,
+    rows_per_part: int = ROWS_PER_PART,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """As many judged negatives per query as it has positives, without replacement.
 
     The sample is the first ``n_pos`` negatives in draw order; rows that tie are told apart by
-    ``tie``, then by a hash of the whole row, so the sample does not depend on the partitions. A
-    query with more than ``rows_per_task`` negatives is cut into ranges of the draw key; the ranges
-    are counted first, so that only those with sampled rows are read on and each is sorted by its
-    own task. Only keys are sorted and shuffled; the rows sampled are fetched by row number then.
+    ``tie``, then by a hash of the whole row, so the sample does not depend on the partitions. No query's
+    negatives are sorted: the draw keys are counted in parts of about ``rows_per_part`` rows, which the tasks
+    add up, and only the part that holds a query's last sampled row is ranked. That gives a cut per
+    query, and the candidates are filtered by it where they lie; nothing but keys is shuffled before.
     """
     counts = land(judged_counts(candidates)) if counts is None else counts
-    rows = numbered_rows(candidates)
-    keys = list(dict.fromkeys(("_row", "query_id", "qrel", *identity, *tie)))
-    narrow = rows.select(*keys, F.xxhash64(*candidates.columns).alias("_hash"))
-    drawn = _draw(narrow, seed, identity, (*tie, "_hash", "_row"), counts, rows_per_task)
-    picked = land(drawn.select("_row", "n_pos"))
-    return rows.join(picked, "_row").drop("_row")
-
-
-def numbered_rows(candidates: DataFrame) -> DataFrame:
-    """Candidates with a row number in ``_row``: their ordinal, or one that is landed with them."""
-    if "ordinal" in candidates.columns:
-        return candidates.withColumn("_row", F.col("ordinal"))
-    return land(candidates.withColumn("_row", F.monotonically_increasing_id()))
-
-
-def _draw(candidates, seed, identity, tie, counts, rows_per_task) -> DataFrame:
-    sampled = sampled_queries(counts).withColumn("_parts", F.ceil(F.col("n_neg") / rows_per_task))
-    prefix = F.conv(F.substring("_draw", 1, 8), 16, 10).cast("double")
-    drawn = (
-        judged_negatives(candidates)
-        .join(sampled, "query_id")
-        .withColumn("_draw", draw_key(seed, *identity))
-        .withColumn("_part", F.floor(prefix / F.lit(2.0**32) * F.col("_parts")))
-        .withColumn("_before", F.lit(0).cast("long"))
+    sampled = sampled_queries(counts).withColumn(
+        "_parts", F.least(F.ceil(F.col("n_neg") / rows_per_part), F.lit(MOST_PARTS))
     )
-    if not sampled.where("_parts > 1").isEmpty():
-        drawn = drawn.drop("_before").join(_needed_parts(drawn), ["query_id", "_part"])
-    # Spark would take a partitioning by query for this window and keep a hot query in one task.
-    drawn = drawn.repartition("query_id", "_part")
-    part = Window.partitionBy("query_id", "_part").orderBy("_draw", *tie)
+    negatives = judged_negatives(candidates)
+    keys = list(dict.fromkeys(("query_id", *identity, *tie)))
+    drawn = _with_draw(negatives.select(*keys).join(sampled.drop("n_neg"), "query_id"), seed, identity, tie)
+    cuts = _key_cuts(drawn, rows_per_task)
+    marked = _with_draw(negatives.join(cuts, "query_id"), seed, identity, tie)
+    below = (F.col("_part") < F.col("_cut")) | ((F.col("_part") == F.col("_cut")) & (F.col("_key") < F.col("_last")))
+    at = (F.col("_part") == F.col("_cut")) & (F.col("_key") == F.col("_last"))
+    columns = [*candidates.columns, "n_pos"]
+    whole = marked.where(below | (at & (F.col("_take") == F.col("_same")))).select(*columns)
+    if cuts.where("_take < _same").isEmpty():
+        return whole
+    tied = marked.where(at & (F.col("_take") < F.col("_same")))
+    return whole.unionByName(_first_by_hash(tied, candidates.columns).select(*columns))
+
+
+def _with_draw(rows: DataFrame, seed: int, identity, tie) -> DataFrame:
+    """The draw key, its part among the ``_parts`` of the query, and the whole key in draw order."""
+    prefix = F.conv(F.substring("_draw", 1, 8), 16, 10).cast("double")
     return (
-        drawn.where(F.col("_before") < F.col("n_pos"))
-        .withColumn("_rank", F.col("_before") + F.row_number().over(part))
-        .where(F.col("_rank") <= F.col("n_pos"))
-        .drop("_draw", "_part", "_parts", "_before", "_rank", "n_neg")
+        rows.withColumn("_draw", draw_key(seed, *identity))
+        .withColumn("_part", F.floor(prefix / F.lit(2.0**32) * F.col("_parts")))
+        .withColumn("_key", F.struct("_draw", *tie))
     )
 
 
-def _needed_parts(drawn: DataFrame) -> DataFrame:
-    sizes = drawn.groupBy("query_id", "n_pos", "_part").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy("query_id").orderBy("_part")
-    before = before.rowsBetween(Window.unboundedPreceding, -1)
+def _key_cuts(drawn: DataFrame, rows_per_task: int) -> DataFrame:
+    """Per query the part and key of the last sampled row; of the ``_same`` rows at that key, ``_take`` are sampled."""
+    sizes = drawn.groupBy("query_id", "n_pos", "_parts", "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("query_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    return land(sizes.where(F.col("_before") < F.col("n_pos")).drop("_rows", "n_pos"))
+    last = sizes.where("_before < n_pos and n_pos <= _before + _rows")
+    parts = land(last.withColumnsRenamed({"_part": "_cut"}).withColumn("_need", F.col("n_pos") - F.col("_before")))
+    edge = drawn.join(parts.select("query_id", "_cut"), "query_id").where(F.col("_part") == F.col("_cut"))
+    edge = edge.groupBy("query_id", "_key").agg(F.count(F.lit(1)).alias("_same"))
+    # A part is larger than planned only where many rows have one draw key.
+    if (parts.agg(F.max("_rows")).first()[0] or 0) <= rows_per_task:
+        upto = Window.partitionBy("query_id").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        edge = edge.withColumn("_upto", F.sum("_same").over(upto))
+    else:
+        edge = running_sums(edge, ["query_id"], ["_key"], {"_upto": "_same"})
+    cuts = edge.join(parts.drop("_rows", "_before"), "query_id")
+    cuts = cuts.where("_upto - _same < _need and _need <= _upto")
+    return land(
+        cuts.select("query_id", "n_pos", "_parts", "_cut", F.col("_key").alias("_last"), "_same", F.expr("_need - _upto + _same").alias("_take"))
+    )
+
+
+def _first_by_hash(tied: DataFrame, columns: list[str]) -> DataFrame:
+    """Of rows that agree in the draw key, the first ``_take`` per query by a hash of the whole row."""
+    tied = tied.withColumn("_hash", F.xxhash64(*columns))
+    hashes = tied.groupBy("query_id", "_hash", "_take").agg(F.count(F.lit(1)).alias("_n"))
+    hashes = running_sums(hashes, ["query_id"], ["_hash"], {"_upto": "_n"}).where("_upto - _n < _take")
+    hashes = land(hashes.withColumn("_copies", F.least(F.col("_n"), F.expr("_take - _upto + _n"))).drop("_take", "_upto"))
+    full = tied.join(hashes.where("_copies = _n").select("query_id", "_hash"), ["query_id", "_hash"], "left_semi")
+    # Rows of one hash are equal: one of them stands for as many as are taken.
+    some = tied.join(hashes.where("_copies < _n").drop("_n"), ["query_id", "_hash"]).dropDuplicates(["query_id"])
+    some = some.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return full.unionByName(some.drop("_copies", "_copy"))
 
 
 def _side(rows: DataFrame, suffix: str) -> DataFrame:
@@ -132,7 +153,6 @@ def _side(rows: DataFrame, suffix: str) -> DataFrame:
 def build_triplets(
     candidates: DataFrame,
     seed: int = 42,
-    rows_per_task: int = ROWS_PER_TASK,
     pairs_per_task: int = PAIRS_PER_TASK,
     **sample,
 ) -> DataFrame:
@@ -143,9 +163,7 @@ def build_triplets(
     """
     counts = land(judged_counts(candidates))
     salts = F.ceil(F.col("n_pos") * F.col("n_pos") / pairs_per_task)
-    negatives = negative_sample(
-        candidates, seed, counts=counts, rows_per_task=rows_per_task, **sample
-    )
+    negatives = negative_sample(candidates, seed, counts=counts, **sample)
     negatives = negatives.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     positive = positives(candidates).join(sampled_queries(counts), "query_id")
     positive = positive.withColumn(

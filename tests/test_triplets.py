@@ -44,10 +44,10 @@ ROWS = (
 )
 
 
-@pytest.mark.parametrize("rows_per_task", [100_000, 25, 3])
+@pytest.mark.parametrize("limits", [{}, {"rows_per_part": 3}, {"rows_per_part": 25, "rows_per_task": 1}])
 @pytest.mark.parametrize("seed", [42, 7])
-def test_sample_is_the_start_of_the_draw(spark, rows_per_task, seed):
-    drawn = triplets.negative_sample(make(spark, ROWS), seed, rows_per_task=rows_per_task)
+def test_sample_is_the_start_of_the_draw(spark, limits, seed):
+    drawn = triplets.negative_sample(make(spark, ROWS), seed, **limits)
     got = {(r.query_id, r.dbpedia_entity, r.hit) for r in drawn.collect()}
     assert got == expected_sample(ROWS, seed)
     assert drawn.count() == len(got)
@@ -65,6 +65,29 @@ def test_the_sample_does_not_depend_on_the_partitions(spark):
     assert len(samples) == 1 and len(samples.pop()) == 5
 
 
+@pytest.mark.parametrize("n_pos", [1, 30, 49, 50, 60])
+def test_equal_rows_are_taken_as_often_as_needed(spark, n_pos):
+    """Fifty negatives are one row, and ten more differ in the text alone."""
+    rows = [("q", "text q", "e", 1, 0, "same", [0.0])] * 50
+    rows += [("q", "text q", "e", 1, 0, f"passage {i}", [0.0]) for i in range(10)]
+    rows += [("q", "text q", f"p{i}", 2, 1, "x", [0.0]) for i in range(n_pos)]
+    df = spark.createDataFrame(rows, make(spark, ROWS[:1]).schema).repartition(7)
+    got = triplets.negative_sample(df, 42)
+    order = df.where("qrel = 0").select("abstract", F.xxhash64(*df.columns).alias("h")).orderBy("h").collect()
+    assert sorted(r.abstract for r in got.collect()) == sorted(r.abstract for r in order[:n_pos])
+    assert got.columns == [*df.columns, "n_pos"]
+
+
+def test_payload_is_neither_landed_nor_shuffled(spark, monkeypatch):
+    landed = []
+    land = triplets.land
+    monkeypatch.setattr(triplets, "land", lambda df: landed.append(df.columns) or land(df))
+    drawn = triplets.negative_sample(make(spark, ROWS), 42)
+    assert landed and not any({"abstract", "biggraph_embedding"} & set(columns) for columns in landed)
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+
+
 def test_only_keys_are_sampled(spark, tmp_path, monkeypatch):
     landed = []
     land = triplets.land
@@ -88,7 +111,7 @@ def test_skipped_queries_are_reported(spark):
 
 @pytest.mark.parametrize("pairs_per_task", [1_000_000, 50])
 def test_triplets_are_positives_times_sample(spark, pairs_per_task):
-    built = triplets.build_triplets(make(spark, ROWS), 42, rows_per_task=25, pairs_per_task=pairs_per_task)
+    built = triplets.build_triplets(make(spark, ROWS), 42, rows_per_part=25, pairs_per_task=pairs_per_task)
     got = sorted((r.query_id, r.dbpedia_entity_x, r.dbpedia_entity_y) for r in built.collect())
     want = sorted(
         (q, p, n) for q, n, _ in expected_sample(ROWS, 42) for q2, p, _, g in ROWS if q2 == q and (g or 0) > 0
