@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,40 @@ def run_file(spark, sf):
     return sources.read_run(spark, path)
 
 
+def _with_broken(spark, sf, lines: DataFrame, name: str, before: str = "broken ") -> str:
+    """The lines and as many broken ones as there are labels."""
+    ids = fx.table(spark, sf, "labels").select(F.concat(F.lit(before), F.col("doc_id").cast("string")).alias("value"))
+    return write_lines(lines.select("value").unionByName(ids), place(spark, name))
+
+
+def _run_lines(spark, sf) -> DataFrame:
+    columns = ["query_index", F.lit("Q0"), "url_dbpedia", "hit", F.format_string("%.6f", F.col("score")), F.lit("t")]
+    return fx.run(spark, sf).select(F.concat_ws(" ", *columns).alias("value"))
+
+
+def checked_run_file(spark, sf):
+    """The good rows of a run file with broken lines."""
+    return sources.checked_run(spark, _with_broken(spark, sf, _run_lines(spark, sf), "run")).rows
+
+
+def checked_rejects(spark, sf):
+    """The broken lines of all formats that are read line by line."""
+    blank = spark.range(1).select(F.lit("").alias("value"))
+    lists = fx.entity_lists(spark, sf).select(F.to_json(F.struct("entities")).alias("value"))
+    files = {
+        "run": _with_broken(spark, sf, _run_lines(spark, sf), "run"),
+        "token_weights": _with_broken(spark, sf, blank, "weights", "broken 0.5 "),
+        "entity_lists": _with_broken(spark, sf, lists, "lists", '{"entities": ['),
+    }
+    for name in ("grades", "queries", "article_grades"):
+        files[name] = _with_broken(spark, sf, blank, name)
+    found = [
+        getattr(sources, f"checked_{name}")(spark, path).rejects.select(F.lit(name).alias("source"), "reason", "value")
+        for name, path in files.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def grades_file(spark, sf):
     line = F.concat_ws("\t", "query_id", F.lit("Q0"), "dbpedia_entity", F.col("qrel").cast("string"))
     path = write_lines(fx.grades(spark, sf).select(line.alias("value")), place(spark, "grades"))
@@ -258,7 +293,7 @@ def head_table(spark, sf):
 
 
 FILES = (
-    quad_file, quad_rejects, run_file, grades_file, queries_file, topics_file, article_grades_file, names_file,
+    quad_file, quad_rejects, run_file, checked_run_file, checked_rejects, grades_file, queries_file, topics_file, article_grades_file, names_file,
     vectors_file, weights_file, folds_file, entity_lists_file, pages_csv, search_docs_file, fold_tables,
     fold_store, fold_store_part, stage_lineage, stage_table,
     score_snapshots, vector_snapshots, table_file, title_map_table, wiki_pages_table, head_table,

@@ -179,6 +179,14 @@ select round(avg(greatest({euclidean('anchor', 'y_x')} - {euclidean('anchor', 'y
 count(*) as n_pairs from model_out"""
 
 
+MODEL = projected(
+    CANDIDATES, 'vcand',
+    f"query_id, dbpedia_entity, sha256(abstract) as passage_key, {letter_vector('abstract')} as bare",
+    {'p': ('abstract', 'vec', WEIGHTS)})
+MODEL_SCORES = f"""select 'letters@3' as experiment, query_id, dbpedia_entity, passage_key,
+round({euclidean('anchor', 'y_p')}, 6) as score from model_out"""
+
+
 def vector_loss(formula) -> str:
     """Loss over all triplets whose query has a vector, and their number."""
     return f"""with {TRIPLETS}, a as (select vec_id, embedding::double[] as anchor from embeddings)
@@ -230,6 +238,16 @@ JUDGED = (
     " from benchmark where item_id in (select query_index from d_run join labels using (doc_id))"
 )
 
+#: Of each format, why a broken line is rejected, and the line.
+REJECTED = {
+    "run": ("not six fields", "'broken ' || doc_id"),
+    "grades": ("not four fields", "'broken ' || doc_id"),
+    "queries": ("no text", "'broken ' || doc_id"),
+    "article_grades": ("not four fields", "'broken ' || doc_id"),
+    "token_weights": ("a token without a weight", "'broken 0.5 ' || doc_id"),
+    "entity_lists": ("not a JSON object with a list of names", "'{\"entities\": [' || doc_id"),
+}
+
 ORACLE = {
     "tokenize_counts": f"select term, count(*) as n from (select unnest({words('text')}) as term"
     " from documents) group by term",
@@ -256,6 +274,12 @@ select t.doc_id, len(w)::int as doc_length, coalesce(terms, '') as terms from t
     "quad_rejects": "select '<broken ' || doc_id as value from labels",
     "run_file": f"with {SEARCH} select query_index, '{fx.RESOURCE}' || doc_id as url_dbpedia,"
     " hit::int as hit, score from d_run",
+    "checked_run_file": f"with {SEARCH} select query_index, '{fx.RESOURCE}' || doc_id as url_dbpedia,"
+    " hit::int as hit, score from d_run",
+    "checked_rejects": " union all ".join(
+        f"select '{source}' as source, '{reason}' as reason, {value} as value from labels"
+        for source, (reason, value) in REJECTED.items()
+    ),
     "grades_file": f"with {SEARCH} select 'Q_' || query_index as query_id, '<dbpedia:Doc_' || doc_id || '>'"
     " as dbpedia_entity, (toxic * (1 + quality))::int as qrel from d_run join labels using (doc_id)",
     "queries_file": f"select row_number() over (order by item_id) - 1 as query_index, 'Q_' || item_id as query_id,"
@@ -367,11 +391,12 @@ round(avg(length(replace(token, 'e', '')) * 0.7310585786::double), 6) as m1
 from t group by doc_id""",
     "score_candidates": f"with {SCORED} select 'letters@1' as experiment, query_id, dbpedia_entity,"
     " passage_key, dist as score from scored",
-    "score_graph_weights_head": f"""with {projected(
-    CANDIDATES, 'vcand', 'query_id, dbpedia_entity, sha256(abstract) as passage_key',
-    {'p': ('abstract', 'vec', WEIGHTS)})}
-select 'letters@3' as experiment, query_id, dbpedia_entity, passage_key,
-round({euclidean('anchor', 'y_p')}, 6) as score from model_out""",
+    "score_graph_weights_head": f"with {MODEL} {MODEL_SCORES}",
+    "score_grid": f"""with {MODEL}, plain as (select query_id, dbpedia_entity, passage_key,
+  {euclidean('anchor', 'bare')} as euclidean, {manhattan('anchor', 'bare')} as manhattan,
+  {cosine('anchor', 'bare')} as cosine from model_out)
+{MODEL_SCORES} union all select 'letters@1 ' || metric, query_id, dbpedia_entity, passage_key, round(score, 6)
+from (unpivot plain on euclidean, manhattan, cosine into name metric value score)""",
     "model_triplet_loss": f"select loss from ({MODEL_LOSS})",
     "model_sampled_loss": MODEL_LOSS,
     "score_skip_existing": f"with {SCORED} select 'letters@1' as experiment, query_id, dbpedia_entity,"
@@ -386,6 +411,9 @@ round({euclidean('anchor', 'y_p')}, 6) as score from model_out""",
     " from labels left join pages on page_id = doc_id",
     "table_diff": "select id, toxic from (select doc_id as id, toxic from labels union all"
     " select page_id, 0 from pages) group by id, toxic having count(*) = 1",
+    "document_diff": "select doc_id, md5(text) as text, source, n_chars from (select doc_id, text, lang, source, n_chars"
+    " from documents union all select doc_id, case when lang = 'de' then lower(text) else text end, lang, source, n_chars"
+    " from documents) group by all having count(*) = 1",
     "distinct_entities": "select distinct unnest(['Page ' || doc_id || '+x', 'Page ' || n_chars || '+x'])"
     " as entity from documents",
     "entity_pages": "select entity, md5(html) as document from (select distinct unnest(['Page ' || doc_id ||"

@@ -15,7 +15,7 @@ from checks.files import FILES, stored_head
 from checks.fixtures import shown
 from rankflow.functions import text, vectors
 from rankflow.operators import candidates as cand
-from rankflow.operators import entities, folds, losses, pooling, retrieval, scoring, triplets
+from rankflow.operators import difference, entities, folds, losses, pooling, retrieval, scoring, triplets
 from rankflow.operators.numbering import rank_in_group
 from rankflow.session import land, ship
 from rankflow.sources import parse_quads
@@ -449,6 +449,17 @@ def score_skip_existing(spark, sf):
     return _scores(spark, sf, existing=existing).withColumn("score", F.round("score", 6))
 
 
+@query
+def score_grid(spark, sf):
+    """Three distances and a model with a head, in one pass over the candidates."""
+    plain = [
+        {"experiment": f"letters@1 {m}", "load_encoder": fx.letter_encoder, "metric": m} for m in vectors.DISTANCES
+    ]
+    model = {"experiment": "letters@3", "load_encoder": fx.letter_encoder} | _vector_model(spark)
+    rows = scoring.score_experiments(fx.vector_candidates(spark, sf), [*plain, model])
+    return rows.withColumn("score", F.round("score", 6))
+
+
 @query
 def scored_columns(spark, sf):
     name = text.score_name("letters", False, False)
@@ -482,7 +493,19 @@ def unmatched_ratio(spark, sf):
 def table_diff(spark, sf):
     left = fx.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "toxic")
     right = fx.pages(spark, sf).select(F.col("page_id").alias("id"), F.lit(0).alias("toxic"))
-    return entities.table_diff(left, right)
+    return difference.table_diff(left, right)
+
+
+@query
+def document_diff(spark, sf):
+    """Whole documents, a map among the columns, against themselves with the German texts in lower case."""
+    docs = fx.table(spark, sf, "documents").select(
+        "doc_id", "text", "lang", F.create_map("source", F.col("n_chars")).alias("sizes")
+    )
+    lowered = docs.withColumn("text", F.when(F.col("lang") == "de", F.lower("text")).otherwise(F.col("text")))
+    changed = difference.table_diff(docs, lowered)
+    size = F.map_entries("sizes")[0]
+    return changed.select("doc_id", F.md5("text").alias("text"), size["key"].alias("source"), size["value"].alias("n_chars"))
 
 
 @query

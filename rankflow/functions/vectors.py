@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,3 +99,33 @@ def cosine(a: Column, b: Column, eps: float = COSINE_EPS) -> Column:
 
 
 DISTANCES = {"euclidean": euclidean, "manhattan": manhattan, "cosine": cosine}
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of rows from the first column to the last, as the column expressions add, to the last bit."""
+    total = np.zeros(len(x))
+    for column in np.ascontiguousarray(x.T):
+        total += column
+    return total
+
+
+def _paired(distance):
+    def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if a.shape != b.shape:
+            raise ValueError(f"vectors of {a.shape[1]} and {b.shape[1]} numbers")
+        return distance(a, b)
+
+    return run
+
+
+def _batch_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    norms = [np.maximum(np.sqrt(_row_sums(v * v)), COSINE_EPS) for v in (a, b)]
+    return 1 - _row_sums(a * b) / (norms[0] * norms[1])
+
+
+#: The same distances for the rows of two matrices.
+BATCH_DISTANCES = {
+    "euclidean": _paired(lambda a, b: np.sqrt(_row_sums((a - b + PAIRWISE_EPS) ** 2))),
+    "manhattan": _paired(lambda a, b: _row_sums(np.abs(a - b + PAIRWISE_EPS))),
+    "cosine": _paired(_batch_cosine),
+}

@@ -1,4 +1,4 @@
-"""Entity pages, unmatched grades, table differences."""
+"""Entity pages and unmatched grades."""
 
 from __future__ import annotations
 
@@ -32,10 +32,3 @@ def unmatched_ratio(grades: DataFrame, pages: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_grades"),
         (missing / F.count(F.lit(1))).alias("ratio"),
     )
-
-
-def table_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that occur once in both tables together; a row twice in one table drops out too."""
-    rows = left.unionAll(right)
-    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    return counted.where("_copies = 1").drop("_copies")

@@ -66,7 +66,13 @@ def keep_keys(
     rows: DataFrame, keys: DataFrame, column: str, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """The rows whose ``column`` occurs in ``keys``; neither broadcast is larger than ``broadcast_bytes``."""
-    wanted = distinct_keys(keys, column)
+    return keep_distinct_keys(rows, distinct_keys(keys, column), column, broadcast_bytes)
+
+
+def keep_distinct_keys(
+    rows: DataFrame, wanted: DataFrame, column: str, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """``keep_keys`` for a landed table of distinct keys without null."""
     size = F.sum(F.octet_length(F.col(column).cast("string")).cast("long"))
     n, n_bytes = wanted.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
     if n_bytes + n * _KEY_BYTES <= broadcast_bytes:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.functions.text import score_name
-from rankflow.functions.vectors import DISTANCES, TRIPLET_MARGIN, features, finite
+from rankflow.functions.vectors import BATCH_DISTANCES, DISTANCES, TRIPLET_MARGIN, features, finite
 from rankflow.operators.embedding import BATCH_SIZE, Encoder, attach_embedding, embed_sides, embed_texts, text_key
 from rankflow.operators.losses import hinge_loss, sampled_sides
 from rankflow.operators.triplets import triplet_loss
@@ -215,19 +215,87 @@ def attach_scores(
 def score_experiments(
     candidates: DataFrame, experiments: Sequence[dict], existing: DataFrame | None = None
 ) -> DataFrame:
-    """All experiments in one table; each is one pass over the rows of all folds.
+    """All experiments in one long table; those of one encoder are one pass over the candidates.
 
-    Experiments of one encoder share its vectors, unless rows that are scored already set them apart.
+    The vectors of an encoder are made and joined once; then every Arrow batch goes through all heads and
+    distances of its experiments. With ``existing`` scores, a candidate is read if any experiment lacks it,
+    and gets the scores it lacks.
     """
-    encoders = [(e["load_encoder"], e.get("batch_size", BATCH_SIZE), e.get("store")) for e in experiments]
-    shared = {}
+    shared: dict[tuple, list[dict]] = {}
+    for e in experiments:
+        encoder = (e["load_encoder"], e.get("batch_size", BATCH_SIZE), e.get("store"))
+        shared.setdefault(encoder, []).append(e)
+    return reduce(
+        DataFrame.unionByName, [_score_group(candidates, group, existing, *key) for key, group in shared.items()]
+    )
+
+
+def _lacking(rows: DataFrame, names: Sequence[str], existing: DataFrame | None) -> DataFrame:
+    """Candidates with the experiments that have not scored them in ``_lacks``."""
+    every = F.array(*[F.lit(n) for n in names])
     if existing is None:
-        shared = {e: embed_sides(candidates, *e) for e in dict.fromkeys(encoders) if encoders.count(e) > 1}
-    runs = [
-        score_candidates(candidates, existing=existing, embedded=shared.get(key), **e)
-        for e, key in zip(experiments, encoders, strict=True)
+        return rows.withColumn("_lacks", every)
+    done = existing.where(F.col("experiment").isin(list(names)))
+    done = done.groupBy(*SCORE_KEYS).agg(F.collect_set("experiment").alias("_done"))  # one name per experiment
+    marked = rows.join(done, list(SCORE_KEYS), "left")
+    lacks = F.array_except(every, F.coalesce("_done", F.array().cast("array<string>")))
+    return marked.withColumn("_lacks", lacks).drop("_done").where(F.size("_lacks") > 0)
+
+
+def _score_group(candidates, experiments, existing, load_encoder, batch_size, store) -> DataFrame:
+    models = [
+        {"head": None, "graph": False, "weights": False, "weight_dim": 100, "metric": "euclidean"}
+        | {k: v for k, v in e.items() if k not in ("experiment", "load_encoder", "batch_size", "store")}
+        for e in experiments
     ]
-    return reduce(DataFrame.unionByName, runs)
+    for m in models:
+        _check_head(m["head"], m["graph"], m["weights"])
+    extra = ["biggraph_embedding"] * any(m["graph"] for m in models)
+    extra += ["deepct_weights"] * any(m["weights"] for m in models)
+    rows = with_passage_key(candidates).select(*SCORE_KEYS, "query_text", "abstract", *extra)
+    names = [e["experiment"] for e in experiments]
+    rows = _lacking(rows, names, existing)
+    queries, passages = embed_sides(rows, load_encoder, batch_size, store)
+    rows = rows.withColumn("_query_key", text_key("query_text")).drop("query_text", "abstract")
+    rows = attach_embedding(rows, queries, "_query_key", "_query")
+    rows = attach_embedding(rows, passages, "passage_key", "_passage")
+    dims = sorted({m["weight_dim"] for m in models if m["weights"]})
+    columns = [F.col("_query").alias("query"), F.col("_passage").alias("passage")]
+    columns += [F.col(c).cast("array<double>").alias("graph") for c in extra if c == "biggraph_embedding"]
+    columns += [finite(F.col("deepct_weights"), d).alias(f"weights_{d}") for d in dims]
+    score = _score_batches(rows.sparkSession.sparkContext.broadcast(models))
+    scored = rows.select(*SCORE_KEYS, "_lacks", score(F.struct(*columns)).alias("_scores"))
+    named = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), "_scores")
+    long = scored.select(*SCORE_KEYS, F.explode("_lacks").alias("experiment"), named.alias("_named"))
+    return long.select("experiment", *SCORE_KEYS, F.col("_named")[F.col("experiment")].alias("score"))
+
+
+def _score_batches(models):
+    """One score per model for every row of a batch; a row without a vector that a model needs has none."""
+
+    @F.pandas_udf("array<double>")
+    def score(batch: pd.DataFrame) -> pd.Series:
+        known = {c: batch[c].notna().to_numpy() for c in batch.columns}
+        matrices = {c: np.stack(batch[c][known[c]].to_numpy()) for c in batch.columns if known[c].any()}
+        scores = np.full((len(batch), len(models.value)), np.nan)
+        has = np.zeros(scores.shape, bool)
+        for i, m in enumerate(models.value):
+            parts = ["passage"] + ["graph"] * m["graph"] + [f"weights_{m['weight_dim']}"] * m["weights"]
+            rows = np.logical_and.reduce([known[c] for c in ("query", *parts)])
+            if not rows.any():
+                continue
+            taken = {c: matrices[c][rows[known[c]]] for c in ("query", *parts)}
+            x = np.hstack([taken[c] for c in parts])
+            if m["head"] is not None:
+                (w1, b1), (w2, b2) = m["head"]
+                x = np.maximum(x @ w1.T + b1, 0.0) @ w2.T + b2
+            scores[rows, i] = BATCH_DISTANCES[m["metric"]](taken["query"], x)
+            has[:, i] = rows
+        listed = scores.astype(object)
+        listed[~has] = None
+        return pd.Series(list(listed))
+
+    return score
 
 
 def experiment_name(encoder: str, graph: bool, weights: bool, version: str) -> str:

@@ -8,6 +8,7 @@ changed file renews what depends on it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from rankflow.operators.scoring import SCORE_KEYS, SCORES, attach_scores, load_h
 from rankflow.operators.vector_store import VectorStore
 from rankflow.plans.inputs import KnowledgeBaseInputs
 from rankflow.session import land
-from rankflow.sinks import materialise
+from rankflow.sinks import materialise, stage_rejects
 from rankflow.sinks.fold_store import FoldStore, write_fold_store
 from rankflow.sinks.lineage import described, frame_fingerprint
 from rankflow.sinks.snapshots import VERSION, SnapshotTable
@@ -77,14 +78,28 @@ def index(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str) -> retriev
 
 def queries(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str) -> DataFrame:
     def build():
-        return sources.read_queries(spark, inputs.queries)
+        return sources.checked_queries(spark, inputs.queries)
 
     return _stage(spark, inputs, out, "queries", build, reads=["queries"])
 
 
+def grades(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str) -> DataFrame:
+    return _stage(spark, inputs, out, "grades", lambda: sources.checked_grades(spark, inputs.grades), reads=["grades"])
+
+
+#: Stages whose sources are read line by line; their rejects lie beside them.
+CHECKED_STAGES = ("queries", "grades", "run", "token_weights", "folds")
+
+
+def source_rejects(spark: SparkSession, out: str) -> DataFrame:
+    """(stage, file, line, reason, value) of all lines that the stages made so far go without."""
+    parts = [stage_rejects(spark, f"{out}/{s}").withColumn("stage", F.lit(s)) for s in CHECKED_STAGES]
+    return reduce(DataFrame.unionByName, parts).select("stage", "file", "line", "reason", "value")
+
+
 def run(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = K) -> DataFrame:
     if inputs.run:
-        return _stage(spark, inputs, out, "run", lambda: sources.read_run(spark, inputs.run), reads=["run"])
+        return _stage(spark, inputs, out, "run", lambda: sources.checked_run(spark, inputs.run), reads=["run"])
     documents = index(spark, inputs, out)
     asked = queries(spark, inputs, out).select("query_index", "query_text")
 
@@ -97,14 +112,12 @@ def run(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = K)
 def candidates(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = K) -> DataFrame:
     """Hits with text, query and grade."""
     hits, texts = run(spark, inputs, out, k), corpus(spark, inputs, out)
-    asked = queries(spark, inputs, out)
+    asked, judged = queries(spark, inputs, out), grades(spark, inputs, out)
 
     def build():
-        return cand.build_candidates(hits, texts, asked, sources.read_grades(spark, inputs.grades))
+        return cand.build_candidates(hits, texts, asked, judged)
 
-    return _stage(
-        spark, inputs, out, "candidates", build, reads=["grades"], after=["run", "corpus", "queries"]
-    )
+    return _stage(spark, inputs, out, "candidates", build, after=["run", "corpus", "queries", "grades"])
 
 
 def skipped_queries(spark: SparkSession, inputs: KnowledgeBaseInputs, out: str, k: int = K) -> DataFrame:
@@ -162,7 +175,7 @@ def complete_candidates(
     """Filled vectors, token weights by ordinal and clean texts."""
     rows = vector_candidates(spark, inputs, out, k)
     weights = _stage(
-        spark, inputs, out, "token_weights", lambda: sources.read_token_weights(spark, inputs.token_weights),
+        spark, inputs, out, "token_weights", lambda: sources.checked_token_weights(spark, inputs.token_weights),
         reads=["token_weights"],
     )
 
@@ -179,11 +192,15 @@ def complete_candidates(
 def _folds_of(spark, inputs, out: str, name: str, rows: DataFrame, after: str) -> FoldStore:
     """The folds of a stage: a store that holds each row once."""
 
+    members = _stage(
+        spark, inputs, out, "folds", lambda: sources.checked_folds(spark, inputs.folds), reads=["folds"]
+    )
+
     def write(payload: DataFrame, path: str) -> None:
-        write_fold_store(payload, sources.read_folds(spark, inputs.folds), path)
+        write_fold_store(payload, members, path)
 
     _stage(
-        spark, inputs, out, name, lambda: rows, reads=["folds"], after=[after], write=write,
+        spark, inputs, out, name, lambda: rows, after=["folds", after], write=write,
         read=lambda spark, path: FoldStore(spark, path).payload,
     )
     return FoldStore(spark, f"{out}/{name}")

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from rankflow.operators.numbering import dense_ordinal
 from rankflow.session import hadoop_path
 from rankflow.sinks.lineage import digest_of, file_fingerprint
+from rankflow.sources.quarantine import REJECTS, Checked
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "zstd") -> None:
@@ -60,7 +61,7 @@ def write_folds(
     writer.option("compression", compression).parquet(path)
 
 
-MANIFEST = "_stage.json"
+MANIFEST, REJECTS_FOLDER = "_stage.json", "_rejects"
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
@@ -118,10 +119,22 @@ def stage_digest(spark: SparkSession, path: str) -> str:
     return manifest["digest"]
 
 
+def stage_counts(spark: SparkSession, path: str) -> dict[str, int]:
+    """Rows and rejects by reason of a stage that was made from a checked source."""
+    return (_manifest(spark, path) or {}).get("counts", {})
+
+
+def stage_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that a stage made from a checked source goes without; none for other stages."""
+    files, at = hadoop_path(spark, f"{path}/{REJECTS_FOLDER}")
+    reader = spark.read.schema(REJECTS)
+    return reader.parquet(f"{path}/{REJECTS_FOLDER}") if files.exists(at) else spark.createDataFrame([], REJECTS)
+
+
 def materialise(
     spark: SparkSession,
     path: str,
-    build: Callable[[], DataFrame],
+    build: Callable[[], DataFrame | Checked],
     compression: str = "zstd",
     parameters: dict | None = None,
     write: Callable[[DataFrame, str], None] | None = None,
@@ -134,7 +147,8 @@ def materialise(
     It is known by its ``parameters``, by the files of the sources it ``reads``, and by the digests of the
     finished stages it comes ``after``. The table is written beside its place and moved there when its write was
     committed, together with a manifest. The leftovers of a failed run, and a table that was made from
-    other things, are replaced. ``write`` and ``read`` stand for other layouts than one Parquet table.
+    other things, are replaced. Rejects of a checked source lie beside its rows and are counted in the manifest;
+    ``stage_rejects`` reads them. ``write`` and ``read`` stand for other layouts than one Parquet table.
     """
     made_from = {
         "parameters": json.loads(json.dumps(parameters or {})),
@@ -146,13 +160,17 @@ def materialise(
     digest = digest_of(known)
     manifest = _manifest(spark, path)
     if manifest is None or manifest.get("digest") != digest:
-        df = build()
+        built = build()
+        df = built if isinstance(built, DataFrame) else built.rows
         temporary = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
         if write is None:
             df.write.option("compression", compression).parquet(temporary)
         else:
             write(df, temporary)
         manifest = made_from | {"schema": df.schema.json(), "digest": digest}
+        if df is not built:
+            built.rejects.write.option("compression", compression).parquet(f"{temporary}/{REJECTS_FOLDER}")
+            manifest["counts"] = built.counts
         _finish(spark, temporary, path, manifest)
     if read is not None:
         return read(spark, path)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankflow.operators import candidates as cand
-from rankflow.operators import entities, folds
+from rankflow.operators import difference, entities, folds
 
 RES = "http://dbpedia.org/resource/"
 
@@ -117,7 +117,7 @@ def test_entity_pages_and_unmatched(spark):
 def test_table_diff_drops_rows_that_repeat_in_one_table(spark):
     left = spark.createDataFrame([(1, "a"), (2, None), (2, None), (3, "c")], "i int, s string")
     right = spark.createDataFrame([(1, "a"), (4, "d")], "i int, s string")
-    assert {(r.i, r.s) for r in entities.table_diff(left, right).collect()} == {(3, "c"), (4, "d")}
+    assert {(r.i, r.s) for r in difference.table_diff(left, right).collect()} == {(3, "c"), (4, "d")}
 
 
 def test_entity_table_equals_joins_per_candidate(spark, tables):

@@ -220,16 +220,18 @@ def test_a_changed_file_renews_what_depends_on_it(spark, files, tmp_path, renewe
     late = {"candidates_complete", "fold_candidates", "triplets", "fold_triplets"}
     grades = tmp_path / "in" / "grades.tsv"
     got = changed_by(lambda: grades.write_text(grades.read_text().replace("Snow>\t0", "Snow>\t1")))
-    assert got == {"candidates", "entities", "candidates_vec", *late}
+    assert got == {"grades", "candidates", "entities", "candidates_vec", *late}
     weights = tmp_path / "in" / "weights.txt"
     assert changed_by(lambda: weights.write_text(weights.read_text().replace("t0", "s0"))) == {"token_weights", *late}
     folds = tmp_path / "in" / "folds.json"
-    assert changed_by(lambda: folds.write_text(folds.read_text() + "\n")) == {"fold_candidates", "fold_triplets"}
+    assert changed_by(lambda: folds.write_text(folds.read_text() + "\n")) == {"folds", "fold_candidates", "fold_triplets"}
     title_map = spark.createDataFrame([("Sky", "Q2")], "title string, wikidata_id string")
     got = changed_by(lambda: title_map.write.mode("overwrite").parquet(inputs.title_map))
     assert got == {"entities", "candidates_vec", *late}
     # The same time and size under the same name: taken for the same file. Another time is another file.
-    assert changed_by(lambda: os.utime(inputs.quads, (1, 1))) == everything - {"queries", "entity_names", "entity_vectors", "token_weights"}
+    assert changed_by(lambda: os.utime(inputs.quads, (1, 1))) == everything - {
+        "queries", "grades", "entity_names", "entity_vectors", "token_weights", "folds",
+    }
 
 
 def test_a_stage_made_again_from_the_same_things_renews_nothing(spark, files, tmp_path, renewed):
@@ -277,3 +279,18 @@ def test_scores_are_kept_between_runs(spark, files, tmp_path):
     assert version == 1 and rows.count() == 8
     rows, version = kb.append_scores(spark, files, at, [first, first | {"experiment": "m@2", "metric": "manhattan"}])
     assert version == 2 and rows.groupBy("experiment").count().count() == 2 and rows.count() == 16
+
+
+def test_broken_lines_are_kept_beside_the_stages(spark, files, tmp_path):
+    inputs, at = copied(files, tmp_path / "in"), str(tmp_path / "out")
+    with open(inputs.grades, "a") as f:
+        f.write("Q_a\tQ0\t<dbpedia:Snow>\n\nQ_a\tQ0\t<dbpedia:Snow>\tgood\n")
+    with open(inputs.queries, "a") as f:
+        f.write("Q_d without a tab\n")
+    assert kb.fold_candidates(spark, inputs, at).count() == kb.fold_candidates(spark, files, str(tmp_path / "o")).count()
+    got = kb.source_rejects(spark, at).collect()
+    assert {(r.stage, r.line, r.reason) for r in got} == {
+        ("grades", 6, "not four fields"), ("grades", 8, "the grade is no number"), ("queries", 3, "no text"),
+    }
+    assert writers.stage_counts(spark, f"{at}/grades") == {"rows": 6, "not four fields": 1, "the grade is no number": 1}
+    assert {r.file.rsplit("/", 1)[1] for r in got} == {"grades.tsv", "queries.tsv"}

@@ -1,8 +1,11 @@
+import re
+
 import numpy as np
 import pytest
 
 from checks.fixtures import letter_encoder
 from rankflow.operators import pooling, retrieval, scoring
+from rankflow.session import land
 
 HEAD = [(np.arange(22).reshape(2, 11) / 10, np.array([0.5, -3.0])), (np.ones((8, 2)), np.zeros(8))]
 
@@ -135,6 +138,63 @@ def test_experiments_of_one_encoder_share_its_vectors(candidates, monkeypatch):
     assert together.count() == 8
 
 
+def test_a_grid_is_one_pass(candidates):
+    """Twenty experiments: one scan of the candidates, one join with each side, and the scores of single runs."""
+    plain = [{"metric": m} for m in ("euclidean", "manhattan", "cosine")] * 4
+    other = [(HEAD[0][0] * 2, HEAD[0][1]), (HEAD[1][0], HEAD[1][1] + 1)]
+    headed = [
+        {"head": h, "graph": True, "weights": True, "weight_dim": 1, "metric": m}
+        for h in (HEAD, other) for m in ("euclidean", "manhattan", "cosine")
+    ]
+    narrow = [(np.ones((2, 10)), np.zeros(2)), (np.ones((8, 2)), np.zeros(8))]
+    more = [{"head": narrow, "graph": True}, {"head": [(np.ones((3, 8)), np.zeros(3)), (np.ones((8, 3)), np.zeros(8))]}]
+    experiments = [
+        {"experiment": f"m@{i}", "load_encoder": letter_encoder} | e for i, e in enumerate([*plain, *headed, *more])
+    ]
+    assert len(experiments) == 20
+    rows = land(candidates)
+    together = scoring.score_experiments(rows, experiments)
+    plan = together._jdf.queryExecution().executedPlan().toString()
+    scan = rows.inputFiles()[0].rsplit("/", 1)[0].rsplit("/", 1)[1]
+    assert plan.count(scan) == 1 and len(re.findall(r"(?:HashJoin|SortMergeJoin) \[", plan)) == 2
+    got = {tuple(r)[:-1]: r.score for r in together.collect()}
+    assert len(got) == 20 * 4
+    for e in experiments:
+        for r in scoring.score_candidates(candidates, **e).collect():
+            want = r.score if e.get("head") is None else pytest.approx(r.score, rel=1e-12)
+            assert got[tuple(r)[:-1]] == want
+
+
+def test_a_grid_scores_what_is_lacking(candidates):
+    experiments = [
+        {"experiment": "a", "load_encoder": letter_encoder},
+        {"experiment": "b", "load_encoder": letter_encoder, "metric": "cosine"},
+    ]
+    whole = scoring.score_experiments(candidates, experiments)
+    done = whole.where("(experiment = 'a' and query_id = 'q1') or (experiment = 'b' and dbpedia_entity = 'e2')")
+    rest = scoring.score_experiments(candidates, experiments, land(done))
+    want = {tuple(r) for r in whole.collect()} - {tuple(r) for r in done.collect()}
+    assert {tuple(r) for r in rest.collect()} == want and rest.count() == len(want) == 5
+    assert scoring.score_experiments(candidates, experiments, land(whole)).isEmpty()
+
+
+def test_a_grid_over_missing_vectors(spark, candidates):
+    """A row without a text or a graph vector has no score where the model needs it."""
+    rows = candidates.unionByName(
+        spark.createDataFrame([("q3", "x", "e9", None, [1.0, 2.0], [0.5]), ("q3", "x", "e8", "t", None, [0.5])], candidates.schema)
+    )
+    narrow = [(np.ones((2, 10)), np.zeros(2)), (np.ones((8, 2)), np.zeros(8))]
+    experiments = [
+        {"experiment": "a", "load_encoder": letter_encoder},
+        {"experiment": "b", "load_encoder": letter_encoder, "head": narrow, "graph": True},
+    ]
+    got = scoring.score_experiments(rows, experiments).where("score is null").collect()
+    assert {(r.experiment, r.dbpedia_entity) for r in got} == {("a", "e9"), ("b", "e9"), ("b", "e8")}
+    with pytest.raises(Exception, match="vectors of"):
+        short = [(np.ones((2, 8)), np.zeros(2)), (np.ones((5, 2)), np.zeros(5))]
+        scoring.score_experiments(rows, [{"experiment": "c", "load_encoder": letter_encoder, "head": short}]).collect()
+
+
 def test_attached_scores(candidates):
     experiments = [{"experiment": e, "load_encoder": letter_encoder} for e in ("m@1", "m@2")]
     scores = scoring.score_experiments(candidates, experiments)
