@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
@@ -28,11 +28,6 @@ def write_lines(lines: DataFrame, path: str, **options) -> str:
     return path
 
 
-def one_file(lines: DataFrame, *order: str | Column) -> DataFrame:
-    """Formats that are one file by nature: an array, or a table below one header line."""
-    return lines.orderBy(*order).select("value").coalesce(1)
-
-
 def quad_dump(spark, sf) -> str:
     """Quads with a bad byte in every text, broken lines and comments, as bzip2."""
     bad = F.unhex(F.lit("FF")).cast("string")
@@ -121,7 +116,7 @@ def article_grades_file(spark, sf):
 
 
 def names_file(spark, sf):
-    """A name has a comma, a quote and a backslash in it, and the array is gzipped."""
+    """A name has a comma, a quote and a backslash in it; the array is cut into gzipped parts."""
     names = fx.table(spark, sf, "embeddings").select(
         F.col("vec_id"), F.concat(F.lit('a, "b\\" '), F.col("vec_id").cast("string")).alias("name")
     )
@@ -130,17 +125,17 @@ def names_file(spark, sf):
     quoted = F.expr("substring(to_json(array(name)), 2, length(to_json(array(name))) - 2)")
     lines = names.select("vec_id", F.concat(before, quoted).alias("value"))
     end = spark.range(1).select(F.lit(None).cast("long").alias("vec_id"), F.lit("]").alias("value"))
-    lines = one_file(lines.union(end), F.asc_nulls_last("vec_id"))
+    lines = lines.union(end).orderBy(F.asc_nulls_last("vec_id")).select("value")
     return sources.read_entity_names(spark, write_lines(lines, place(spark, "names"), compression="gzip"))
 
 
 def vectors_file(spark, sf):
-    """One header line, then the entity and its numbers; the fields become an array."""
+    """One header line in the first part, then the entity and its numbers; the fields become an array."""
     rows = fx.entity_vectors(spark, sf).select(
         F.lit(1).alias("order"), F.concat_ws("\t", "entity", F.array_join("biggraph_embedding", "\t")).alias("value")
     )
     header = spark.range(1).select(F.lit(0).alias("order"), F.lit(f"1\t{fx.DIM}").alias("value"))
-    lines = one_file(rows.union(header), "order", "value")
+    lines = rows.union(header).orderBy("order", "value").select("value")
     path = write_lines(lines, place(spark, "vectors"), compression="gzip")
     read = sources.read_entity_vectors(spark, path, fx.DIM)
     return read.select("entity", fx.shown(vectors.to_doubles(F.col("biggraph_embedding"))).alias("vector"))

@@ -123,9 +123,9 @@ def grades(spark, sf) -> DataFrame:
     )
 
 
-def shown(vector: Column) -> Column:
-    """A vector as text, in millionths, so that its value compares exactly."""
-    micro = F.transform(vector, lambda x: F.round(x * 1_000_000).cast("long").cast("string"))
+def shown(vector: Column, change: Callable[[Column], Column] = lambda x: x) -> Column:
+    """A vector as text, in millionths, so that its value compares exactly; ``change`` is applied to each number."""
+    micro = F.transform(vector, lambda x: F.round(change(x) * 1_000_000).cast("long").cast("string"))
     return F.array_join(micro, ",")
 
 

@@ -219,8 +219,12 @@ def nan_fill(spark, sf):
     width = turns.agg(F.max(F.size(words))).first()[0]
     filled = vectors.finite(vectors.to_weights(raw), width)
     top = F.lit(sys.float_info.max)
-    marked = F.transform(filled, lambda x: F.when(x == top, 1e6).when(x == -top, -1e6).otherwise(x))
-    return turns.select("conv_id", "turn", F.size(filled).alias("n"), F.md5(shown(marked)).alias("weights"))
+
+    def marked(x):
+        return F.when(x == top, 1e6).when(x == -top, -1e6).otherwise(x)
+
+    turns = turns.select("conv_id", "turn", filled.alias("filled"))
+    return turns.select("conv_id", "turn", F.size("filled").alias("n"), F.md5(shown(F.col("filled"), marked)).alias("weights"))
 
 
 @query
@@ -303,16 +307,14 @@ def scoring_rows(spark, sf):
 
 def _vector_pairs(spark, sf) -> DataFrame:
     """Query and document vectors of every hit; a missing one is zero."""
-    embedded = fx.table(spark, sf, "embeddings").withColumn(
-        "v", F.col("embedding").cast("array<double>").cast("array<string>")
-    )
+    embedded = fx.table(spark, sf, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     left = embedded.select(F.col("vec_id").alias("query_index"), F.col("v").alias("a"))
     right = embedded.select(F.col("vec_id").alias("doc_id"), F.col("v").alias("b"))
     hits = fx.run(spark, sf).select(
         "query_index", fx.doc_id_of(F.col("url_dbpedia")).alias("doc_id")
     )
     joined = hits.join(left, "query_index", "left").join(right, "doc_id", "left")
-    filled = {c: vectors.to_doubles(vectors.zero_fill(F.col(c), fx.DIM)) for c in "ab"}
+    filled = {c: vectors.zero_fill(F.col(c), fx.DIM, 0.0) for c in "ab"}
     return joined.withColumns(filled)
 
 

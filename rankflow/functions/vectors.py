@@ -16,9 +16,9 @@ GRAPH_DIM = 200
 WEIGHT_DIM = 100
 
 
-def zero_fill(vector: Column, dim: int = GRAPH_DIM) -> Column:
-    """A missing vector of strings becomes ``dim`` times '0.0'."""
-    return F.coalesce(vector, F.array_repeat(F.lit("0.0"), dim))
+def zero_fill(vector: Column, dim: int = GRAPH_DIM, zero: str | float = "0.0") -> Column:
+    """A missing vector becomes ``dim`` times ``zero``, a string as in vector files, or a number."""
+    return F.coalesce(vector, F.array_repeat(F.lit(zero), dim))
 
 
 def to_doubles(vector: Column) -> Column:
@@ -44,12 +44,13 @@ def finite(vector: Column, dim: int = WEIGHT_DIM) -> Column:
     A longer array is an error, because cutting it would lose numbers.
     """
     top = F.lit(sys.float_info.max)
+    # NaN is the greatest value of all, and a comparison with null holds for nothing.
     filled = F.transform(
         vector,
-        lambda x: F.when(x.isNull() | F.isnan(x), F.lit(0.0))
+        lambda x: F.when((x >= -top) & (x <= top), x)
+        .when(x < -top, -top)
         .when(x == F.lit(float("inf")), top)
-        .when(x == F.lit(float("-inf")), -top)
-        .otherwise(x),
+        .otherwise(F.lit(0.0)),
     )
     filled = F.coalesce(filled, F.array().cast("array<double>"))
     padded = F.concat(filled, F.array_repeat(F.lit(0.0), F.greatest(F.lit(dim) - F.size(filled), F.lit(0))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -29,19 +29,24 @@ def text_key(column: str) -> Column:
 
 
 def embed_texts(
-    texts: DataFrame, column: str, load_encoder: Callable[[], Encoder], batch_size: int = BATCH_SIZE
+    texts: DataFrame,
+    column: str,
+    load_encoder: Callable[[], Encoder],
+    batch_size: int = BATCH_SIZE,
+    ident: Sequence[str] = (),
 ) -> DataFrame:
     """``text_key, embedding`` for every distinct text of ``column``.
 
     ``load_encoder`` runs once per Python worker and returns a function from an array of texts to
     a matrix of vectors. Keys are made distinct first, so that a text that stands on many rows is
-    fetched from one of them and not moved with all. ``texts`` is read twice and should be a table.
+    fetched from few of them and not moved with all: from those that agree in the columns ``ident``, in
+    all columns by default. ``texts`` is read twice and should be a table.
     """
     encode = predict_batch_udf(
         load_encoder, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size
     )
     keyed = texts.select(
-        text_key(column).alias("text_key"), F.col(column).alias("_text"), F.xxhash64(*texts.columns).alias("_id")
+        text_key(column).alias("text_key"), F.col(column).alias("_text"), F.xxhash64(*(ident or texts.columns)).alias("_id")
     ).where("_text is not null")
     first = keyed.groupBy("text_key").agg(F.min("_id").alias("_id"))
     distinct = keep_keys(keyed, first, "_id").dropDuplicates(["text_key"])
@@ -56,7 +61,8 @@ def embed_sides(
 ) -> tuple[DataFrame, DataFrame]:
     """The vectors of all queries and passages, landed; those that ``store`` has are not made again."""
     embed = embed_texts if store is None else store.embed
-    queries, passages = (embed(candidates, c, load_encoder, batch_size) for c in ("query_text", "abstract"))
+    ident = [c for c in ("query_id", "dbpedia_entity") if c in candidates.columns]
+    queries, passages = (embed(candidates, c, load_encoder, batch_size, ident) for c in ("query_text", "abstract"))
     return land(queries), land(passages)
 
 

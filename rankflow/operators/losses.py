@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from rankflow.functions.vectors import DISTANCES, TRIPLET_MARGIN
 from rankflow.operators.numbering import running_sums
-from rankflow.operators.triplets import KEYS, judged_counts, negative_sample, positives, sampled_queries
-from rankflow.session import land
+from rankflow.operators.triplets import KEYS, draw_parts, negative_sample, positives
 
 
 def hinge_loss(
@@ -58,9 +57,9 @@ def hinge_loss(
 
 def sampled_sides(candidates: DataFrame, seed: int = 42, **sample) -> DataFrame:
     """Positives, and as many sampled negatives, of the queries that give triplets, with ``is_positive``."""
-    counts = land(judged_counts(candidates))
-    negatives = negative_sample(candidates, seed, counts=counts, **sample).drop("n_pos")
-    positive = positives(candidates).join(sampled_queries(counts).select("query_id"), "query_id", "left_semi")
+    parts = draw_parts(candidates, seed, sample.get("identity", ("query_id", "dbpedia_entity")))
+    negatives = negative_sample(candidates, seed, parts=parts, **sample).drop("n_pos")
+    positive = positives(candidates).join(parts.select("query_id"), "query_id", "left_semi")
     sides = positive.withColumn("is_positive", F.lit(True))
     return sides.unionByName(negatives.withColumn("is_positive", F.lit(False)))
 

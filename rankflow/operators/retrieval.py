@@ -137,11 +137,21 @@ def unique_documents(index: DataFrame) -> DataFrame:
     Only ids are shuffled to find such rows, and only the rows found are merged. A merged document
     has at most one entry per term of the vocabulary.
     """
-    index = index.where(F.col("doc_id").isNotNull()).select("doc_id", "doc_length", "terms")
+    merged = _merged_documents(index)
+    return _identified(index) if merged is None else merged
+
+
+def _identified(index: DataFrame) -> DataFrame:
+    return index.where(F.col("doc_id").isNotNull()).select("doc_id", "doc_length", "terms")
+
+
+def _merged_documents(index: DataFrame) -> DataFrame | None:
+    """The index with repeated ids merged; None if no id repeats."""
+    index = _identified(index)
     repeated = index.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
     repeated = land(repeated.select("doc_id"))
     if repeated.isEmpty():
-        return index
+        return None
     rows = index.join(repeated, "doc_id", "left_semi")
     lengths = rows.groupBy("doc_id").agg(F.sum("doc_length").cast("int").alias("doc_length"))
     terms = rows.select("doc_id", F.explode("terms").alias("t"))
@@ -164,8 +174,9 @@ class Index:
 
 
 def prepare(index: DataFrame) -> Index:
-    """Count terms and lengths once, for any number of searches."""
-    documents = unique_documents(index)
+    """Count terms and lengths once, for any number of searches; merged documents are merged once, and landed."""
+    merged = _merged_documents(index)
+    documents = _identified(index) if merged is None else land(merged)
     return with_counts(documents, land(document_frequency(documents)))
 
 
@@ -336,7 +347,8 @@ def bm25_search(
     document. The query weights are landed and cut into blocks of about ``block_bytes``, each query in
     one block. A block goes to every task: a document is one row of the index, so a task scores whole
     documents and passes on k rows per query, and what is shuffled does not grow with the number
-    of (query, document) matches. The index is scanned once per block.
+    of (query, document) matches. The index is scanned once per block. Where there are several blocks, the
+    hits of each are landed and its weights are given up before the next one is sent.
     """
     if isinstance(index, DataFrame):
         index = prepare(index)
@@ -352,7 +364,10 @@ def bm25_search(
         mine = weights.where(F.pmod(F.xxhash64("query_index"), F.lit(n_blocks)) == block).toPandas()
         if len(mine):
             shared = spark.sparkContext.broadcast(_packed(mine))
-            parts.append(documents.mapInArrow(_score_documents(shared, k, SCORE_DIGITS), run))
+            found = documents.mapInArrow(_score_documents(shared, k, SCORE_DIGITS), run)
+            parts.append(found if n_blocks == 1 else land(found))
+            if n_blocks > 1:
+                shared.destroy()
     scores = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], run)
     # A query has at most k rows of each task, and no more rows than there are documents.
     salts = math.ceil(index.n_docs / _ROWS_PER_GROUP)

@@ -166,8 +166,9 @@ def model_triplet_loss(
     """
     _check_head(head, graph, weights)
     queries = land(embed_texts(triplets.select("query_text"), "query_text", load_encoder, batch_size))
-    sides = [triplets.select(F.col(f"abstract_{s}").alias("abstract")).distinct() for s in "xy"]
-    passages = land(embed_texts(land(sides[0].union(sides[1])), "abstract", load_encoder, batch_size))
+    # Keys are made distinct before texts; a text of n triplets is not shuffled n times.
+    sides = [triplets.select(F.col(f"abstract_{s}").alias("abstract")) for s in "xy"]
+    passages = land(embed_texts(sides[0].union(sides[1]), "abstract", load_encoder, batch_size))
     extra = ["biggraph_embedding"] * graph + ["deepct_weights"] * weights
     rows = triplets.select(
         text_key("query_text").alias("_query"),

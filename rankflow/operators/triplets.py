@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from rankflow.functions.vectors import DISTANCES, TRIPLET_MARGIN, WEIGHT_DIM, finite
@@ -19,8 +19,8 @@ PAYLOAD = (
     "deepct_tokens",
 )
 
-# Negatives of one query that are counted together, and the most such parts of one query.
-ROWS_PER_PART, MOST_PARTS = 100, 1 << 20
+# Equal parts of the draw keys that the negatives of a query are counted in.
+DRAW_PARTS = 64
 # Rows of one query that one task sorts, and pairs of one query that one task emits.
 ROWS_PER_TASK = 100_000
 PAIRS_PER_TASK = 1_000_000
@@ -47,11 +47,6 @@ def judged_counts(candidates: DataFrame) -> DataFrame:
     )
 
 
-def sampled_queries(counts: DataFrame) -> DataFrame:
-    """Queries with a positive and with enough negatives to draw as many."""
-    return counts.where("n_pos > 0 and n_pos <= n_neg")
-
-
 def skipped_queries(counts: DataFrame) -> DataFrame:
     """Judged queries that give no triplets, and why."""
     reason = F.when(F.col("n_pos") == 0, "no positives").otherwise("too few negatives")
@@ -68,67 +63,92 @@ def negative_sample(
     seed: int = 42,
     identity: tuple[str, ...] = ("query_id", "dbpedia_entity"),
     tie: tuple[str, ...] = ("hit",),
-    counts: DataFrame | None = None,
-    rows_per_part: int = ROWS_PER_PART,
+    parts: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """As many judged negatives per query as it has positives, without replacement.
 
     The sample is the first ``n_pos`` negatives in draw order; rows that tie are told apart by
     ``tie``, then by a hash of the whole row, so the sample does not depend on the partitions. No query's
-    negatives are sorted: the draw keys are counted in parts of about ``rows_per_part`` rows, which the tasks
-    add up, and only the part that holds a query's last sampled row is ranked. That gives a cut per
-    query, and the candidates are filtered by it where they lie; nothing but keys is shuffled before.
+    negatives are sorted: ``draw_parts`` counts them, and only the part that holds a query's last sampled row
+    is ranked. That gives a cut per query, and the candidates are filtered by it where they lie;
+    nothing but keys is shuffled before.
     """
-    counts = land(judged_counts(candidates)) if counts is None else counts
-    sampled = sampled_queries(counts).withColumn(
-        "_parts", F.least(F.ceil(F.col("n_neg") / rows_per_part), F.lit(MOST_PARTS))
-    )
+    parts = draw_parts(candidates, seed, identity) if parts is None else parts
     negatives = judged_negatives(candidates)
     keys = list(dict.fromkeys(("query_id", *identity, *tie)))
-    drawn = _with_draw(negatives.select(*keys).join(sampled.drop("n_neg"), "query_id"), seed, identity, tie)
-    cuts = _key_cuts(drawn, rows_per_task)
-    marked = _with_draw(negatives.join(cuts, "query_id"), seed, identity, tie)
+    cuts, in_excess = _key_cuts(_with_draw(negatives.select(*keys), seed, identity, tie), parts, rows_per_task)
+    marked = _with_draw(negatives, seed, identity, tie).join(cuts, "query_id")
     below = (F.col("_part") < F.col("_cut")) | ((F.col("_part") == F.col("_cut")) & (F.col("_key") < F.col("_last")))
     at = (F.col("_part") == F.col("_cut")) & (F.col("_key") == F.col("_last"))
     columns = [*candidates.columns, "n_pos"]
     whole = marked.where(below | (at & (F.col("_take") == F.col("_same")))).select(*columns)
-    if cuts.where("_take < _same").isEmpty():
+    if not in_excess:
         return whole
     tied = marked.where(at & (F.col("_take") < F.col("_same")))
     return whole.unionByName(_first_by_hash(tied, candidates.columns).select(*columns))
 
 
-def _with_draw(rows: DataFrame, seed: int, identity, tie) -> DataFrame:
-    """The draw key, its part among the ``_parts`` of the query, and the whole key in draw order."""
-    prefix = F.conv(F.substring("_draw", 1, 8), 16, 10).cast("double")
-    return (
-        rows.withColumn("_draw", draw_key(seed, *identity))
-        .withColumn("_part", F.floor(prefix / F.lit(2.0**32) * F.col("_parts")))
-        .withColumn("_key", F.struct("_draw", *tie))
+def draw_parts(
+    candidates: DataFrame, seed: int = 42, identity: tuple[str, ...] = ("query_id", "dbpedia_entity")
+) -> DataFrame:
+    """(query_id, n_pos, n_neg, _cut, _need) of the queries that are sampled, landed, from one pass over the keys.
+
+    The draw keys of a query fall in ``DRAW_PARTS`` equal parts, whose counts the tasks add up. The last sampled
+    negative lies in part ``_cut``, of which ``_need`` rows are sampled.
+    """
+    judged = candidates.where("qrel >= 0")
+    keys = list(dict.fromkeys(("query_id", *identity)))
+    marked = judged.select(
+        *keys, (F.col("qrel") > 0).alias("_positive"), (F.col("query_text").isNotNull() | (F.col("qrel") == 0)).alias("_counts")
+    ).where("_counts and query_id is not null")
+    drawn = marked.withColumn("_draw", draw_key(seed, *identity))
+    part = F.when(F.col("_positive"), -1).otherwise(_part_of(F.col("_draw")))
+    sizes = drawn.groupBy("query_id", part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    query = Window.partitionBy("query_id")  # one row per part
+    n_pos = F.sum(F.when(F.col("_part") < 0, F.col("_rows")).otherwise(0)).over(query)
+    before = F.sum(F.when(F.col("_part") >= 0, F.col("_rows")).otherwise(0)).over(
+        query.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    sizes = sizes.withColumns({"n_pos": n_pos, "_all": F.sum("_rows").over(query), "_before": F.coalesce(before, F.lit(0))})
+    last = sizes.where("_part >= 0 and _before < n_pos and n_pos <= _before + _rows")
+    return land(
+        last.select(
+            "query_id", "n_pos", (F.col("_all") - F.col("n_pos")).alias("n_neg"), F.col("_part").alias("_cut"),
+            (F.col("n_pos") - F.col("_before")).alias("_need"), "_rows",
+        )
     )
 
 
-def _key_cuts(drawn: DataFrame, rows_per_task: int) -> DataFrame:
-    """Per query the part and key of the last sampled row; of the ``_same`` rows at that key, ``_take`` are sampled."""
-    sizes = drawn.groupBy("query_id", "n_pos", "_parts", "_part").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy("query_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    last = sizes.where("_before < n_pos and n_pos <= _before + _rows")
-    parts = land(last.withColumnsRenamed({"_part": "_cut"}).withColumn("_need", F.col("n_pos") - F.col("_before")))
+def _part_of(draw: Column) -> Column:
+    return F.floor(F.conv(F.substring(draw, 1, 8), 16, 10).cast("double") * F.lit(DRAW_PARTS / 2.0**32)).cast("int")
+
+
+def _with_draw(rows: DataFrame, seed: int, identity, tie) -> DataFrame:
+    """The draw key, its part, and the whole key in draw order."""
+    drawn = rows.withColumn("_draw", draw_key(seed, *identity))
+    return drawn.withColumns({"_part": _part_of(F.col("_draw")), "_key": F.struct("_draw", *tie)})
+
+
+def _key_cuts(drawn: DataFrame, parts: DataFrame, rows_per_task: int) -> tuple[DataFrame, bool]:
+    """Per query the key of the last sampled row, and whether any has more rows at that key than are sampled.
+
+    Of the ``_same`` rows at that key, ``_take`` are sampled.
+    """
     edge = drawn.join(parts.select("query_id", "_cut"), "query_id").where(F.col("_part") == F.col("_cut"))
     edge = edge.groupBy("query_id", "_key").agg(F.count(F.lit(1)).alias("_same"))
-    # A part is larger than planned only where many rows have one draw key.
     if (parts.agg(F.max("_rows")).first()[0] or 0) <= rows_per_task:
         upto = Window.partitionBy("query_id").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         edge = edge.withColumn("_upto", F.sum("_same").over(upto))
     else:
         edge = running_sums(edge, ["query_id"], ["_key"], {"_upto": "_same"})
-    cuts = edge.join(parts.drop("_rows", "_before"), "query_id")
-    cuts = cuts.where("_upto - _same < _need and _need <= _upto")
-    return land(
-        cuts.select("query_id", "n_pos", "_parts", "_cut", F.col("_key").alias("_last"), "_same", F.expr("_need - _upto + _same").alias("_take"))
-    )
+    cuts = edge.join(parts, "query_id").where("_upto - _same < _need and _need <= _upto")
+    take = F.expr("_need - _upto + _same")
+    cuts = cuts.select("query_id", "n_pos", "_cut", F.col("_key").alias("_last"), "_same", take.alias("_take"))
+    excess = Observation()
+    # Written with the table: no further pass to find out.
+    cuts = land(cuts.observe(excess, F.max(F.col("_same") - F.col("_take")).alias("most")))
+    return cuts, (excess.get["most"] or 0) > 0
 
 
 def _first_by_hash(tied: DataFrame, columns: list[str]) -> DataFrame:
@@ -161,11 +181,11 @@ def build_triplets(
     A query gives n_pos squared rows. Where that is more than ``pairs_per_task``, its positives are
     dealt over salts and its few negatives are repeated for each salt.
     """
-    counts = land(judged_counts(candidates))
+    parts = draw_parts(candidates, seed, sample.get("identity", ("query_id", "dbpedia_entity")))
     salts = F.ceil(F.col("n_pos") * F.col("n_pos") / pairs_per_task)
-    negatives = negative_sample(candidates, seed, counts=counts, **sample)
+    negatives = negative_sample(candidates, seed, parts=parts, **sample)
     negatives = negatives.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    positive = positives(candidates).join(sampled_queries(counts), "query_id")
+    positive = positives(candidates).join(parts.select("query_id", "n_pos"), "query_id")
     positive = positive.withColumn(
         "_salt", F.pmod(F.xxhash64("dbpedia_entity", "abstract"), salts)
     )

@@ -96,7 +96,7 @@ def read_article_grades(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_entity_names(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of strings, with the array position as ``entity_index``.
+    """A JSON array of strings, in one file or cut into several between names; its position is ``entity_index``.
 
     The array is read piece by piece, cut at every comma, so that it is never one value. A comma
     inside a name leaves pieces with an odd number of quotes; such pieces are put together again.
@@ -108,7 +108,9 @@ def read_entity_names(spark: SparkSession, path: str) -> DataFrame:
     if (pieces.agg(F.sum("_odd")).first()[0] or 0) % 2:
         raise ValueError(f"a quote is left open in {path}")
     pieces = running_total(pieces, "_piece", "_odd", "_open")
-    pieces = pieces.withColumn("_starts", (F.pmod("_open", F.lit(2)) == 0).cast("int"))
+    # Between two files, or at the end of one, a piece may hold nothing.
+    holds = F.regexp_replace("value", r"[\s\[\]]", "") != ""
+    pieces = pieces.withColumn("_starts", ((F.pmod("_open", F.lit(2)) == 0) & holds).cast("int"))
     pieces = running_total(pieces, "_piece", "_starts", "_before")
     index = F.col("_before") + F.col("_starts") - 1
     parts = F.sort_array(F.collect_list(F.struct("_piece", "value")))
@@ -147,9 +149,11 @@ def rejected_entity_vectors(
 
 
 def _vector_lines(spark: SparkSession, path: str) -> DataFrame:
-    """All lines but the header, which is the first line of the file."""
+    """All lines but the header, which is the first line of the first file."""
     lines = spark.read.text(path)
-    header = lines.first()
+    # Spark may begin with another file of a folder than the first one.
+    firsts = (spark.read.text(p).first() for p in sorted(lines.inputFiles()))
+    header = next((row for row in firsts if row is not None), None)
     if header is None:
         return lines
     lines = lines.where(F.col("value") != F.lit(header["value"]))

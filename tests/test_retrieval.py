@@ -142,7 +142,7 @@ def test_search_shuffles_only_the_best(spark, tmp_path):
     assert text.count("Exchange") == 1
     assert text.count("FileScan") == 1  # the index, once
     blocks = plan(retrieval.bm25_search(prepared, queries, 10, block_bytes=60))
-    assert 1 < blocks.count("FileScan") == blocks.count("MapInArrow") and "doc_id, 4" not in blocks
+    assert blocks.count("FileScan") > 1 and "MapInArrow" not in blocks and "doc_id, 4" not in blocks  # landed hits
     before = text[text.index("Exchange") :]
     assert "WindowGroupLimit" in before and "MapInArrow" in before
 
@@ -169,3 +169,27 @@ def test_document_frequency_of_a_vocabulary(spark, broadcast_keys):
     got = retrieval.document_frequency(index, vocabulary, broadcast_keys).collect()
     bags = [set(words(t)) for t in corpus(40)]
     assert {r.term: r.df for r in got} == {w: sum(w in b for b in bags) for w in ("the", "sky")}
+
+
+def test_merged_documents_are_landed_and_blocks_given_up(spark, monkeypatch):
+    landed, destroyed = [], []
+    land = retrieval.land
+    monkeypatch.setattr(retrieval, "land", lambda df: landed.append(df.columns) or land(df))
+    docs = spark.createDataFrame([(1, "red sky"), (1, "red sea"), (2, "blue sky"), (3, "green")], "id long, text string")
+    index = retrieval.prepare(retrieval.doc_vectors(docs, "id", "text"))
+    assert ["doc_id", "doc_length", "terms"] in landed and "Aggregate" not in str(
+        index.documents._jdf.queryExecution().optimizedPlan()
+    )
+    queries = spark.createDataFrame([(0, "red sky"), (1, "sea"), (2, "green blue")], "query_index long, query_text string")
+    want = sorted(map(tuple, retrieval.bm25_search(index, queries, 2).collect()))
+    broadcast = type(spark.sparkContext).broadcast
+
+    def watched(self, value):
+        shared = broadcast(self, value)
+        destroy = shared.destroy
+        shared.destroy = lambda *a: destroyed.append(1) or destroy(*a)
+        return shared
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", watched)
+    assert sorted(map(tuple, retrieval.bm25_search(index, queries, 2, block_bytes=40).collect())) == want
+    assert len(destroyed) > 1

@@ -44,7 +44,7 @@ ROWS = (
 )
 
 
-@pytest.mark.parametrize("limits", [{}, {"rows_per_part": 3}, {"rows_per_part": 25, "rows_per_task": 1}])
+@pytest.mark.parametrize("limits", [{}, {"rows_per_task": 1}])
 @pytest.mark.parametrize("seed", [42, 7])
 def test_sample_is_the_start_of_the_draw(spark, limits, seed):
     drawn = triplets.negative_sample(make(spark, ROWS), seed, **limits)
@@ -97,8 +97,6 @@ def test_only_keys_are_sampled(spark, tmp_path, monkeypatch):
     sampling = next(p for p in plans if "Window" in p)
     for exchange in [line for line in sampling.splitlines() if "Exchange" in line or "Window" in line]:
         assert "abstract" not in exchange and "biggraph" not in exchange
-    above_scan = sampling[: sampling.index("FileScan")]
-    assert "abstract" not in above_scan.split("Project")[0]
 
 
 def test_skipped_queries_are_reported(spark):
@@ -111,7 +109,7 @@ def test_skipped_queries_are_reported(spark):
 
 @pytest.mark.parametrize("pairs_per_task", [1_000_000, 50])
 def test_triplets_are_positives_times_sample(spark, pairs_per_task):
-    built = triplets.build_triplets(make(spark, ROWS), 42, rows_per_part=25, pairs_per_task=pairs_per_task)
+    built = triplets.build_triplets(make(spark, ROWS), 42, rows_per_task=25, pairs_per_task=pairs_per_task)
     got = sorted((r.query_id, r.dbpedia_entity_x, r.dbpedia_entity_y) for r in built.collect())
     want = sorted(
         (q, p, n) for q, n, _ in expected_sample(ROWS, 42) for q2, p, _, g in ROWS if q2 == q and (g or 0) > 0
