@@ -113,7 +113,7 @@ def embedding_classes(
 
     Vectors that are null, empty or zero or hold a null or non-finite component link with nothing and are
     their own component. Vectors of different length never link. A repeated row is a copy: it counts
-    as a link. Rows with a null vec_id are not compared: component null, no links, not kept. Other
+    as a link; unlike rows of one vec_id are vectors like others. Rows with a null vec_id are not compared: component null, no links, not kept. Other
     columns are ignored.
     """
     ready(vectors.sparkSession)
@@ -129,9 +129,10 @@ def embedding_classes(
     hashes = [F.when(F.col("v").isNotNull(), h) for h in (F.xxhash64(v), F.xxhash64(F.lit(7), v))]
     rows = land(rows.select("vec_id", "v", hashes[0].alias("h1"), hashes[1].alias("h2")))
     texts = rows.where("v is not null").groupBy("h1", "h2").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")
+        F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")
     )
-    texts = land(texts)
+    # A vector is known by a number of its own: unlike vectors may share an id.
+    texts = land(texts.withColumn("rep", F.monotonically_increasing_id()))
     bits, tables = table_sizes(texts.count(), threshold, recall)
     keyed = land(
         texts.select("rep", "copies", "v").mapInArrow(
@@ -155,16 +156,15 @@ def embedding_classes(
     )
     n_links = compared.where("n is not null").groupBy("rep").agg(F.sum("n").alias("n"))
     classes = components(compared.where("other is not null").select("rep", "other"))
-    by_vector = (
+    classed = land(
         texts.drop("v")
         .join(n_links, "rep", "left")
         .join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select(
-            "h1",
-            "h2",
-            (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
-        )
+        .withColumn("class", F.coalesce("component", "rep"))
+    )
+    least = classed.groupBy("class").agg(F.min("least").alias("component_id"))
+    by_vector = classed.join(least, "class").select(
+        "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
     )
     alone = rows.where("v is null").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")

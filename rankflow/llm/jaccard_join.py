@@ -76,7 +76,7 @@ def _sequence_hashes(found) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(size: int, trees: int, prefix: int):
-    """A mapInArrow function: row key, words' hash, number of shingles, one prefix hash per tree."""
+    """A mapInArrow function: row keys, words' hash, number of shingles, one prefix hash per tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -96,6 +96,7 @@ def signatures(size: int, trees: int, prefix: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
+                        batch.column("row_hash"),
                         pa.array(first.view(np.int64)),
                         pa.array(second.view(np.int64)),
                         pa.array(counts.astype(np.int64)),
@@ -103,19 +104,21 @@ def signatures(size: int, trees: int, prefix: int):
                             pa.array(lists), pa.array(keys.ravel().view(np.int64))
                         ),
                     ],
-                    names=["doc_id", "h1", "h2", "n_shingles", "keys"],
+                    names=["doc_id", "row_hash", "h1", "h2", "n_shingles", "keys"],
                 )
 
     return run
 
 
 def shingle_sets(size: int):
-    """A mapInArrow function: row key and the sorted distinct shingles of the text."""
+    """A mapInArrow function: the words' hash and the sorted distinct shingles of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                values, offsets = shingles(words(batch.column("text")), size)
+                found = words(batch.column("text"))
+                first, second = _sequence_hashes(found)
+                values, offsets = shingles(found, size)
                 sets = [
                     np.unique(values[a:b]).view(np.int64)
                     for a, b in zip(offsets[:-1], offsets[1:], strict=True)
@@ -125,10 +128,11 @@ def shingle_sets(size: int):
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id"),
+                        pa.array(first.view(np.int64)),
+                        pa.array(second.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(lists), pa.array(flat)),
                     ],
-                    names=["rep", "shingles"],
+                    names=["h1", "h2", "shingles"],
                 )
 
     return run
@@ -227,7 +231,7 @@ def _block_pairs(members: DataFrame, block_shingles: int) -> tuple[DataFrame, Da
     block = F.pmod(F.xxhash64("rep", F.lit(9)), n_blocks)
     members = land(
         members.join(volume, "cluster").select(
-            "rep", "copies", "keys", "cluster", block.alias("block"), n_blocks.alias("n_blocks")
+            "rep", "least", "h1", "h2", "copies", "keys", "cluster", block.alias("block"), n_blocks.alias("n_blocks")
         )
     )
     single = members.where("n_blocks = 1").select("cluster", F.lit(0).alias("b1"), F.lit(0).alias("b2"))
@@ -259,44 +263,51 @@ def jaccard_classes(
 
     Null and empty texts and texts without a word have no shingle: no links, their own class. A text
     of fewer than ``size`` words is one shingle. A repeated row is a copy of itself and counts as a
-    link. Rows with a null doc_id are not compared: class_id null, n_links 0. Other columns are
-    ignored, so their names can't clash.
+    link. Unlike rows of one doc_id are compared as rows like others. Rows with a null doc_id are not compared:
+    class_id null, n_links 0. Other columns are ignored, so their names can't clash.
     """
-    spark = docs.sparkSession
-    ready(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("row_hash"))
+    classes = _classified(docs, size, threshold, trees, depth, recall, block_shingles)
+    return classes.select("doc_id", "class_id", "n_links")
+
+
+def _classified(
+    docs: DataFrame, size: int, threshold: float, trees: int, depth: int, recall: float, block_shingles: int
+) -> DataFrame:
+    """doc_id, row_hash, h1, h2, class, class_id, n_links of every row of doc_id, text, row_hash.
+
+    A text is known by a number of its own, not by a document id, which unlike texts may share; ids are put to
+    the finished classes. ``class`` is the number of the class; it and the hashes are null for rows that
+    are not compared.
+    """
+    ready(docs.sparkSession)
     prefix = match_depth(trees, depth, threshold, recall)
     features = land(
         docs.mapInArrow(
             signatures(size, trees, prefix),
-            "doc_id long, h1 long, h2 long, n_shingles long, keys array<long>",
+            "doc_id long, row_hash long, h1 long, h2 long, n_shingles long, keys array<long>",
         )
     )
-    compared = features.where("doc_id is not null and n_shingles > 0")
-    texts = land(
-        compared.groupBy("h1", "h2").agg(
-            F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
-            F.first("n_shingles").alias("n_shingles"),
-        )
+    texts = features.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("least"),
+        F.count(F.lit(1)).alias("copies"),
+        F.first("n_shingles").alias("n_shingles"),
+        F.first("keys").alias("keys"),
     )
-    # Prefixes of one row per text; the least doc_id of a text may stand on repeated rows.
-    reps = compared.join(texts.select("h1", "h2", "rep"), ["h1", "h2"]).where("doc_id = rep")
-    reps = land(reps.dropDuplicates(["h1", "h2"]).select("rep", "n_shingles", "keys"))
-    keyed = reps.select("rep", F.explode("keys").alias("key"))
+    texts = land(texts.withColumn("rep", F.monotonically_increasing_id()))
+    keyed = texts.select("rep", F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n"))
     met = keyed.join(met.where("n > 1").select("key", "least"), "key")
     clusters = components(met.select("rep", "least"))
-    members = reps.join(clusters, reps["rep"] == clusters["node"]).join(texts.select("rep", "copies"), "rep")
-    members, pairs = _block_pairs(
-        members.select("rep", "n_shingles", "keys", "copies", F.col("component").alias("cluster")),
-        block_shingles,
-    )
-    members = members.select("rep", "copies", "cluster", "block")
+    members = texts.join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+    members, pairs = _block_pairs(members, block_shingles)
+    members = members.select("rep", "least", "h1", "h2", "copies", "cluster", "block")
     wanted = keep_keys(
-        docs.where("doc_id is not null"), members.select(F.col("rep").alias("doc_id")), "doc_id"
+        docs.where("doc_id is not null"), members.select(F.col("least").alias("doc_id")), "doc_id"
     )
-    sets = wanted.mapInArrow(shingle_sets(size), "rep long, shingles array<long>")
-    sets = land(members.join(sets.dropDuplicates(["rep"]), "rep"))
+    # Other texts of a wanted id fall out of the join.
+    sets = wanted.mapInArrow(shingle_sets(size), "h1 long, h2 long, shingles array<long>")
+    sets = land(members.drop("least").join(sets.dropDuplicates(["h1", "h2"]), ["h1", "h2"]).drop("h1", "h2"))
     task = ["cluster", "b1", "b2"]
     left = pairs.withColumn("block", F.col("b1")).withColumn("side", F.lit(0))
     right = pairs.where("b1 != b2").withColumn("block", F.col("b2")).withColumn("side", F.lit(1))
@@ -307,37 +318,51 @@ def jaccard_classes(
         .applyInPandas(compare_blocks(threshold), "rep long, other long, n long")
     )
     n_links = compared_blocks.where("n is not null").groupBy("rep").agg(F.sum("n").alias("n"))
-    classes = components(compared_blocks.where("other is not null").select("rep", "other"))
-    classes = classes.select(F.col("node").alias("rep"), "component")
-    by_text = (
-        texts.join(n_links, "rep", "left")
-        .join(classes, "rep", "left")
-        .select(
-            "h1",
-            "h2",
-            F.coalesce("component", "rep").alias("class_id"),
-            (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        )
+    linked = components(compared_blocks.where("other is not null").select("rep", "other"))
+    classed = land(
+        texts.drop("keys", "n_shingles")
+        .join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        .join(n_links, "rep", "left")
+        .withColumn("class", F.coalesce("component", "rep"))
+    )
+    least = classed.groupBy("class").agg(F.min("least").alias("class_id"))
+    by_text = classed.join(least, "class").select(
+        "h1", "h2", "class", "class_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     is_compared = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    keyed_rows = features.select(
-        "doc_id", F.when(is_compared, F.col("h1")).alias("h1"), F.when(is_compared, F.col("h2")).alias("h2"),
+    rows = features.select(
+        "doc_id", "row_hash", *[F.when(is_compared, F.col(h)).alias(h) for h in ("h1", "h2")]
     )
-    alone = keyed_rows.where("h1 is null").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")
+    none = F.lit(None).cast("long")
+    alone = rows.where("h1 is null").withColumns(
+        {"class": none, "class_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")}
     )
-    return keyed_rows.join(by_text, ["h1", "h2"]).select("doc_id", "class_id", "n_links").union(alone)
+    return rows.join(by_text, ["h1", "h2"]).unionByName(alone)
 
 
-def keep_one_per_class(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with one row of each class: the one with the least doc_id.
+def keep_one_per_class(
+    docs: DataFrame,
+    size: int = 5,
+    threshold: float = 0.8,
+    trees: int = 20,
+    depth: int = 8,
+    recall: float = 0.999,
+    block_shingles: int = BLOCK_SHINGLES,
+) -> DataFrame:
+    """``docs`` with one row of each class: of its rows with the least doc_id the first by hashes of words and row.
 
-    All columns stay. Rows with a null doc_id stay. Of rows with a repeated doc_id one stays if they
-    say the same; if their texts differ, each text's class decides for all rows of that id, and one
-    row stays when any of them does.
+    All columns stay. Rows with a null doc_id stay. Rows without a shingle are classes of their own, and of equal
+    rows one stays. Unlike texts of one doc_id are rows like others: each class keeps one.
     """
-    columns = docs.columns
-    classes = jaccard_classes(docs.select("doc_id", "text"), **parameters)
-    kept = classes.where("doc_id = class_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
-    return one.union(docs.where("doc_id is null"))
+    comparable = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    mark = "_hash_of_row"
+    marked = docs.withColumn(mark, F.xxhash64(*comparable))
+    narrow = marked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(mark).alias("row_hash"))
+    classes = _classified(narrow, size, threshold, trees, depth, recall, block_shingles).where("doc_id is not null")
+    first = classes.where("class is not null").groupBy("class").agg(
+        F.min(F.struct("doc_id", "h1", "h2", "row_hash")).alias("kept")
+    )
+    kept = first.select("kept.doc_id", "kept.row_hash").union(classes.where("class is null").select("doc_id", "row_hash"))
+    kept = kept.distinct().withColumnRenamed("row_hash", mark)
+    one = marked.join(kept, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
+    return one.select(*docs.columns).union(docs.where("doc_id is null"))

@@ -52,6 +52,54 @@ def test_one_row_of_each_class_stays(spark):
     assert keep_one_per_class(awkward_docs(spark, empty=True)).isEmpty()
 
 
+def words(seed, n=40):
+    rng = np.random.default_rng(seed)
+    return " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+
+
+def repeated_ids():
+    """Unlike texts under one id, each with near copies of its own, and one id in two classes and in one twice."""
+    a, b, c = words(1), words(2), words(3)
+    rows = [(1, a), (1, b), (5, a + " z"), (6, b + " z"), (1, a), (7, c), (7, c + " y"), (7, words(4)), (6, words(5))]
+    return rows + [(2, ""), (2, None), (2, ""), (None, a), (8, a + " z"), (1, b + " q")]
+
+
+@pytest.mark.parametrize("block_shingles", [64, 1 << 15])
+def test_unlike_texts_of_one_id(spark, block_shingles):
+    rows = repeated_ids()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    named = [r for r in rows if r[0] is not None]
+    want = sorted((named[i][0], *v) for i, v in plain_classes(named).items())
+    got = [tuple(r) for r in jaccard_classes(docs, block_shingles=block_shingles).collect()]
+    assert sorted(r for r in got if r[0] is not None) == want
+    probe = spark.createDataFrame(rows[:4], docs.schema)
+    assert sorted(map(tuple, jaccard_classes(probe).collect())) == [(1, 1, 1), (1, 1, 1), (5, 1, 1), (6, 1, 1)]
+
+
+def test_each_class_keeps_a_row_whatever_the_ids(spark):
+    rows = repeated_ids()
+    schema = "doc_id long, text string, row_hash string, kept string"
+    kept = []
+    for n in (1, 5):
+        docs = spark.createDataFrame([(*r, "mine", None) for r in rows], schema).repartition(n)
+        got = keep_one_per_class(docs)
+        assert got.columns == docs.columns and {r.row_hash for r in got.collect()} == {"mine"}
+        kept.append(sorted((r.doc_id or -1, r.text or "") for r in got.collect()))
+    assert kept[0] == kept[1]
+    texts = [t for _, t in kept[0]]
+    assert len(texts) == 8  # classes a, b, c, two lone texts, an empty one, a null one, and the row without an id
+    assert sum(words(1) in t for t in texts) == 2 and sum(words(2) in t for t in texts) == 1
+    assert sum(words(3) in t for t in texts) == 1 and {(7, words(4)), (6, words(5))} <= set(kept[0])
+
+
+@pytest.mark.parametrize("block", [2, 512])
+def test_unlike_vectors_of_one_id(spark, block):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (5, [1.0, 0.1, 0.0]), (6, [0.1, 1.0, 0.0]), (6, [0.0, 0.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(tuple(r)[:3] for r in embedding_classes(table, block=block).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (5, 1, 1), (6, 0, 6), (6, 1, 1)]
+
+
 def vectors(spark):
     rng = np.random.default_rng(0)
     made = []
