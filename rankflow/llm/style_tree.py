@@ -100,30 +100,23 @@ def _hash(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value) & 0x7FFFFFFFFFFFFFFF
 
 
+#: What moves a walk through a tag: the start of a quoted value, or the end of the tag.
+_TAG_MARK = re.compile("=\\s*[\"']|>")
+
+
 def _tag_end(page: str, at: int) -> int:
-    """The closing bracket of a tag, past brackets in quoted values where the quotes match up."""
-    end = first = page.find(">", at)
-    while end >= 0 and end - at < 100_000:
-        inside = page[at:end]
-        if _open_quote(inside):
-            end = page.find(">", end + 1)
-        else:
-            return end
-    return first
-
-
-def _open_quote(inside: str) -> bool:
-    if '"' not in inside and "'" not in inside:
-        return False
-    quote = ""
-    for c in re.findall("=\\s*[\"']|[\"']", inside):
-        mark = c[-1]
-        if quote:
-            if mark == quote:
-                quote = ""
-        elif c[0] == "=":
-            quote = mark
-    return bool(quote)
+    """The closing bracket of a tag, past brackets in quoted values; the first one where a quote is left open.
+
+    One walk from mark to mark: a quoted value of any length is one step.
+    """
+    place = at
+    while (mark := _TAG_MARK.search(page, place)) is not None:
+        if mark[0] == ">":
+            return mark.start()
+        place = page.find(mark[0][-1], mark.end()) + 1
+        if not place:
+            break
+    return page.find(">", at)
 
 
 def parse(page: str) -> tuple[list[Text], list[tuple[int, int, int]]]:
@@ -342,7 +335,8 @@ def main_text(page: str, host: str, removed: np.ndarray) -> str:
             gone[t.node] = i < len(removed) and int(removed[i]) == key
         if not gone[t.node]:
             blocks.setdefault(t.block, []).append(t.text)
-    lines = (_SPACE.sub(" ", html.unescape("".join(parts))).strip() for parts in blocks.values())
+    # Each run by itself: markup ends a character reference.
+    lines = (_SPACE.sub(" ", "".join(map(html.unescape, parts))).strip() for parts in blocks.values())
     return "\n".join(line for line in lines if line)
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -209,6 +210,30 @@ def test_odd_pages(page, text):
     assert style_tree.main_text(page or "", "h", np.zeros(0, np.int64)) == text
 
 
+@pytest.mark.parametrize("n", [10, 99_000, 120_000, 2_000_000])
+def test_a_long_quoted_value_is_no_text(n):
+    start = time.perf_counter()
+    for value in ("x" * n + "> more", ">" * n, "> = ' >" * (n // 8), "=" * n):
+        page = f'<article>a <p data-x="{value}">two words</p></article>'
+        assert style_tree.main_text(page, "h", np.zeros(0, np.int64)) == "a\ntwo words"
+    assert time.perf_counter() - start < 3
+
+
+def test_quotes_that_are_left_open():
+    none = np.zeros(0, np.int64)
+    assert style_tree.main_text('<div>a<p title="x>b</p>c</div>', "h", none) == "a\nb\nc"
+    assert style_tree.main_text("<p>it's <b title=x'y>5\" wide</b></p>", "h", none) == "it's 5\" wide"
+    start = time.perf_counter()
+    style_tree.main_text('<p a="x>y' * 20_000, "h", none)
+    style_tree.main_text("<p a='x>y" * 20_001 + "</p>", "h", none)
+    assert time.perf_counter() - start < 10
+
+
+def test_references_end_where_markup_begins():
+    page = "<p>&l<i>t;</i> &amp<b>;</b> &lt;i&gt;</p>"
+    assert style_tree.main_text(page, "h", np.zeros(0, np.int64)) == "&lt; &; <i>"
+
+
 def test_pages_with_nulls_and_clashing_columns(spark):
     rows = [(1, None, None, "t"), (None, "::bad[", "<p>x", None), (2, "http://a/", "", "t"), (2, "http://a/", "", "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
