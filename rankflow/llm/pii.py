@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.boosted import Node, fit_trees, logit_column, logits
+from rankflow.llm.boosted import Node, fit_trees, logit_column
 from rankflow.session import land
 
 KINDS = ("email", "ip", "card", "phone")
@@ -52,6 +52,7 @@ _BLOCK = 512
 FEATURES = 12
 #: Distinct rows of features that the fit takes, those with the most examples first.
 MAX_PATTERNS = 20_000
+SCORE_STEPS = 1024
 PRECISION = 0.95
 
 
@@ -228,33 +229,34 @@ class Model:
 def fit(found: DataFrame, max_patterns: int = MAX_PATTERNS, precision: float = PRECISION) -> Model:
     """Fit on the proposals of ``found``, three quarters of the documents, and set thresholds on the rest.
 
-    All proposals count. A kind gets the lowest threshold at which the proposals above it are valid in
-    ``precision`` of the unseen cases; none is added where that is never so, or nothing was seen.
+    The fit takes the ``max_patterns`` most frequent rows of features. The thresholds come from all proposals of
+    the other documents, counted by kind and score (in steps of 1/``SCORE_STEPS``): a kind gets the lowest one
+    at which the proposals above it are valid in ``precision`` of these cases; none is added where that is
+    never so, or nothing was seen.
     """
     each = found.select((F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(4)) == 0).alias("held"), F.explode("proposed").alias("c"))
     counts = each.groupBy("held", F.col("c.x").alias("x")).agg(
         F.count_if("c.valid").alias("good"), F.count_if(~F.col("c.valid")).alias("bad")
     )
-    rows = counts.orderBy(F.desc(F.col("good") + F.col("bad")), "x", "held").limit(max_patterns).collect()
-    if not rows:
+    counts = land(counts)
+    seen = counts.where("not held").orderBy(F.desc(F.col("good") + F.col("bad")), "x").limit(max_patterns).collect()
+    if not seen:
         return Model(0.0, [], [float("inf")] * len(KINDS))
-    held = np.array([r["held"] for r in rows])
-    x = np.array([r["x"] for r in rows], np.int64)
-    good, bad = (np.array([r[c] for r in rows], float) for c in ("good", "bad"))
-    base, trees = fit_trees(x[~held], good[~held], bad[~held]) if (~held).any() else (0.0, [])
-    score = logits(base, trees, x)
+    x = np.array([r["x"] for r in seen], np.int64)
+    base, trees = fit_trees(x, *(np.array([r[c] for r in seen], float) for c in ("good", "bad")))
+    score = logit_column(base, trees, [F.get("x", F.lit(i)) for i in range(FEATURES)])
+    step = F.floor(score * SCORE_STEPS).alias("step")
+    unseen = counts.where("held").groupBy(F.get("x", F.lit(0)).alias("kind"), step)
+    steps = unseen.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()
     thresholds = []
     for kind in range(len(KINDS)):
-        own = np.flatnonzero(held & (x[:, 0] == kind))
-        if not trees or not len(own):
-            thresholds.append(float("inf"))
-            continue
-        order = own[np.argsort(-score[own], kind="stable")]
-        values, last = np.unique(-score[order], return_index=True)
-        ends = np.append(last[1:], len(order)) - 1  # proposals that tie are selected together
-        right, wrong = np.cumsum(good[order])[ends], np.cumsum(bad[order])[ends]
-        ok = np.flatnonzero(right >= precision * (right + wrong))
-        thresholds.append(float(-values[ok[-1]]) if len(ok) else float("inf"))
+        own = sorted((-r["step"], r["good"], r["bad"]) for r in steps if r["kind"] == kind)
+        threshold, right, wrong = float("inf"), 0, 0
+        for step, good, bad in own if trees else []:
+            right, wrong = right + good, wrong + bad
+            if right >= precision * (right + wrong):
+                threshold = -step / SCORE_STEPS
+        thresholds.append(threshold)
     return Model(base, trees, thresholds)
 
 

@@ -10,7 +10,7 @@ import pytest
 from llm_cases import PROSE, awkward_docs, plain_words, small
 from pyspark.sql import functions as F
 
-from rankflow.llm import decontaminate, importance, licenses, pii, toxicity
+from rankflow.llm import boosted, decontaminate, importance, licenses, pii, toxicity
 from rankflow.llm.queries import QUERIES
 
 
@@ -245,6 +245,33 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert pii.find_pii(docs).count() == docs.count()
 
 
+@pytest.mark.parametrize("max_patterns", [3, 20_000])
+def test_thresholds_count_all_held_proposals(spark, max_patterns):
+    """Whatever the bound of the fit, every proposal of a held document counts."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for doc in range(400):
+        proposed = []
+        for _ in range(8):
+            kind, cue, noise = (int(n) for n in (rng.integers(0, 4), rng.integers(0, 2), rng.integers(0, 50)))
+            valid = bool(rng.random() < (0.99 if cue else (0.3 if kind else 0.0)))
+            proposed.append((kind, 0, 1, [kind, cue, noise] + [0] * (pii.FEATURES - 3), valid))
+        rows.append((doc, proposed))
+    schema = "doc_id long, proposed array<struct<kind: int, start: int, end: int, x: array<bigint>, valid: boolean>>"
+    found = spark.createDataFrame(rows, schema)
+    model = pii.fit(found, max_patterns)
+    marked = found.select((F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(4)) == 0).alias("held"), "proposed")
+    held = [c for r in marked.where("held").collect() for c in r.proposed]
+    score = boosted.logits(model.base, model.trees, np.array([c.x for c in held]))
+    step = np.floor(score * pii.SCORE_STEPS)
+    kinds, valid = np.array([c.kind for c in held]), np.array([c.valid for c in held])
+    for kind, threshold in enumerate(model.thresholds):
+        own = kinds == kind
+        good = [s for s in np.unique(step[own]) if valid[own & (step >= s)].mean() >= pii.PRECISION]
+        assert threshold == (min(good) / pii.SCORE_STEPS if good else float("inf"))
+    assert min(model.thresholds) < float("inf")
+
+
 def plain_license(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     places = sorted(
