@@ -4,14 +4,15 @@ import itertools
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-from llm_cases import PROSE, awkward_docs, plain_words, small
+from llm_cases import PROSE, SMALL, awkward_docs, small
 from pyspark.sql import functions as F
 
 from rankflow.llm import boosted, decontaminate, importance, licenses, pii, toxicity
-from rankflow.llm.queries import QUERIES
+from rankflow.llm.queries import ORACLE, QUERIES
 
 
 def test_masks_find_two_replaced_words_in_thirteen():
@@ -70,12 +71,60 @@ def test_items_are_found_with_replaced_words(spark, block_chars):
     assert decontaminate.contaminated(frame.limit(0), benchmark).isEmpty()
 
 
-def test_whole_items_of_the_tables_are_found(spark):
-    items = {r.item_id: plain_words(r.text) for r in small(spark, "benchmark").collect()}
-    docs = {r.doc_id: f" {' '.join(plain_words(r.text))} " for r in small(spark, "documents").collect()}
-    want = {(d, i) for d, t in docs.items() for i, w in items.items() if f" {' '.join(w)} " in t}
-    got = {(r.doc_id, r.item_id) for r in QUERIES["op9_decontaminate"](spark, "/root/testdata/sf0.001").collect()}
-    assert want and got >= want and len(got) <= len(want) + 2
+def plain_overlaps(docs, items):
+    """{(row, item): (first word, equal words, words of the item)} by comparing every alignment word by word."""
+    out = {}
+    for (r, doc), (i, item) in itertools.product(enumerate(docs), enumerate(items)):
+        size = min(13, len(item))
+        for start in range(-len(item) + 1, len(doc)):
+            equal = [0 <= start + q < len(doc) and doc[start + q] == w for q, w in enumerate(item)]
+            if any(5 * sum(equal[a : a + size]) >= 4 * size for a in range(len(item) - size + 1)):
+                out[r, i] = (max(start, 0), sum(equal), len(item))
+                break
+    return out
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz"])
+@pytest.mark.parametrize("hits", [3, 1 << 14])
+def test_overlaps_equal_those_of_all_alignments(monkeypatch, letters, hits):
+    monkeypatch.setattr(decontaminate, "_HITS", hits)
+    rng = random.Random(len(letters))
+    items = [[rng.choice(letters) for _ in range(n)] for n in (1, 2, 4, 5, 6, 9, 12, 13, 14, 20, 40)]
+    docs = [[rng.choice(letters) for _ in range(n)] for n in (0, 1, 3, 11, 13, 30, 60)]
+    for item in items:  # with each sixth word replaced, cut off before or behind, twice
+        changed = [w if i % 6 != 3 else "new" for i, w in enumerate(item)]
+        docs += [["x", *changed, "y"], item[2:], [*item[:11], "z"], [*item, "x", *item]]
+    index = decontaminate.build_index(list(range(len(items))), [" ".join(x) for x in items], 13, 0.8, decontaminate.MASKS)
+    got = decontaminate.overlaps(decontaminate.words(pa.array([" ".join(x) for x in docs])), index)
+    assert {h[:2]: h[2:] for h in got} == plain_overlaps(docs, items) and len(got) == len({h[:2] for h in got})
+
+
+@pytest.mark.parametrize("text,item,n", [("a " * 20_000, "a " * 20_000, 1), ("a b " * 10_000, "b a " * 10_000, 1), ("a " * 20_000, "b " * 20_000, 0)])
+def test_texts_that_repeat_one_word_are_compared_a_few_times(monkeypatch, text, item, n):
+    compared = []
+    agree = decontaminate._agree
+    monkeypatch.setattr(decontaminate, "_agree", lambda *a: compared.append(len(a[4])) or agree(*a))
+    index = decontaminate.build_index([7], [item], 13, 0.8, decontaminate.MASKS)
+    found = decontaminate.overlaps(decontaminate.words(pa.array([text])), index)
+    assert [h[2:] for h in found] == [(0, 11, 20_000)] * n  # the last eleven words of the item come first
+    assert sum(compared) < 100_000  # of 400 million pairs of places
+
+
+def test_items_of_a_few_words_are_reported_but_remove_nothing(spark):
+    docs = spark.createDataFrame([(1, "the end of the day"), (2, "so it goes on and on"), (3, "none")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, "the"), (8, "goes on and on"), (9, "so it goes on and")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark).collect()} == {(1, 7), (2, 8), (2, 9)}
+    assert {r.doc_id for r in decontaminate.remove_contaminated(docs, benchmark).collect()} == {1, 3}
+    assert {r.doc_id for r in decontaminate.remove_contaminated(docs, benchmark, least_words=1).collect()} == {3}
+
+
+def test_overlaps_of_the_tables_equal_their_sql(spark):
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{SMALL}/{name}.parquet'")
+    want = con.execute(ORACLE["op9_decontaminate"]).fetchall()
+    got = [tuple(r) for r in QUERIES["op9_decontaminate"](spark, SMALL).collect()]
+    assert want and sorted(got) == sorted(want)
 
 
 def test_toxicity_on_held_out_rows(spark):
