@@ -1,9 +1,11 @@
 """Quality by importance resampling: how much likelier target text makes a document than raw text.
 
 Two hashed n-gram models are estimated over all documents: one on the target (documents labelled as
-good), one on the raw corpus. A document's weight is the mean log ratio of the two over its words and
-word pairs. Documents are then drawn without replacement in proportion to their weights: each gets its
-log weight plus Gumbel noise, and the largest values are kept (Gumbel top-k).
+good), one on the raw corpus. A document's weight is the ratio of its probabilities in the two: the log ratios of
+all its words and word pairs, summed. Documents are then drawn without replacement in proportion to their
+weights: each gets its log weight plus Gumbel noise, and the largest values are kept (Gumbel top-k). So
+the sample follows the target; ``weight="mean"`` takes the mean log ratio instead, which does not
+depend on the length of a text.
 
 Both models are tables of ``buckets`` counts whatever the corpus; the counts are added up in the tasks
 and then by Spark. The cut of the k-th largest value is found by counting in finer and finer
@@ -81,7 +83,7 @@ def ngram_ratios(
     return np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
 
 
-def _weigh(ratios: Broadcast, buckets: int):
+def _weigh(ratios: Broadcast, buckets: int, mean: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -89,9 +91,9 @@ def _weigh(ratios: Broadcast, buckets: int):
                 n = np.bincount(row, minlength=batch.num_rows)
                 total = np.bincount(row, ratios.value[bucket], minlength=batch.num_rows)
                 # Without words there is no evidence of quality: the least likely text.
-                mean = np.where(n > 0, total / np.maximum(n, 1), -np.inf)
+                ratio = np.where(n > 0, total / np.maximum(n, 1) if mean else total, -np.inf)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("same"), pa.array(mean)], names=["doc_id", "same", "log_ratio"]
+                    [batch.column("doc_id"), batch.column("same"), pa.array(ratio)], names=["doc_id", "same", "log_ratio"]
                 )
 
     return run
@@ -121,17 +123,20 @@ def top_k_threshold(values: DataFrame, column: str, k: int) -> tuple[int, int]:
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, share: float = 0.5, temperature: float = 0.02,
-    buckets: int = BUCKETS, seed: int = 7,
+    docs: DataFrame, labels: DataFrame, share: float = 0.5, temperature: float = 1.0,
+    buckets: int = BUCKETS, seed: int = 7, weight: str = "ratio",
 ) -> DataFrame:
     """(doc_id, log_ratio, gumbel_key, kept) for every row of ``docs``; ``share`` of the rows are kept.
 
-    ``share`` is the feature of this operator: it draws a sample. ``log_ratio`` is the mean over a text's
-    n-grams, divided by ``temperature`` before the noise is added. Texts without a word (null, empty)
+    ``share`` is the feature of this operator: it draws a sample. ``log_ratio`` is the sum over a text's
+    n-grams (with ``weight="mean"`` their mean), divided by ``temperature`` before the noise is added: 1 draws
+    by the ratio itself, and a mean needs about 0.02 to tell texts apart. Texts without a word (null, empty)
     have a log_ratio of minus infinity and are kept only when the sample takes every other row.
     Repeated rows get different noise and are drawn one by one; rows with a null doc_id take part.
     Without good labels all weights are equal.
     """
+    if weight not in ("ratio", "mean"):
+        raise ValueError(f"weight is 'ratio' or 'mean', not {weight!r}")
     spark = docs.sparkSession
     ready(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -139,7 +144,9 @@ def resample(
     ratios = spark.sparkContext.broadcast(ngram_ratios(docs, labels, buckets))
     same = F.monotonically_increasing_id()  # tells repeated rows apart; landed below
     weighed = land(
-        docs.withColumn("same", same).mapInArrow(_weigh(ratios, buckets), "doc_id long, same long, log_ratio double")
+        docs.withColumn("same", same).mapInArrow(
+            _weigh(ratios, buckets, weight == "mean"), "doc_id long, same long, log_ratio double"
+        )
     )
     unnamed = F.when(F.col("doc_id").isNull(), F.col("same"))  # rows without an id are no group
     repeats = Window.partitionBy("doc_id", unnamed).orderBy("log_ratio", "same")
@@ -149,10 +156,10 @@ def resample(
     noise = -F.log(-F.log(F.greatest(draw, F.lit(1e-12)) * F.lit(1 - 1e-12)))
     key = F.col("log_ratio") / F.lit(temperature) + noise
     keyed = numbered.withColumn("gumbel_key", F.when(F.col("log_ratio") == float("-inf"), F.lit(float("-inf"))).otherwise(key))
-    # Keys as whole numbers: 2^-40 apart, and the least for minus infinity; ties are broken by hash.
-    rank = F.when(F.col("gumbel_key") == float("-inf"), F.lit(-(1 << 62))).otherwise(
-        F.round(F.col("gumbel_key") * F.lit(float(1 << 40))).cast("long")
-    )
+    # Keys as whole numbers: 2^-30 apart, and the least for minus infinity; ties are broken by hash.
+    scaled = F.round(F.col("gumbel_key") * F.lit(float(1 << 30)))
+    scaled = F.greatest(F.least(scaled, F.lit(float(1 << 61))), F.lit(-float(1 << 61)))  # 2 billion on either side
+    rank = F.when(F.col("gumbel_key") == float("-inf"), F.lit(-(1 << 62))).otherwise(scaled.cast("long"))
     keyed = land(keyed.withColumn("_rank", rank).withColumn("_tie", F.xxhash64("doc_id", "copy", F.lit(seed + 1))))
     total = keyed.count()
     k = round(total * share)

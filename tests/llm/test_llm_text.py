@@ -1,8 +1,10 @@
 """Decontamination, toxicity, personal data, licenses, importance."""
 
 import itertools
+import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -397,6 +399,54 @@ def test_importance_ratios_equal_brute_force(spark):
     assert np.allclose(ratios, want)
 
 
+def plain_log_ratios(texts, good, buckets):
+    """The sum and number of log ratios of each text's words and pairs, one n-gram at a time."""
+    grams = []
+    for text in texts:
+        found, _ = importance.ngram_buckets(pa.array([text], pa.string()), buckets)
+        n_words = len(re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower()))
+        assert len(found) == max(0, 2 * n_words - 1)
+        grams.append(found.tolist())
+    raw, target = Counter(itertools.chain(*grams)), Counter(itertools.chain(*(g for i, g in enumerate(grams) if i in good)))
+    n_raw, n_target = sum(raw.values()) + buckets, sum(target.values()) + buckets
+    ratio = lambda b: math.log((target[b] + 1) / n_target) - math.log((raw[b] + 1) / n_raw)
+    return [(sum(map(ratio, g)), len(g)) for g in grams]
+
+
+@pytest.mark.parametrize("weight", ["ratio", "mean"])
+def test_importance_of_each_document_equals_brute_force(spark, weight):
+    texts = [r.text for r in small(spark, "documents").orderBy("doc_id").collect()][:40] + [None, "", "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)], "doc_id long, quality int")
+    got = {r.doc_id: r.log_ratio for r in importance.resample(docs, labels, buckets=1 << 12, weight=weight).collect()}
+    plain = plain_log_ratios(texts, {i for i in range(40) if i % 3 == 0}, 1 << 12)
+    for i, (total, n) in enumerate(plain):
+        want = -math.inf if n == 0 else total if weight == "ratio" else total / n
+        assert got[i] == pytest.approx(want, abs=1e-9)
+
+
+def test_importance_samples_in_proportion_to_the_ratio(spark):
+    # Two kinds of text; one is twice as frequent in the target, so it is drawn twice as often.
+    rows = [(i, "good" if i % 2 else "bad") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 1000, 2)] + [(i, 1) for i in range(0, 500, 2)], "doc_id long, quality int")
+    kept = importance.resample(docs, labels, share=0.05, buckets=1 << 4)
+    rows = kept.join(docs, "doc_id").collect()
+    odds = {t: math.exp(next(r.log_ratio for r in rows if r.text == t)) for t in ("good", "bad")}
+    share = sum(r.kept and r.text == "good" for r in rows) / sum(r.kept for r in rows)
+    assert share == pytest.approx(odds["good"] / (odds["good"] + odds["bad"]), abs=0.1)
+    assert odds["good"] / odds["bad"] == pytest.approx(2, rel=0.02)
+
+
+def test_importance_keeps_more_of_the_good_documents_it_was_not_told_of(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    told = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0
+    rows = importance.resample(docs, labels.where(told)).join(labels.where(~told & F.col("quality").isNotNull()), "doc_id")
+    share = {r.kept: r.good for r in rows.groupBy("kept").agg(F.avg("quality").alias("good")).collect()}
+    assert share[True] > share[False] + 0.05
+
+
 @pytest.mark.parametrize("share", [0.0, 0.5, 1.0])
 def test_importance_of_awkward_rows(spark, share):
     docs = awkward_docs(spark)
