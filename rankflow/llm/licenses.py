@@ -1,10 +1,12 @@
 """License scan with a positional index of rare words.
 
-Templates are short characteristic passages of licenses. Their words are indexed with template and
-position. For each file and each template whose mandatory phrases the file holds, the template's words in
-the file that are rarest in the corpus are looked up; each occurrence votes for the template at a
-relative position. A template counts as found where several distinct words agree on one position and
-its mandatory phrases stand nearby. No template takes the words of another, and none is left out.
+Templates are short characteristic passages of licenses; places where a number or an address stands are
+left open. Their words are indexed with template and position. For each file and each template whose
+mandatory phrases the file holds, all words of the template are looked up; each occurrence votes for the
+template at a relative position, with the weight of the word's rarity in the corpus. Positions up to
+``DRIFT`` words apart vote together, so that words put in, left out or replaced don't lose the rest. A
+template counts as found where several distinct words agree, hold half of the template's weight, and its
+mandatory phrases stand nearby. No template takes the words of another, and none is left out.
 
 Only DataFrame functions are used. A word's document frequency is counted over all documents. The
 index has a fixed size and is broadcast.
@@ -12,6 +14,8 @@ index has a fixed size and is broadcast.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +28,7 @@ PHRASES = {
     "gpl": ("general", "public", "license"),
 }
 
-# Passages of public licenses, and phrases that must stand in or near them.
+# Passages of public licenses, and phrases that must stand in or near them. * is any word.
 TEMPLATES = {
     "mit": (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and"
@@ -40,29 +44,30 @@ TEMPLATES = {
     ),
     "bsd": (
         "redistribution and use in source and binary forms with or without modification are permitted provided"
-        " that the following conditions are met redistributions of source code must retain the above copyright"
+        " that the following conditions are met * redistributions of source code must retain the above copyright"
         " notice this list of conditions and the following disclaimer",
         ("source and binary forms", "following conditions"),
     ),
     "apache": (
         "you may not use this file except in compliance with the license you may obtain a copy of the license at"
-        " unless required by applicable law or agreed to in writing software distributed under the license is"
+        " * * * * * * * * unless required by applicable law or agreed to in writing software distributed under the license is"
         " distributed on an as is basis without warranties or conditions of any kind either express or implied",
         ("in compliance with the license", "as is basis"),
     ),
     "gpl": (
         "this program is free software you can redistribute it and or modify it under the terms of the gnu"
-        " general public license as published by the free software foundation either version of the license or"
+        " general public license as published by the free software foundation either version * of the license or"
         " at your option any later version",
         ("free software foundation", "general public license"),
     ),
     "lgpl": (
         "this library is free software you can redistribute it and or modify it under the terms of the gnu"
-        " lesser general public license as published by the free software foundation",
+        " lesser general public license as published by the free software foundation either version"
+        " * * of the license or at your option any later version",
         ("lesser general public license",),
     ),
     "mpl": (
-        "this source code form is subject to the terms of the mozilla public license v if a copy of the mpl was"
+        "this source code form is subject to the terms of the mozilla public license v * * if a copy of the mpl was"
         " not distributed with this file you can obtain one at",
         ("mozilla public license",),
     ),
@@ -81,14 +86,15 @@ TEMPLATES = {
     ),
 }
 # Words too common to identify a passage.
-COMMON = "a an and any are as at be by for from if in is it its may not of on one or that the this to was with you".split()
+COMMON = "* a an and any are as at be by for from if in is it its may not of on one or that the this to was with you".split()
 
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rare words of each template that are looked up in a file.
-LOOKED_UP = 12
+#: Distinct words of a template that must agree, and their part of the weight of all its words.
 MIN_VOTES = 3
 MIN_SHARE = 0.5
+#: Words by which relative positions may differ and still vote together.
+DRIFT = 8
 #: Words that may lie between a passage and its mandatory phrase.
 SLACK = 8
 
@@ -127,38 +133,40 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def _index(spark: SparkSession) -> DataFrame:
-    """(word, template, at): every position of every vocabulary word in the templates."""
-    rows = [(w, name, i) for name in TEMPLATES for i, w in enumerate(TEMPLATES[name][0].split()) if w not in COMMON]
-    return spark.createDataFrame(rows, "word string, template string, at int")
+def _index(spark: SparkSession, weights: dict[str, float]) -> DataFrame:
+    """(word, template, at, weight, total): every place of every vocabulary word, and the template's whole weight."""
+    rows = []
+    for name in TEMPLATES:
+        total = sum(weights[w] for w in _words_in(name))
+        words = enumerate(TEMPLATES[name][0].split())
+        rows += [(w, name, i, weights[w], total) for i, w in words if w not in COMMON]
+    return spark.createDataFrame(rows, "word string, template string, at int, weight double, total double")
 
 
-def _rare_words(name: str, rarity: list[str], words: Column) -> Column:
-    """The words of a template that are in the file, the rarest of them in the corpus first."""
-    own = set(TEMPLATES[name][0].split())
-    ordered = F.array(*[F.lit(w) for w in rarity if w in own]).cast("array<string>")
-    return F.slice(F.array_intersect(ordered, words), 1, LOOKED_UP)
+def _words_in(name: str) -> list[str]:
+    return sorted(set(TEMPLATES[name][0].split()) - set(COMMON))
 
 
-def _words_by_rarity(split: DataFrame) -> list[str]:
-    """Vocabulary words in the corpus, those in the fewest documents first."""
-    vocabulary = F.array(*[F.lit(w) for w in _vocabulary()])
-    seen = split.select(F.explode(F.array_intersect(vocabulary, F.col("words"))).alias("word"))
-    df = {r["word"]: r["n"] for r in seen.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return sorted(df, key=lambda w: (df[w], w))
+def _weights(split: DataFrame) -> dict[str, float]:
+    """The rarity of each vocabulary word: 1 where all documents hold it, and more the fewer do."""
+    # The word "*" is in no text; it counts the documents.
+    there = F.concat(F.array_intersect(F.array(*[F.lit(w) for w in _vocabulary()]), F.col("words")), F.array(F.lit("*")))
+    seen = split.select(F.explode(there).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    df = {r["word"]: r["n"] for r in seen.collect()}  # a row for each vocabulary word
+    return {w: 1 + math.log((df.get("*", 0) + 1) / (df.get(w, 0) + 1)) for w in _vocabulary()}
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, base (array of start and label), found (labels with share).
 
     base: every place of a base phrase, as (start word, label), in order. found: (label, share) of the
-    templates found, where share is the part of the template's looked-up words that agree.
+    templates found, where share is the part of the weight of the template's words that agrees.
     Null and empty texts have no words. Repeated rows and rows with a null doc_id are scanned like
     any other. Other columns are ignored.
     """
     spark = docs.sparkSession
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
-    rarity = _words_by_rarity(split)
+    weights = _weights(split)
     trimmed = split.select("doc_id", _trim(F.col("words")).alias("words"))
     words = F.col("words")
 
@@ -178,32 +186,30 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         "words",
     )
     # A template without its mandatory phrases can't be found, whatever its votes.
-    asked_of = [
-        F.when(
-            _all([F.exists("phrases", _is_phrase(p)) for p in TEMPLATES[name][1]]),
-            F.struct(F.lit(name).alias("template"), _rare_words(name, rarity, words).alias("rare")),
-        )
-        for name in TEMPLATES
-    ]
-    asked_of = F.when(F.size("phrases") > 0, F.array_compact(F.array(*asked_of)))
-    rows = rows.withColumn("asked", F.filter(asked_of, lambda t: F.size(t["rare"]) >= MIN_VOTES))
-    rare = F.array_distinct(F.flatten(F.transform("asked", lambda t: t["rare"])))
+    asked = [F.when(_all([F.exists("phrases", _is_phrase(p)) for p in TEMPLATES[name][1]]), F.lit(name)) for name in TEMPLATES]
+    rows = rows.withColumn("asked", F.when(F.size("phrases") > 0, F.array_compact(F.array(*asked))))
+    theirs = [F.when(F.array_contains("asked", name), F.array(*[F.lit(w) for w in _words_in(name)])) for name in TEMPLATES]
+    rows = rows.withColumn("wanted", F.array_distinct(F.flatten(F.array_compact(F.array(*theirs)))))
     looked_at = F.filter(
         F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word"))),
-        lambda h: F.array_contains(F.col("rare"), h["word"]),
+        lambda h: F.array_contains(F.col("wanted"), h["word"]),
+    )
+    rows = land(rows.withColumn("hits", F.when(F.size("asked") > 0, looked_at)).drop("words", "wanted"))
+    index = F.broadcast(_index(spark, weights))  # fixed size
+    hits = rows.where(F.size("asked") > 0).select("row", "asked", F.explode("hits").alias("h"))
+    votes = hits.join(index, F.col("h.word") == F.col("word")).where(F.array_contains("asked", F.col("template")))
+    first = F.col("h.at") - F.col("at")
+    # Two rows of bands, half a band apart: positions up to DRIFT apart share one.
+    bands = [F.floor((first + shift) / (2 * DRIFT)) * 2 + i for i, shift in enumerate((0, DRIFT))]
+    votes = votes.select("row", "template", "total", "word", "weight", first.alias("first"), F.explode(F.array(*bands)).alias("band"))
+    by_word = votes.groupBy("row", "template", "total", "band", "word", "weight")
+    by_word = by_word.agg(F.min("first").alias("first"), F.max("first").alias("last"))
+    voted = by_word.groupBy("row", "template", "total", "band").agg(
+        F.count(F.lit(1)).alias("votes"), F.sum("weight").alias("weight"),
+        F.min("first").alias("first"), F.max("last").alias("last"),
     )
-    rows = rows.withColumn("rare", rare).withColumn("hits", F.when(F.size("rare") > 0, looked_at))
-    rows = land(rows.drop("words", "rare"))
-    index = F.broadcast(_index(spark))  # fixed size
-    asked = rows.where(F.size("asked") > 0)
-    wanted = asked.select("row", F.explode("asked").alias("t"))
-    wanted = wanted.select("row", "t.template", F.size("t.rare").alias("n_wanted"))
-    votes = asked.select("row", "asked", F.explode("hits").alias("h")).join(index, F.col("h.word") == F.col("word"))
-    rare_here = F.exists("asked", lambda t: (t["template"] == F.col("template")) & F.array_contains(t["rare"], F.col("word")))
-    votes = votes.where(rare_here).groupBy("row", "template", (F.col("h.at") - F.col("at")).alias("first"))
-    votes = votes.agg(F.countDistinct("word").alias("votes")).where(F.col("votes") >= MIN_VOTES)
-    voted = votes.join(wanted, ["row", "template"])
-    voted = voted.withColumn("share", F.col("votes") / F.col("n_wanted")).where(F.col("share") >= MIN_SHARE)
+    share = F.least(F.col("weight") / F.col("total"), F.lit(1.0))
+    voted = voted.withColumn("share", share).where((F.col("votes") >= MIN_VOTES) & (F.col("share") >= MIN_SHARE))
     near = voted.join(rows.select("row", "phrases"), "row")
     found = near.where(_mandatory()).groupBy("row", "template").agg(F.max("share").alias("share"))
     found = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("template", "share"))).alias("found"))
@@ -224,7 +230,7 @@ def _mandatory() -> Column:
     """Every mandatory phrase of the voted template stands between its ends, with some slack."""
     ok = F.lit(False)
     for name, (text, phrases) in TEMPLATES.items():
-        last = F.col("first") + len(text.split()) + SLACK
+        last = F.col("last") + len(text.split()) + SLACK
         each = [
             F.exists(
                 "phrases",

@@ -376,6 +376,75 @@ def test_every_license_of_a_long_file_is_found(spark):
     assert found[2] >= {"mit-notice", "cc-by-nc"} and found[3] >= {"unlicense", "mit", "bsd"}
 
 
+# Headers as they stand in files, with their numbers, addresses and marks.
+HEADERS = {
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not"
+    " distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "apache": 'you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n'
+    '    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software'
+    ' distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either'
+    " express or implied.",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public"
+    " License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+    " following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of"
+    " conditions and the following disclaimer.",
+}
+
+
+def plain_shares(docs, weights):
+    """[{template: share}]: every word of every template that stands in a band of relative positions."""
+    out = []
+    for text in docs:
+        words, shares = re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower()), {}
+        places = lambda p: [i for i in range(len(words)) if words[i : i + len(p)] == p]
+        for name, (passage, phrases) in licenses.TEMPLATES.items():
+            own = [w if w not in licenses.COMMON else None for w in passage.split()]
+            bands = {}
+            for (i, w), (j, v) in itertools.product(enumerate(words), enumerate(own)):
+                if w == v:
+                    for half in (0, 1):
+                        band = (half, (i - j + half * licenses.DRIFT) // (2 * licenses.DRIFT))
+                        bands.setdefault(band, {}).setdefault(w, []).append(i - j)
+            total = sum(weights[w] for w in {*own} - {None})
+            for votes in bands.values():
+                firsts = [f for found in votes.values() for f in found]
+                low, high = min(firsts) - licenses.SLACK, max(firsts) + len(own) + licenses.SLACK
+                near = all(any(low <= at <= high for at in places(p.split())) for p in phrases)
+                share = sum(weights[w] for w in votes) / total
+                if len(votes) >= licenses.MIN_VOTES and share >= licenses.MIN_SHARE and near:
+                    shares[name] = max(share, shares.get(name, 0))
+        out.append(shares)
+    return out
+
+
+def test_license_shares_equal_brute_force(spark):
+    rng = random.Random(5)
+    passages = [*HEADERS.values(), *(text.replace("*", "") for text, _ in licenses.TEMPLATES.values())]
+    docs = [PROSE, "", " ".join(passages)]
+    for text in passages:  # as they are; words replaced, left out and put in; only their first or last part
+        words = text.split()
+        docs += [text, " ".join(w if rng.random() < 0.7 else "other" for w in words), " ".join(words[: len(words) // 2])]
+        docs += [f"{PROSE} " + " ".join(w + (" more" if rng.random() < 0.2 else "") for w in words if rng.random() < 0.8)]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    weights = {}
+    held = [set(re.findall(r"[a-z0-9]+", d.lower())) for d in docs]
+    for w in {w for text, _ in licenses.TEMPLATES.values() for w in text.split()}:
+        weights[w] = 1 + math.log((len(docs) + 1) / (sum(w in h for h in held) + 1))
+    got = {r.doc_id: {t.template: t.share for t in r.found} for r in licenses.scan_licenses(frame).collect()}
+    for i, want in enumerate(plain_shares(docs, weights)):
+        assert got[i] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("name", list(HEADERS))
+def test_headers_as_they_stand_in_files_score_near_one(spark, name):
+    changed = HEADERS[name].replace("subject to the terms", "under the terms").replace("either", "in either case")
+    rows = [(1, HEADERS[name]), (2, f"{PROSE} {changed} {PROSE}"), (3, PROSE)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: {t.template: t.share for t in r.found} for r in licenses.scan_licenses(frame).collect()}
+    assert found[1][name] > 0.95 and found[2][name] > 0.8 and not found[3]
+
+
 def test_importance_keeps_the_largest_keys(spark):
     docs, labels = small(spark, "documents"), small(spark, "labels")
     rows = importance.resample(docs, labels, share=0.3).collect()
