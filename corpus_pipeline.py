@@ -1,8 +1,10 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage takes the documents that the one before it kept. All but the last return the columns of
-``documents``; the last returns a row for each token piece with its place in a training sequence. SQL can't
-express the stages; tests/llm/test_pipeline.py holds each against a brute-force version.
+``documents``; the last returns a row for each token piece with its place in a training sequence. Null and
+empty texts, repeated rows and rows without an id are documents like others: no stage but near_duplicates looks
+at an id, and that one keeps a row of each class and all rows without an id. Tables may bring other columns. SQL can't
+express the stages; tests/llm/test_llm_files.py tests each on all that the one before it kept.
 """
 
 from __future__ import annotations
