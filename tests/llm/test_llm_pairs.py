@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
-from llm_cases import awkward_docs, plain_classes, small
+from llm_cases import awkward_docs, plain_classes, plain_shingles, small
+from pyspark.sql import functions as F
 
+from rankflow.llm import jaccard_join as forest
 from rankflow.llm.components import components
 from rankflow.llm.embedding_links import embedding_classes, table_sizes
 from rankflow.llm.jaccard_join import jaccard_classes, keep_one_per_class, match_depth
@@ -23,6 +25,71 @@ def test_prefix_is_shortened_until_the_recall_is_met():
     assert 1 - (1 - 0.8**d) ** 20 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 20
 
 
+def plain_forest(labels, trees, threshold, recall, shortest):
+    """[{(rep, members of a node)} by level] from tries of plain tuples; labels[rep][tree] is a tuple."""
+    top = len(labels[0][0])
+    asking, levels = set(range(len(labels))), []
+    for d in range(top, shortest - 1, -1):
+        tries = {}
+        for rep, row in enumerate(labels):
+            for tree, label in enumerate(row):
+                tries.setdefault((tree, label[:d]), set()).add(rep)
+        nodes = [frozenset(m) for m in tries.values() if len(m) > 1 and m & asking]
+        levels.append({(rep, m) for m in nodes for rep in m})
+        fullest = {}
+        for m in nodes:
+            for rep in m:
+                fullest[rep] = max(fullest.get(rep, 0), len(m))
+        asking = {r for r in asking if fullest.get(r, 0) * (1 - threshold**d) ** trees > 1 - recall}
+        if not asking:
+            break
+    return levels
+
+
+@pytest.mark.parametrize("recall, shortest", [(0.5, 1), (0.3, 2), (0.3, 5)])
+def test_prefixes_are_shortened_row_by_row(spark, recall, shortest):
+    trees, top = 3, 5
+    rng = np.random.default_rng(3)
+    labels = [[tuple(rng.integers(0, 2, top).tolist()) for _ in range(trees)] for _ in range(40)]
+    labels += [[tuple(rng.integers(5, 4096, top).tolist()) for _ in range(trees)] for _ in range(20)]
+    labels += [labels[-1], [(*x[:3], 4095, 4095) for x in labels[-2]]]
+    pack = lambda label: sum(x << forest.LABEL_BITS * (top - 1 - i) for i, x in enumerate(label))
+    rows = [(rep, [pack(x) for x in row]) for rep, row in enumerate(labels)]
+    table = spark.createDataFrame(rows, "rep long, keys array<long>").repartition(3)
+    members = {}
+    for r in forest.forest_nodes(table, trees, top, 0.8, recall, shortest).collect():
+        members.setdefault(r.key, set()).add(r.rep)
+        assert r.least <= r.rep
+    got = {frozenset(m) for m in members.values()}
+    levels = plain_forest(labels, trees, 0.8, recall, shortest)
+    assert got == {m for level in levels for _, m in level}
+    assert len(levels) == {1: 5, 2: 4, 5: 1}[shortest]
+
+
+def test_a_group_is_met_in_full_through_shorter_prefixes(spark):
+    """With few trees the whole signatures lose links of a large group; shortened prefixes find them."""
+    rng = np.random.default_rng(0)
+    base = [f"b{x}" for x in rng.integers(0, 10**6, 120)]
+    rows = [(i, " ".join([*base[:at], f"x{i}", *base[at + 1 :]])) for i, at in enumerate(rng.integers(10, 110, 60).tolist())]
+    sets = [plain_shingles(t) for _, t in rows]
+    linked = {(i, j) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_hash", F.lit(0).cast("long"))
+    trees, top = 3, 5
+    made = docs.mapInArrow(
+        forest.signatures(5, trees, top),
+        "rep long, row_hash long, h1 long, h2 long, n_shingles long, keys array<long>",
+    )
+    texts = forest.land(made.select("rep", "keys"))
+    lost = {}
+    for shortest in (5, 1):
+        members = {}
+        for r in forest.forest_nodes(texts, trees, top, 0.8, 0.5, shortest).collect():
+            members.setdefault(r.key, []).append(r.rep)
+        met = {(max(i, j), min(i, j)) for m in members.values() for i in m for j in m if i != j}
+        lost[shortest] = len(linked - met)
+    assert len(linked) > 1000 and lost[5] > 0.05 * len(linked) and lost[1] <= 0.01 * len(linked)
+
+
 @pytest.mark.parametrize("block_shingles", [64, 1 << 15])
 def test_classes_equal_brute_force(spark, block_shingles):
     docs = small(spark, "documents").select("doc_id", "text")
