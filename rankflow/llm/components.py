@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 No step gathers the neighbours of a node: both steps are a minimum per node (summed up before the
-shuffle) and a join, which AQE splits where a node is hot. Each round is landed in the shared
+shuffle) and a join. Nodes with more than a thousandth of the rows, of which there are fewer than a thousand,
+meet their minimum by a broadcast; the rows of all others are shuffled. Each round is landed in the shared
 folder, so a lost executor costs no more than the round it was in.
 """
 
@@ -13,24 +14,37 @@ from pyspark.sql import functions as F
 from rankflow.session import land
 
 _MAX_ROUNDS = 60
+#: A node is hot if it has more than one of this many parts of all rows.
+HOT_PARTS = 1000
 
 
-def _stars(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
+    """``rows`` (u, v), at most ``n_rows``, with m of ``least`` (u, m, n), landed, where n counts the rows of u."""
+    is_hot = F.col("n") > -(-n_rows // HOT_PARTS)
+    # Bounded: the n of all nodes add up to the rows, so fewer than HOT_PARTS nodes are hot.
+    hot = least.where(is_hot).select("u", F.col("m").alias("hot_m"))
+    marked = rows.join(F.broadcast(hot), "u", "left")
+    of_hot = marked.where("hot_m is not null").select("u", "v", F.col("hot_m").alias("m"))
+    others = marked.where("hot_m is null").select("u", "v").join(least.where(~is_hot).select("u", "m"), "u")
+    return of_hot.union(others)
+
+
+def _stars(edges: DataFrame, n_edges: int) -> DataFrame:
     """Large-star: link larger neighbours of each node to the least node in its neighbourhood."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = land(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("v").alias("n")))
     return (
-        both.join(least, "u")
+        _with_least(both, least, 2 * n_edges)
         .where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m")))
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
     )
 
 
-def _small_stars(edges: DataFrame) -> DataFrame:
+def _small_stars(edges: DataFrame, n_edges: int) -> DataFrame:
     """Small-star: link smaller neighbours and the node itself to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where(F.col("v") != F.col("m"))
+    least = land(down.groupBy("u").agg(F.min("v").alias("m"), F.count("v").alias("n")))
+    moved = _with_least(down, least, n_edges).where(F.col("v") != F.col("m"))
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
         least.select("u", F.col("m").alias("v"))
     )
@@ -47,14 +61,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges = land(edges.where("u is not null and v is not null").distinct())
     loops = edges.where("u = v").select("u")
     links = edges.where("u != v")
-    last = None
+    last, n_links = None, links.count()
     for _ in range(_MAX_ROUNDS):
-        large = _stars(links).distinct()
-        links = land(_small_stars(large).distinct())
+        large = land(_stars(links, n_links).distinct())
+        links = land(_small_stars(large, 2 * n_links).distinct())
         now = links.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
-        last = now
+        last, n_links = now, now[0]
     else:
         raise RuntimeError("connected components did not settle")
     found = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
