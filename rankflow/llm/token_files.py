@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankflow.llm.session import ready
+from rankflow.llm.session import ready, released
 from rankflow.llm.text_arrays import blocks
 from rankflow.llm.tokens import SLICE_BYTES, default_tokenizer, encode
 
@@ -66,7 +66,7 @@ def write_tokens(
     ready(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    coded = ordered.mapInArrow(_encode_rows(tokenizer or default_tokenizer(), end_id), SCHEMA)
+    coded = ordered.mapInArrow(released(_encode_rows(tokenizer or default_tokenizer(), end_id)), SCHEMA)
     coded.write.mode(mode).options(**ORC_OPTIONS).orc(path)
 
 
@@ -99,4 +99,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_digests(rows: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of rows that ``read_tokens`` returns."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    return rows.select("doc_id", "start", "ids").mapInArrow(_digest, schema)
+    return rows.select("doc_id", "start", "ids").mapInArrow(released(_digest), schema)

@@ -16,8 +16,8 @@ import pyarrow as pa
 
 from rankflow.llm.text_arrays import flat_bytes
 
-#: Bytes of text whose pieces are looked up together; work arrays take about 15 times as much.
-SLICE_BYTES = 8 << 20
+#: Bytes of text whose pieces are looked up together; work arrays take about 45 times as much.
+SLICE_BYTES = 3 << 20
 #: Pieces that are put together for one call of the library.
 _JOINED = 500
 

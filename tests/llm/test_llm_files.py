@@ -3,15 +3,18 @@
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import SMALL, awkward_docs, plain_classes, small
 from pyspark.sql import functions as F
 
-from rankflow.llm import packing, style_tree, token_files, tokens
+from rankflow.llm import packing, session, style_tree, token_files, tokens
 from rankflow.llm.queries import QUERIES
+from rankflow.llm.session import released
 
 
 def placed(histogram, capacity):
@@ -286,3 +289,34 @@ def test_all_dealt_queries_are_registered():
     assert "pipeline" in names
     for n in range(1, 11):
         assert any(re.match(rf"op{n}_", x) for x in names)
+
+
+def test_a_worker_encodes_in_little_memory(monkeypatch):
+    class Task:
+        get = classmethod(lambda cls: cls())
+        partitionId = lambda self: 0
+
+    monkeypatch.setattr(token_files, "TaskContext", Task)
+    path = tokens.default_tokenizer()
+    texts = pa.array([" ".join(f"w{i * j % 997} of" for j in range(400)) for i in range(6000)])
+    batches = pa.table({"doc_id": pa.array(range(6000)), "text": texts}).to_batches(500)
+    tokens.encode(texts[:1], path, 0)
+    tracemalloc.start(1)
+    try:
+        # 18 MB of text; work arrays of about 110 MB in slices of 8 MB
+        found = [len(b) for b in released(token_files._encode_rows(path, 0))(iter(batches))]
+        assert sum(found) == 6000 and tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_worker_gives_memory_back_after_each_batch(monkeypatch):
+    class Pool:
+        calls = 0
+
+        def release_unused(self):
+            Pool.calls += 1
+
+    monkeypatch.setattr(session.pa, "default_memory_pool", Pool)
+    made = pa.table({"n": [1, 2, 3]}).to_batches(1)
+    assert list(released(lambda batches: batches)(iter(made))) == made and Pool.calls == 4
