@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankflow.llm.session import ready
+from rankflow.llm.session import ready, released
 from rankflow.llm.text_arrays import Words, constants, slices, words
 from rankflow.session import land
 
@@ -282,7 +282,7 @@ def contaminated(
     schema = "doc_id long, item_id long, first_word long, n_equal long, n_item_words long"
     found = None
     for index, only in _indexes(benchmark, window, similarity, masks, block_chars):
-        part = docs.mapInArrow(_report(index), schema)
+        part = docs.mapInArrow(released(_report(index)), schema)
         if not only:
             part = land(part)
             index.destroy()
@@ -303,7 +303,7 @@ def remove_contaminated(
     ready(docs.sparkSession)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
     for index, only in _indexes(benchmark, window, similarity, masks, block_chars):
-        docs = docs.mapInArrow(_without(index, least_words), schema)
+        docs = docs.mapInArrow(released(_without(index, least_words)), schema)
         if not only:
             docs = land(docs)
             index.destroy()

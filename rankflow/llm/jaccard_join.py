@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.llm.components import components
-from rankflow.llm.session import ready
+from rankflow.llm.session import ready, released
 from rankflow.llm.text_arrays import constants, mix, shingles, slices, words
 from rankflow.operators.reduction import keep_keys
 from rankflow.session import land
@@ -333,7 +333,7 @@ def _classified(
     prefix = match_depth(trees, depth, threshold, recall)
     features = land(
         docs.mapInArrow(
-            signatures(size, trees, prefix),
+            released(signatures(size, trees, prefix)),
             "doc_id long, row_hash long, h1 long, h2 long, n_shingles long, keys array<long>",
         )
     )
@@ -353,7 +353,7 @@ def _classified(
         docs.where("doc_id is not null"), members.select(F.col("least").alias("doc_id")), "doc_id"
     )
     # Other texts of a wanted id fall out of the join.
-    sets = wanted.mapInArrow(shingle_sets(size), "h1 long, h2 long, shingles array<long>")
+    sets = wanted.mapInArrow(released(shingle_sets(size)), "h1 long, h2 long, shingles array<long>")
     sets = land(members.drop("least").join(sets.dropDuplicates(["h1", "h2"]), ["h1", "h2"]).drop("h1", "h2"))
     task = ["cluster", "b1", "b2"]
     left = pairs.withColumn("block", F.col("b1")).withColumn("side", F.lit(0))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankflow.llm.session import ready
+from rankflow.llm.session import ready, released
 from rankflow.llm.text_arrays import blocks
 from rankflow.llm.tokens import SLICE_BYTES, default_tokenizer, encode
 from rankflow.session import land
@@ -242,7 +242,8 @@ def cut_documents(
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long"
     schema += ", ids array<int>" * with_ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return land(rows.mapInArrow(_cut_rows(tokenizer or default_tokenizer(), end_id, capacity, with_ids), schema))
+    cut = released(_cut_rows(tokenizer or default_tokenizer(), end_id, capacity, with_ids))
+    return land(rows.mapInArrow(cut, schema))
 
 
 def _look_up(runs: list[Run]):

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankflow.llm.session import ready
+from rankflow.llm.session import ready, released
 from rankflow.llm.text_arrays import Words, constants, mix, slices, words
 
 THRESHOLD = 0.7
@@ -390,7 +390,7 @@ def _label_counts(texts: DataFrame, labels: DataFrame, model: Model, fitted: lis
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(model)
     unheld = texts.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    scored = unheld.mapInArrow(_bin_rows(sent), "doc_id long, lang int, bin int")
+    scored = unheld.mapInArrow(released(_bin_rows(sent)), "doc_id long, lang int, bin int")
     seen = spark.createDataFrame([(i, True) for i in fitted], "doc_id long, seen boolean")  # at most the sample
     rows = scored.join(labels, "doc_id").join(F.broadcast(seen), "doc_id", "left")
     columns = ["lang", "bin", "toxic", F.coalesce("seen", F.lit(False)).alias("seen")]
@@ -437,7 +437,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, **sample) -> DataFrame:
     ready(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = spark.sparkContext.broadcast(train(docs, labels, **sample))
-    scored = docs.mapInArrow(_score_rows(model, ["doc_id"], None), "doc_id long, score double")
+    scored = docs.mapInArrow(released(_score_rows(model, ["doc_id"], None)), "doc_id long, score double")
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
@@ -455,4 +455,4 @@ def remove_toxic(docs: DataFrame, labelled: DataFrame, labels: DataFrame, **samp
     ready(spark)
     model = spark.sparkContext.broadcast(train(labelled, labels, **sample))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
-    return docs.mapInArrow(_score_rows(model, [], THRESHOLD), schema)
+    return docs.mapInArrow(released(_score_rows(model, [], THRESHOLD)), schema)
