@@ -1,10 +1,14 @@
 import math
+import random
 import re
+import tracemalloc
 from collections import Counter
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 
-from rankflow.operators import retrieval
+from rankflow.operators import batches, retrieval
 
 WORDS = "red green blue red-green the a of sky Sea 42 été".split()
 
@@ -193,3 +197,36 @@ def test_merged_documents_are_landed_and_blocks_given_up(spark, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", watched)
     assert sorted(map(tuple, retrieval.bm25_search(index, queries, 2, block_bytes=40).collect())) == want
     assert len(destroyed) > 1
+
+
+def test_a_large_batch_is_scored_in_little_memory():
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = [[{"term": w, "tf": 1 + i % 3} for i, w in enumerate(rng.sample(vocabulary, 200))] for _ in range(1000)]
+    terms = pa.array(rows * 5, pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())])))
+    columns = [pa.array(range(5000)), pa.array([200] * 5000, pa.int32()), terms]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "doc_length", "terms"])
+    asked = [(q, w, 1 + q / 100, 0.5, 0.001) for q in range(50) for w in vocabulary[q * 20 : q * 20 + 40]]
+    weights = pd.DataFrame(asked, columns=["query_index", "term", "weight", "norm_base", "norm_per_term"])
+
+    class Shared:
+        value = retrieval._packed(weights)
+
+    tracemalloc.start(1)
+    try:
+        # a million postings at once: 58 MB
+        found = pd.concat(b.to_pandas() for b in retrieval._score_documents(Shared, 10, 6)(iter([batch])))
+        assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    finally:
+        tracemalloc.stop()
+    assert found.groupby("query_index").size().tolist() == [10] * 50
+
+
+def test_slices_of_postings_hold_every_row_once():
+    entry = {"term": "a", "tf": 1}
+    rows = [[], None, [entry] * 3, [entry] * 9, [], [entry], [entry]]
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(rows, kind)], ["doc_id", "terms"])
+    cut = [b.column("doc_id").to_pylist() for b in batches.posting_slices(batch, 4)]
+    assert sum(cut, []) == list(range(7)) and [0, 1, 2] in cut and max(map(len, cut)) < 7
+    assert list(batches.posting_slices(batch.slice(0, 0), 4)) == []
