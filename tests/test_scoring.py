@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from checks.fixtures import letter_encoder
@@ -254,6 +255,32 @@ def test_token_vectors_of_unequal_length_fail(spark, broadcast_values):
         pooling.mean_pool(index, table, broadcast_values)
 
 
+def test_a_vocabulary_of_many_bytes_is_joined(spark):
+    """Tokens count in the bound as well as their vectors; few long ones are not sent to the workers."""
+    long = "x" * 2000
+    index = retrieval.doc_vectors(spark.createDataFrame([(1, f"a {long}"), (2, "a")], "id long, text string"), "id", "text")
+    table = spark.createDataFrame([("a", [1.0, 3.0]), (long, [2.0, 5.0])], "token string, vector array<double>")
+    for bound, way in ((100, False), (1000, True)):
+        pooled = pooling.mean_pool(index, table, bound)
+        assert ("MapInArrow" in pooled._jdf.queryExecution().optimizedPlan().toString()) == way
+        assert {r.doc_id: r.mean_vector for r in pooled.collect()} == {1: [1.5, 4.0], 2: [1.0, 3.0]}
+
+
+def test_mean_pool_looks_up_bounded_slices(spark, monkeypatch):
+    index = spark.createDataFrame([(i, f"a b c{i}") for i in range(40)], "id long, text string")
+    batch = retrieval.doc_vectors(index, "id", "text").select("doc_id", "terms").toArrow().combine_chunks().to_batches()[0]
+    seen, lookup = [], pooling.known_postings
+    monkeypatch.setattr(pooling, "_CHUNK_POSTINGS", 10)
+    monkeypatch.setattr(pooling, "known_postings", lambda terms, v: seen.append(len(terms)) or lookup(terms, v))
+
+    class Shared:
+        value = {"tokens": pa.array(["a", "b"]), "vectors": np.array([[1.0], [3.0]])}
+
+    got = [b.to_pydict() for b in pooling._pool_documents(Shared)(iter([batch]))]
+    assert max(seen) == 3 and sum(len(b["doc_id"]) for b in got) == 40
+    assert all(v == [2.0] for b in got for v in b["mean_vector"])
+
+
 def test_mean_pool_without_vectors(spark):
     index = retrieval.doc_vectors(spark.createDataFrame([(1, "a")], "id long, text string"), "id", "text")
     table = spark.createDataFrame([], "token string, vector array<double>")
