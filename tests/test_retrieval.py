@@ -83,6 +83,23 @@ def test_rows_with_one_id_are_one_document(spark, block_bytes):
     assert found(retrieval.bm25_search(retrieval.prepare(index), queries, 10)) == expected(merged, asked, 10)
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_only_asked_terms_are_merged_and_counted(spark, few):
+    docs = [(1, "red sky"), (1, "blue sky sky"), (2, "red sea"), (3, ""), (3, "sea"), (None, "sky")]
+    index = retrieval.doc_vectors(spark.createDataFrame(docs, "id long, body string"), "id", "body")
+    queries = spark.createDataFrame([(0, "sky sky"), (1, "red none")], "query_index long, query_text string")
+    asked = retrieval.query_terms(queries)
+    prepared = retrieval.prepare(index, asked, broadcast_keys=3 if few else 2)
+    merged = prepared.documents.where("doc_id = 1").first()
+    assert merged.doc_length == 5
+    assert [(t.term, t.tf) for t in merged.terms] == [("red", 1), ("sky", 3)] if few else len(merged.terms) == 3
+    counted = {r.term: r.df for r in prepared.frequencies.collect()}
+    whole = retrieval.prepare(index)
+    assert counted == {r.term: r.df for r in whole.frequencies.collect() if not few or r.term in ("red", "sky")}
+    assert (prepared.n_docs, prepared.avg_length) == (whole.n_docs, whole.avg_length)
+    assert found(retrieval.bm25_search(prepared, queries, 9)) == found(retrieval.bm25_search(whole, queries, 9))
+
+
 def test_small_buffers_change_nothing(spark, monkeypatch):
     texts = corpus(150, True)
     index, queries = frames(spark, texts)
