@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 No step gathers the neighbours of a node: both steps are a minimum per node (summed up before the
-shuffle) and a join. Nodes with more than a thousandth of the rows, of which there are fewer than a thousand,
+shuffle) and a join. The rounds end when all links are stars, which a further round would not change. Nodes with more than a thousandth of the rows, of which there are fewer than a thousand,
 meet their minimum by a broadcast; the rows of all others are shuffled. Each round is landed in the shared
 folder, so a lost executor costs no more than the round it was in.
 """
@@ -50,6 +50,16 @@ def _small_stars(edges: DataFrame, n_edges: int) -> DataFrame:
     )
 
 
+def _counts(links: DataFrame) -> tuple[int, int]:
+    """Number of links, and of nodes that keep them from being stars, where every node links to a centre or is one."""
+    ups = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    downs = links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    nodes = ups.union(downs).groupBy("node").agg(F.sum("up").alias("ups"), F.max("down").alias("centre"))
+    is_chained = (F.col("ups") + F.col("centre") > 1).cast("long")
+    counts = nodes.agg(F.coalesce(F.sum("ups"), F.lit(0)), F.coalesce(F.sum(is_chained), F.lit(0))).first()
+    return counts[0], counts[1]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, for every node of an edge.
 
@@ -61,18 +71,15 @@ def components(edges: DataFrame) -> DataFrame:
     edges = land(edges.where("u is not null and v is not null").distinct())
     loops = edges.where("u = v").select("u")
     links = edges.where("u != v")
-    last, n_links = None, links.count()
+    n_links = links.count()
     for _ in range(_MAX_ROUNDS):
         large = land(_stars(links, n_links).distinct())
         links = land(_small_stars(large, 2 * n_links).distinct())
-        now = links.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
+        n_links, n_chained = _counts(links)
+        if not n_chained:
             break
-        last, n_links = now, now[0]
     else:
         raise RuntimeError("connected components did not settle")
-    found = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = found.select(F.col("component").alias("node"), "component").distinct()
-    found = found.union(roots)
-    alone = loops.join(found, loops["u"] == found["node"], "left_anti")
-    return land(found.union(alone.select(F.col("u").alias("node"), F.col("u").alias("component"))))
+    # The centre of a star is its least node; of a node that has a loop as well the star's row is the lesser one.
+    found = links.union(links.select("v", "v")).union(loops.select("u", "u")).toDF("node", "component")
+    return land(found.groupBy("node").agg(F.min("component").alias("component")))

@@ -20,6 +20,19 @@ def test_components_of_a_path_a_star_and_loops(spark):
     assert found == want
 
 
+def test_components_end_at_stars(spark, monkeypatch):
+    """Stars end the rounds: one round for them, and no round that only finds that nothing changes."""
+    from rankflow.llm import components as module
+
+    landed, land = [], module.land
+    monkeypatch.setattr(module, "land", lambda df: landed.append(1) or land(df))
+    edges = spark.createDataFrame([(9, 2), (2, 1), (3, 1), (8, 7), (7, 7), (1, 1), (5, 5)], "a long, b long")
+    found = {r.node: r.component for r in components(edges.where("a != 9")).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 5: 5, 7: 7, 8: 7} and len(landed) == 6
+    assert {r.node: r.component for r in components(edges).collect()} == {**found, 9: 1}
+    assert components(edges.where("a > 9")).collect() == []
+
+
 def test_prefix_is_shortened_until_the_recall_is_met():
     d = match_depth(20, 8, 0.8, 0.999)
     assert 1 - (1 - 0.8**d) ** 20 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 20
